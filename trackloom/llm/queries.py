@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm import license_scans, near_dups, secret_scans, sharding, url_filters
+from trackloom.llm import decontamination, license_scans, near_dups, quality_rules, secret_scans, sharding, url_filters
 from trackloom.llm.common import LOWER, UPPER, WORD, table
 
 QUERIES: dict = {}
@@ -39,4 +39,16 @@ def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "license_digest", "license", F.array_join("notices", ",").alias("notices"))
 
 
-QUERIES |= {f.__name__: f for f in (op1_url_filters, op2_minhash_near_dedup, op3_secret_scans, op4_sharding, op5_license_scans)}
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.leaks(docs, table(spark, sf_dir, "benchmark"))
+    best = F.array_sort(F.array_distinct(F.transform("leaks", lambda x: x["item_id"])))
+    return found.select("doc_id", (F.size("leaks") > 0).alias("contaminated"), F.size("leaks").cast("long").alias("n_leaks"), best.alias("item_ids"), "leaks")
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.quality(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return judged.select("doc_id", *quality_rules.BASE, "base_failed", "kept", "chars_distance", "words_distance")
+
+
+QUERIES |= {f.__name__: f for f in (op1_url_filters, op2_minhash_near_dedup, op3_secret_scans, op4_sharding, op5_license_scans, op7_benchmark_decontamination, op9_quality_rules)}
