@@ -6,21 +6,24 @@ for every near pair, so the keys (chunk, chunk with E of its places blanked), on
 pair together: no pair within the threshold is missed. What shares a key is a candidate; near candidates are confirmed on
 their full shingle sets.
 
-Documents with equal sets are one class. Within a key's bucket, members are first compared with two pivots only, and the
-components of the confirmed links computed. Only then are members of different components compared, so that a large group of
-near copies is joined by a linear number of links and yet no link between components is lost.
+Documents with equal sets are one class. Within a key's bucket, members are first compared with two pivots only, which differ
+from bucket to bucket, and the components of the confirmed links computed. Only then are members of different components
+compared, so that a large group of near copies is joined by a linear number of links and yet no link between components is
+lost. That last comparison is the condition of a join on the key: it counts the signatures' differences and those of a longer
+one-bit sketch in whole-row expressions, and lets a pair pass in the first bucket that it shares only.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.llm.common import ASCII_LOWER, row_key, stored
@@ -34,15 +37,17 @@ class Settings:
     """words: shingle length; percent: link if 100 * |A and B| >= percent * |A or B|.
 
     At similarity 0.8 a value differs with probability 0.2: of 64 values 12.8 do, with deviation 3.2. The threshold of 28 lies
-    4.7 deviations above (one such pair in 300,000 is beyond it); 15 chunks with one error each cover it.
+    4.7 deviations above (one such pair in 300,000 is beyond it); 15 chunks with one error each cover it. The sketch's
+    threshold lies as many deviations above its mean. errors is 0 or 1.
     """
 
     words: int = 4
     percent: int = 80
     values: int = 64
-    bits: int = 16
+    bits: int = 12
     distance: int = 28
     errors: int = 1
+    sketch_bits: int = 1024
 
     @property
     def chunks(self) -> list[np.ndarray]:
@@ -54,9 +59,13 @@ class Settings:
         return [(k, np.setdiff1d(c, gone)) for k, c in enumerate(self.chunks) for gone in combinations(c, self.errors)]
 
     @property
-    def seeds(self) -> tuple[np.ndarray, np.ndarray]:
-        r = np.random.RandomState(20240229)
-        draw = lambda: r.randint(0, 2**32, self.values, dtype=np.uint64) << np.uint64(32) | r.randint(0, 2**32, self.values, dtype=np.uint64)
+    def sketch_distance(self) -> int:
+        p = (100 - self.percent) / 200
+        return int(self.sketch_bits * p + 4.7 * (self.sketch_bits * p * (1 - p)) ** 0.5)
+
+    def seeds(self, n: int, seed: int = 20240229) -> tuple[np.ndarray, np.ndarray]:
+        r = np.random.RandomState(seed)
+        draw = lambda: r.randint(0, 2**32, n, dtype=np.uint64) << np.uint64(32) | r.randint(0, 2**32, n, dtype=np.uint64)
         return draw() | np.uint64(1), draw()
 
 
@@ -93,28 +102,29 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def sign(sets: np.ndarray, s: Settings, seeds: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+def minwise(sets: np.ndarray, bits: int, seeds: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """The b-bit minwise values of a set of hashes, as uint16."""
     a, b = seeds
-    least = np.full(s.values, np.iinfo(np.uint64).max, np.uint64)
-    for k in range(0, len(sets), 2048):  # a text's length doesn't show in the memory
-        h = sets[k : k + 2048, None] * a + b
+    least = np.full(len(a), np.iinfo(np.uint64).max, np.uint64)
+    step = max(1, 131_072 // len(a))
+    for k in range(0, len(sets), step):  # a text's length doesn't show in the memory
+        h = sets[k : k + step, None] * a + b
         least = np.minimum(least, (h ^ (h >> np.uint64(33))).min(axis=0))
-    return (_mix(least) & np.uint64(2**s.bits - 1)).astype(np.uint16)
+    return (_mix(least) & np.uint64(2**bits - 1)).astype(np.uint16)
 
 
 def signatures(docs: DataFrame, s: Settings, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, row, n_shingles, node, sig): node is 128 bits of the set's hash, null without words."""
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingles, seeds = Shingler(s.words), s.seeds
+        shingles, seeds = Shingler(s.words), s.seeds(s.values)
         for f in frames:
             n, node, sig = [], [], []
             for t in f["text"]:
                 x = shingles(t)
                 n.append(len(x))
                 node.append(xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None)
-                sig.append(sign(x, s, seeds).tobytes() if len(x) else None)
+                sig.append(minwise(x, s.bits, seeds).tobytes() if len(x) else None)
             yield pd.DataFrame({"doc_id": f["doc_id"], "row": f["row"], "n_shingles": n, "node": node, "sig": sig})
 
     kind = docs.schema[doc_id].dataType.simpleString()
@@ -123,18 +133,18 @@ def signatures(docs: DataFrame, s: Settings, doc_id: str = "doc_id", text: str =
 
 
 def keys(classes: DataFrame, s: Settings) -> DataFrame:
-    """(key, node): the keys of every signature."""
+    """(key, node): the keys of every signature; a key's last 8 bits are the number of its mask."""
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         masks = s.masks
         for f in frames:
             sig = np.frombuffer(b"".join(f["sig"]), np.uint16).reshape(-1, s.values).astype(np.uint64)
             node = f["node"].to_numpy()
-            for k, (chunk, kept) in enumerate(masks):
-                h = np.full(len(sig), _mix(np.array([k + 1], np.uint64))[0])
+            for number, (_, kept) in enumerate(masks):
+                h = np.full(len(sig), _mix(np.array([number + 1], np.uint64))[0])
                 for c in kept:
                     h = _mix(h ^ sig[:, c])
-                yield pd.DataFrame({"key": h.view(np.int64), "node": node})
+                yield pd.DataFrame({"key": (h << np.uint64(8) | np.uint64(number)).view(np.int64), "node": node})
 
     return classes.select("node", "sig").mapInPandas(work, "key long, node binary")
 
@@ -171,6 +181,48 @@ def confirmed(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     return pairs.join(t("a"), "a").join(t("b"), "b").mapInPandas(work, "a binary, b binary")
 
 
+def packed(nodes: DataFrame, s: Settings) -> DataFrame:
+    """(node, text, sig) -> (node, c0, c1, ..., k0, k1, ...): each chunk of the signature in a long, in lanes of ``bits``, and the sketch."""
+    chunks, longs = len(s.chunks), s.sketch_bits // 64
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingles, seeds = Shingler(s.words), s.seeds(s.sketch_bits, 20240301)
+        for f in frames:
+            out = np.zeros((len(f), chunks + longs), np.uint64)
+            for row, (sig, text) in enumerate(zip(f["sig"], f["text"], strict=True)):
+                values = np.frombuffer(sig, np.uint16).astype(np.uint64)
+                for k, c in enumerate(s.chunks):
+                    for place, at in enumerate(c):
+                        out[row, k] |= values[at] << np.uint64(place * s.bits)
+                out[row, chunks:] = np.packbits(minwise(shingles(text), 1, seeds).astype(np.uint8)).view(np.uint64)
+            yield pd.concat([f[["node"]].reset_index(drop=True), pd.DataFrame(out.view(np.int64), columns=[*[f"c{k}" for k in range(chunks)], *[f"k{k}" for k in range(longs)]])], axis=1)
+
+    cols = ", ".join([f"c{k} long" for k in range(chunks)] + [f"k{k} long" for k in range(longs)])
+    return nodes.select("node", "text", "sig").mapInPandas(work, f"node binary, {cols}")
+
+
+def pair_passes(s: Settings) -> Column:
+    """Of a pair of rows x, y that share a key: near by signature and sketch, and the key is the first that they share."""
+    lanes = max(map(len, s.chunks))
+    low = sum(((1 << (s.bits - 1)) - 1) << (k * s.bits) for k in range(lanes))
+    high = sum(1 << (s.bits - 1) << (k * s.bits) for k in range(lanes))
+
+    def differ(k: int) -> Column:
+        """In how many lanes two longs differ: a lane's highest bit is set where the lane of the difference isn't zero."""
+        d = F.col(f"x.c{k}").bitwiseXOR(F.col(f"y.c{k}"))
+        return F.bit_count((d.bitwiseAND(F.lit(low)) + F.lit(low)).bitwiseOR(d).bitwiseAND(F.lit(high)))
+
+    total = reduce(Column.__add__, [differ(k) for k in range(len(s.chunks))])
+    far = reduce(Column.__add__, [F.bit_count(F.col(f"x.k{k}").bitwiseXOR(F.col(f"y.k{k}"))) for k in range(s.sketch_bits // 64)])
+    first = reduce(lambda rest, k: F.when(differ(k) <= s.errors, F.lit(k)).otherwise(rest), reversed(range(len(s.chunks))), F.lit(-1))
+    mask = F.col("x.key").bitwiseAND(F.lit(255)).cast("int")
+    chunk = F.element_at(F.array(*[F.lit(k) for k, _ in s.masks]), mask + 1)
+    # Where the chunks are equal all their masks agree, and the first counts; where they differ in one place only one does.
+    leads = F.element_at(F.array(*[F.lit(n == 0 or s.masks[n - 1][0] != k) for n, (k, _) in enumerate(s.masks)]), mask + 1)
+    same = reduce(lambda rest, k: F.when(chunk == k, F.col(f"x.c{k}") == F.col(f"y.c{k}")).otherwise(rest), range(len(s.chunks)), F.lit(False))
+    return (far <= s.sketch_distance) & (total <= s.distance) & (first == chunk) & (leads | ~same)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp): the smallest node of each node's component, by large-star and small-star rounds (Kiveris et al., 2014).
 
@@ -207,20 +259,18 @@ def near_duplicates(docs: DataFrame, settings: Settings | None = None, doc_id: s
 
     # Buckets with two members or more. A bucket's pivots are aggregated before the shuffle, whatever its size.
     every = keys(classes, s)
-    pivots = every.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
-    buckets = stored(every.join(pivots, "key"))
-    pair = lambda x, y: F.explode(F.array(*[F.struct(F.least("node", c).alias("a"), F.greatest("node", c).alias("b")) for c in (x, y)])).alias("p")
+    drawn = F.xxhash64("key", "node")
+    pivots = every.groupBy("key").agg(F.min(F.struct(drawn.alias("h"), "node")).alias("lo"), F.max(F.struct(drawn.alias("h"), "node")).alias("hi"), F.count("*").alias("n")).where("n > 1")
+    buckets = stored(every.join(pivots.select("key", "lo.node", "hi.node", "n").toDF("key", "lo", "hi", "n"), "key"))
+    pair = lambda *pivot: F.explode(F.array(*[F.struct(F.least("node", c).alias("a"), F.greatest("node", c).alias("b")) for c in pivot])).alias("p")
     first = buckets.select(pair("lo", "hi")).select("p.*").where("a <> b").distinct()
     tried = stored(near(first, classes, s))
 
-    def links(pairs: DataFrame) -> DataFrame:
-        reps = classes.select("node", "row")
-        needed = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct().join(reps, "node").select("node", "row")
-        rows = docs.select(row_key(doc_id, text).alias("row"), F.col(text).alias("text"))
-        texts = stored(rows.join(needed, "row").dropDuplicates(["node"]))
-        return stored(confirmed(pairs, texts, s))
-
-    found = links(tried)
+    # The texts that may be compared, fetched once.
+    needed = tried.select(F.col("a").alias("node")).union(tried.select("b")).union(buckets.where("n > 3").select("node")).distinct()
+    rows = docs.select(row_key(doc_id, text).alias("row"), F.col(text).alias("text"))
+    texts = stored(rows.join(needed.join(classes.select("node", "row", "sig"), "node"), "row").dropDuplicates(["node"]).drop("row"))
+    found = stored(confirmed(tried, texts, s))
     comps = stored(components(found))
 
     # Members of one bucket in different components: those outside the bucket's largest component meet all its members.
@@ -228,12 +278,13 @@ def near_duplicates(docs: DataFrame, settings: Settings | None = None, doc_id: s
     sizes = named.groupBy("key", "comp").agg(F.count("*").alias("c"))
     split = sizes.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("most"), F.count("*").alias("k")).where("k > 1").select("key", "most")
     named = stored(named.join(split, "key"))
-    outside, inside = named.where("comp <> most").alias("x"), named.alias("y")
-    rest = outside.join(inside, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("y.most")) | (F.col("x.node") < F.col("y.node"))))
-    rest = rest.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    rest = stored(near(rest, classes, s))
+    signs = stored(packed(texts.join(named.select("node").distinct(), "node", "left_semi"), s))
+    named = named.join(signs, "node")
+    apart = (F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("y.most")) | (F.col("x.node") < F.col("y.node")))
+    rest = named.where("comp <> most").alias("x").join(named.alias("y"), (F.col("x.key") == F.col("y.key")) & apart & pair_passes(s))
+    rest = stored(rest.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
     if not rest.isEmpty():
-        more = links(rest)
+        more = stored(confirmed(rest, texts, s))
         if not more.isEmpty():
             comps = stored(components(found.union(more)))
 
