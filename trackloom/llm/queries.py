@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm import decontamination, license_scans, near_dups, quality_rules, secret_scans, sharding, url_filters
+from trackloom.llm import chat_format, decontamination, license_scans, near_dups, pieces, quality_rules, secret_scans, sharding, toxicity, url_filters
 from trackloom.llm.common import LOWER, UPPER, WORD, table
 
 QUERIES: dict = {}
@@ -51,4 +51,38 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality_rules.BASE, "base_failed", "kept", "chars_distance", "words_distance")
 
 
-QUERIES |= {f.__name__: f for f in (op1_url_filters, op2_minhash_near_dedup, op3_secret_scans, op4_sharding, op5_license_scans, op7_benchmark_decontamination, op9_quality_rules)}
+#: The vocabulary that the encoding query and the pipeline use.
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def encoded(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """The input's columns and ids, n_ids, round_trip: whether decoding the ids gives the text."""
+    v = pieces.load(vocabulary)
+    out = pieces.with_text(pieces.with_ids(docs, v), v)
+    same = F.col("decoded") == F.coalesce(F.col("text"), F.lit(""))
+    return out.select(*docs.columns, "ids", F.size("ids").cast("long").alias("n_ids"), same.alias("round_trip"))
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.format_pairs(chat_format.branches(table(spark, sf_dir, "conversations")))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    judged = toxicity.score(docs, model).withColumn("score", F.col("toxicity.score"))
+    predicted = (F.col("score") >= toxicity.Settings().threshold).cast("int")
+    return judged.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", predicted.alias("predicted"), F.size("toxicity.passages").alias("n_passages"))
+
+
+QUERIES |= {
+    f.__name__: f
+    for f in (
+        op1_url_filters, op2_minhash_near_dedup, op3_secret_scans, op4_sharding, op5_license_scans,
+        op6_sentencepiece, op7_benchmark_decontamination, op8_chat_formatting, op9_quality_rules, op10_toxicity,
+    )
+}
