@@ -223,13 +223,36 @@ def pair_passes(s: Settings) -> Column:
     return (far <= s.sketch_distance) & (total <= s.distance) & (first == chunk) & (leads | ~same)
 
 
+def forest(edges: DataFrame) -> DataFrame:
+    """Of each partition's edges (a, b), a spanning forest: as many as it has nodes, at most, and the same components."""
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parent: dict[bytes, bytes] = {}
+
+        def root(x: bytes) -> bytes:
+            while (y := parent.get(x, x)) != x:
+                parent[x] = parent.get(y, y)
+                x = y
+            return x
+
+        for f in frames:
+            keep = []
+            for a, b in zip(f["a"], f["b"], strict=True):
+                x, y = root(bytes(a)), root(bytes(b))
+                keep.append(x != y)
+                parent[max(x, y)] = min(x, y)
+            yield f.loc[keep, ["a", "b"]]
+
+    return edges.select("a", "b").mapInPandas(work, "a binary, b binary")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp): the smallest node of each node's component, by large-star and small-star rounds (Kiveris et al., 2014).
 
     A hub's edges are read once for its minimum, which is summed up before the shuffle, and joined to it again by a join that
     Spark may split; no task has to hold a hub's edges.
     """
-    at = stored(edges.select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).where("u <> v").distinct())
+    at = stored(forest(edges).select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).where("u <> v").distinct())
     mark = None
     while True:
         both = at.select("u", "v").union(at.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -286,7 +309,7 @@ def near_duplicates(docs: DataFrame, settings: Settings | None = None, doc_id: s
     if not rest.isEmpty():
         more = stored(confirmed(rest, texts, s))
         if not more.isEmpty():
-            comps = stored(components(found.union(more)))
+            comps = stored(components(more.union(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")))))
 
     least = classes.join(comps, "node", "left").select("node", "doc_id", "class_size", F.coalesce("comp", "node").alias("comp"))
     ids = least.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
