@@ -1,4 +1,340 @@
 """The registered queries: name -> (spark, sf_dir) -> DataFrame, and the same in SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from trackloom.functions import geometry as G
+from trackloom.operators import fusion, sampling, tracking, tracks, work
+from trackloom.plans.fixtures import NOW, WINDOW, fixture, oracle
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+TF, DT, VID, USR, TSK, PRT, SES, SUB = "fx_track_frames", "fx_detections", "fx_videos", "fx_users", "fx_tasks", "fx_parts", "fx_sessions", "fx_submissions"
+
+
+def query(name: str, *views: str, sql: str | None = None) -> Callable:
+    """Registers f(*views) under a name, with its SQL over the same views."""
+
+    def register(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        QUERIES[name] = lambda spark, sf_dir: f(*[fixture(spark, sf_dir, v) for v in views])
+        if sql:
+            ORACLES[name] = oracle(sql, *views)
+        return f
+
+    return register
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*[F.round(F.col(c), digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+now, start, end = F.expr(NOW), F.expr(WINDOW[0]), F.expr(WINDOW[1])
+AREA = "greatest(x2-x1,0)*greatest(y2-y1,0)"
+VALID = f"case when {AREA}>=1 then {AREA} end"
+PROFILE = f"""stats as (select video_id, track_id, count({VALID}) as n_valid, quantile_cont({VALID},0.5) as med, quantile_cont({VALID},0.1) as lo, quantile_cont({VALID},0.9) as hi
+ from fx_track_frames group by all),
+mads as (select t.video_id, t.track_id, quantile_cont(case when {AREA}>=1 then abs({AREA}-med) end,0.5) as m from fx_track_frames t join stats s on t.video_id=s.video_id and t.track_id=s.track_id group by all),
+profile as (select s.video_id, s.track_id, n_valid, case when n_valid>=5 then med else 0 end as median, case when n_valid>=5 then lo else 0 end as p10,
+ case when n_valid>=5 then hi else 0 end as p90, case when n_valid>=5 then m else 0 end as mad from stats s join mads d on s.video_id=d.video_id and s.track_id=d.track_id)"""
+FLAGGED = f"""rows as (select t.video_id, t.track_id, frame_id, {AREA} as area, median, mad, last_value({VALID} ignore nulls) over (partition by t.video_id, t.track_id order by frame_id rows between unbounded preceding and 1 preceding) as previous
+ from fx_track_frames t join profile p on t.video_id=p.video_id and t.track_id=p.track_id where n_valid>=5),
+measured as (select *, case when median>0 then area/median else 0 end as ratio, case when mad>0 then 0.6745*(area-median)/mad else 0 end as robust_z, case when previous>0 then greatest(area,previous)/greatest(least(area,previous),1e-9) end as change from rows),
+flagged as (select *, list_filter([case when area<1 then 'degenerate_area' when ratio>=3 then 'high_area_ratio' when ratio<=0.3 then 'low_area_ratio' end,
+ case when area>=1 and change>=2 and abs(area-previous)>=500 then 'frame_area_jump' end, case when area>=1 and abs(robust_z)>=6 then 'robust_z' end], lambda x: x is not null) as reasons from measured)"""
+
+
+@query("a14_area_profile", TF, sql=f", {PROFILE} select video_id, track_id, n_valid, round(median,6) as median, round(p10,6) as p10, round(p90,6) as p90, round(mad,6) as mad from profile")
+def _(t):
+    return rounded(tracks.area_profile(t))
+
+
+@query("q1_area_anomalies", TF, sql=f", {PROFILE}, {FLAGGED}, marked as (select *, case when frame_id-lag(frame_id) over w > 3 then 1 when lag(frame_id) over w is null then 1 else 0 end as fresh from flagged where len(reasons)>0 window w as (partition by video_id, track_id order by frame_id)), numbered as (select *, sum(fresh) over (partition by video_id, track_id order by frame_id) as segment from marked) select video_id, track_id, cast(segment as bigint) as segment, min(frame_id) as start_frame, max(frame_id) as end_frame, count(*) as n_frames, round(min(area),6) as min_area, round(max(area),6) as max_area, round(min(ratio),6) as min_ratio, round(max(ratio),6) as max_ratio, round(max(change),6) as max_change, round(max(abs(robust_z)),6) as max_abs_z, array_to_string(list_sort(list_distinct(flatten(list(reasons)))),',') as reasons from numbered group by video_id, track_id, segment")
+def _(t):
+    return rounded(tracks.area_anomalies(t)[1].withColumn("reasons", F.array_join("reasons", ",")).withColumn("segment", F.col("segment").cast("bigint")))
+
+
+@query("w1_smooth_tracks", TF, VID, sql="""select video_id, track_id, class_id, frame_id, video_frame_idx, """ + ", ".join(f"round(case when n>1 then (case when cx2>cx1 and cy2>cy1 then c{c} else s{c} end) else {c} end,6) as {c}" for c in tracks.BOX) + """ from (select *, """ + ", ".join(f"least(greatest(s{c},0), {'1919' if 'x' in c else '1079'}) as c{c}" for c in tracks.BOX) + """ from (select t.*, """ + ", ".join(f"avg({c}) over w as s{c}" for c in tracks.BOX) + """, count(*) over (partition by t.video_id, track_id) as n from fx_track_frames t join fx_videos v on t.video_id=v.video_id window w as (partition by t.video_id, track_id order by frame_id rows between 2 preceding and 2 following)))""")
+def _(t, v):
+    return rounded(tracks.smooth_tracks(t, v, 5))
+
+
+LEAD = "select *, lead(frame_id) over w as nf, " + ", ".join(f"lead({c}) over w as n{c}" for c in tracks.BOX) + " from fx_track_frames window w as (partition by video_id, track_id order by frame_id)"
+FILL = ", ".join(f"round({c}+(n{c}-{c})*((f-frame_id)/(nf-frame_id)),6) as {c}" for c in tracks.BOX)
+
+
+@query("w2_interpolate_short_gaps", TF, sql=f"select video_id, track_id, class_id, frame_id, x1, y1, x2, y2, false as filled from fx_track_frames union all select video_id, track_id, class_id, f as frame_id, {FILL}, true from (select *, unnest(range(frame_id+1, nf)) as f from ({LEAD}) where nf-frame_id-1>0 and nf-frame_id-1<5)")
+def _(t):
+    return rounded(tracks.interpolate_short_gaps(t, 5)[0])
+
+
+@query("w4_densify", TF, VID, sql="select video_id, track_id, class_id, f as frame_id, " + ", ".join(f"round({c}+coalesce((n{c}-{c})*(case when nf is null or f<frame_id then 0.0 else (f-frame_id)/(nf-frame_id) end),0),6) as {c}" for c in tracks.BOX) + f" from (select *, unnest(range(case when pf is null then greatest(frame_id-3,0) else frame_id end, case when nf is null then least(frame_id+3, greatest(49,frame_id))+1 else nf end)) as f from (select l.*, lag(frame_id) over (partition by l.video_id, track_id order by frame_id) as pf from ({LEAD}) l join fx_videos v on l.video_id=v.video_id))")
+def _(t, v):
+    return rounded(tracks.densify(t, v, 3))
+
+
+@query("w3_interpolate_range", TF, sql=", ends as (select video_id, track_id, min(frame_id) as a, max(frame_id) as b from fx_track_frames where frame_id<=20 group by all having count(*)>1) select video_id, track_id, class_id, frame_id, x1, y1, x2, y2 from fx_track_frames t where not exists (select 1 from ends e where e.video_id=t.video_id and e.track_id=t.track_id and t.frame_id>a and t.frame_id<b) union all select video_id, track_id, class_id, f, " + ", ".join(f"round({c}+(n{c}-{c})*((f-a)/(b-a)),6)" for c in tracks.BOX) + " from (select s.*, a, b, " + ", ".join(f"n.{c} as n{c}" for c in tracks.BOX) + ", unnest(range(a+1,b)) as f from ends e join fx_track_frames s on s.video_id=e.video_id and s.track_id=e.track_id and s.frame_id=a join fx_track_frames n on n.video_id=e.video_id and n.track_id=e.track_id and n.frame_id=b)")
+def _(t):
+    early = t.where("frame_id <= 20").groupBy("video_id", "track_id").agg(F.min("frame_id").alias("frame_b"), F.max("frame_id").alias("frame_a"), F.count("*").alias("n")).where("n > 1")
+    return rounded(tracks.interpolate_range(t, early))
+
+
+@query("a11_tracklet_quality", TF, sql="select q.video_id, q.track_id, n, round(jitter,6) as jitter, round(n/(1+jitter),6) as quality, class_id from (select video_id, track_id, count(*) as n, coalesce(avg(j),0) as jitter, any_value(class_id) as class_id from (select *, sqrt(power((x1+x2)/2-lag((x1+x2)/2) over w,2)+power((y1+y2)/2-lag((y1+y2)/2) over w,2)) as j from fx_track_frames window w as (partition by video_id, track_id order by frame_id)) group by all) q")
+def _(t):
+    return rounded(tracks.tracklet_quality(t))
+
+
+@query("a18_clip_plan", TF, VID, sql="select e.video_id, track_id, cast(cw+cw%2 as int) as clip_w, cast(ch+ch%2 as int) as clip_h, greatest(first-5,0) as start_frame, least(last+5, greatest(frame_count-1,last)) as end_frame from (select video_id, track_id, cast(greatest(ceil(max(x2-x1)*1.2),32) as bigint) as cw, cast(greatest(ceil(max(y2-y1)*1.2),32) as bigint) as ch, min(frame_id) as first, max(frame_id) as last from fx_track_frames group by all) e join fx_videos v on e.video_id=v.video_id")
+def _(t, v):
+    return tracks.clip_plan(t, v, 5, 1.2, 32)
+
+
+@query("a20_track_listing", TF, sql=f"select video_id, track_id, min(frame_id) as start_frame, max(frame_id) as end_frame, count(*) as num_frames, round(quantile_cont({AREA},0.5),6) as median_area, array_to_string(list_sort(list(frame_id)),',') as frame_ids from fx_track_frames group by all")
+def _(t):
+    return rounded(tracks.track_listing(t).withColumn("frame_ids", F.array_join("frame_ids", ",")))
+
+
+@query("u3_merge_tracks", TF, sql="select video_id, case when track_id%16=8 then track_id-8 else track_id end as track_id, class_id, frame_id, video_frame_idx, x1, y1, x2, y2 from fx_track_frames t where not (track_id%16=8 and exists (select 1 from fx_track_frames b where b.video_id=t.video_id and b.track_id=t.track_id-8 and b.frame_id=t.frame_id))")
+def _(t):
+    merges = t.where("track_id % 16 = 8").select("video_id", F.col("track_id").alias("from_id"), (F.col("track_id") - 8).alias("into_id")).distinct()
+    return tracks.merge_tracks(t, merges)
+
+
+@query("u4_split_tracks", TF, sql="select t.video_id, case when t.track_id%5=0 and frame_id>50 then top+k else t.track_id end as track_id, class_id, frame_id, video_frame_idx, x1, y1, x2, y2 from fx_track_frames t join (select video_id, max(track_id) as top from fx_track_frames group by 1) m on m.video_id=t.video_id left join (select video_id, track_id, row_number() over (partition by video_id order by track_id) as k from (select distinct video_id, track_id from fx_track_frames where track_id%5=0)) s on s.video_id=t.video_id and s.track_id=t.track_id")
+def _(t):
+    return tracks.split_tracks(t, t.where("track_id % 5 = 0").select("video_id", "track_id", F.lit(50).alias("frame")).distinct())
+
+
+@query("u5_delete_frames", TF, sql="select * from fx_track_frames where not ((track_id%4=0 and frame_id>40) or (track_id%4=1 and frame_id<12) or (track_id%4=2 and frame_id between 10 and 30) or track_id%4=3 and track_id%3=0)")
+def _(t):
+    op = F.expr("case track_id%4 when 0 then 'delete_after' when 1 then 'delete_before' when 2 then 'delete_between' else case when track_id%3=0 then 'delete_track' end end")
+    a = F.expr("case track_id%4 when 0 then 40 when 1 then 12 else 30 end")
+    return tracks.edit_tracks(t, t.select("video_id", "track_id", op.alias("op"), a.alias("frame_a"), F.lit(10).alias("frame_b")).distinct())
+
+
+@query("u2_append_tracks", TF, sql="select * from fx_track_frames union all select e.video_id, top+k, 9, frame_id, video_frame_idx, x1, y1, x2, y2 from fx_track_frames e join (select video_id, max(track_id) as top from fx_track_frames group by 1) m on m.video_id=e.video_id join (select video_id, track_id, row_number() over (partition by video_id order by track_id) as k from (select distinct video_id, track_id from fx_track_frames where class_id=1)) i on i.video_id=e.video_id and i.track_id=e.track_id where class_id=1")
+def _(t):
+    return tracks.append_tracks(t, t.where("class_id = 1"), 9)
+
+
+@query("u8_frames_between", TF, sql="select video_id, frame_id, count(*) as n, array_to_string(list_sort(list(track_id)),',') as track_ids from fx_track_frames where frame_id between 10 and 29 group by all")
+def _(t):
+    return tracks.frames_between(t, 10, 20).select("video_id", "frame_id", F.size("boxes").cast("bigint").alias("n"), F.array_join(F.transform("boxes", lambda b: b["track_id"]), ",").alias("track_ids"))
+
+
+@query("g_geometry", DT, sql="""select video_id, frame_id, det_idx, round((x2-x1)*(y2-y1),6) as area, round((x1+x2)/2,6) as cx, round((y1+y2)/2,6) as cy,
+ case when least(x2,1279)>least(x1,1279) and least(y2,719)>least(y1,719) then least(x1,1279) end as clip_x1, cast((object_key*37+80)%256 as int) as color_r,
+ round(y2+0.5*(y2-y1),6) as depth from fx_detections""")
+def _(d):
+    b = G.Box.of()
+    cx, cy = G.center(b)
+    return rounded(d.select("video_id", "frame_id", "det_idx", G.area(b).alias("area"), cx.alias("cx"), cy.alias("cy"), G.clip_bbox(b, F.lit(1280), F.lit(720))["x1"].alias("clip_x1"), G.track_color(F.col("object_key"))["r"].alias("color_r"), G.pseudo_depth(b, 0.5).alias("depth")))
+
+
+IOU = "greatest(least(a.x2,b.x2)-greatest(a.x1,b.x1),0)*greatest(least(a.y2,b.y2)-greatest(a.y1,b.y1),0)"
+
+
+@query("j11_iou_join", DT, sql=f"select video_id, frame_id, l, r, round(i/(aa+ab-i),6) as iou from (select a.video_id, a.frame_id, a.det_idx as l, b.det_idx as r, {IOU} as i, (a.x2-a.x1)*(a.y2-a.y1) as aa, (b.x2-b.x1)*(b.y2-b.y1) as ab from fx_detections a join fx_detections b on a.video_id=b.video_id and a.frame_id+1=b.frame_id) where i>0 and i/(aa+ab-i)>=0.5")
+def _(d):
+    later = d.withColumn("frame_id", F.col("frame_id") - 1)
+    return rounded(fusion.iou_join(d, later, 0.5).select("video_id", "frame_id", "l", "r", "iou"))
+
+
+PAIRS = f"""fwd as (select video_id, object_key as idx, frame_id, x1,y1,x2,y2, count(*) over (partition by video_id, object_key) as n from fx_detections where det_idx%5<>4),
+bwd as (select video_id, object_key as idx, frame_id, x1+class_id*8 as x1, y1, x2+class_id*8 as x2, y2, count(*) over (partition by video_id, object_key) as n from fx_detections where frame_id%7<>3),
+pr as (select a.video_id, a.idx as f_idx, b.idx as b_idx, a.frame_id, a.n as fn, b.n as bn, case when {IOU}>0 then {IOU}/((a.x2-a.x1)*(a.y2-a.y1)+(b.x2-b.x1)*(b.y2-b.y1)-{IOU}) else 0 end as iou,
+ sqrt(power((a.x1+a.x2)/2-(b.x1+b.x2)/2,2)+power((a.y1+a.y2)/2-(b.y1+b.y2)/2,2)) as gap, (sqrt(power(a.x2-a.x1,2)+power(a.y2-a.y1,2))+sqrt(power(b.x2-b.x1,2)+power(b.y2-b.y1,2)))/2 as diag
+ from fwd a join bwd b on a.video_id=b.video_id and a.frame_id=b.frame_id),
+ov as (select video_id, f_idx, b_idx, count(*) as n, avg(iou) as mean_iou, count(*)/least(any_value(fn),any_value(bn)) as overlap_ratio, (arg_min(gap,frame_id)+arg_max(gap,frame_id))/2 as end_gap, avg(diag) as mean_diag from pr group by all having count(*)>=3),
+cand as (select *, end_gap/greatest(mean_diag,1) as normalized_gap, mean_iou*overlap_ratio as score from ov)"""
+
+
+def sides(d: DataFrame) -> tuple[DataFrame, DataFrame]:
+    shift = F.col("class_id") * 8
+    f = d.where("det_idx % 5 <> 4").select("video_id", F.col("object_key").alias("tracklet_idx"), "frame_id", *tracks.BOX)
+    b = d.where("frame_id % 7 <> 3").select("video_id", F.col("object_key").alias("tracklet_idx"), "frame_id", (F.col("x1") + shift).alias("x1"), "y1", (F.col("x2") + shift).alias("x2"), "y2")
+    return f, b
+
+
+@query("a12_pair_overlap", DT, sql=f", {PAIRS} select video_id, f_idx, b_idx, n, round(mean_iou,6) as mean_iou, round(overlap_ratio,6) as overlap_ratio, round(end_gap,6) as end_gap, round(mean_diag,6) as mean_diag, round(normalized_gap,6) as normalized_gap, round(score,6) as score from cand")
+def _(d):
+    return rounded(tracks.pair_overlap(*sides(d)))
+
+
+@query("f0_candidate_pairs", DT, sql=f", {PAIRS} select video_id, f_idx, b_idx, round(score,6) as score from cand where mean_iou>=0.3 and normalized_gap<=1.5")
+def _(d):
+    return rounded(fusion.candidate_pairs(*sides(d), 0.3).select("video_id", "f_idx", "b_idx", "score"))
+
+
+@query("l7_mutual_best", DT, sql=f", {PAIRS}, ranked as (select *, row_number() over (partition by video_id, f_idx order by round(score,9) desc, b_idx) as rf, row_number() over (partition by video_id, b_idx order by round(score,9) desc, f_idx) as rb from cand where mean_iou>=0.3 and normalized_gap<=1.5) select video_id, f_idx, b_idx, round(score,6) as score from ranked where rf=1 and rb=1")
+def _(d):
+    return rounded(tracks.mutual_best(fusion.candidate_pairs(*sides(d), 0.3).withColumn("score", F.round("score", 9))).select("video_id", "f_idx", "b_idx", "score"))
+
+
+@query("f6_all_pairs_components", DT)
+def _(d):
+    f, b = sides(d)
+    return fusion.connected_components(fusion.candidate_pairs(f, b, 0.3))
+
+
+@query("t1_sort_tracker", DT)
+def _(d):
+    return tracking.run_tracker(d, "sort")
+
+
+@query("t2_bytetrack", DT)
+def _(d):
+    return tracking.run_tracker(d, "bytetrack")
+
+
+@query("t3_oc_sort", DT)
+def _(d):
+    return tracking.run_tracker(d, "oc_sort")
+
+
+@query("q2_fix_spikes", TF)
+def _(t):
+    return rounded(tracking.fix_spikes(t))
+
+
+@query("n_sampled_frames", VID, sql="select video_id, unnest(list_sort(list_distinct(list_concat(list_filter(range(0,frame_count,10), lambda f: not (f between 15 and 25)), list_concat(range(15,26,4), [25]))))) as frame from fx_videos")
+def _(v):
+    plans = v.select("video_id", F.lit(10).alias("default_interval"))
+    segments = v.select("video_id", F.lit(15).alias("start_frame"), F.lit(25).alias("end_frame"), F.lit(4).alias("interval"))
+    return sampling.sampled_frames(plans, segments, v).select("video_id", F.col("frame").cast("bigint").alias("frame"))
+
+
+@query("n6_segment_video", DT, sql="select video_id, cast(floor(video_frame_idx/12) as bigint) as segment, video_frame_idx%12+1 as local_frame, det_idx from fx_detections")
+def _(d):
+    return sampling.segment_video(d, 12).select("video_id", "segment", "local_frame", "det_idx")
+
+
+@query("n7_split_dataset", DT, sql="select video_id, sample, cast((row_number() over (partition by video_id order by sample)-1)%4 as int) as part from (select distinct video_id, frame_id as sample from fx_detections)")
+def _(d):
+    return sampling.split_round_robin(d.select("video_id", F.col("frame_id").alias("sample")).distinct(), 4, ["sample"], ["video_id"])
+
+
+@query("k3_yolo_frames", DT, VID, sql="select v.video_id, concat('frame_', lpad(cast(f as varchar), 6, '0'), '.txt') as file_name, coalesce(string_agg(printf('%d %.6f %.6f %.6f %.6f', class_id, round((x1+x2)/2/width,6), round((y1+y2)/2/height,6), round((x2-x1)/width,6), round((y2-y1)/height,6)), chr(10) order by det_idx),'') as content from (select *, unnest(range(frame_offset, frame_offset+frame_count)) as f from fx_videos) v left join fx_detections d on d.video_id=v.video_id and d.frame_id=f group by all")
+def _(d, v):
+    return sampling.to_yolo_frames(d.withColumn("order", F.col("det_idx")), v)
+
+
+@query("a1_part_summary", PRT, sql="select task_id, " + ", ".join(f"count(*) filter (status='{s}') as {s}" for s in work.STATUSES) + ", count(*) as total, count(*) filter (status in ('submitted','completed')) as annotated from fx_parts group by task_id")
+def _(p):
+    return work.part_summary(p)
+
+
+@query("a2_actor_summary", PRT, sql="select task_id, annotator, count(*) as total, count(*) filter (status='rework') as rework, count(*) filter (status='in_progress') as in_progress from fx_parts where annotator is not null group by all")
+def _(p):
+    return work.actor_part_summary(p)
+
+
+SUMMARY = "s as (select task_id, " + ", ".join(f"count(*) filter (status='{s}') as {s}" for s in work.STATUSES) + ", count(*) as total from fx_parts group by task_id)"
+
+
+@query("a3_task_overview", TSK, PRT, sql=f", {SUMMARY}, o as (select t.task_id, project, " + ", ".join(f"coalesce({s},0) as {s}" for s in [*work.STATUSES, "total"]) + " from fx_tasks t left join s on s.task_id=t.task_id where not deleted) select *, case when total=0 then 'awaiting_parts' when completed=total then 'completed' when pending=total then 'pending' when submitted+completed=total then 'submitted' when in_progress+paused+rework>0 then 'in_progress' else 'mixed' end as state, case when total>0 then round(completed*100.0/total,1) else 0 end as completion_percent from o")
+def _(t, p):
+    return work.task_overview(t, p)
+
+
+A4 = f""", c as (select task_id, annotator, {", ".join(f"count(*) filter (status='{s}') as {s}" for s in work.STATUSES)}, sum(case when status in ('submitted','completed') then coalesce(bbox_count,1) else 0 end) as boxes, sum(greatest(progress_count,0)) as images, sum(coalesce(work_seconds_override,0)) as o from fx_parts where annotator is not null group by all),
+w as (select task_id, s.annotator, sum(greatest(epoch(coalesce(ended_at,{NOW}))-epoch(started_at),0)) as ss from fx_sessions s join fx_parts p on p.part_id=s.part_id where work_seconds_override is null group by all),
+a4 as (select coalesce(c.task_id,w.task_id) as task_id, coalesce(c.annotator,w.annotator) as annotator, {", ".join(f"coalesce({s},0) as {s}" for s in work.STATUSES)}, cast(coalesce(boxes,0) as bigint) as boxes, cast(coalesce(images,0) as bigint) as images, coalesce(o,0)+coalesce(ss,0) as seconds from c full join w on c.task_id=w.task_id and c.annotator=w.annotator)"""
+
+
+@query("a4_annotator_statistics", PRT, SES, sql=A4 + " select *, case when seconds>0 then round(boxes*3600/seconds,3) else 0 end as boxes_per_hour, case when seconds>0 then round(images*3600/seconds,3) else 0 end as images_per_hour from a4")
+def _(p, s):
+    return work.annotator_statistics(p, s, now)
+
+
+@query("a5_task_statistics", PRT, SES, sql=A4 + " select task_id, " + ", ".join(f"cast(sum({s}) as bigint) as {s}" for s in [*work.STATUSES, "boxes", "images"]) + ", sum(seconds) as seconds, count(*) as annotators from a4 group by task_id")
+def _(p, s):
+    return work.task_statistics(work.annotator_statistics(p, s, now))
+
+
+CLIPPED = f"greatest(epoch(least(coalesce(ended_at,{NOW}),{WINDOW[1]}))-epoch(greatest(started_at,{WINDOW[0]})),0)"
+
+
+@query("j9_overlap_join", SES, sql=f"select session_id, part_id, annotator, started_at, ended_at, round({CLIPPED},3) as clipped_seconds from fx_sessions where started_at<{WINDOW[1]} and coalesce(ended_at,{NOW})>{WINDOW[0]}")
+def _(s):
+    return rounded(work.overlap_join(s, start, end, now), 3)
+
+
+@query("a6_admin_statistics", TSK, PRT, SES, USR, sql=f""", cl as (select part_id, sum({CLIPPED}) as c from fx_sessions where started_at<{WINDOW[1]} and coalesce(ended_at,{NOW})>{WINDOW[0]} group by 1),
+p as (select annotator, t.task_id, case when product_tag is null or product_tag='' then '{work.UNTAGGED}' else product_tag end as tag, coalesce(submitted_at>={WINDOW[0]} and submitted_at<{WINDOW[1]},false) as done, progress_count, bbox_count, status, work_seconds_override as o, coalesce(c,0) as c from fx_parts p join fx_tasks t on t.task_id=p.task_id and not deleted left join cl on cl.part_id=p.part_id where annotator is not null),
+f as (select annotator, task_id, tag, done::int as done, case when done then greatest(progress_count,0) else 0 end as images, case when done and status in ('submitted','completed') then coalesce(bbox_count,1) else 0 end as boxes, case when done and o is not null then o else c end as seconds from p where done or c>0),
+g as (select case grouping(annotator,task_id,tag) when 3 then 'user' when 1 then 'user_task' when 6 then 'tag' else 'total' end as kind, annotator, task_id, tag, count(*) as parts, cast(coalesce(sum(done),case when grouping(annotator,task_id,tag)=7 then null end) as bigint) as completed, cast(sum(images) as bigint) as images, cast(sum(boxes) as bigint) as boxes, round(sum(seconds),3) as seconds, count(distinct task_id) as tasks from f group by grouping sets ((annotator),(annotator,task_id),(tag),()))
+select * from g union all select 'user', username, null, null, 0,0,0,0,0,0 from fx_users where username not in (select annotator from f)""")
+def _(t, p, s, u):
+    return work.admin_statistics(t, p, s, u, start, end, now)
+
+
+LEDGER = ", h as (select *, coalesce(max(cumulative) over w,0) as high, coalesce(bool_or(is_final) over w,false) as fin from fx_submissions window w as (partition by part_id order by submitted_at,event_id rows between unbounded preceding and 1 preceding)), e as (select event_id, part_id, annotator, submitted_at, cumulative, is_final, cast(case when fin then 0 else greatest(cumulative-high,0) end as bigint) as credited, fin, high from h), ev as (select event_id, part_id, annotator, submitted_at, cumulative, is_final, credited from e where not (not fin and cumulative<high) and (is_final or credited>0))"
+
+
+@query("w8_credit_ledger", SUB, sql=LEDGER + " select * from ev")
+def _(s):
+    return work.credit_ledger(s)[0]
+
+
+@query("a17_submission_state", SUB, sql=LEDGER + " select part_id, cast(sum(credited) as bigint) as credited, bool_or(is_final) as finalised from ev group by 1")
+def _(s):
+    return work.submission_state(work.credit_ledger(s)[0])
+
+
+@query("a7_production_report", SUB, USR, sql=LEDGER + f", r as (select annotator, credited, extract(isodow from submitted_at + interval 8 hour)>=6 as off from ev where submitted_at>={WINDOW[0]} and submitted_at<{WINDOW[1]}) select username, display_name, cast(coalesce(sum(case when not off then credited else 0 end),0) as bigint) as credited, cast(coalesce(sum(case when off then credited else 0 end),0) as bigint) as excluded, count(*) filter (not off) as events from fx_users left join r on username=annotator group by all")
+def _(s, u):
+    return work.production_report(work.credit_ledger(s)[0], u, start, end, True)
+
+
+@query("a8_attendance", SES, sql=f", f as (select cast(started_at as date) as day, annotator, min(started_at) as t from fx_sessions group by all), d as (select cast(unnest(generate_series(date '2024-01-10', date '2024-01-16', interval 1 day)) as date) as day) select d.day, count(t) as check_ins, min(t) as earliest from d left join f on f.day=d.day group by d.day")
+def _(s):
+    return work.attendance(s, "2024-01-10", 7)
+
+
+RANKED = "select *, cast(row_number() over (partition by project order by rank, updated_at desc, task_id desc) as int) as new_rank from fx_tasks where not deleted"
+
+
+@query("w9_normalize_ranks", TSK, sql=f"select *, new_rank<>rank as changed from ({RANKED})")
+def _(t):
+    return work.normalize_ranks(t)
+
+
+@query("w10_move_rank", TSK, sql=f", r as ({RANKED}), m as (select project, max(task_id) as moved from fx_tasks where not deleted group by 1), x as (select r.*, moved, least(3, count(*) over (partition by r.project)) as place, row_number() over (partition by r.project, task_id=moved order by new_rank) as k from r join m on m.project=r.project) select task_id, project, new_rank, cast(case when task_id=moved then place else k+(k>=place)::int end as int) as moved_rank from x")
+def _(t):
+    ranked = work.normalize_ranks(t).select("task_id", "project", "new_rank")
+    return work.move_rank(ranked, ranked.groupBy("project").agg(F.max("task_id").alias("task_id")).withColumn("k", F.lit(3)))
+
+
+@query("w11_schedule", TSK, PRT, sql=", d as (select task_id, bool_and(status='completed') as done from fx_parts group by 1), s as (select t.task_id, project, case when coalesce(done,false) then 0 else estimated_hours end as hours, coalesce(done,false) as done, case when coalesce(rank,0)>0 then rank else 1000000000 end as r, updated_at from fx_tasks t left join d on d.task_id=t.task_id where not deleted), c as (select *, sum(hours) over (partition by project order by r, updated_at, task_id rows unbounded preceding) as cumulative_hours from s), n as (select *, case when not done and hours>0 then cast(greatest(ceil(cumulative_hours/(5000*8)),1) as int) end as days from c) select task_id, project, hours, cumulative_hours, days, case when days is not null then list_filter(list_transform(range(0, days*2+8), lambda i: date '2024-02-02' + cast(i as int)), lambda x: isodow(x)<6)[days] end as due from n")
+def _(t, p):
+    done = p.groupBy("task_id").agg(F.bool_and(F.col("status") == "completed").alias("done"))
+    return work.schedule(t, done, 5000, "2024-02-02")
+
+
+@query("d2_week_totals", SUB, sql="select cast(submitted_at + interval 8 hour as date) - cast((isodow(cast(submitted_at + interval 8 hour as date))+5)%7 as int) as week, count(*) as events, cast(sum(cumulative) as bigint) as cumulative from fx_submissions group by 1")
+def _(s):
+    return s.groupBy(work.week_start(F.col("submitted_at")).alias("week")).agg(F.count("*").alias("events"), F.sum("cumulative").cast("bigint").alias("cumulative"))
+
+
+@query("q3_time_deviation", PRT, TSK, SES, sql=f", o as (select part_id, arg_max(started_at, session_id) as since from fx_sessions where ended_at is null group by 1), e as (select p.part_id, p.task_id, status, expected_part_seconds as x, coalesce(work_seconds_override, work_seconds + case when since is null then 0 else greatest(epoch({NOW})-epoch(since),0) end) as eff from fx_parts p join fx_tasks t on t.task_id=p.task_id left join o on o.part_id=p.part_id) select part_id, task_id, eff as effective_seconds, case when x>0 then round((eff-x)/x,4) end as deviation, coalesce(abs(case when x>0 then round((eff-x)/x,4) end)>=0.5,false) as flagged, status in ('paused','submitted','rework','completed') as reviewable from e")
+def _(p, t, s):
+    return work.time_deviation(p, t, s, now)
+
+
+@query("l4_next_pending", PRT, sql="select task_id, arg_min(part_id, part_index) as part_id from fx_parts where status='pending' group by 1")
+def _(p):
+    return work.next_pending(p)
+
+
+@query("e4_task_status", TSK, PRT, sql="select t.task_id, case when count(p.part_id)=0 then 'ready' when count(*) filter (status='completed')=count(p.part_id) then 'completed' else 'in_progress' end as status from fx_tasks t left join fx_parts p on p.task_id=t.task_id where not deleted group by 1")
+def _(t, p):
+    return work.task_status(t, p)
+
+
+@query("j8_fan_out", TSK, USR, sql="select change_id, username from (select distinct task_id as change_id, unnest([publisher, concat('u', cast(task_id%50 as varchar))]) as username from fx_tasks) join fx_users using (username) where is_active")
+def _(t, u):
+    return work.fan_out(t.select(F.col("task_id").alias("change_id"), "publisher", F.concat(F.lit("u"), (F.col("task_id") % 50).cast("string")).alias("manager")), u).select("change_id", "username")
