@@ -94,12 +94,20 @@ def trigram_query(pattern: str) -> list[list[str]]:
     return [list(q) for q in sorted(query) if not any(set(o) < set(q) for o in query)]
 
 
+def trigram_finder(wanted: list[str]) -> str:
+    """An expression whose first group is, at every place of a text where one of the trigrams stands, that trigram, in either case. Alternatives are grouped by their first character."""
+    either = lambda ch: f"[{ch}{ch.upper()}]" if ch != ch.upper() and len(ch.upper()) == 1 else re.escape(ch)
+    firsts: dict[str, list[str]] = {}
+    for t in sorted(wanted):
+        firsts.setdefault(t[0], []).append(t[1:])
+    return "(?=(" + "|".join(either(c) + "(?:" + "|".join("".join(map(either, r)) for r in rest) + ")" for c, rest in firsts.items()) + "))"
+
+
 def postings(docs: DataFrame, queries: dict[str, list[list[str]]], text: str = "text", key: str = "__key") -> DataFrame:
-    """The inverted index (trigram, key), of the trigrams that the queries name. A text is read once, as lower case."""
+    """The inverted index (trigram, key), of the trigrams that the queries name. A text is read once."""
     wanted = sorted({t for q in queries.values() for alternative in q for t in alternative})
-    low = docs.select(key, F.lower(F.col(text)).alias("__low"))
-    held = F.filter(F.array(*map(F.lit, wanted)), lambda t: F.contains(F.col("__low"), t))
-    return low.select(key, held.alias("__held")).where(F.size("__held") > 0).select(F.explode("__held").alias("trigram"), key)
+    held = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(trigram_finder(wanted)), F.lit(1)))
+    return docs.select(key, F.explode(held).alias("t")).select(F.lower("t").alias("trigram"), key)
 
 
 def candidates(index: DataFrame, queries: dict[str, list[list[str]]], key: str = "__key") -> DataFrame:
