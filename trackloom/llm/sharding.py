@@ -57,7 +57,7 @@ class SlotMap:
         return out
 
     def rebalanced(self, loads: dict[int, tuple[int, int]] | None = None, shards: int | None = None, tolerance: float = 0.01) -> SlotMap:
-        """The next version, for new loads or more shards: slots move from the fullest to the emptiest shard while that narrows the gap, and only as far as the tolerance asks. New shards only receive."""
+        """The next version, for new loads or more shards: slots move from the fullest to the emptiest shard while that narrows the gap, and only as far as the tolerance asks. Where shards are added, slots move into those alone."""
         loads = self.loads if loads is None else {s: loads.get(s, (0, 0)) for s in self.shard_of}
         new = SlotMap(dict(self.shard_of), loads, max(shards or 0, self.shards), self.version + 1)
         owned: dict[int, list[int]] = {k: [] for k in range(new.shards)}
@@ -65,8 +65,9 @@ class SlotMap:
             owned[k].append(s)
         total = new.bytes_of()
         target = sum(total) / new.shards
+        takers = range(self.shards, new.shards) or range(new.shards)
         for _ in range(len(new.shard_of)):
-            high, low = max(range(new.shards), key=lambda k: (total[k], -k)), min(range(new.shards), key=lambda k: (total[k], k))
+            high, low = max(range(new.shards), key=lambda k: (total[k], -k)), min(takers, key=lambda k: (total[k], k))
             gap = total[high] - total[low]
             if gap <= tolerance * target:
                 break
