@@ -66,7 +66,7 @@ def to_yolo_frames(rows: DataFrame, videos: DataFrame, prefix: str = "frame") ->
     grid = videos.select("video_id", "width", "height", F.explode(F.sequence(F.col("frame_offset").cast("bigint"), F.col("frame_offset") + F.col("frame_count") - F.lit(1).cast("bigint"))).alias("frame_id"))
     x, y = (F.col("x1") + F.col("x2")) / 2 / F.col("width"), (F.col("y1") + F.col("y2")) / 2 / F.col("height")
     w, h = (F.col("x2") - F.col("x1")) / F.col("width"), (F.col("y2") - F.col("y1")) / F.col("height")
-    line = F.format_string("%d %.6f %.6f %.6f %.6f", "class_id", *[F.round(v, 6) for v in (x, y, w, h)])
+    line = F.format_string("%d %.6f %.6f %.6f %.6f", "class_id", *[F.floor(v * 1e6 + 0.5) / 1e6 for v in (x, y, w, h)])
     both = grid.join(rows.select("video_id", "frame_id", "class_id", "x1", "y1", "x2", "y2", "order"), ["video_id", "frame_id"], "left")
     lines = F.array_sort(F.collect_list(F.when(F.col("class_id").isNotNull(), F.struct("order", line.alias("line")))))
     content = F.array_join(F.transform(lines, lambda s: s["line"]), "\n")

@@ -50,7 +50,7 @@ def annotator_statistics(parts: DataFrame, sessions: DataFrame, now: Column) ->
     worked = sessions.join(parts.where(F.col("work_seconds_override").isNull()).select("part_id", "task_id"), "part_id")
     seconds = worked.groupBy("task_id", "annotator").agg(F.sum(elapsed(F.col("started_at"), F.coalesce("ended_at", now))).alias("session_seconds"))
     out = counts.join(seconds, ["task_id", "annotator"], "full").fillna(0)
-    total = F.col("override_seconds") + F.col("session_seconds")
+    total = F.round(F.col("override_seconds") + F.col("session_seconds"), 3)
     rate = lambda c: F.when(total > 0, F.round(F.col(c) * 3600 / total, 3)).otherwise(0.0)
     return out.select("task_id", "annotator", *STATUSES, "boxes", "images", total.alias("seconds"), rate("boxes").alias("boxes_per_hour"), rate("images").alias("images_per_hour"))
 

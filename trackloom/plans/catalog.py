@@ -217,7 +217,7 @@ def _(d):
     return sampling.split_round_robin(d.select("video_id", F.col("frame_id").alias("sample")).distinct(), 4, ["sample"], ["video_id"])
 
 
-@query("k3_yolo_frames", DT, VID, sql="select v.video_id, concat('frame_', lpad(cast(f as varchar), 6, '0'), '.txt') as file_name, coalesce(string_agg(printf('%d %.6f %.6f %.6f %.6f', class_id, round((x1+x2)/2/width,6), round((y1+y2)/2/height,6), round((x2-x1)/width,6), round((y2-y1)/height,6)), chr(10) order by det_idx),'') as content from (select *, unnest(range(frame_offset, frame_offset+frame_count)) as f from fx_videos) v left join fx_detections d on d.video_id=v.video_id and d.frame_id=f group by all")
+@query("k3_yolo_frames", DT, VID, sql="select v.video_id, concat('frame_', lpad(cast(f as varchar), 6, '0'), '.txt') as file_name, coalesce(string_agg(printf('%d %.6f %.6f %.6f %.6f', class_id, floor((x1+x2)/2/width*1e6+0.5)/1e6, floor((y1+y2)/2/height*1e6+0.5)/1e6, floor((x2-x1)/width*1e6+0.5)/1e6, floor((y2-y1)/height*1e6+0.5)/1e6), chr(10) order by det_idx),'') as content from (select *, unnest(range(frame_offset, frame_offset+frame_count)) as f from fx_videos) v left join fx_detections d on d.video_id=v.video_id and d.frame_id=f group by all")
 def _(d, v):
     return sampling.to_yolo_frames(d.withColumn("order", F.col("det_idx")), v)
 
@@ -242,7 +242,7 @@ def _(t, p):
 
 A4 = f""", c as (select task_id, annotator, {", ".join(f"count(*) filter (status='{s}') as {s}" for s in work.STATUSES)}, sum(case when status in ('submitted','completed') then coalesce(bbox_count,1) else 0 end) as boxes, sum(greatest(progress_count,0)) as images, sum(coalesce(work_seconds_override,0)) as o from fx_parts where annotator is not null group by all),
 w as (select task_id, s.annotator, sum(greatest(epoch(coalesce(ended_at,{NOW}))-epoch(started_at),0)) as ss from fx_sessions s join fx_parts p on p.part_id=s.part_id where work_seconds_override is null group by all),
-a4 as (select coalesce(c.task_id,w.task_id) as task_id, coalesce(c.annotator,w.annotator) as annotator, {", ".join(f"coalesce({s},0) as {s}" for s in work.STATUSES)}, cast(coalesce(boxes,0) as bigint) as boxes, cast(coalesce(images,0) as bigint) as images, coalesce(o,0)+coalesce(ss,0) as seconds from c full join w on c.task_id=w.task_id and c.annotator=w.annotator)"""
+a4 as (select coalesce(c.task_id,w.task_id) as task_id, coalesce(c.annotator,w.annotator) as annotator, {", ".join(f"coalesce({s},0) as {s}" for s in work.STATUSES)}, cast(coalesce(boxes,0) as bigint) as boxes, cast(coalesce(images,0) as bigint) as images, round(coalesce(o,0)+coalesce(ss,0),3) as seconds from c full join w on c.task_id=w.task_id and c.annotator=w.annotator)"""
 
 
 @query("a4_annotator_statistics", PRT, SES, sql=A4 + " select *, case when seconds>0 then round(boxes*3600/seconds,3) else 0 end as boxes_per_hour, case when seconds>0 then round(images*3600/seconds,3) else 0 end as images_per_hour from a4")
@@ -250,9 +250,9 @@ def _(p, s):
     return work.annotator_statistics(p, s, now)
 
 
-@query("a5_task_statistics", PRT, SES, sql=A4 + " select task_id, " + ", ".join(f"cast(sum({s}) as bigint) as {s}" for s in [*work.STATUSES, "boxes", "images"]) + ", sum(seconds) as seconds, count(*) as annotators from a4 group by task_id")
+@query("a5_task_statistics", PRT, SES, sql=A4 + " select task_id, " + ", ".join(f"cast(sum({s}) as bigint) as {s}" for s in [*work.STATUSES, "boxes", "images"]) + ", round(sum(seconds),3) as seconds, count(*) as annotators from a4 group by task_id")
 def _(p, s):
-    return work.task_statistics(work.annotator_statistics(p, s, now))
+    return rounded(work.task_statistics(work.annotator_statistics(p, s, now)), 3)
 
 
 CLIPPED = f"greatest(epoch(least(coalesce(ended_at,{NOW}),{WINDOW[1]}))-epoch(greatest(started_at,{WINDOW[0]})),0)"
@@ -320,9 +320,9 @@ def _(s):
     return s.groupBy(work.week_start(F.col("submitted_at")).alias("week")).agg(F.count("*").alias("events"), F.sum("cumulative").cast("bigint").alias("cumulative"))
 
 
-@query("q3_time_deviation", PRT, TSK, SES, sql=f", o as (select part_id, arg_max(started_at, session_id) as since from fx_sessions where ended_at is null group by 1), e as (select p.part_id, p.task_id, status, expected_part_seconds as x, coalesce(work_seconds_override, work_seconds + case when since is null then 0 else greatest(epoch({NOW})-epoch(since),0) end) as eff from fx_parts p join fx_tasks t on t.task_id=p.task_id left join o on o.part_id=p.part_id) select part_id, task_id, eff as effective_seconds, case when x>0 then round((eff-x)/x,4) end as deviation, coalesce(abs(case when x>0 then round((eff-x)/x,4) end)>=0.5,false) as flagged, status in ('paused','submitted','rework','completed') as reviewable from e")
+@query("q3_time_deviation", PRT, TSK, SES, sql=f", o as (select part_id, arg_max(started_at, session_id) as since from fx_sessions where ended_at is null group by 1), e as (select p.part_id, p.task_id, status, expected_part_seconds as x, coalesce(work_seconds_override, work_seconds + case when since is null then 0 else greatest(epoch({NOW})-epoch(since),0) end) as eff from fx_parts p join fx_tasks t on t.task_id=p.task_id left join o on o.part_id=p.part_id) select part_id, task_id, round(eff,3) as effective_seconds, case when x>0 then round((eff-x)/x,4) end as deviation, coalesce(abs(case when x>0 then round((eff-x)/x,4) end)>=0.5,false) as flagged, status in ('paused','submitted','rework','completed') as reviewable from e")
 def _(p, t, s):
-    return work.time_deviation(p, t, s, now)
+    return work.time_deviation(p, t, s, now).withColumn("effective_seconds", F.round("effective_seconds", 3))
 
 
 @query("l4_next_pending", PRT, sql="select task_id, arg_min(part_id, part_index) as part_id from fx_parts where status='pending' group by 1")
