@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from trackloom.llm.common import stored
 
-TOKEN = re.compile(r"[^\W\d_]+")
+TOKEN = re.compile(r"[^\W_]+")
 
 
 @dataclass(frozen=True)
@@ -166,19 +166,26 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None, do
     return model
 
 
-def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope, at least 0, and intercept by Newton's method with a weak ridge."""
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, float]:
+    """Slope, at least 0, and intercept: Newton's method with a weak ridge, each step halved until it helps, so that labels that one value parts are no trouble."""
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0
         return 0.0, 20.0 * (share - 0.5)
-    w = np.zeros(2)
     design = np.stack([x, np.ones_like(x)], axis=1)
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
-        grad = design.T @ (y - p) - 1e-3 * w
-        hess = (design * (p * (1 - p))[:, None]).T @ design + 1e-3 * np.eye(2)
+
+    def loss(w: np.ndarray) -> float:
+        z = design @ w
+        return float((np.logaddexp(0, z) - y * z).sum() + ridge * (w @ w) / 2)
+
+    w = np.zeros(2)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(design @ w, -500, 500)))
+        grad = design.T @ (p - y) + ridge * w
+        hess = (design * (p * (1 - p))[:, None]).T @ design + ridge * np.eye(2)
         step = np.linalg.solve(hess, grad)
-        w = w + step
+        while loss(w - step) > loss(w) and np.abs(step).max() > 1e-10:
+            step = step / 2
+        w = w - step
         if np.abs(step).max() < 1e-8:
             break
     return max(0.0, float(w[0])), float(w[1])
