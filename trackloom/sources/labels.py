@@ -21,9 +21,11 @@ def read_yolo_labels(spark: SparkSession, path: str, videos: DataFrame) -> tuple
 
     ``videos``: (video_id, width, height, frame_count) with the folder's name as video_id. Numbers count from 1 where the
     folder's smallest is 1, else from 0. A line has five or six fields; the sixth is the score, 1 if missing, held to 0..1.
-    Lines that don't parse and boxes of no size go to the warnings; frames without boxes stay.
+    Lines that don't parse and boxes of no size go to the warnings; frames without boxes stay. No reader gives a row for an
+    empty file, so the names come from Spark's own index of the files.
     """
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(path).select("path")
+    names = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(path).inputFiles()
+    listed = spark.createDataFrame([(n,) for n in names], "path string")
     files = listed.select("path", _video().alias("video_id"), F.regexp_extract("path", r"_([0-9]+)\.txt$", 1).alias("n"))
     unnamed = files.where("n = ''").select("path", F.lit("no frame number").alias("warning"))
     files = files.where("n <> ''").withColumn("frame_id", F.col("n").cast("bigint"))
