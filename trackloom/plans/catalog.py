@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackloom.functions import geometry as G
@@ -32,7 +32,10 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[F.round(F.col(c), digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-now, start, end = F.expr(NOW), F.expr(WINDOW[0]), F.expr(WINDOW[1])
+def moment(text: str) -> Column:
+    return F.expr(text)
+
+
 AREA = "greatest(x2-x1,0)*greatest(y2-y1,0)"
 VALID = f"case when {AREA}>=1 then {AREA} end"
 PROFILE = f"""stats as (select video_id, track_id, count({VALID}) as n_valid, quantile_cont({VALID},0.5) as med, quantile_cont({VALID},0.1) as lo, quantile_cont({VALID},0.9) as hi
@@ -247,12 +250,12 @@ a4 as (select coalesce(c.task_id,w.task_id) as task_id, coalesce(c.annotator,w.a
 
 @query("a4_annotator_statistics", PRT, SES, sql=A4 + " select *, case when seconds>0 then round(boxes*3600/seconds,3) else 0 end as boxes_per_hour, case when seconds>0 then round(images*3600/seconds,3) else 0 end as images_per_hour from a4")
 def _(p, s):
-    return work.annotator_statistics(p, s, now)
+    return work.annotator_statistics(p, s, moment(NOW))
 
 
 @query("a5_task_statistics", PRT, SES, sql=A4 + " select task_id, " + ", ".join(f"cast(sum({s}) as bigint) as {s}" for s in [*work.STATUSES, "boxes", "images"]) + ", round(sum(seconds),3) as seconds, count(*) as annotators from a4 group by task_id")
 def _(p, s):
-    return rounded(work.task_statistics(work.annotator_statistics(p, s, now)), 3)
+    return rounded(work.task_statistics(work.annotator_statistics(p, s, moment(NOW))), 3)
 
 
 CLIPPED = f"greatest(epoch(least(coalesce(ended_at,{NOW}),{WINDOW[1]}))-epoch(greatest(started_at,{WINDOW[0]})),0)"
@@ -260,7 +263,7 @@ CLIPPED = f"greatest(epoch(least(coalesce(ended_at,{NOW}),{WINDOW[1]}))-epoch(gr
 
 @query("j9_overlap_join", SES, sql=f"select session_id, part_id, annotator, started_at, ended_at, round({CLIPPED},3) as clipped_seconds from fx_sessions where started_at<{WINDOW[1]} and coalesce(ended_at,{NOW})>{WINDOW[0]}")
 def _(s):
-    return rounded(work.overlap_join(s, start, end, now), 3)
+    return rounded(work.overlap_join(s, moment(WINDOW[0]), moment(WINDOW[1]), moment(NOW)), 3)
 
 
 @query("a6_admin_statistics", TSK, PRT, SES, USR, sql=f""", cl as (select part_id, sum({CLIPPED}) as c from fx_sessions where started_at<{WINDOW[1]} and coalesce(ended_at,{NOW})>{WINDOW[0]} group by 1),
@@ -269,7 +272,7 @@ f as (select annotator, task_id, tag, done::int as done, case when done then gre
 g as (select case grouping(annotator,task_id,tag) when 3 then 'user' when 1 then 'user_task' when 6 then 'tag' else 'total' end as kind, annotator, task_id, tag, count(*) as parts, cast(coalesce(sum(done),case when grouping(annotator,task_id,tag)=7 then null end) as bigint) as completed, cast(sum(images) as bigint) as images, cast(sum(boxes) as bigint) as boxes, round(sum(seconds),3) as seconds, count(distinct task_id) as tasks from f group by grouping sets ((annotator),(annotator,task_id),(tag),()))
 select * from g union all select 'user', username, null, null, 0,0,0,0,0,0 from fx_users where username not in (select annotator from f)""")
 def _(t, p, s, u):
-    return work.admin_statistics(t, p, s, u, start, end, now)
+    return work.admin_statistics(t, p, s, u, moment(WINDOW[0]), moment(WINDOW[1]), moment(NOW))
 
 
 LEDGER = ", h as (select *, coalesce(max(cumulative) over w,0) as high, coalesce(bool_or(is_final) over w,false) as fin from fx_submissions window w as (partition by part_id order by submitted_at,event_id rows between unbounded preceding and 1 preceding)), e as (select event_id, part_id, annotator, submitted_at, cumulative, is_final, cast(case when fin then 0 else greatest(cumulative-high,0) end as bigint) as credited, fin, high from h), ev as (select event_id, part_id, annotator, submitted_at, cumulative, is_final, credited from e where not (not fin and cumulative<high) and (is_final or credited>0))"
@@ -287,7 +290,7 @@ def _(s):
 
 @query("a7_production_report", SUB, USR, sql=LEDGER + f", r as (select annotator, credited, extract(isodow from submitted_at + interval 8 hour)>=6 as off from ev where submitted_at>={WINDOW[0]} and submitted_at<{WINDOW[1]}) select username, display_name, cast(coalesce(sum(case when not off then credited else 0 end),0) as bigint) as credited, cast(coalesce(sum(case when off then credited else 0 end),0) as bigint) as excluded, count(*) filter (not off) as events from fx_users left join r on username=annotator group by all")
 def _(s, u):
-    return work.production_report(work.credit_ledger(s)[0], u, start, end, True)
+    return work.production_report(work.credit_ledger(s)[0], u, moment(WINDOW[0]), moment(WINDOW[1]), True)
 
 
 @query("a8_attendance", SES, sql=f", f as (select cast(started_at as date) as day, annotator, min(started_at) as t from fx_sessions group by all), d as (select cast(unnest(generate_series(date '2024-01-10', date '2024-01-16', interval 1 day)) as date) as day) select d.day, count(t) as check_ins, min(t) as earliest from d left join f on f.day=d.day group by d.day")
@@ -322,7 +325,7 @@ def _(s):
 
 @query("q3_time_deviation", PRT, TSK, SES, sql=f", o as (select part_id, arg_max(started_at, session_id) as since from fx_sessions where ended_at is null group by 1), e as (select p.part_id, p.task_id, status, expected_part_seconds as x, coalesce(work_seconds_override, work_seconds + case when since is null then 0 else greatest(epoch({NOW})-epoch(since),0) end) as eff from fx_parts p join fx_tasks t on t.task_id=p.task_id left join o on o.part_id=p.part_id) select part_id, task_id, round(eff,3) as effective_seconds, case when x>0 then round((eff-x)/x,4) end as deviation, coalesce(abs(case when x>0 then round((eff-x)/x,4) end)>=0.5,false) as flagged, status in ('paused','submitted','rework','completed') as reviewable from e")
 def _(p, t, s):
-    return work.time_deviation(p, t, s, now).withColumn("effective_seconds", F.round("effective_seconds", 3))
+    return work.time_deviation(p, t, s, moment(NOW)).withColumn("effective_seconds", F.round("effective_seconds", 3))
 
 
 @query("l4_next_pending", PRT, sql="select task_id, arg_min(part_id, part_index) as part_id from fx_parts where status='pending' group by 1")
