@@ -20,6 +20,7 @@ import math
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -33,8 +34,8 @@ WORDS = re.compile(r"[^\W_]+")
 BLOCK_WORDS = 500_000
 #: Words of a sequence in the count that a window has to reach before it is walked.
 GRAM = 3
-#: Windows walked at a time.
-STEP = 65_536
+#: Cells of the arrays made at a time, which bounds a task's memory whatever a text's length.
+CELLS = 2_000_000
 HIT = "item_id long, start long, end long, edits long"
 
 
@@ -62,19 +63,28 @@ def words(text: str | None) -> list[str]:
     return WORDS.findall((text or "").lower())
 
 
-def edit_distance(x: np.ndarray, y: np.ndarray, most: int) -> tuple[int, int]:
-    """(edits, end): the least word edits between x and any prefix of y, and that prefix's length; edits is most + 1 if it is more."""
-    row = np.arange(len(y) + 1)
-    steps = np.arange(len(y) + 1)
+def edit_distances(x: np.ndarray, windows: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(edits, end) for each row y of windows: the least word edits between x and any prefix of y, and that prefix's length; edits is most + 1 if it is more."""
+    steps = np.arange(windows.shape[1] + 1)
+    edits, ends = np.full(len(windows), most + 1), np.zeros(len(windows), np.int64)
+    alive = np.arange(len(windows))
+    row = np.repeat(steps[None], len(windows), axis=0)
     for k, c in enumerate(x, 1):
         cost = np.empty_like(row)
-        cost[0] = k
-        cost[1:] = np.minimum(row[:-1] + (y != c), row[1:] + 1)
-        row = np.minimum.accumulate(cost - steps) + steps  # insertions
-        if row.min() > most:
-            return most + 1, 0
-    end = int(row.argmin())
-    return (int(row[end]), end) if row[end] <= most else (most + 1, 0)
+        cost[:, 0] = k
+        np.minimum(row[:, :-1] + (windows != c), row[:, 1:] + 1, out=cost[:, 1:])
+        row = np.minimum.accumulate(cost - steps, axis=1) + steps  # insertions
+        if k % 8 == 0:
+            near = row.min(axis=1) <= most
+            if not near.all():
+                alive, row, windows = alive[near], row[near], windows[near]
+                if not len(alive):
+                    return edits, ends
+    end = row.argmin(axis=1)
+    last = row[np.arange(len(row)), end]
+    good = last <= most
+    edits[alive[good]], ends[alive[good]] = last[good], end[good]
+    return edits, ends
 
 
 class Index:
@@ -94,19 +104,20 @@ class Index:
         self.classes: dict[int, list[int]] = {}
         for k, (_, x) in enumerate(self.items):
             self.classes.setdefault(int(math.log2(len(x))), []).append(k)
-        self.sampled = {c: [np.sort(r.randint(0, max(1, int(1.2 * 2**c)), (s.tables, s.places)), axis=1) for _ in range(s.walks)] for c in self.classes}
-        self.found: dict[int, list[dict[int, list[int]]]] = {}
+        self.sampled = {c: np.array([np.sort(r.randint(0, max(1, int(1.2 * 2**c)), (s.tables, s.places)), axis=1) for _ in range(s.walks)]) for c in self.classes}
+        # Of each class the sorted keys of its items in all tables, and beside each key the item.
+        self.found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for c, own in self.classes.items():
-            tables: list[dict[int, list[int]]] = []
-            for w in range(s.walks):
-                each = [{} for _ in range(s.tables)]
-                for k in own:
-                    for t, key in enumerate(self.keys(self.items[k][1], np.zeros(1, np.int64), c, w)[:, 0].tolist()):
-                        each[t].setdefault(key, []).append(k)
-                tables += each
-            self.found[c] = tables
+            found = np.concatenate([self.keys(self.items[k][1], np.zeros(1, np.int64), c)[:, 0] for k in own])
+            which = np.repeat(np.array(own), s.walks * s.tables)
+            order = np.argsort(found, kind="stable")
+            self.found[c] = found[order], which[order]
         grams = [self.grams(x) for _, x in self.items if len(x) >= GRAM]
         self.known = np.unique(np.concatenate(grams)) if grams else np.empty(0, np.uint64)
+        # The upper bits of the known sequences: most others are told apart by one look-up.
+        self.shift = np.uint64(64 - max(16, int(np.log2(len(self.known) + 1)) + 5))
+        self.maybe = np.zeros(1 << (64 - int(self.shift)), bool)
+        self.maybe[(self.known >> self.shift).astype(np.int64)] = True
         self.needs = {c: sorted({(len(self.items[k][1]), self.s.edits(len(self.items[k][1]))) for k in own}) for c, own in self.classes.items()}
         self.least = min((max(0, m - GRAM + 1 - GRAM * d) for each in self.needs.values() for m, d in each), default=0)
 
@@ -117,64 +128,96 @@ class Index:
             out = (out ^ seq[k : k + n].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
         return out
 
-    def keys(self, seq: np.ndarray, starts: np.ndarray, c: int, w: int) -> np.ndarray:
-        """The keys of the windows at the given starts: an array (table, window)."""
-        places = self.sampled[c][w]
+    def in_known(self, grams: np.ndarray) -> np.ndarray:
+        out = self.maybe[(grams >> self.shift).astype(np.int64)]
+        at = np.flatnonzero(out)
+        if len(at):
+            place = np.minimum(np.searchsorted(self.known, grams[at]), len(self.known) - 1)
+            out[at] = self.known[place] == grams[at]
+        return out
+
+    def keys(self, seq: np.ndarray, starts: np.ndarray, c: int) -> np.ndarray:
+        """The keys of the windows at the given starts: an array (walk and table, window)."""
+        places = self.sampled[c]
+        walks, tables, _ = places.shape
         last = int(places.max())
         padded = np.concatenate([seq, np.zeros(last + 2, np.int64)])
-        at, out = starts.copy(), np.zeros((len(places), len(starts)), np.uint64)
-        wanted: dict[int, list[int]] = {}
-        for t, row in enumerate(places):
-            for p in row:
-                wanted.setdefault(int(p), []).append(t)
-        turns = self.seeds[w : w + 1] + np.arange(last + 1, dtype=np.uint64) * np.uint64(0x94D049BB133111EB)
+        turns = self.seeds[:, None] + np.arange(last + 1, dtype=np.uint64) * np.uint64(0x94D049BB133111EB)
+        at = np.repeat(starts[None], walks, axis=0)
+        path = np.empty((last + 1, walks, len(starts)), np.uint64)
         for step in range(last + 1):
-            word = padded[at].astype(np.uint64)
-            for t in wanted.get(step, ()):
-                out[t] = (out[t] ^ word) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(step)
-            bit = ((word * np.uint64(0xBF58476D1CE4E5B9) ^ turns[step]) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(63)
-            at += bit.astype(np.int64)
-        return out
+            word = path[step] = padded[at]
+            word = word.astype(np.uint64)
+            at += (((word * np.uint64(0xBF58476D1CE4E5B9) ^ turns[:, step, None]) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(63)).astype(np.int64)
+        out = np.repeat(np.arange(walks * tables, dtype=np.uint64).reshape(walks, tables, 1), len(starts), axis=2)
+        for k in range(places.shape[2]):
+            taken = path[places[:, :, k], np.arange(walks)[:, None]]
+            out = (out ^ taken) * np.uint64(0x9E3779B97F4A7C15) + places[:, :, k, None].astype(np.uint64)
+            out ^= out >> np.uint64(29)
+        return out.reshape(walks * tables, len(starts))
+
+    def candidates(self, seq: np.ndarray, starts: np.ndarray, c: int) -> dict[int, np.ndarray]:
+        """item -> the starts whose windows share a key with it."""
+        found, which = self.found[c]
+        tried: dict[int, list[np.ndarray]] = {}
+        step = max(1, CELLS // (self.s.walks * (int(self.sampled[c].max()) + 1)))
+        for lo in range(0, len(starts), step):
+            part = starts[lo : lo + step]
+            keys = self.keys(seq, part, c)
+            first = np.minimum(np.searchsorted(found, keys), len(found) - 1)
+            hit = found[first] == keys
+            if not hit.any():
+                continue
+            first = first[hit]
+            n = np.searchsorted(found, keys[hit], "right") - first
+            item = which[np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+            start = np.repeat(np.broadcast_to(part, keys.shape)[hit], n)
+            pairs = np.unique(item * np.int64(len(seq)) + start)
+            item, start = pairs // len(seq), pairs % len(seq)
+            cut = np.flatnonzero(np.diff(item)) + 1
+            for k, each in zip(item[np.concatenate([[0], cut])].tolist(), np.split(start, cut), strict=True):
+                tried.setdefault(k, []).append(each)
+        return {k: np.concatenate(each) for k, each in sorted(tried.items())}
 
     def search(self, text: str | None) -> list[tuple[int, int, int, int]]:
         """(item_id, start, end, edits) of the leaks in a text, in words, end exclusive: of each item, those that don't overlap, best first."""
         found = words(text)
-        get = self.code.get
-        seq = np.fromiter((get(w, 0) for w in found), np.int64, len(found))
+        seq = np.array(list(map(self.code.get, found, repeat(0))), np.int64)
         if not seq.any():
             return []
         shared = np.zeros(len(seq), bool)
-        if len(seq) >= GRAM:
-            shared[: len(seq) - GRAM + 1] = np.isin(self.grams(seq), self.known)
+        if len(seq) >= GRAM and len(self.known):
+            shared[: len(seq) - GRAM + 1] = self.in_known(self.grams(seq))
         total = np.concatenate([[0], np.cumsum(shared)])
         if total[-1] < self.least:
             return []
         hits: dict[int, list[tuple[int, int, int]]] = {}
-        places = np.arange(len(seq))
-        for c, own in self.classes.items():
-            fit = np.zeros(len(seq), bool)
-            for m, d in self.needs[c]:
-                # The window within d edits begins and ends with a word of the item, and has m + d words at most.
-                need = m - GRAM + 1 - GRAM * d
+        for c in self.classes:
+            # The window within d edits begins and ends with a word of the item, and has m + d words at most. First the class's
+            # longest window is held against its least need, then, where that is met, each length against its own.
+            needs = [(m + d, m - GRAM + 1 - GRAM * d) for m, d in self.needs[c]]
+            longest, least = max(n for n, _ in needs), min(need for _, need in needs)
+            ends = np.minimum(np.arange(len(seq)) + longest, len(seq))
+            starts = np.flatnonzero((total[ends] - total[:-1] >= least) & (seq > 0))
+            fit = np.zeros(len(starts), bool)
+            for n, need in needs if len(starts) else ():
                 if need <= total[-1]:
-                    fit |= total[np.minimum(places + m + d, len(seq))] - total[:-1] >= need
-            starts = np.flatnonzero(fit & (seq > 0))
-            tried: set[tuple[int, int]] = set()
-            for lo in range(0, len(starts), STEP):
-                part = starts[lo : lo + STEP]
-                for w in range(self.s.walks):
-                    keys = self.keys(seq, part, c, w)
-                    for t in range(self.s.tables):
-                        table = self.found[c][w * self.s.tables + t]
-                        for start, key in zip(part.tolist(), keys[t].tolist(), strict=True):
-                            for k in table.get(key, ()):
-                                tried.add((k, start))
-            for k, start in sorted(tried):
+                    fit |= total[np.minimum(starts + n, len(seq))] - total[starts] >= need
+            starts = starts[fit]
+            for k, each in self.candidates(seq, starts, c).items() if len(starts) else ():
                 item = self.items[k][1]
                 most = self.s.edits(len(item))
-                edits, n = edit_distance(item, seq[start : start + len(item) + most], most)
-                if edits <= most:
-                    hits.setdefault(k, []).append((edits, start, start + n))
+                n = len(item) + most
+                # At most d edits leave all but d of the item's words in the window.
+                own = np.concatenate([[0], np.cumsum(np.isin(seq[each[0] : each[-1] + n], item))])
+                near = each - each[0]
+                each = each[own[np.minimum(near + n, len(own) - 1)] - own[near] >= len(item) - most]
+                padded = np.concatenate([seq, np.zeros(n, np.int64)])
+                for lo in range(0, len(each), step := max(1, CELLS // n)):
+                    part = each[lo : lo + step]
+                    edits, length = edit_distances(item, padded[part[:, None] + np.arange(n)], most)
+                    for j in np.flatnonzero(edits <= most):
+                        hits.setdefault(k, []).append((int(edits[j]), int(part[j]), int(part[j] + length[j])))
         out = []
         for k, each in hits.items():
             taken: list[tuple[int, int]] = []
