@@ -13,21 +13,25 @@ segments never cross the start of a word, so the pass runs word by word, and wor
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import ahocorasick
 import numpy as np
 import pandas as pd
-from pyspark import Broadcast, SparkFiles
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StructType
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Words and pairs of pieces remembered in a task before the memory is emptied.
-MEMORY = 300_000
+MEMORY = 250_000
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int, int | bytes]]:
@@ -108,11 +112,16 @@ class Encoder:
         self.id = {p: k for k, (p, _, kind) in enumerate(v.pieces) if kind in (NORMAL, USER)}
         self.unknown = next((k for k, p in enumerate(v.pieces) if p[2] == UNKNOWN), 0)
         self.byte = {int(p[3:5], 16): k for k, (p, _, kind) in enumerate(v.pieces) if kind == BYTE}
-        self.raw = {k: b for b, k in self.byte.items()}
+        # What each id stands for, in UTF-8, with spaces unescaped.
+        raw = {k: bytes([b]) for b, k in self.byte.items()}
+        shown = {NORMAL: lambda p: p.replace(SPACE, " ").encode(), USER: lambda p: p.replace(SPACE, " ").encode(), UNKNOWN: lambda p: " ⁇ ".encode()}
+        self.bytes = [raw.get(k, b"") if kind == BYTE else shown.get(kind, lambda p: b"")(p) for k, (p, _, kind) in enumerate(v.pieces)]
         self.score = [s for _, s, _ in v.pieces]
         self.lowest = min((v.pieces[k][1] for k in self.id.values()), default=0.0) - 10.0
         self.splits = not any(SPACE in p.lstrip(SPACE) for p in self.id)
-        self.words: dict[str, list[int]] = {}
+        # A character of no piece stands alone, so segments end there.
+        self.lines = not any("\n" in p for p in self.id)
+        self.words: dict[str, tuple[int, ...]] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
         self.automaton = ahocorasick.Automaton()
         for p, k in self.id.items():
@@ -146,40 +155,45 @@ class Encoder:
 
     def _pass(self, text: str) -> list[int]:
         """The ids of an escaped text, by one pass of the automaton. A character without piece stands alone."""
-        n = len(text)
-        bpe = self.v.kind == BPE
-        best = [0.0] + [-np.inf] * n
-        piece, size = [-1] * (n + 1), [1] * (n + 1)
-        done = 0
-
-        def close(upto: int) -> None:
-            """Characters that no piece reaches."""
-            nonlocal done
-            while done < upto:
-                done += 1
-                if piece[done] == -1:
-                    best[done], size[done] = best[done - 1] + self.lowest, 1
-                    piece[done] = -2
-
-        for end, (k, length) in self.automaton.iter(text) if len(self.automaton) else ():
-            end += 1
-            close(end - 1)
-            start = end - length
-            if bpe:
-                if piece[end] < 0 and (start == 0 or piece[start] == -2 or self._follows(piece[start], k)):
-                    piece[end], size[end] = k, length
-            elif best[start] + self.score[k] > best[end] or piece[end] < 0:
-                best[end], piece[end], size[end] = best[start] + self.score[k], k, length
-        close(n)
-        out, at = [], n
+        piece, size = (self._bpe if self.v.kind == BPE else self._viterbi)(text)
+        out, at = [], len(text)
         while at:
-            if piece[at] == -2:
+            if piece[at] < 0:
                 out += self._unknown(text[at - 1])[::-1]
             else:
                 out.append(piece[at])
             at -= size[at]
         return out[::-1]
 
+    def _bpe(self, text: str) -> tuple[list[int], list[int]]:
+        """The last piece of each prefix, -1 where its last character has none, and the piece's length."""
+        piece, size = [-1] * (len(text) + 1), [1] * (len(text) + 1)
+        known = self.pairs.get
+        for end, (k, length) in self.automaton.iter(text) if len(self.automaton) else ():
+            end += 1
+            if piece[end] < 0:
+                last = piece[end - length]
+                if last < 0 or (ok := known((last, k))) or (ok is None and self._follows(last, k)):
+                    piece[end], size[end] = k, length
+        return piece, size
+
+    def _viterbi(self, text: str) -> tuple[list[int], list[int]]:
+        """The last piece of each prefix's best segmentation, -1 where it is a character without piece, and the piece's length."""
+        n = len(text)
+        best = [0.0] + [-np.inf] * n
+        piece, size = [-1] * (n + 1), [1] * (n + 1)
+        done = 0
+        for end, (k, length) in self.automaton.iter(text) if len(self.automaton) else ():
+            end += 1
+            while done < end - 1:  # characters that no piece reaches
+                done += 1
+                if piece[done] < 0:
+                    best[done] = best[done - 1] + self.lowest
+            score = best[end - length] + self.score[k]
+            if piece[end] < 0 or score > best[end]:
+                best[end], piece[end], size[end] = score, k, length
+        return piece, size
+
     def _unknown(self, ch: str) -> list[int]:
         return [self.byte[b] for b in ch.encode("utf-8", "surrogatepass")] if self.v.byte_fallback and self.byte else [self.unknown]
 
@@ -196,47 +210,46 @@ class Encoder:
             return []
         if not self.splits:
             return self._pass(text)
-        out: list[int] = []
+        words = text.split(SPACE)
+        out = self._word(words[0]) if words[0] else ()
+        words = words[1:]
+        if "" in words:  # white space before a word belongs to its segment
+            runs, run = [], ""
+            for w in words:
+                run += SPACE
+                if w:
+                    runs.append(run[1:] + w)
+                    run = ""
+            words = [*runs, run[1:]] if run else runs
         known = self.words
-        run = ""  # white space before a word belongs to its segment
-        parts = text.split(SPACE)
-        if parts[0]:
-            out += self._word(parts[0], known)
-        for w in parts[1:]:
-            run += SPACE
-            if w:
-                out += self._word(run + w, known)
-                run = ""
-        if run:
-            out += self._word(run, known)
-        return out
-
-    def _word(self, w: str, known: dict[str, list[int]]) -> list[int]:
-        ids = known.get(w)
-        if ids is None:
-            ids = self._pass(w)
-            if len(w) <= 64:
-                if len(known) > MEMORY:
-                    known.clear()
-                known[w] = ids
+        found = list(map(known.get, words))
+        if None in found:
+            for k, ids in enumerate(found):
+                if ids is None:
+                    found[k] = known.get(words[k]) or self._word(SPACE + words[k])
+        return [*out, *chain.from_iterable(found)]
+
+    def _word(self, w: str) -> tuple[int, ...]:
+        """The ids of a word; remembered without the white space that leads it."""
+        if self.lines and "\n" in w:
+            end = tuple(self._unknown("\n"))
+            out: tuple[int, ...] = ()
+            for k, x in enumerate(w.split("\n")):
+                key = x[1:] if x.startswith(SPACE) else "\n" + x
+                out += (end if k else ()) + ((self.words.get(key) or self._fresh(x, key)) if x else ())
+            return out
+        return self._fresh(w, w[1:] if w.startswith(SPACE) else "\n" + w)
+
+    def _fresh(self, w: str, key: str) -> tuple[int, ...]:
+        ids = tuple(self._pass(w))
+        if len(w) <= 64:
+            if len(self.words) > MEMORY:
+                self.words.clear()
+            self.words[key] = ids
         return ids
 
     def decode(self, ids: list[int]) -> str:
-        out, run = [], bytearray()
-        for k in ids:
-            if k in self.raw:
-                run.append(self.raw[k])
-                continue
-            if run:
-                out.append(run.decode("utf-8", "replace"))
-                run = bytearray()
-            if self.v.pieces[k][2] in (NORMAL, USER):
-                out.append(self.v.pieces[k][0])
-            elif self.v.pieces[k][2] == UNKNOWN:
-                out.append(" ⁇ ")
-        if run:
-            out.append(run.decode("utf-8", "replace"))
-        text = "".join(out).replace(SPACE, " ")
+        text = b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if self.v.dummy_prefix and text.startswith(" ") else text
 
 
@@ -278,6 +291,34 @@ def with_text(docs: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: st
     def decode(frames: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = _encoder(shared)
         for f in frames:
-            yield pd.Series(["" if x is None else own.decode(list(x)) for x in f], dtype=object)
+            yield pd.Series(["" if x is None else own.decode(np.asarray(x).tolist()) for x in f], dtype=object)
 
     return docs.drop(out).withColumn(out, decode(F.col(ids)))
+
+
+def round_trips(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` (all, if not given) and ids, n_ids, round_trip: whether decoding the ids gives the text, a null text being empty.
+
+    One row per input row; input columns named ids, n_ids or round_trip are replaced. Both ways run in one task, so that the
+    text goes to Python once.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    names = [c for c in (docs.columns if keep is None else keep) if c not in ("ids", "n_ids", "round_trip")]
+    schema = StructType([docs.schema[c] for c in names]).add("ids", ArrayType(IntegerType())).add("n_ids", LongType()).add("round_trip", BooleanType())
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = _encoder(shared)
+        for batch in batches:
+            texts = batch.column(batch.num_columns - 1)
+            flat, ends, same = array("i"), [0], []
+            for t in texts:
+                t = t.as_py() or ""
+                ids = own.encode(t)
+                flat.extend(ids)
+                ends.append(len(flat))
+                same.append(own.decode(ids) == t)
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32) if flat else [], pa.int32()))
+            counts = pa.array(np.diff(ends), pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids, counts, pa.array(same, pa.bool_())], [*names, "ids", "n_ids", "round_trip"])
+
+    return docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").cast("string").alias("__text")).mapInArrow(work, schema)

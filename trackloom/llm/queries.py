@@ -55,16 +55,13 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 
 
-def encoded(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """The input's columns and ids, n_ids, round_trip: whether decoding the ids gives the text."""
-    v = pieces.load(vocabulary)
-    out = pieces.with_text(pieces.with_ids(docs, v), v)
-    same = F.col("decoded") == F.coalesce(F.col("text"), F.lit(""))
-    return out.select(*docs.columns, "ids", F.size("ids").cast("long").alias("n_ids"), same.alias("round_trip"))
+def encoded(docs: DataFrame, vocabulary: str = VOCABULARY, keep: list[str] | None = None) -> DataFrame:
+    """The input's columns, or those of ``keep``, and ids, n_ids, round_trip: whether decoding the ids gives the text."""
+    return pieces.round_trips(docs, pieces.load(vocabulary), keep=keep)
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encoded(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return encoded(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
