@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackloom.functions import geometry as G
-from trackloom.operators import fusion, sampling, tracking, tracks, work
+from trackloom.operators import boxes, changes, fusion, sampling, tracking, tracks, work
 from trackloom.plans.fixtures import NOW, WINDOW, fixture, oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -341,3 +341,96 @@ def _(t, p):
 @query("j8_fan_out", TSK, USR, sql="select change_id, username from (select distinct task_id as change_id, unnest([publisher, concat('u', cast(task_id%50 as varchar))]) as username from fx_tasks) join fx_users using (username) where is_active")
 def _(t, u):
     return work.fan_out(t.select(F.col("task_id").alias("change_id"), "publisher", F.concat(F.lit("u"), (F.col("task_id") % 50).cast("string")).alias("manager")), u).select("change_id", "username")
+
+
+@query("e2_accumulated_seconds", SES, sql="select part_id, count(*) as sessions, count(*) filter (ended_at is null) as open, round(coalesce(sum(greatest(epoch(ended_at)-epoch(started_at),0)),0),3) as seconds from fx_sessions group by 1")
+def _(s):
+    return rounded(changes.accumulated(s), 3)
+
+
+EDITED = "select *, case when task_id%3=0 then 'X' else project end as new_project, case when task_id%5=0 then null else rank end as new_rank from fx_tasks"
+
+
+@query("e5_field_changes", TSK, sql=f", n as ({EDITED}) select task_id, 'project' as field, project as old, new_project as new from n where project is distinct from new_project union all select task_id, 'rank', cast(rank as varchar), cast(new_rank as varchar) from n where rank is distinct from new_rank")
+def _(t):
+    after = t.withColumn("project", F.when(F.col("task_id") % 3 == 0, "X").otherwise(F.col("project"))).withColumn("rank", F.when(F.col("task_id") % 5 != 0, F.col("rank")))
+    return changes.field_changes(t, after, "task_id", ["project", "rank"])
+
+
+@query("e7_add_parts", PRT, sql=""", k as (select distinct task_id, 'p/'||(part_index%4) as key from fx_parts where part_index<=2),
+n as (select task_id, part_index, 'P/'||(part_index%4)||'/' as path, 'p/'||(part_index%4) as key from fx_parts where part_index>2)
+select n.task_id, part_index, path, k.key is null and row_number() over (partition by n.task_id, n.key order by part_index)=1 as accepted from n left join k on n.task_id=k.task_id and n.key=k.key""")
+def _(p):
+    place = (F.col("part_index") % 4).cast("string")
+    old = p.where("part_index <= 2").select("task_id", F.concat(F.lit("p\\"), place).alias("path"))
+    return changes.add_parts(old, p.where("part_index > 2").select("task_id", "part_index", F.concat(F.lit("P/"), place, F.lit("/")).alias("path")))
+
+
+@query("e9_history", SUB, sql="select part_id, string_agg(cast(event_id as varchar)||':'||annotator, ',' order by submitted_at, event_id) as events from fx_submissions group by 1")
+def _(s):
+    lines = F.transform("events", lambda e: F.concat(e["event_id"].cast("string"), F.lit(":"), e["annotator"]))
+    return changes.history(s, "part_id", "submitted_at", "event_id", ["annotator"]).select("part_id", F.array_join(lines, ",").alias("events"))
+
+
+@query("e10_status_changes", PRT, sql="select * from (select task_id, part_index, lag(status) over (partition by task_id order by part_index) as old, status from fx_parts) where old is distinct from status")
+def _(p):
+    return changes.status_changes(p, "task_id", "part_index")
+
+
+@query("e12_reminders", SUB, USR, sql=""", r as (select distinct part_id as task_id, annotator as username from fx_submissions where is_final union all select null, username from fx_users where role='admin')
+select event_id, username from (select event_id, username from fx_submissions s join r on s.part_id=r.task_id union select event_id, username from fx_submissions, r where r.task_id is null) join (select username from fx_users where is_active) using (username)""")
+def _(s, u):
+    own = s.where("is_final").select(F.col("part_id").alias("task_id"), F.col("annotator").alias("username")).distinct()
+    rules = own.union(u.where("role = 'admin'").select(F.lit(None).cast("bigint"), "username"))
+    return changes.reminders(rules, s.select("event_id", F.col("part_id").alias("task_id")), u)
+
+
+@query("e14_check_ins", SES, sql="select annotator, cast(started_at + interval 8 hour as date) as day, min(started_at) as checked_in_at from fx_sessions group by all")
+def _(s):
+    return changes.check_ins(s)
+
+
+@query("e15_soft_delete", TSK, sql="select task_id, project, cast(row_number() over (partition by project order by rank, updated_at desc, task_id desc) as int) as new_rank from fx_tasks where not deleted and task_id%7<>0")
+def _(t):
+    return changes.soft_delete(t, t.where("task_id % 7 = 0")).select("task_id", "project", "new_rank")
+
+
+@query("e6_reassign", TSK, PRT, sql="select part_id, case when annotator='u7' and status in ('in_progress','rework') then 'pending' else status end as status, case when annotator='u7' and status in ('in_progress','rework') then null else annotator end as annotator from fx_parts")
+def _(t, p):
+    return changes.reassign(t, p, "u7", "u1")[1].select("part_id", "status", "annotator")
+
+
+KEYS = "select video_id, track_id, frame_id as frame, video_frame_idx%41<>40 as enabled, x1, y1, x2, y2 from (select distinct on (video_id, track_id, frame_id) * from fx_track_frames order by video_id, track_id, frame_id, x2, y2)"
+
+
+@query("w5_expand_keyframes", TF, sql=f""", k as ({KEYS}), l as (select *, bool_or(not enabled) over w as stopped, lead(frame) over v as nf, lead(x2) over v as nx2 from k window w as (partition by video_id, track_id order by frame rows between unbounded preceding and current row), v as (partition by video_id, track_id order by frame))
+select video_id, track_id, f as frame, f-1 as video_frame_idx, round(coalesce(x2+(nx2-x2)*((f-frame)/(nf-frame)),x2),6) as x2 from (select *, unnest(generate_series(frame, coalesce(greatest(nf-1,frame),frame))) as f from l where not stopped)""")
+def _(t):
+    keys = t.groupBy("video_id", "track_id", F.col("frame_id").alias("frame")).agg(F.min(F.struct("x2", "y2", "x1", "y1")).alias("b")).select("video_id", "track_id", "frame", (F.col("frame") % 41 != 40).alias("enabled"), "b.*")
+    return rounded(boxes.expand_keyframes(keys).select("video_id", "track_id", "frame", "video_frame_idx", "x2"))
+
+
+@query("k4_export_frames", DT, VID, sql="select v.video_id, cast(f as bigint) as video_frame_idx, count(d.video_id) as boxes from (select video_id, unnest(range(0, frame_count, 6)) as f from fx_videos) v left join fx_detections d on d.video_id=v.video_id and d.video_frame_idx=f group by all")
+def _(d, v):
+    return boxes.export_frames(d, v, 6)
+
+
+@query("k5_voc", DT, VID)
+def _(d, v):
+    images = d.select("video_id", "frame_id").distinct().join(v, "video_id")
+    image = F.concat_ws("_", "video_id", "frame_id").alias("image")
+    return boxes.to_voc(d.select(image, F.concat(F.lit("class "), "class_id").alias("name"), *tracks.BOX), images.select(image, "width", "height"))
+
+
+@query("q4_compare_box_sets", DT)
+def _(d):
+    other = d.where("det_idx % 5 <> 4").withColumn("x1", F.col("x1") + 9).withColumn("x2", F.col("x2") + 9)
+    return boxes.compare_box_sets(fusion.iou_join(d, other, 0.5), d, other)
+
+
+@query("a13_run_summary", DT, sql=""", f as (select video_id%5 as run, frame_id, sum(x1)/1000 as seconds, count(*) as boxes from fx_detections group by all),
+r as (select run, count(*) as frames, count(*)/sum(seconds) as fps, sum(boxes)/sum(seconds) as bps, median(seconds) as p50, list_sort(list(seconds))[cast(floor((count(*)-1)*0.95) as int)+1] as p95 from f group by run)
+select run, frames, round(fps,6) as fps, round(bps,6) as boxes_per_second, round(p50,6) as p50, round(p95,6) as p95, round(fps/(select fps from r where run=0),6) as speed_up from r""")
+def _(d):
+    frames = d.groupBy((F.col("video_id") % 5).alias("run"), "frame_id").agg((F.sum("x1") / 1000).alias("seconds"), F.count("*").alias("boxes"))
+    return rounded(boxes.summarize_runs(frames, 0))
