@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.functions import geometry as G
@@ -114,3 +114,38 @@ def fuse(fwd: DataFrame, bwd: DataFrame, method: str = "bidirectional_iou_all_pa
     if method not in FUSERS:
         raise ValueError(f"unknown fusion method {method!r}; known: {', '.join(sorted(FUSERS))}")
     return FUSERS[method](fwd, bwd, iou)
+
+
+def merge_components(frames: DataFrame, members: DataFrame, videos: DataFrame) -> DataFrame:
+    """(video_id, component, frame_id, class_id, box): each component's tracklets as one track.
+
+    frames: (video_id, direction, tracklet_idx, frame_id, class_id, box). The class is that of the most frames, the smaller of
+    equals. In each frame the box of the best tracklet leads; boxes that overlap it by half, or whose centre is near its own,
+    are averaged with it, and what clipping would lose keeps the leading box.
+    """
+    who = ["video_id", "direction", "tracklet_idx"]
+    quality = tracks.tracklet_quality(frames.withColumn("track_id", F.struct("direction", "tracklet_idx")))
+    quality = quality.select("video_id", "track_id.*", "n", "quality", F.col("class_id").alias("voted"))
+    named = members.join(quality, who)
+    votes = named.groupBy("video_id", "component", "voted").agg(F.sum("n").alias("c"))
+    classes = votes.groupBy("video_id", "component").agg(F.max_by("voted", F.struct("c", -F.col("voted"))).alias("class_id"))
+
+    spot = ["video_id", "component", "frame_id"]
+    best = Window.partitionBy(*spot).orderBy(F.desc("quality"), F.desc("direction"), "tracklet_idx").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = frames.drop("class_id").join(named.select(*who, "component", "quality"), who).withColumns({f"p_{c}": F.first(c).over(best) for c in tracks.BOX})
+    box, lead = G.Box.of(), G.Box.of("p_")
+    (x, y), (px, py) = G.center(box), G.center(lead)
+    reach = F.greatest(F.lit(5.0), F.hypot(lead.x2 - lead.x1, lead.y2 - lead.y1) / 2)
+    near = (G.iou(box, lead) >= 0.5) | (F.hypot(x - px, y - py) <= reach)
+    mean = rows.where(near).groupBy(*spot).agg(*[F.avg(c).alias(c) for c in tracks.BOX], *[F.first(f"p_{c}").alias(f"p_{c}") for c in tracks.BOX])
+    clipped = mean.join(videos.select("video_id", "width", "height"), "video_id").withColumn("clip", G.clip_bbox(box, F.col("width"), F.col("height")))
+    return clipped.join(classes, ["video_id", "component"]).select(*spot, "class_id", *[F.coalesce(F.col("clip")[c], F.col(f"p_{c}")).alias(c) for c in tracks.BOX])
+
+
+def final_tracks(merged: DataFrame, members: DataFrame, videos: DataFrame, least: int = 2, window: int = 1) -> DataFrame:
+    """Merged tracks of ``least`` frames or more, smoothed; track_id counts a video's components from 1 by their smallest tracklet."""
+    part = ["video_id", "component"]
+    order = members.groupBy(*part).agg(F.min("tracklet_idx").alias("first"))
+    long = merged.groupBy(*part).agg(F.count("*").alias("n")).where(F.col("n") >= least).join(order, part)
+    ids = long.select(*part, F.row_number().over(Window.partitionBy("video_id").orderBy("first", "component")).cast("bigint").alias("track_id"))
+    return tracks.smooth_tracks(merged.join(ids, part).drop("component"), videos, window)

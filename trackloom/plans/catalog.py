@@ -434,3 +434,21 @@ select run, frames, round(fps,6) as fps, round(bps,6) as boxes_per_second, round
 def _(d):
     frames = d.groupBy((F.col("video_id") % 5).alias("run"), "frame_id").agg((F.sum("x1") / 1000).alias("seconds"), F.count("*").alias("boxes"))
     return rounded(boxes.summarize_runs(frames, 0))
+
+
+def tracklets(d: DataFrame) -> DataFrame:
+    f, b = sides(d)
+    classes = d.select("video_id", F.col("object_key").alias("tracklet_idx"), "class_id").distinct()
+    both = f.withColumn("direction", F.lit("forward")).unionByName(b.withColumn("direction", F.lit("backward")))
+    return both.join(classes, ["video_id", "tracklet_idx"])
+
+
+@query("f8_merge_components", DT, VID)
+def _(d, v):
+    return rounded(fusion.merge_components(tracklets(d), fusion.fuse(*sides(d), iou=0.3), v))
+
+
+@query("f9_final_tracks", DT, VID)
+def _(d, v):
+    members = fusion.fuse(*sides(d), iou=0.3)
+    return rounded(fusion.final_tracks(fusion.merge_components(tracklets(d), members, v), members, v, 5, 5))
