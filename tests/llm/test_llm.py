@@ -194,6 +194,18 @@ def test_chat_format(spark):
     assert got[2].n_prompt_turns == 0 and got[2].rejected == "" and set(got) == {1, 2}
 
 
+def test_chat_branches_keep_conversations_without_an_answer(spark):
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "good"), (2, 0, "system", "be"), (2, 1, "user", "hm"), (3, 0, "assistant", "yes"), (4, 0, "user", None), (None, 0, "user", "x")]
+    turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    got = {r.pair_id: r for r in chat_format.format_pairs(chat_format.branches(turns)).collect()}
+    assert set(got) == {1, 2, 3, 4}
+    r = got[2]
+    assert r.prompt == "<|im_start|>system\nbe<|im_end|>\n<|im_start|>user\nhm<|im_end|>\n" and r.n_prompt_turns == 2
+    assert (r.chosen, r.rejected, r.chosen_mask, r.rejected_mask, r.n_chosen_turns, r.n_rejected_turns) == ("", "", [], [], 0, 0)
+    assert got[4].n_prompt_turns == 1 and got[1].n_prompt_turns == 1 and "good" in got[1].chosen and "<|im_start|>assistant\n<|im_end|>" in got[1].rejected
+    assert chat_format.format_pairs(chat_format.branches(turns.limit(0))).count() == 0
+
+
 def brute_quality(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     tri = [tuple(words[k : k + 3]) for k in range(len(words) - 2)]

@@ -58,15 +58,17 @@ def format_pairs(turns: DataFrame, pair_id: str = "pair_id") -> DataFrame:
 
 
 def branches(conversations: DataFrame) -> DataFrame:
-    """Chosen and rejected sides of every conversation that has an assistant's turn: the rejected side answers last with what the next conversation's assistant says last, or with nothing where there is none.
+    """Chosen and rejected sides of every conversation: the rejected side answers last with what the next conversation's assistant says last, or with nothing where there is none.
 
-    Only the last answers, one row for a conversation, are aggregated and joined to the turns.
+    A conversation without an assistant's turn has no answer to reject: its sides are equal, so that format_pairs makes all its
+    turns the prompt and both completions empty. Only the last answers, one row for a conversation, are aggregated and joined
+    to the turns.
     """
     c = conversations.where(F.col("conv_id").isNotNull())
     last = c.where(F.col("role") == "assistant").groupBy("conv_id").agg(F.max(F.struct("turn", "text")).alias("last"))
     other = last.select((F.col("conv_id") - 1).alias("conv_id"), F.col("last.text").alias("other"))
     known = last.select("conv_id", F.col("last.turn").alias("at")).join(other, "conv_id", "left")
-    turns = c.join(known, "conv_id").select(F.col("conv_id").alias("pair_id"), "turn", "role", "text", "at", "other")
+    turns = c.join(known, "conv_id", "left").select(F.col("conv_id").alias("pair_id"), "turn", "role", "text", "at", "other")
     swapped = F.when((F.col("turn") == F.col("at")) & (F.col("role") == "assistant"), F.coalesce("other", F.lit(""))).otherwise(F.col("text"))
     sides = F.explode(F.array(F.struct(F.lit("chosen").alias("side"), F.col("text").alias("text")), F.struct(F.lit("rejected").alias("side"), swapped.alias("text")))).alias("s")
     return turns.select("pair_id", "turn", "role", sides).select("pair_id", "s.side", "turn", "role", "s.text")
