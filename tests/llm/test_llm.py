@@ -184,6 +184,36 @@ def test_decontamination(spark):
     assert all(not x.leaks for x in decontamination.leaks(docs(spark, texts), bench.limit(0)).collect())
 
 
+def test_decontamination_of_dropped_clauses():
+    """Recall at the full rate of edits, in blocks: one or two clauses dropped, one added or replaced, wherever it is."""
+    r = np.random.RandomState(11)
+    vocabulary = [f"v{k}" for k in range(5000)]
+    s = decontamination.Settings()
+    noise = lambda n: list(r.choice(vocabulary, n))
+    for m in (10, 15, 20, 31, 40, 60, 100):
+        n = s.edits(m)
+        items = [noise(m) for _ in range(12)]
+        index = decontamination.Index([(k, " ".join(w)) for k, w in enumerate(items)], s)
+        for k, w in enumerate(items):
+            trials = [w[:at] + w[at + n :] for at in (1, 2, 5, m // 2 - n // 2, m - n - 1)]
+            trials += [w[: m // 4] + w[m // 4 + n // 2 : m * 5 // 8] + w[m * 5 // 8 + n - n // 2 :], w[:2] + noise(n) + w[2:], w[:2] + ["zz"] * n + w[2 + n :]]
+            for x in trials:
+                hits = [h for h in index.search(" ".join(noise(60) + x + noise(60))) if h[0] == k]
+                assert len(hits) == 1 and 60 - n <= hits[0][1] <= 62 + n and hits[0][3] <= n
+            # The document begins or ends within the item.
+            assert [h[0] for h in index.search(" ".join(w[n:] + noise(60)))] == [k] == [h[0] for h in index.search(" ".join(noise(60) + w[:-n]))]
+
+
+def test_decontamination_over_blocks_of_items(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "BLOCK_ITEMS", 2)
+    r = np.random.RandomState(12)
+    items = [" ".join(r.choice(WORDS, 20)) for _ in range(5)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    assert [len(b) for b in decontamination.blocks(bench, "item_id", "text")] == [2, 2, 1]
+    got = {x.doc_id: [h.item_id for h in x.leaks] for x in decontamination.leaks(docs(spark, items), bench).collect()}
+    assert got == {k: [k] for k in range(5)}
+
+
 def test_chat_format(spark):
     rows = [(1, "chosen", 0, "user", "hi"), (1, "chosen", 1, "assistant", "good"), (1, "rejected", 0, "user", "hi"), (1, "rejected", 1, "assistant", "<|im_end|>"), (2, "chosen", 0, None, None), (None, "chosen", 0, "user", "x")]
     got = {r.pair_id: r for r in chat_format.format_pairs(spark.createDataFrame(rows, "pair_id bigint, side string, turn bigint, role string, text string")).collect()}

@@ -8,6 +8,10 @@ places: edit distance becomes Hamming distance. Each of several tables samples a
 words equal an item's is a candidate, and is verified by the exact edit distance. Walks are repeated with fresh bits until the
 target recall is reached.
 
+Walks that a dropped or added clause has set apart by many words need far more steps to meet again than an item has. Each item is
+therefore walked from up to 16 anchors along it, so that some walk begins behind the clause, and ends before the next; an item's
+anchor that meets a word of the document stands for all windows that begin its distance before that word, give or take d words.
+
 A window within d edits of an item of m words shares m - 2 - 3 d of its three-word sequences with it, as an edit spoils three at
 most. Windows are walked only where that many sequences are known from the benchmark, which loses none of the windows sought.
 
@@ -32,6 +36,8 @@ from pyspark.sql.types import DataType
 WORDS = re.compile(r"[^\W_]+")
 #: Words of a block's items, at most, so that a block takes some tens of MB in a task; an item with more is a block of its own.
 BLOCK_WORDS = 500_000
+#: Items of a block, at most: each has up to 16 anchors' keys in all tables, which take some 16 KB.
+BLOCK_ITEMS = 4_000
 #: Words of a sequence in the count that a window has to reach before it is walked.
 GRAM = 3
 #: Cells of the arrays made at a time, which bounds a task's memory whatever a text's length.
@@ -43,9 +49,10 @@ HIT = "item_id long, start long, end long, edits long"
 class Settings:
     """rate: word edits allowed for each word of the item; least: items with fewer words have to occur unchanged.
 
-    tables, places: of each walk. A pair at the allowed distance is found in a table with probability agree ** places, where
-    agree is the share of places in which the walks agree; with agree = 0.45, 3 places and 8 x 8 tables miss it with
-    probability (1 - 0.09) ** 64 = 0.002.
+    tables, places: of each walk. A pair at the allowed distance, its edits scattered, is found in a table from one anchor with
+    probability agree ** places, where agree is the share of places in which the walks agree; with agree = 0.45, 3 places and
+    8 x 8 tables miss it with probability (1 - 0.09) ** 64 = 0.002. For edits in blocks the recall is measured:
+    ``test_decontamination_of_dropped_clauses`` has the trials.
     """
 
     rate: float = 0.2
@@ -105,13 +112,22 @@ class Index:
         for k, (_, x) in enumerate(self.items):
             self.classes.setdefault(int(math.log2(len(x))), []).append(k)
         self.sampled = {c: np.array([np.sort(r.randint(0, max(1, int(1.2 * 2**c)), (s.tables, s.places)), axis=1) for _ in range(s.walks)]) for c in self.classes}
-        # Of each class the sorted keys of its items in all tables, and beside each key the item.
-        self.found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        # Of each class the sorted keys of its items in all tables, and beside each key the item and the anchor.
+        self.found: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for c, own in self.classes.items():
-            found = np.concatenate([self.keys(self.items[k][1], np.zeros(1, np.int64), c)[:, 0] for k in own])
-            which = np.repeat(np.array(own), s.walks * s.tables)
+            found, which, anchor = [], [], []
+            for k in own:
+                x = self.items[k][1]
+                # Items that have to occur unchanged are found from their first word.
+                anchors = np.arange(0, len(x) if s.edits(len(x)) else 1, max(1, 2**c // 8))
+                keys, inside = self.keys(x, anchors, c)
+                inside[:, 0] = True
+                found.append(keys[inside])
+                which.append(np.full(len(found[-1]), k))
+                anchor.append(np.broadcast_to(anchors, keys.shape)[inside])
+            found, which, anchor = map(np.concatenate, (found, which, anchor))
             order = np.argsort(found, kind="stable")
-            self.found[c] = found[order], which[order]
+            self.found[c] = found[order], which[order], anchor[order]
         grams = [self.grams(x) for _, x in self.items if len(x) >= GRAM]
         self.known = np.unique(np.concatenate(grams)) if grams else np.empty(0, np.uint64)
         # The upper bits of the known sequences: most others are told apart by one look-up.
@@ -136,8 +152,8 @@ class Index:
             out[at] = self.known[place] == grams[at]
         return out
 
-    def keys(self, seq: np.ndarray, starts: np.ndarray, c: int) -> np.ndarray:
-        """The keys of the windows at the given starts: an array (walk and table, window)."""
+    def keys(self, seq: np.ndarray, starts: np.ndarray, c: int) -> tuple[np.ndarray, np.ndarray]:
+        """The keys of the walks from the given starts, and whether all their sampled words are known ones: arrays (walk and table, start)."""
         places = self.sampled[c]
         walks, tables, _ = places.shape
         last = int(places.max())
@@ -150,30 +166,34 @@ class Index:
             word = word.astype(np.uint64)
             at += (((word * np.uint64(0xBF58476D1CE4E5B9) ^ turns[:, step, None]) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(63)).astype(np.int64)
         out = np.repeat(np.arange(walks * tables, dtype=np.uint64).reshape(walks, tables, 1), len(starts), axis=2)
+        inside = np.ones(out.shape, bool)
         for k in range(places.shape[2]):
             taken = path[places[:, :, k], np.arange(walks)[:, None]]
             out = (out ^ taken) * np.uint64(0x9E3779B97F4A7C15) + places[:, :, k, None].astype(np.uint64)
             out ^= out >> np.uint64(29)
-        return out.reshape(walks * tables, len(starts))
+            inside &= taken > 0
+        return out.reshape(walks * tables, len(starts)), inside.reshape(walks * tables, len(starts))
 
     def candidates(self, seq: np.ndarray, starts: np.ndarray, c: int) -> dict[int, np.ndarray]:
-        """item -> the starts whose windows share a key with it."""
-        found, which = self.found[c]
+        """item -> where the item would begin in the document (maybe before it) if one of its anchors is the word at one of the starts."""
+        found, which, anchor = self.found[c]
         tried: dict[int, list[np.ndarray]] = {}
         step = max(1, CELLS // (self.s.walks * (int(self.sampled[c].max()) + 1)))
         for lo in range(0, len(starts), step):
             part = starts[lo : lo + step]
-            keys = self.keys(seq, part, c)
+            keys, _ = self.keys(seq, part, c)
             first = np.minimum(np.searchsorted(found, keys), len(found) - 1)
             hit = found[first] == keys
             if not hit.any():
                 continue
             first = first[hit]
             n = np.searchsorted(found, keys[hit], "right") - first
-            item = which[np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-            start = np.repeat(np.broadcast_to(part, keys.shape)[hit], n)
-            pairs = np.unique(item * np.int64(len(seq)) + start)
-            item, start = pairs // len(seq), pairs % len(seq)
+            entry = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            item = which[entry]
+            back = 2 ** (c + 1)  # more than any anchor
+            start = np.repeat(np.broadcast_to(part, keys.shape)[hit], n) - anchor[entry] + back
+            pairs = np.unique(item * np.int64(len(seq) + back) + start)
+            item, start = pairs // (len(seq) + back), pairs % (len(seq) + back) - back
             cut = np.flatnonzero(np.diff(item)) + 1
             for k, each in zip(item[np.concatenate([[0], cut])].tolist(), np.split(start, cut), strict=True):
                 tried.setdefault(k, []).append(each)
@@ -192,6 +212,7 @@ class Index:
         if total[-1] < self.least:
             return []
         hits: dict[int, list[tuple[int, int, int]]] = {}
+        of_item = np.zeros(len(self.code) + 1, bool)
         for c in self.classes:
             # The window within d edits begins and ends with a word of the item, and has m + d words at most. First the class's
             # longest window is held against its least need, then, where that is met, each length against its own.
@@ -204,12 +225,34 @@ class Index:
                 if need <= total[-1]:
                     fit |= total[np.minimum(starts + n, len(seq))] - total[starts] >= need
             starts = starts[fit]
-            for k, each in self.candidates(seq, starts, c).items() if len(starts) else ():
+            if not len(starts):
+                continue
+            fits = np.zeros(len(seq) + 1, bool)
+            fits[starts] = True
+            # Walks begin on the words of the windows that are left, as anchors lie anywhere in them.
+            opened = np.cumsum(np.bincount(starts, minlength=len(seq) + 1) - np.bincount(np.minimum(starts + longest, len(seq)), minlength=len(seq) + 1))
+            walked = np.flatnonzero((opened[:-1] > 0) & (seq > 0))
+            fitting = np.concatenate([[0], np.cumsum(fits)])
+            for k, each in self.candidates(seq, walked, c).items():
                 item = self.items[k][1]
                 most = self.s.edits(len(item))
                 n = len(item) + most
+                # Up to d words were dropped or added before the anchor.
+                lo, hi = np.clip(each - most, 0, len(seq)), np.clip(each + most + 1, 0, len(seq))
+                each = each[fitting[hi] > fitting[lo]]
+                if not len(each):
+                    continue
+                each = each[:, None] + np.arange(-most, most + 1)
+                each = each[(each >= 0) & (each < len(seq))]
+                each = each[fits[each]]
+                each = each[total[np.minimum(each + n, len(seq))] - total[each] >= len(item) - GRAM + 1 - GRAM * most]
+                if not len(each):
+                    continue
+                each = np.unique(each)
                 # At most d edits leave all but d of the item's words in the window.
-                own = np.concatenate([[0], np.cumsum(np.isin(seq[each[0] : each[-1] + n], item))])
+                of_item[item] = True
+                own = np.concatenate([[0], np.cumsum(of_item[seq[each[0] : each[-1] + n]])])
+                of_item[item] = False
                 near = each - each[0]
                 each = each[own[np.minimum(near + n, len(own) - 1)] - own[near] >= len(item) - most]
                 padded = np.concatenate([seq, np.zeros(n, np.int64)])
@@ -233,7 +276,7 @@ def blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[list[tuple
     block, size = [], 0
     for r in benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(text).cast("string").alias("t")).where("t is not null").orderBy("i", "t").toLocalIterator():
         n = len(words(r["t"]))
-        if block and size + n > BLOCK_WORDS:
+        if block and (size + n > BLOCK_WORDS or len(block) == BLOCK_ITEMS):
             yield block
             block, size = [], 0
         block.append((r["i"], r["t"]))
