@@ -2,8 +2,10 @@
 
 import hashlib
 import re
+import textwrap
 import zlib
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -141,6 +143,25 @@ def test_license_scans(spark):
     assert got == {0: ("MIT", []), 1: (None, ["CC-BY-NC-4.0"]), 2: (None, []), 3: (None, []), 4: (None, [])}
 
 
+def test_license_files_with_headings_and_wrapped(spark):
+    known = license_scans.KNOWN
+    wrapped = lambda name, width: "\n\n".join(textwrap.fill(p, width) for p in known[name].split("\n\n"))
+    head = {"MIT": "MIT License", "ISC": "ISC License", "BSD-2-Clause": "BSD 2-Clause License", "BSD-3-Clause": "BSD 3-Clause License", "Zlib": "zlib License", "0BSD": "Zero-Clause BSD"}
+    want = [(n, f"{h}\n\nCopyright (c) 2020, Someone\nAll rights reserved.\n\n{wrapped(n, w)}\n") for n, h in head.items() for w in (30, 43, 60, 72, 79)]
+    want += [(n, f"Copyright 2020 Someone\n{wrapped(n, 70)}") for n in head]
+    want += [("BSD-3-Clause", f"© Someone\n{wrapped('BSD-3-Clause', 80).replace('1. ', '* ').replace('2. ', '* ').replace('3. ', '* ')}")]
+    for n in license_scans.LONG:
+        text = (Path(license_scans.__file__).parent / "licenses" / f"{n}.txt").read_text()
+        want += [(n, text), (n, text.replace("\n", "\r\n"))]
+    want += [("MIT", "SOFTWARE.".join(wrapped("MIT", 70).rsplit("SOFTWARE.", 1)).replace("NO EVENT SHALL THE AUTHORS OR", "NO EVENT SHALL THE AUTHORS OR\n"))]
+    want += [(None, f"Copyright holders, read this\n{known['MIT']}"), (None, "MIT License")]
+    got = {r.doc_id: r.license for r in license_scans.scan_licenses(docs(spark, [t for _, t in want])).collect()}
+    assert [(k, got[k]) for k in range(len(want)) if got[k] != want[k][0]] == []
+    assert all(re.search(license_scans.LINE_HINT, t) for _, t in license_scans.known_texts())
+    own = license_scans.known_licenses(spark, [("Own", "Free for all.")])
+    assert [r.notices for r in license_scans.scan_licenses(docs(spark, ["a\nFree for all.\nb"]), own).collect()] == [["Own"]]
+
+
 @pytest.mark.parametrize("text", ["", "hello world", "  two   spaces ", "naïve 漢字 \U0001f600 \x00", "a" * 5000, "x\ny\tz"])
 def test_pieces_round_trip_and_library(text):
     import sentencepiece

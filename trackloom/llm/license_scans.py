@@ -8,6 +8,8 @@ counts; a second digest, of each line, finds one-line notices inside longer docu
 from __future__ import annotations
 
 import hashlib
+from itertools import product
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,8 +21,11 @@ SPELLINGS = [
     ("per cent", "percent"), ("whilst", "while"), ("wilful", "willful"), ("organisation", "organization"), ("authorised", "authorized"),
     ("copyright owner", "copyright holder"), ("copyright owners", "copyright holders"), ("version", "v"), ("https", "http"), ("and or", "andor"),
 ]
-#: A line that only states a copyright, or that all rights are reserved.
-COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(?:(?i:copyright|\(c\)|©)[^\n]*(?:\d{4}|(?i:holder|author|owner)|[<\[])[^\n]*|(?i:all\x20rights\x20reserved)[^\p{L}\n]*)$"
+#: A line that only states a copyright, or that all rights are reserved. It has a year, a sign or a placeholder: lines of a wrapped
+#: body begin with the word copyright too, and items of a list with (c), which alone is no sign therefore.
+COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(?:(?i:copyright\b[^\n]*(?:\d{4}|\(c\)|©|[<\[{](?!http))|\(c\)[^\n]*(?:\d{4}|[<\[{](?!http))|©)[^\n]*|(?i:all\x20rights\x20reserved)[^\p{L}\n]*)$"
+#: A word that every known text and notice has.
+LINE_HINT = r"(?i)licen[cs]ed?\b|\breleased\b|\bpermi(?:ssion|tted)\b"
 
 #: Public licence texts and notices, as their authors publish them.
 KNOWN = {
@@ -55,6 +60,20 @@ THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND
 
 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
 }
+KNOWN["BSD-3-Clause"] = KNOWN["BSD-2-Clause"].replace("\n\nTHIS SOFTWARE", "\n\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\nTHIS SOFTWARE")
+#: Headings above the texts, which have none themselves.
+HEADINGS = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "MIT"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)", "The ISC License (ISC)", "ISC"],
+    "0BSD": ["Zero-Clause BSD", "Zero-Clause BSD License", "BSD Zero Clause License", "BSD Zero-Clause License (0BSD)", "0BSD"],
+    "Zlib": ["zlib License", "The zlib License", "zlib/libpng License", "The zlib/libpng License", "zlib"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", 'BSD 2-Clause "Simplified" License', "Simplified BSD License", "BSD-2-Clause", "BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License', "New BSD License", "BSD-3-Clause", "BSD License"],
+}
+#: Other usual wordings; each may be applied or not, to the texts that have the words on the left.
+WORDINGS = [("\n1. ", "\n* "), ("COPYRIGHT HOLDER OR CONTRIBUTORS", "COPYRIGHT HOLDERS OR CONTRIBUTORS"), ("modify, and/or distribute", "modify, and distribute")]
+#: Long texts, in files, and the lines of their heading.
+LONG = {"Apache-2.0": 3, "GPL-2.0": 2, "GPL-3.0": 2, "LGPL-2.1": 2, "LGPL-3.0": 2, "MPL-2.0": 2}
 #: One-line notices.
 NOTICES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -81,22 +100,43 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
+def known_texts() -> list[tuple[str, str]]:
+    """(name, text) of every known licence, with and without its heading and in other usual wordings, and of the notices."""
+    out = list(KNOWN.items())
+    for name, text in KNOWN.items():
+        bodies = [text]
+        for old, new in WORDINGS:
+            other = [b.replace(old, new) for b in bodies if old in b]
+            if old == "\n1. ":  # all numbers become bullets; the numbers of Zlib's list are part of it
+                other = [b.replace("\n2. ", "\n* ").replace("\n3. ", "\n* ") for b in other if name.startswith("BSD")]
+            bodies += other
+        out += [(name, f"{heading}\n\n{body}") for heading, body in product(["", *HEADINGS.get(name, [])], bodies)]
+    for name, heading in LONG.items():
+        text = (Path(__file__).parent / "licenses" / f"{name}.txt").read_text(encoding="utf-8").strip()
+        terms, mark, _ = text.partition("END OF TERMS AND CONDITIONS")
+        for body in dict.fromkeys([text, terms + mark, terms]):  # without the advice on how to apply it
+            out += [(name, body), (name, "\n".join(body.split("\n")[heading:]))]
+    return [*out, *NOTICES]
+
+
 def known_licenses(spark: SparkSession, texts: list[tuple[str, str]] | None = None) -> DataFrame:
     """(digest, license): of licences alike in canonical form, the first name."""
-    texts = [*KNOWN.items(), *NOTICES] if texts is None else texts
+    texts = known_texts() if texts is None else texts
     rows = spark.createDataFrame(list(enumerate(texts)), "o int, t struct<name:string,text:string>")
     return rows.groupBy(digest(F.col("t.text")).alias("digest")).agg(F.min_by("t.name", "o").alias("license"))
 
 
-def scan_licenses(docs: DataFrame, known: DataFrame | None = None, text: str = "text", line_hint: str = r"(?i)licen[cs]ed?\b|\breleased\b|\bpermi(?:ssion|tted)\b") -> DataFrame:
+def scan_licenses(docs: DataFrame, known: DataFrame | None = None, text: str = "text", line_hint: str | None = None) -> DataFrame:
     """The input's columns and ``license_digest``, ``license`` (of the entire text, else null) and ``notices`` (sorted distinct licences of entire lines).
 
     Null and empty texts, and those with nothing left in canonical form, have no licence. One row per input row. Columns of
     these names in the input are replaced. ``known`` has a row per licence; the entire texts meet it in a hash join. Lines are
-    looked up, in a map of the same rows, where they hold a word that every notice has (``line_hint``; None: all lines are).
+    looked up, in a map of the same rows, where they match ``line_hint``; None stands for ``LINE_HINT``, a word that every known
+    text has, and for all lines if ``known`` is given.
     """
     spark = docs.sparkSession
-    known = known_licenses(spark) if known is None else known
+    if known is None:
+        known, line_hint = known_licenses(spark), line_hint or LINE_HINT
     names = [c for c in docs.columns if c not in ("license_digest", "license", "notices", "__lines")]
     body = F.col(f"`{text}`")
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(line_hint)) if line_hint else F.split(body, "\n")
