@@ -23,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that the executors share")
         if sc._jsc.sc().getCheckpointDir().isEmpty():
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         found = sc._jsc.sc().getCheckpointDir().get()
@@ -31,13 +33,37 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df written as Parquet to the shared folder and read again: cuts the lineage, survives lost executors."""
+def stored(df: DataFrame, scratch: list[str] | None = None) -> DataFrame:
+    """df written as Parquet to the shared folder and read again: cuts the lineage, survives lost executors. The path is added to ``scratch``, for ``forget``."""
     path = f"{shared_dir(df.sparkSession)}/t-{uuid.uuid4().hex}"
+    if scratch is not None:
+        scratch.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession, scratch: list[str]) -> None:
+    """Deletes stored tables that nothing will read again."""
+    for path in scratch:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    scratch.clear()
+
+
+def row_keys(*cols: str) -> list[Column]:
+    """Two columns r0 and r1 of 64 bits each that stand for a row's content; equal rows share them, nulls are fine."""
+    own = [x for c in cols for x in (F.isnull(F.col(f"`{c}`")), F.col(f"`{c}`").cast("string"))]
+    return [F.xxhash64(F.lit(k), *own).alias(f"r{k}") for k in (0, 1)]
+
+
+def free(name: str, taken: list[str]) -> str:
+    """``name``, or a longer one that isn't taken; Spark's names have no case."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def row_key(*cols: str) -> Column:
     """64 bits that stand for a row's content; equal rows share it, nulls are fine."""
     return F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in cols])

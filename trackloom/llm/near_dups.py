@@ -1,16 +1,19 @@
 """MinHash near-duplicates by a multi-index Hamming join.
 
 Every document's set of word shingles gets a signature of K b-bit minwise values. Two signatures are near if at most T values
-differ. By the pigeonhole principle, a signature cut into M chunks with M * (E + 1) > T has a chunk with at most E differences
-for every near pair, so the keys (chunk, chunk with E of its places blanked), one for each choice of places, bring every near
-pair together: no pair within the threshold is missed. What shares a key is a candidate; near candidates are confirmed on
-their full shingle sets.
-
-Documents with equal sets are one class. Within a key's bucket, members are first compared with two pivots only, which differ
-from bucket to bucket, and the components of the confirmed links computed. Only then are members of different components
-compared, so that a large group of near copies is joined by a linear number of links and yet no link between components is
-lost. That last comparison is the condition of a join on the key: it counts the signatures' differences and those of a longer
-one-bit sketch in whole-row expressions, and lets a pair pass in the first bucket that it shares only.
+differ. By the pigeonhole principle, a signature cut into M chunks with 2 M > T has a chunk with at most one difference for
+every near pair, so the keys (chunk with one of its places blanked), one for each choice of the place, bring every near pair
+together: no pair within the threshold is missed. What shares a key is a candidate.
+
+Of a candidate pair, signatures are held against the threshold, and two more tests reject pairs that cannot be links: set sizes
+too far apart, and more differing bits in the sets' odd sketches (one parity bit for each class of hashes; Mitzenmacher, Pagh
+and Pham, 2014) than a link's symmetric difference has elements. What passes is confirmed on the full shingle sets.
+
+Documents with equal sets are one class, and buckets with equal members are one bucket. A bucket's members are not compared with
+each other at first, but with a pivot: the member that shares buckets with most others, so that a group of near copies has one
+pivot in all its buckets, most likely the text that they were made from. While that finds many links, the members outside a
+bucket's largest component get a pivot again. Only then are members of different components compared, in tiles of bounded size.
+So a large group of near copies is joined by a linear number of links, and yet no link between components is lost.
 """
 
 from __future__ import annotations
@@ -18,209 +21,201 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import ASCII_LOWER, row_key, stored
+from trackloom.llm.common import forget, free, row_keys, stored
 
 #: Words kept in a task's word -> hash memory before it is emptied.
 MEMORY = 400_000
+#: A chunk is a long of four places: the bits of a value, and of its lane, of which the highest stays 0.
+PLACES, VALUE, LANE = 4, 14, 15
+#: Members of a bucket on either side of a tile, at most about.
+TILE = 512
+SIGNED = "n_shingles long, node binary, sig array<long>, odd array<long>"
 
 
 @dataclass(frozen=True)
 class Settings:
     """words: shingle length; percent: link if 100 * |A and B| >= percent * |A or B|.
 
-    At similarity 0.8 a value differs with probability 0.2: of 64 values 12.8 do, with deviation 3.2. The threshold of 28 lies
-    4.7 deviations above (one such pair in 300,000 is beyond it); 15 chunks with one error each cover it. The sketch's
-    threshold lies as many deviations above its mean. errors is 0 or 1.
+    At similarity 0.8 a value differs with probability 0.2. Of 48 values more than 23 do in 3 of a million such pairs, and in
+    fewer of more similar ones. 12 chunks of 4 values with one error each cover 23 differences. A value has 14 bits, so a key
+    has 42 that tell, and texts that have nothing in common don't meet. again: pivots are chosen anew while they find at least
+    this share of the members without one.
     """
 
     words: int = 4
     percent: int = 80
-    values: int = 64
-    bits: int = 12
-    distance: int = 28
-    errors: int = 1
+    chunks: int = 12
+    distance: int = 23
     sketch_bits: int = 1024
+    again: float = 0.05
 
     @property
-    def chunks(self) -> list[np.ndarray]:
-        return np.array_split(np.arange(self.values), self.distance // (self.errors + 1) + 1)
+    def values(self) -> int:
+        return self.chunks * PLACES
 
-    @property
-    def masks(self) -> list[tuple[int, np.ndarray]]:
-        """(chunk, places kept) of every key of a signature."""
-        return [(k, np.setdiff1d(c, gone)) for k, c in enumerate(self.chunks) for gone in combinations(c, self.errors)]
+    def seeds(self) -> tuple[np.ndarray, np.ndarray]:
+        r = np.random.RandomState(20240229)
+        draw = lambda: r.randint(0, 2**32, (self.values, 1), dtype=np.uint64).astype(np.uint32)
+        return draw() | np.uint32(1), draw()
 
-    @property
-    def sketch_distance(self) -> int:
-        p = (100 - self.percent) / 200
-        return int(self.sketch_bits * p + 4.7 * (self.sketch_bits * p * (1 - p)) ** 0.5)
 
-    def seeds(self, n: int, seed: int = 20240229) -> tuple[np.ndarray, np.ndarray]:
-        r = np.random.RandomState(seed)
-        draw = lambda: r.randint(0, 2**32, n, dtype=np.uint64) << np.uint64(32) | r.randint(0, 2**32, n, dtype=np.uint64)
-        return draw() | np.uint64(1), draw()
+class _Words(dict):
+    """word -> 64-bit hash."""
+
+    def __missing__(self, w: bytes) -> int:
+        h = self[w] = xxhash.xxh3_64_intdigest(w)
+        return h
 
 
 class Shingler:
-    """Text -> sorted distinct 64-bit hashes of its word shingles."""
+    """UTF-8 text -> sorted distinct 64-bit hashes of its word shingles. bytes.lower() and bytes.split() know ASCII only, as is wanted."""
 
     def __init__(self, words: int):
-        self.words, self.known = words, {}
+        self.words, self.known = words, _Words()
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        found = (text or "").translate(ASCII_LOWER).encode("utf-8", "surrogatepass").split()
+    def __call__(self, text: bytes | None) -> np.ndarray:
+        found = (text or b"").lower().split()
         if not found:
             return np.empty(0, np.uint64)
-        known = self.known
-        if len(known) > MEMORY:
-            known.clear()
-        ids = []
-        for w in found:
-            h = known.get(w)
-            if h is None:
-                h = known[w] = xxhash.xxh3_64_intdigest(w)
-            ids.append(h)
-        at = np.array(ids, np.uint64)
+        if len(self.known) > MEMORY:
+            self.known.clear()
+        at = np.fromiter(map(self.known.__getitem__, found), np.uint64, len(found))
         n = min(self.words, len(at))
         out = np.full(len(at) - n + 1, n, np.uint64)
         for k in range(n):
-            out = _mix(out ^ at[k : len(at) - n + 1 + k])
-        return np.unique(out)
+            out *= np.uint64(0x9E3779B97F4A7C15)
+            out += at[k : len(at) - n + 1 + k]
+        out ^= out >> np.uint64(31)
+        out *= np.uint64(0xBF58476D1CE4E5B9)
+        out ^= out >> np.uint64(29)
+        out.sort()
+        return out[np.concatenate([[True], out[1:] != out[:-1]])]
+
 
+def minwise(sets: np.ndarray, seeds: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The minwise values of a set of hashes, ``VALUE`` bits each, four to a long."""
+    a, b = seeds
+    x = (sets >> np.uint64(32)).astype(np.uint32)
+    least = np.full(len(a), np.iinfo(np.uint32).max, np.uint32)
+    for k in range(0, len(x), 1024):  # a text's length doesn't show in the memory
+        h = a * x[None, k : k + 1024]
+        h += b
+        np.minimum(least, h.min(axis=1), out=least)
+    values = ((least * np.uint32(0x9E3779B1)) >> np.uint32(32 - VALUE)).astype(np.int64)
+    return np.bitwise_or.reduce(values.reshape(-1, PLACES) << np.arange(0, PLACES * LANE, LANE), axis=1)
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(32))
 
+def odd_sketch(sets: np.ndarray, bits: int) -> np.ndarray:
+    """One bit for each class of hashes: whether the set has an odd number of its members. Each element by which two sets differ changes one bit."""
+    return np.packbits((np.bincount((sets & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).view(np.int64)
 
-def minwise(sets: np.ndarray, bits: int, seeds: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The b-bit minwise values of a set of hashes, as uint16."""
-    a, b = seeds
-    least = np.full(len(a), np.iinfo(np.uint64).max, np.uint64)
-    step = max(1, 131_072 // len(a))
-    for k in range(0, len(sets), step):  # a text's length doesn't show in the memory
-        h = sets[k : k + step, None] * a + b
-        least = np.minimum(least, (h ^ (h >> np.uint64(33))).min(axis=0))
-    return (_mix(least) & np.uint64(2**bits - 1)).astype(np.uint16)
 
+def _lists(values: list[np.ndarray], width: int) -> pa.Array:
+    """Arrays of ``width`` longs, or None, as an Arrow list column."""
+    ends = np.concatenate([[0], np.cumsum([0 if v is None else width for v in values], dtype=np.int32)]).astype(np.int32)
+    own = [v for v in values if v is not None]
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own) if own else np.empty(0, np.int64)))
 
-def signatures(docs: DataFrame, s: Settings, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, row, n_shingles, node, sig): node is 128 bits of the set's hash, null without words."""
 
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingles, seeds = Shingler(s.words), s.seeds(s.values)
-        for f in frames:
-            n, node, sig = [], [], []
-            for t in f["text"]:
+def signatures(docs: DataFrame, s: Settings, doc_id: str, text: str, others: list[str]) -> DataFrame:
+    """(doc_id, r0, r1, n_shingles, node, sig, odd): r0 and r1 stand for a row's content, node is 128 bits of its set's hash, null without words."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles, seeds = Shingler(s.words), s.seeds()
+        for batch in batches:
+            n, node, sig, odd = [], [], [], []
+            for t in batch.column(3).to_pylist():
                 x = shingles(t)
                 n.append(len(x))
                 node.append(xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None)
-                sig.append(minwise(x, s.bits, seeds).tobytes() if len(x) else None)
-            yield pd.DataFrame({"doc_id": f["doc_id"], "row": f["row"], "n_shingles": n, "node": node, "sig": sig})
+                sig.append(minwise(x, seeds) if len(x) else None)
+                odd.append(odd_sketch(x, s.sketch_bits) if len(x) else None)
+            new = [pa.array(n, pa.int64()), pa.array(node, pa.binary()), _lists(sig, s.chunks), _lists(odd, s.sketch_bits // 64)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *new], ["doc_id", "r0", "r1", "n_shingles", "node", "sig", "odd"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    rows = docs.select(F.col(doc_id).alias("doc_id"), row_key(doc_id, text).alias("row"), F.col(text).alias("text"))
-    return rows.mapInPandas(work, f"doc_id {kind}, row long, n_shingles long, node binary, sig binary")
+    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), *row_keys(doc_id, text, *others), F.col(f"`{text}`").cast("binary").alias("text"))
+    return rows.mapInArrow(work, f"doc_id {kind}, r0 long, r1 long, {SIGNED}")
 
 
 def keys(classes: DataFrame, s: Settings) -> DataFrame:
-    """(key, node): the keys of every signature; a key's last 8 bits are the number of its mask."""
+    """(key, node): each chunk of each signature with one place blanked, where the key's number stands instead."""
+    each = []
+    for chunk in range(s.chunks):
+        for place in range(PLACES):
+            at = place * LANE
+            others = 2 ** (PLACES * LANE) - 1 - ((2**LANE - 1) << at)
+            number = (chunk * PLACES + place + 1) << at
+            each.append(F.get("sig", F.lit(chunk)).bitwiseAND(F.lit(others)).bitwiseOR(F.lit(number).cast("long")))
+    return classes.select(F.explode(F.array(*each)).alias("key"), "node")
 
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        masks = s.masks
-        for f in frames:
-            sig = np.frombuffer(b"".join(f["sig"]), np.uint16).reshape(-1, s.values).astype(np.uint64)
-            node = f["node"].to_numpy()
-            for number, (_, kept) in enumerate(masks):
-                h = np.full(len(sig), _mix(np.array([number + 1], np.uint64))[0])
-                for c in kept:
-                    h = _mix(h ^ sig[:, c])
-                yield pd.DataFrame({"key": (h << np.uint64(8) | np.uint64(number)).view(np.int64), "node": node})
 
-    return classes.select("node", "sig").mapInPandas(work, "key long, node binary")
+def may_link(s: Settings, x: str, y: str) -> Column:
+    """Of the columns x_n, x_sig, x_odd and y_n, y_sig, y_odd: near by signature, and neither sizes nor sketches rule a link out."""
+    low, high = (sum(x << (k * LANE) for k in range(PLACES)) for x in (2**VALUE - 1, 2**VALUE))
 
+    def differ(k: int) -> Column:
+        """In how many places two chunks differ: adding ``low`` sets a lane's highest bit where the lane of the difference isn't zero."""
+        d = F.get(f"{x}_sig", F.lit(k)).bitwiseXOR(F.get(f"{y}_sig", F.lit(k)))
+        return F.bit_count((d + F.lit(low)).bitwiseAND(F.lit(high)))
 
-def near(pairs: DataFrame, classes: DataFrame, s: Settings) -> DataFrame:
-    """The pairs (a, b) whose signatures differ in at most ``distance`` values."""
+    far = reduce(Column.__add__, [differ(k) for k in range(s.chunks)])
+    bits = reduce(Column.__add__, [F.bit_count(F.get(f"{x}_odd", F.lit(k)).bitwiseXOR(F.get(f"{y}_odd", F.lit(k)))) for k in range(s.sketch_bits // 64)])
+    n, m = F.col(f"{x}_n"), F.col(f"{y}_n")
+    sizes = (100 * n >= s.percent * m) & (100 * m >= s.percent * n)
+    return sizes & (bits * (100 + s.percent) <= (n + m) * (100 - s.percent)) & (far <= s.distance)
 
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            if len(f):
-                x, y = (np.frombuffer(b"".join(f[c]), np.uint16).reshape(-1, s.values) for c in ("sa", "sb"))
-                yield f.loc[(x != y).sum(axis=1) <= s.distance, ["a", "b"]]
 
-    sig = lambda c: classes.select(F.col("node").alias(c), F.col("sig").alias(f"s{c}"))
-    return pairs.join(sig("a"), "a").join(sig("b"), "b").mapInPandas(work, "a binary, b binary")
+def _told(classes: DataFrame, side: str) -> DataFrame:
+    return classes.select(F.col("node").alias(side), *[F.col(c).alias(f"{side}_{short}") for c, short in (("n_shingles", "n"), ("sig", "sig"), ("odd", "odd"))])
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
-    """The pairs (a, b) that are links, on the full shingle sets; texts has (node, text)."""
+def near(pairs: DataFrame, classes: DataFrame, s: Settings) -> DataFrame:
+    """The pairs (a, b) that may be links. Many pairs may share b, a pivot."""
+    return pairs.join(_told(classes, "a"), "a").join(_told(classes, "b"), "b").where(may_link(s, "a", "b")).select("a", "b")
 
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def sets_of(docs: DataFrame, nodes: DataFrame, classes: DataFrame, s: Settings, doc_id: str, text: str, others: list[str]) -> DataFrame:
+    """(node, set) of the nodes: each class's text is fetched and shingled once. Rows that only share a row's 128 bits are told apart by their node."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(s.words)
-        for f in frames:
-            keep, last, x = [], None, None
-            for a, ta, tb in zip(f["a"], f["ta"], f["tb"], strict=True):
-                if a != last:
-                    last, x = a, shingles(ta)
-                y = shingles(tb)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= s.percent * (len(x) + len(y) - both))
-            yield f.loc[keep, ["a", "b"]]
+        for batch in batches:
+            node, sets = [], []
+            for want, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x = shingles(t).tobytes()
+                if xxhash.xxh3_128_digest(x) == want:
+                    node.append(want)
+                    sets.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.binary()), pa.array(sets, pa.binary())], ["node", "set"])
 
-    t = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"t{c}"))
-    return pairs.join(t("a"), "a").join(t("b"), "b").mapInPandas(work, "a binary, b binary")
+    rows = docs.select(*row_keys(doc_id, text, *others), F.col(f"`{text}`").cast("binary").alias("text"))
+    wanted = classes.join(nodes, "node", "left_semi").select("node", "row.*")
+    return rows.join(wanted, ["r0", "r1"]).select("node", "text").mapInArrow(work, "node binary, set binary").dropDuplicates(["node"])
 
 
-def packed(nodes: DataFrame, s: Settings) -> DataFrame:
-    """(node, text, sig) -> (node, c0, c1, ..., k0, k1, ...): each chunk of the signature in a long, in lanes of ``bits``, and the sketch."""
-    chunks, longs = len(s.chunks), s.sketch_bits // 64
+def confirmed(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
+    """The pairs (a, b) that are links, on the full shingle sets."""
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingles, seeds = Shingler(s.words), s.seeds(s.sketch_bits, 20240301)
         for f in frames:
-            out = np.zeros((len(f), chunks + longs), np.uint64)
-            for row, (sig, text) in enumerate(zip(f["sig"], f["text"], strict=True)):
-                values = np.frombuffer(sig, np.uint16).astype(np.uint64)
-                for k, c in enumerate(s.chunks):
-                    for place, at in enumerate(c):
-                        out[row, k] |= values[at] << np.uint64(place * s.bits)
-                out[row, chunks:] = np.packbits(minwise(shingles(text), 1, seeds).astype(np.uint8)).view(np.uint64)
-            yield pd.concat([f[["node"]].reset_index(drop=True), pd.DataFrame(out.view(np.int64), columns=[*[f"c{k}" for k in range(chunks)], *[f"k{k}" for k in range(longs)]])], axis=1)
-
-    cols = ", ".join([f"c{k} long" for k in range(chunks)] + [f"k{k} long" for k in range(longs)])
-    return nodes.select("node", "text", "sig").mapInPandas(work, f"node binary, {cols}")
-
-
-def pair_passes(s: Settings) -> Column:
-    """Of a pair of rows x, y that share a key: near by signature and sketch, and the key is the first that they share."""
-    lanes = max(map(len, s.chunks))
-    low = sum(((1 << (s.bits - 1)) - 1) << (k * s.bits) for k in range(lanes))
-    high = sum(1 << (s.bits - 1) << (k * s.bits) for k in range(lanes))
-
-    def differ(k: int) -> Column:
-        """In how many lanes two longs differ: a lane's highest bit is set where the lane of the difference isn't zero."""
-        d = F.col(f"x.c{k}").bitwiseXOR(F.col(f"y.c{k}"))
-        return F.bit_count((d.bitwiseAND(F.lit(low)) + F.lit(low)).bitwiseOR(d).bitwiseAND(F.lit(high)))
+            keep = []
+            for p, q in zip(f["x"], f["y"], strict=True):
+                x, y = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(100 * both >= s.percent * (len(x) + len(y) - both))
+            yield f.loc[keep, ["a", "b"]]
 
-    total = reduce(Column.__add__, [differ(k) for k in range(len(s.chunks))])
-    far = reduce(Column.__add__, [F.bit_count(F.col(f"x.k{k}").bitwiseXOR(F.col(f"y.k{k}"))) for k in range(s.sketch_bits // 64)])
-    first = reduce(lambda rest, k: F.when(differ(k) <= s.errors, F.lit(k)).otherwise(rest), reversed(range(len(s.chunks))), F.lit(-1))
-    mask = F.col("x.key").bitwiseAND(F.lit(255)).cast("int")
-    chunk = F.element_at(F.array(*[F.lit(k) for k, _ in s.masks]), mask + 1)
-    # Where the chunks are equal all their masks agree, and the first counts; where they differ in one place only one does.
-    leads = F.element_at(F.array(*[F.lit(n == 0 or s.masks[n - 1][0] != k) for n, (k, _) in enumerate(s.masks)]), mask + 1)
-    same = reduce(lambda rest, k: F.when(chunk == k, F.col(f"x.c{k}") == F.col(f"y.c{k}")).otherwise(rest), range(len(s.chunks)), F.lit(False))
-    return (far <= s.sketch_distance) & (total <= s.distance) & (first == chunk) & (leads | ~same)
+    t = lambda c, name: sets.select(F.col("node").alias(c), F.col("set").alias(name))
+    return pairs.join(t("a", "x"), "a").join(t("b", "y"), "b").mapInPandas(work, "a binary, b binary")
 
 
 def forest(edges: DataFrame) -> DataFrame:
@@ -246,13 +241,13 @@ def forest(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").mapInPandas(work, "a binary, b binary")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: list[str]) -> DataFrame:
     """(node, comp): the smallest node of each node's component, by large-star and small-star rounds (Kiveris et al., 2014).
 
     A hub's edges are read once for its minimum, which is summed up before the shuffle, and joined to it again by a join that
     Spark may split; no task has to hold a hub's edges.
     """
-    at = stored(forest(edges).select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).where("u <> v").distinct())
+    at = stored(forest(edges).select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).where("u <> v").distinct(), scratch)
     mark = None
     while True:
         both = at.select("u", "v").union(at.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -261,7 +256,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = large.where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("m").alias("v"), F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"))
-        at = stored(small.where("u <> v").distinct())
+        at = stored(small.where("u <> v").distinct(), scratch)
         new = at.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if new == mark:
             break
@@ -269,51 +264,118 @@ def components(edges: DataFrame) -> DataFrame:
     return at.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(at.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 
+def _open(buckets: DataFrame, comps: DataFrame) -> DataFrame:
+    """The members (key, node, weight, comp, most, size, minor) of the buckets that have several components; most is the largest of them, size the bucket's, minor how many members lie outside most."""
+    named = buckets.where("n > 2").join(comps, "node", "left").select("key", "node", "weight", "n", F.coalesce("comp", "node").alias("comp"))
+    sizes = named.groupBy("key", "comp").agg(F.count("*").alias("c"))
+    split = sizes.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("m"), F.count("*").alias("k")).where("k > 1")
+    return named.join(split.select("key", F.col("m.comp").alias("most"), F.col("m.c").alias("c")), "key").select("key", "node", "weight", "comp", "most", F.col("n").alias("size"), (F.col("n") - F.col("c")).alias("minor"))
+
+
+def _with_pivots(members: DataFrame, among: Column) -> DataFrame:
+    """(a, b) of each member and its bucket's pivot, the heaviest member of those that ``among`` says, where their components differ."""
+    pivot = members.where(among).groupBy("key").agg(F.max(F.struct("weight", "node", "comp")).alias("p"))
+    both = members.select("key", "node", "comp").join(pivot, "key").where(F.col("comp") != F.col("p.comp"))
+    return both.select(F.col("node").alias("a"), F.col("p.node").alias("b")).distinct()
+
+
+def _in_tiles(members: DataFrame, classes: DataFrame, s: Settings) -> DataFrame:
+    """The pairs (a, b) of a bucket's members in different components that may be links: those outside the largest component against all.
+
+    A bucket of n members, m of them outside, is cut into about n / TILE by m / TILE tiles, so that no bucket lies in one task.
+    """
+    told = members.join(_told(classes, "x").withColumnRenamed("x", "node"), "node")
+    cut = lambda c: F.ceil(F.col(c) / TILE).cast("int")
+    block = lambda c: F.pmod(F.xxhash64("node"), cut(c)).cast("int")
+    upto = lambda c: F.explode(F.sequence(F.lit(0), cut(c) - 1))
+    outside = F.col("comp") != F.col("most")
+    x = told.where(outside).withColumn("i", block("minor")).withColumn("j", upto("size")).select("key", "i", "j", F.col("node").alias("a"), F.col("comp").alias("a_comp"), "x_n", "x_sig", "x_odd")
+    y = told.withColumn("j", block("size")).withColumn("i", upto("minor")).select("key", "i", "j", F.col("node").alias("b"), F.col("comp").alias("b_comp"), outside.alias("b_out"), F.col("x_n").alias("y_n"), F.col("x_sig").alias("y_sig"), F.col("x_odd").alias("y_odd"))
+    apart = (F.col("a_comp") != F.col("b_comp")) & (~F.col("b_out") | (F.col("a") < F.col("b")))
+    return x.join(y, ["key", "i", "j"]).where(apart & may_link(s, "x", "y")).select("a", "b").distinct()
+
+
+def grouped(docs: DataFrame, settings: Settings | None = None, doc_id: str = "doc_id", text: str = "text", others: list[str] | None = None, kept: list[str] | None = None) -> DataFrame:
+    """One row per document: doc_id, r0, r1, n_shingles, node, comp, class_size; comp is the smallest node of its component, null without words.
+
+    r0 and r1 are ``row_keys`` of doc_id, text and the columns ``others``. ``kept`` gets the paths of the tables that the result reads.
+    """
+    s = settings or Settings()
+    others = others or []
+    scratch: list[str] = []
+    signed = stored(signatures(docs, s, doc_id, text, others), kept)
+    classes = signed.where("node is not null").groupBy("node").agg(F.min(F.struct("r0", "r1")).alias("row"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("odd").alias("odd"), F.count("*").alias("class_size"))
+    classes = stored(classes, scratch)
+
+    # Buckets with two members or more, one for all that have the same members. Whatever their size, they are summed up before the shuffle.
+    every = keys(classes, s)
+    shared = every.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("h"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("g")).where("n > 1")
+    shared = shared.groupBy("n", "h", "g").agg(F.min("key").alias("key")).select("key", "n")
+    buckets = stored(every.join(shared, "key"), scratch)
+    weights = buckets.groupBy("node").agg(F.sum(F.col("n") - 1).alias("weight"))
+    buckets = stored(buckets.join(weights, "node"), scratch)
+
+    tried = stored(near(_with_pivots(buckets.withColumn("comp", F.col("node")), F.lit(True)), classes, s), scratch)
+    needed = tried.select(F.col("a").alias("node")).union(tried.select("b")).union(buckets.where("n > 2").select("node")).distinct()
+    sets = stored(sets_of(docs, needed, classes, s, doc_id, text, others), scratch)
+    links = stored(confirmed(tried, sets, s), scratch)
+    comps = stored(components(links, scratch), scratch)
+    while True:
+        members = stored(_open(buckets, comps), scratch)
+        waiting = members.where("comp <> most").select("node").distinct().count()
+        if not waiting:
+            break
+        more = stored(confirmed(near(_with_pivots(members, F.col("comp") != F.col("most")), classes, s), sets, s), scratch)
+        found = more.count()
+        if found:
+            comps = stored(components(more.union(comps.toDF("a", "b")), scratch), scratch)
+        if found < s.again * waiting:
+            members = stored(_open(buckets, comps), scratch) if found else members
+            rest = stored(confirmed(_in_tiles(members, classes, s), sets, s), scratch)
+            if not rest.isEmpty():
+                comps = stored(components(rest.union(comps.toDF("a", "b")), scratch), scratch)
+            break
+
+    named = stored(classes.select("node", "class_size").join(comps, "node", "left").select("node", "class_size", F.coalesce("comp", "node").alias("comp")), kept)
+    forget(docs.sparkSession, scratch)
+    return signed.drop("sig", "odd").join(named, "node", "left")
+
+
 def near_duplicates(docs: DataFrame, settings: Settings | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept, class_size.
 
     component_id is the smallest doc_id that links reach, itself included; documents without words, with null texts too, are
     linked with nothing and keep their own id. Null ids are never the smallest where there is another. Rows that repeat a
-    doc_id all appear. class_size counts the documents with the same shingle set. Empty tables give no rows.
+    doc_id all appear. class_size counts the documents with the same shingle set. Empty tables give no rows. Other columns of
+    the input don't matter, whatever their names.
     """
-    s = settings or Settings()
-    signed = stored(signatures(docs, s, doc_id, text))
-    classes = stored(signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("row").alias("row"), F.first("sig").alias("sig"), F.count("*").alias("class_size")))
-
-    # Buckets with two members or more. A bucket's pivots are aggregated before the shuffle, whatever its size.
-    every = keys(classes, s)
-    drawn = F.xxhash64("key", "node")
-    pivots = every.groupBy("key").agg(F.min(F.struct(drawn.alias("h"), "node")).alias("lo"), F.max(F.struct(drawn.alias("h"), "node")).alias("hi"), F.count("*").alias("n")).where("n > 1")
-    buckets = stored(every.join(pivots.select("key", "lo.node", "hi.node", "n").toDF("key", "lo", "hi", "n"), "key"))
-    pair = lambda *pivot: F.explode(F.array(*[F.struct(F.least("node", c).alias("a"), F.greatest("node", c).alias("b")) for c in pivot])).alias("p")
-    first = buckets.select(pair("lo", "hi")).select("p.*").where("a <> b").distinct()
-    tried = stored(near(first, classes, s))
-
-    # The texts that may be compared, fetched once.
-    needed = tried.select(F.col("a").alias("node")).union(tried.select("b")).union(buckets.where("n > 3").select("node")).distinct()
-    rows = docs.select(row_key(doc_id, text).alias("row"), F.col(text).alias("text"))
-    texts = stored(rows.join(needed.join(classes.select("node", "row", "sig"), "node"), "row").dropDuplicates(["node"]).drop("row"))
-    found = stored(confirmed(tried, texts, s))
-    comps = stored(components(found))
-
-    # Members of one bucket in different components: those outside the bucket's largest component meet all its members.
-    named = buckets.where("n > 3").join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-    sizes = named.groupBy("key", "comp").agg(F.count("*").alias("c"))
-    split = sizes.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("most"), F.count("*").alias("k")).where("k > 1").select("key", "most")
-    named = stored(named.join(split, "key"))
-    signs = stored(packed(texts.join(named.select("node").distinct(), "node", "left_semi"), s))
-    named = named.join(signs, "node")
-    apart = (F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("y.most")) | (F.col("x.node") < F.col("y.node")))
-    rest = named.where("comp <> most").alias("x").join(named.alias("y"), (F.col("x.key") == F.col("y.key")) & apart & pair_passes(s))
-    rest = stored(rest.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
-    if not rest.isEmpty():
-        more = stored(confirmed(rest, texts, s))
-        if not more.isEmpty():
-            comps = stored(components(more.union(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")))))
-
-    least = classes.join(comps, "node", "left").select("node", "doc_id", "class_size", F.coalesce("comp", "node").alias("comp"))
-    ids = least.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    named = stored(least.join(ids, "comp").select("node", "component_id", "class_size"))
-    out = signed.select("doc_id", "n_shingles", "node").join(named, "node", "left")
+    kept: list[str] = []
+    rows = stored(grouped(docs, settings, doc_id, text, kept=kept).select("doc_id", "n_shingles", "comp", "class_size"))
+    forget(docs.sparkSession, kept)
+    ids = rows.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), F.coalesce("class_size", F.lit(1)).alias("class_size"))
+    return rows.join(ids, "comp", "left").select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), F.coalesce("class_size", F.lit(1)).alias("class_size"))
+
+
+def survivors(docs: DataFrame, settings: Settings | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The input without all rows but one of each group of near duplicates, that with the smallest doc_id; a null id is the largest.
+
+    Rows go, not ids: of rows that share an id but no group all may stay, and of rows that are equal throughout one stays, if
+    they have words. Rows without words stay. Columns of any name stay as they are; those of types that can't be cast to text
+    don't tell rows with the same id and text apart.
+    """
+    plain = [f.name for f in docs.schema.fields if f.name not in (doc_id, text) and f.dataType.typeName() not in ("array", "map", "struct", "variant")]
+    scratch: list[str] = []
+    rows = stored(grouped(docs, settings, doc_id, text, plain, scratch).where("comp is not null").select("comp", "r0", "r1", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "r0", "r1").alias("place")), scratch)
+    groups = rows.groupBy("comp").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1")
+    each = rows.join(groups, "comp").groupBy("r0", "r1").agg(F.bool_or(F.col("place").eqNullSafe(F.col("first"))).alias("stays"), F.count("*").alias("copies"))
+    fates = stored(each.where("not stays or copies > 1"))
+    forget(docs.sparkSession, scratch)
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    at = [free("__r0", docs.columns), free("__r1", docs.columns)]
+    keyed = docs.select(*names, *[k.alias(a) for k, a in zip(row_keys(doc_id, text, *plain), at, strict=True)])
+    fates = fates.select("stays", F.col("r0").alias(at[0]), F.col("r1").alias(at[1]))
+    out = keyed.join(fates, at, "left_anti").select(*names)
+    # Rows that are equal throughout and stay: one of them.
+    again = keyed.join(fates.where("stays"), at, "left_semi").dropDuplicates(at).select(*names)
+    return out.unionAll(again)
