@@ -64,6 +64,6 @@ def free(name: str, taken: list[str]) -> str:
     return name
 
 
-def row_key(*cols: str) -> Column:
-    """64 bits that stand for a row's content; equal rows share it, nulls are fine."""
-    return F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in cols])
+def bounded(df: DataFrame, most: int) -> DataFrame:
+    """df, to be broadcast in a join if it has at most ``most`` rows; else the join is Spark's choice. df is counted, so it should be stored or small."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

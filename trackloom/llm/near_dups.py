@@ -20,7 +20,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -37,7 +36,6 @@ MEMORY = 400_000
 PLACES, VALUE, LANE = 4, 14, 15
 #: Members of a bucket on either side of a tile, at most about.
 TILE = 512
-SIGNED = "n_shingles long, node binary, sig array<long>, odd array<long>"
 
 
 @dataclass(frozen=True)
@@ -61,6 +59,11 @@ class Settings:
     def values(self) -> int:
         return self.chunks * PLACES
 
+    @property
+    def signature(self) -> list[str]:
+        """The columns of a signature, a long for each chunk."""
+        return [f"s{k}" for k in range(self.chunks)]
+
     def seeds(self) -> tuple[np.ndarray, np.ndarray]:
         r = np.random.RandomState(20240229)
         draw = lambda: r.randint(0, 2**32, (self.values, 1), dtype=np.uint64).astype(np.uint32)
@@ -115,72 +118,77 @@ def minwise(sets: np.ndarray, seeds: tuple[np.ndarray, np.ndarray]) -> np.ndarra
 
 def odd_sketch(sets: np.ndarray, bits: int) -> np.ndarray:
     """One bit for each class of hashes: whether the set has an odd number of its members. Each element by which two sets differ changes one bit."""
-    return np.packbits((np.bincount((sets & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).view(np.int64)
-
-
-def _lists(values: list[np.ndarray], width: int) -> pa.Array:
-    """Arrays of ``width`` longs, or None, as an Arrow list column."""
-    ends = np.concatenate([[0], np.cumsum([0 if v is None else width for v in values], dtype=np.int32)]).astype(np.int32)
-    own = [v for v in values if v is not None]
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own) if own else np.empty(0, np.int64)))
+    return np.packbits((np.bincount((sets & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8))
 
 
 def signatures(docs: DataFrame, s: Settings, doc_id: str, text: str, others: list[str]) -> DataFrame:
-    """(doc_id, r0, r1, n_shingles, node, sig, odd): r0 and r1 stand for a row's content, node is 128 bits of its set's hash, null without words."""
+    """(doc_id, r0, r1, n_shingles, node, odd, s0, s1, ...): r0 and r1 stand for a row's content, node is 128 bits of its set's hash, null without words."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, seeds = Shingler(s.words), s.seeds()
         for batch in batches:
-            n, node, sig, odd = [], [], [], []
+            n, node, odd, sig = [], [], [], []
             for t in batch.column(3).to_pylist():
                 x = shingles(t)
                 n.append(len(x))
                 node.append(xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None)
-                sig.append(minwise(x, seeds) if len(x) else None)
-                odd.append(odd_sketch(x, s.sketch_bits) if len(x) else None)
-            new = [pa.array(n, pa.int64()), pa.array(node, pa.binary()), _lists(sig, s.chunks), _lists(odd, s.sketch_bits // 64)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *new], ["doc_id", "r0", "r1", "n_shingles", "node", "sig", "odd"])
+                odd.append(odd_sketch(x, s.sketch_bits).tobytes() if len(x) else None)
+                sig.append(minwise(x, seeds))
+            sig = np.stack(sig) if sig else np.empty((0, s.chunks), np.int64)
+            new = [pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(odd, pa.binary()), *[pa.array(c) for c in sig.T]]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *new], ["doc_id", "r0", "r1", "n_shingles", "node", "odd", *s.signature])
 
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), *row_keys(doc_id, text, *others), F.col(f"`{text}`").cast("binary").alias("text"))
-    return rows.mapInArrow(work, f"doc_id {kind}, r0 long, r1 long, {SIGNED}")
+    return rows.mapInArrow(work, f"doc_id {kind}, r0 long, r1 long, n_shingles long, node binary, odd binary, " + ", ".join(f"{c} long" for c in s.signature))
 
 
 def keys(classes: DataFrame, s: Settings) -> DataFrame:
     """(key, node): each chunk of each signature with one place blanked, where the key's number stands instead."""
     each = []
-    for chunk in range(s.chunks):
+    for k, chunk in enumerate(s.signature):
         for place in range(PLACES):
             at = place * LANE
             others = 2 ** (PLACES * LANE) - 1 - ((2**LANE - 1) << at)
-            number = (chunk * PLACES + place + 1) << at
-            each.append(F.get("sig", F.lit(chunk)).bitwiseAND(F.lit(others)).bitwiseOR(F.lit(number).cast("long")))
+            number = (k * PLACES + place + 1) << at
+            each.append(F.col(chunk).bitwiseAND(F.lit(others)).bitwiseOR(F.lit(number).cast("long")))
     return classes.select(F.explode(F.array(*each)).alias("key"), "node")
 
 
-def may_link(s: Settings, x: str, y: str) -> Column:
-    """Of the columns x_n, x_sig, x_odd and y_n, y_sig, y_odd: near by signature, and neither sizes nor sketches rule a link out."""
-    low, high = (sum(x << (k * LANE) for k in range(PLACES)) for x in (2**VALUE - 1, 2**VALUE))
+def _told(classes: DataFrame, s: Settings, side: str) -> DataFrame:
+    """The classes' columns that ``may_link`` asks for, under names that begin with the side's."""
+    return classes.select(F.col("node").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("n_shingles", "odd", *s.signature)])
 
-    def differ(k: int) -> Column:
-        """In how many places two chunks differ: adding ``low`` sets a lane's highest bit where the lane of the difference isn't zero."""
-        d = F.get(f"{x}_sig", F.lit(k)).bitwiseXOR(F.get(f"{y}_sig", F.lit(k)))
-        return F.bit_count((d + F.lit(low)).bitwiseAND(F.lit(high)))
 
-    far = reduce(Column.__add__, [differ(k) for k in range(s.chunks)])
-    bits = reduce(Column.__add__, [F.bit_count(F.get(f"{x}_odd", F.lit(k)).bitwiseXOR(F.get(f"{y}_odd", F.lit(k)))) for k in range(s.sketch_bits // 64)])
-    n, m = F.col(f"{x}_n"), F.col(f"{y}_n")
-    sizes = (100 * n >= s.percent * m) & (100 * m >= s.percent * n)
-    return sizes & (bits * (100 + s.percent) <= (n + m) * (100 - s.percent)) & (far <= s.distance)
+def _arrays(f: pd.DataFrame, s: Settings, side: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sizes, odd sketches and signatures of a frame's rows."""
+    odd = np.frombuffer(b"".join(f[f"{side}_odd"]), np.uint64).reshape(len(f), -1)
+    return f[f"{side}_n_shingles"].to_numpy(np.int64), odd, f[[f"{side}_{c}" for c in s.signature]].to_numpy(np.int64)
 
 
-def _told(classes: DataFrame, side: str) -> DataFrame:
-    return classes.select(F.col("node").alias(side), *[F.col(c).alias(f"{side}_{short}") for c, short in (("n_shingles", "n"), ("sig", "sig"), ("odd", "odd"))])
+def far_apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many values signatures differ: adding the lower bits sets a lane's highest bit where the lane of the difference isn't zero."""
+    low, high = (np.int64(sum(v << (k * LANE) for k in range(PLACES))) for v in (2**VALUE - 1, 2**VALUE))
+    return np.bitwise_count(((x ^ y) + low) & high).sum(axis=-1)
+
+
+def may_link(s: Settings, x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Whether pairs of rows of equal shape may be links: near by signature, and neither sizes nor odd sketches rule it out."""
+    (n, p, u), (m, q, v) = x, y
+    bits = np.bitwise_count(p ^ q).sum(axis=-1, dtype=np.int64)
+    ok = (100 * n >= s.percent * m) & (100 * m >= s.percent * n) & (bits * (100 + s.percent) <= (n + m) * (100 - s.percent))
+    return ok & (far_apart(u, v) <= s.distance)
 
 
 def near(pairs: DataFrame, classes: DataFrame, s: Settings) -> DataFrame:
     """The pairs (a, b) that may be links. Many pairs may share b, a pivot."""
-    return pairs.join(_told(classes, "a"), "a").join(_told(classes, "b"), "b").where(may_link(s, "a", "b")).select("a", "b")
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            if len(f):
+                yield f.loc[may_link(s, _arrays(f, s, "a"), _arrays(f, s, "b")), ["a", "b"]]
+
+    return pairs.join(_told(classes, s, "a"), "a").join(_told(classes, s, "b"), "b").mapInPandas(work, "a binary, b binary")
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, classes: DataFrame, s: Settings, doc_id: str, text: str, others: list[str]) -> DataFrame:
@@ -282,17 +290,49 @@ def _with_pivots(members: DataFrame, among: Column) -> DataFrame:
 def _in_tiles(members: DataFrame, classes: DataFrame, s: Settings) -> DataFrame:
     """The pairs (a, b) of a bucket's members in different components that may be links: those outside the largest component against all.
 
-    A bucket of n members, m of them outside, is cut into about n / TILE by m / TILE tiles, so that no bucket lies in one task.
+    A bucket of n members, m of them outside, is cut into about n / TILE by m / TILE tiles, so that no bucket lies in one task. The
+    rows of a tile come one after another, those of its outer side first.
     """
-    told = members.join(_told(classes, "x").withColumnRenamed("x", "node"), "node")
+    told = members.join(_told(classes, s, "x").withColumnRenamed("x", "node"), "node").withColumn("outside", F.col("comp") != F.col("most"))
     cut = lambda c: F.ceil(F.col(c) / TILE).cast("int")
     block = lambda c: F.pmod(F.xxhash64("node"), cut(c)).cast("int")
     upto = lambda c: F.explode(F.sequence(F.lit(0), cut(c) - 1))
-    outside = F.col("comp") != F.col("most")
-    x = told.where(outside).withColumn("i", block("minor")).withColumn("j", upto("size")).select("key", "i", "j", F.col("node").alias("a"), F.col("comp").alias("a_comp"), "x_n", "x_sig", "x_odd")
-    y = told.withColumn("j", block("size")).withColumn("i", upto("minor")).select("key", "i", "j", F.col("node").alias("b"), F.col("comp").alias("b_comp"), outside.alias("b_out"), F.col("x_n").alias("y_n"), F.col("x_sig").alias("y_sig"), F.col("x_odd").alias("y_odd"))
-    apart = (F.col("a_comp") != F.col("b_comp")) & (~F.col("b_out") | (F.col("a") < F.col("b")))
-    return x.join(y, ["key", "i", "j"]).where(apart & may_link(s, "x", "y")).select("a", "b").distinct()
+    kept = ["node", "comp", "outside", "x_n_shingles", "x_odd", *[f"x_{c}" for c in s.signature]]
+    x = told.where("outside").withColumn("i", block("minor")).withColumn("j", upto("size")).select("key", "i", "j", F.lit(0).alias("side"), *kept)
+    y = told.withColumn("j", block("size")).withColumn("i", upto("minor")).select("key", "i", "j", F.lit(1).alias("side"), *kept)
+
+    def compare(tile: pd.DataFrame) -> pd.DataFrame:
+        x, y = tile[tile["side"] == 0], tile[tile["side"] == 1]
+        (n, p, u), (m, q, v) = _arrays(x, s, "x"), _arrays(y, s, "x")
+        code = {c: k for k, c in enumerate(dict.fromkeys(tile["comp"]))}
+        of_x, of_y = (np.array([code[c] for c in f["comp"]], np.int64) for f in (x, y))
+        order = np.argsort(np.argsort(np.array([*x["node"], *y["node"]], object), kind="stable"), kind="stable")
+        place, other, inner = order[: len(x)], order[len(x) :], y["outside"].to_numpy(bool)
+        a, b = [], []
+        for k in range(len(x)):
+            ok = (of_y != of_x[k]) & (~inner | (place[k] < other)) & (100 * n[k] >= s.percent * m) & (100 * m >= s.percent * n[k])
+            at = np.flatnonzero(ok)
+            at = at[may_link(s, (n[k], p[k], u[k]), (m[at], q[at], v[at]))]
+            a.append(np.full(len(at), k))
+            b.append(at)
+        a, b = np.concatenate(a), np.concatenate(b)
+        return pd.DataFrame({"a": x["node"].to_numpy()[a], "b": y["node"].to_numpy()[b]})
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for f in frames:
+            f = f if held is None else pd.concat([held, f], ignore_index=True)
+            tile = f[["key", "i", "j"]].to_numpy(np.int64)
+            cuts = np.flatnonzero((tile[1:] != tile[:-1]).any(axis=1)) + 1
+            begin = [0, *cuts.tolist()]
+            for lo, hi in zip(begin, begin[1:], strict=False):
+                yield compare(f.iloc[lo:hi])
+            held = f.iloc[begin[-1] :]
+        if held is not None and len(held):
+            yield compare(held)
+
+    tiles = x.unionByName(y).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
+    return tiles.mapInPandas(work, "a binary, b binary").distinct()
 
 
 def grouped(docs: DataFrame, settings: Settings | None = None, doc_id: str = "doc_id", text: str = "text", others: list[str] | None = None, kept: list[str] | None = None) -> DataFrame:
@@ -304,7 +344,7 @@ def grouped(docs: DataFrame, settings: Settings | None = None, doc_id: str = "do
     others = others or []
     scratch: list[str] = []
     signed = stored(signatures(docs, s, doc_id, text, others), kept)
-    classes = signed.where("node is not null").groupBy("node").agg(F.min(F.struct("r0", "r1")).alias("row"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("odd").alias("odd"), F.count("*").alias("class_size"))
+    classes = signed.where("node is not null").groupBy("node").agg(F.min(F.struct("r0", "r1")).alias("row"), *[F.first(c).alias(c) for c in ("n_shingles", "odd", *s.signature)], F.count("*").alias("class_size"))
     classes = stored(classes, scratch)
 
     # Buckets with two members or more, one for all that have the same members. Whatever their size, they are summed up before the shuffle.
@@ -338,7 +378,7 @@ def grouped(docs: DataFrame, settings: Settings | None = None, doc_id: str = "do
 
     named = stored(classes.select("node", "class_size").join(comps, "node", "left").select("node", "class_size", F.coalesce("comp", "node").alias("comp")), kept)
     forget(docs.sparkSession, scratch)
-    return signed.drop("sig", "odd").join(named, "node", "left")
+    return signed.select("doc_id", "r0", "r1", "n_shingles", "node").join(named, "node", "left")
 
 
 def near_duplicates(docs: DataFrame, settings: Settings | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
