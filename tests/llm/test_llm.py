@@ -1,16 +1,15 @@
 """The corpus operators against brute force, with nulls, empty and long texts, repeats and empty tables."""
 
-import hashlib
 import re
 import textwrap
 import zlib
-from itertools import combinations
 from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tests.llm.exact import near_components
 from trackloom.llm import chat_format, decontamination, license_scans, near_dups, pieces, quality_rules, secret_scans, sharding, toxicity, url_filters
 
 DOC = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -47,30 +46,10 @@ def test_url_filters(spark):
     assert url_filters.filter_urls(df.limit(0)).count() == 0
 
 
-def components(texts, ids, words=4):
-    sets = {}
-    for i, t in zip(ids, texts, strict=True):
-        w = [x for x in re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())]
-        n = min(words, len(w))
-        sets[i] = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if w else set()
-    parent = {i: i for i in ids}
-
-    def root(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for a, b in combinations(ids, 2):
-        if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
-            x, y = root(a), root(b)
-            parent[max(x, y)] = min(x, y)
-    return {i: (len(sets[i]), root(i)) for i in ids}
-
-
 def test_near_duplicates(spark):
     texts = sample()
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dups.near_duplicates(docs(spark, texts)).collect()}
-    assert got == components(texts, range(len(texts)))
+    assert got == near_components(list(enumerate(texts)))
     assert near_dups.near_duplicates(docs(spark, texts).limit(0)).count() == 0
 
 
@@ -84,7 +63,7 @@ def test_near_duplicates_of_one_large_group(spark):
             w[at] = r.choice(WORDS)
         texts.append(" ".join(w))
     got = {x.doc_id: (x.n_shingles, x.component_id) for x in near_dups.near_duplicates(docs(spark, texts)).collect()}
-    assert got == components(texts, range(len(texts)))
+    assert got == near_components(list(enumerate(texts)))
 
 
 SECRETS = ['a password = "hunter2hunter2" b', "token=token:abcdefg", "AKIA" + "A" * 16, "é AKIAAKIA" + "B" * 12 + "!", "0" * 24 + " " + "f" * 23, "api_key: 12345", "APIKEY='abcdef' secret=xx", None, "", "x" * 50000 + "ghp_" + "a" * 36]
@@ -253,7 +232,7 @@ def test_chat_branches_keep_conversations_without_an_answer(spark):
     r = got[2]
     assert r.prompt == "<|im_start|>system\nbe<|im_end|>\n<|im_start|>user\nhm<|im_end|>\n" and r.n_prompt_turns == 2
     assert (r.chosen, r.rejected, r.chosen_mask, r.rejected_mask, r.n_chosen_turns, r.n_rejected_turns) == ("", "", [], [], 0, 0)
-    assert got[4].n_prompt_turns == 1 and got[1].n_prompt_turns == 1 and "good" in got[1].chosen and "<|im_start|>assistant\n<|im_end|>" in got[1].rejected
+    assert got[4].n_prompt_turns == 1 and got[1].n_prompt_turns == 1 and "good" in got[1].chosen and got[1].rejected == "<|im_start|>assistant\nyes<|im_end|>\n"
     assert chat_format.format_pairs(chat_format.branches(turns.limit(0))).count() == 0
 
 
@@ -302,7 +281,3 @@ def test_maximal_segments_against_brute_force():
         scored = [(k, float(v)) for k, v in enumerate(x) if v != -1.0]
         best = max((x[a:b].sum() for a in range(25) for b in range(a + 1, 26)), default=0)
         assert max((s for s, _, _ in toxicity.maximal(scored, -1.0)), default=-1.0) == best
-
-
-def test_digest_of_no_spans():
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trackloom.llm.common import stored
+
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 TURNS = "array<struct<turn:bigint,role:string,text:string>>"
 
@@ -40,7 +42,8 @@ def format_pairs(turns: DataFrame, pair_id: str = "pair_id") -> DataFrame:
     ``turns``: (pair_id, side, turn, role, text) with side chosen or rejected. Turns go by number, then role and text; turns
     that repeat whole count once. Null roles count as user, null texts as empty. The longest common prefix compares role and
     text. A pair whose sides are equal has two empty completions; one that lacks a side has an empty prompt. Rows without
-    pair_id or of another side belong to no pair. A rendered conversation is one value, so a pair's turns meet in one row.
+    pair_id or of another side belong to no pair. Empty tables give no rows, and other columns don't matter. A rendered
+    conversation is one value, so a pair's turns meet in one row.
     """
     of = turns.where(F.col(pair_id).isNotNull()).select(F.col(pair_id), "side", F.struct(F.col("turn").cast("long").alias("turn"), clean(F.coalesce("role", F.lit("user"))).alias("role"), clean(F.col("text")).alias("text")).alias("t"))
     side = lambda s: F.array_sort(F.collect_set(F.when(F.col("side") == s, F.col("t")))).cast(TURNS).alias(s)
@@ -57,18 +60,43 @@ def format_pairs(turns: DataFrame, pair_id: str = "pair_id") -> DataFrame:
     )
 
 
-def branches(conversations: DataFrame) -> DataFrame:
-    """Chosen and rejected sides of every conversation: the rejected side answers last with what the next conversation's assistant says last, or with nothing where there is none.
+def branches(conversations: DataFrame, ids_per_bucket: int = 4) -> DataFrame:
+    """(pair_id, side, turn, role, text): two continuations of each conversation (conv_id, turn, role, text), as a preference table has them.
+
+    A table of conversations has no preferences. What is chosen is the conversation up to its last answer. What is rejected
+    follows it up to one of its answers, which a hash of its id picks, and goes on from there with what another conversation
+    has from its own answer of that number on, or from its last one if it has fewer, up to its last answer. The sides part
+    early or late, and their lengths differ. A conversation without an assistant's turn has no answer to reject: both sides are
+    the whole conversation. Where there is no other conversation with an answer, the rejected side ends where they part.
 
-    A conversation without an assistant's turn has no answer to reject: its sides are equal, so that format_pairs makes all its
-    turns the prompt and both completions empty. Only the last answers, one row for a conversation, are aggregated and joined
-    to the turns.
+    The other conversation is found by hashing, so ids may be of any type and have gaps: ids are dealt to as many buckets as give
+    each some ``ids_per_bucket``, and a bucket's conversations get the smallest id of the next bucket, or of the one behind it, or else
+    the largest. Null
+    ids belong to no conversation. Turns go by number, then role and text; a turn that repeats whole counts once.
     """
-    c = conversations.where(F.col("conv_id").isNotNull())
-    last = c.where(F.col("role") == "assistant").groupBy("conv_id").agg(F.max(F.struct("turn", "text")).alias("last"))
-    other = last.select((F.col("conv_id") - 1).alias("conv_id"), F.col("last.text").alias("other"))
-    known = last.select("conv_id", F.col("last.turn").alias("at")).join(other, "conv_id", "left")
-    turns = c.join(known, "conv_id", "left").select(F.col("conv_id").alias("pair_id"), "turn", "role", "text", "at", "other")
-    swapped = F.when((F.col("turn") == F.col("at")) & (F.col("role") == "assistant"), F.coalesce("other", F.lit(""))).otherwise(F.col("text"))
-    sides = F.explode(F.array(F.struct(F.lit("chosen").alias("side"), F.col("text").alias("text")), F.struct(F.lit("rejected").alias("side"), swapped.alias("text")))).alias("s")
-    return turns.select("pair_id", "turn", "role", sides).select("pair_id", "s.side", "turn", "role", "s.text")
+    rows = conversations.where(F.col("conv_id").isNotNull()).select("conv_id", F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
+    whole = rows.groupBy("conv_id").agg(F.array_sort(F.collect_set("t")).alias("turns"))
+    places = F.filter(F.sequence(F.lit(1), F.size("turns")), lambda k: F.get("turns", k - 1)["role"] == "assistant")
+    c = stored(whole.withColumn("answers", F.when(F.size("turns") > 0, places)))
+    answered = c.where(F.size("answers") > 0)
+    n = max(1, answered.count() // ids_per_bucket)
+    bucket = F.pmod(F.xxhash64(F.col("conv_id").cast("string")), F.lit(n)).alias("bucket")
+    ends = answered.groupBy(bucket).agg(F.min("conv_id").alias("low"), F.max("conv_id").alias("high"))
+    step = lambda k: ends.select(F.pmod(F.col("bucket") - k, F.lit(n)).alias("bucket"), F.col("low").alias(f"low{k}"), F.col("high").alias(f"high{k}"))
+    named = answered.select("conv_id", bucket).join(step(1), "bucket", "left").join(step(2), "bucket", "left")
+    named = named.select("conv_id", F.coalesce(*[F.when(F.col(o) != F.col("conv_id"), F.col(o)) for o in ("low1", "low2", "high1", "high2")]).alias("other"))
+    named = named.join(c.select(F.col("conv_id").alias("other"), F.col("turns").alias("o_turns"), F.col("answers").alias("o_answers")), "other", "left")
+    both = c.join(named.drop("other"), "conv_id", "left")
+
+    own = F.size("answers")
+    pick = F.pmod(F.crc32(F.col("conv_id").cast("string").cast("binary")), F.greatest(own, F.lit(1)).cast("long")).cast("int") + 1
+    upto = lambda turns, answers: F.slice(turns, F.lit(1), F.element_at(answers, -1))
+    begin = F.element_at("o_answers", F.least(pick, F.size("o_answers")))
+    other = F.slice("o_turns", begin, F.element_at("o_answers", -1) - begin + 1)
+    parted = F.concat(F.slice("turns", F.lit(1), F.element_at("answers", pick) - 1), F.coalesce(other, F.array().cast(TURNS)))
+    sides = F.array(
+        F.struct(F.lit("chosen").alias("side"), F.when(own > 0, upto("turns", "answers")).otherwise(F.col("turns")).alias("turns")),
+        F.struct(F.lit("rejected").alias("side"), F.when(own > 0, parted).otherwise(F.col("turns")).alias("turns")),
+    )
+    each = both.select(F.col("conv_id").alias("pair_id"), F.explode(sides).alias("s")).select("pair_id", "s.side", F.posexplode("s.turns").alias("turn", "t"))
+    return each.select("pair_id", "side", F.col("turn").cast("long").alias("turn"), "t.role", "t.text")

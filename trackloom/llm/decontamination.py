@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType
+from pyspark.sql.types import ArrayType, DataType, LongType, StructType
 
 WORDS = re.compile(r"[^\W_]+")
 #: Words of a block's items, at most, so that a block takes some tens of MB in a task; an item with more is a block of its own.
@@ -42,7 +42,6 @@ BLOCK_ITEMS = 4_000
 GRAM = 3
 #: Cells of the arrays made at a time, which bounds a task's memory whatever a text's length.
 CELLS = 2_000_000
-HIT = "item_id long, start long, end long, edits long"
 
 
 @dataclass(frozen=True)
@@ -97,10 +96,10 @@ def edit_distances(x: np.ndarray, windows: np.ndarray, most: int) -> tuple[np.nd
 class Index:
     """A block of items, ready to be looked up; goes to the tasks as it is."""
 
-    def __init__(self, items: list[tuple[int, str]], s: Settings):
+    def __init__(self, items: list[tuple[object, str]], s: Settings):
         self.s = s
         self.code: dict[str, int] = {}
-        self.items: list[tuple[int, np.ndarray]] = []
+        self.items: list[tuple[object, np.ndarray]] = []
         for i, t in items:
             w = words(t)
             if w:
@@ -199,8 +198,8 @@ class Index:
                 tried.setdefault(k, []).append(each)
         return {k: np.concatenate(each) for k, each in sorted(tried.items())}
 
-    def search(self, text: str | None) -> list[tuple[int, int, int, int]]:
-        """(item_id, start, end, edits) of the leaks in a text, in words, end exclusive: of each item, those that don't overlap, best first."""
+    def search(self, text: str | None) -> list[tuple[object, int, int, int]]:
+        """(item_id, start, end, edits) of the leaks in a text, in words, end exclusive, in the items' order: of each item, those that don't overlap, best first."""
         found = words(text)
         seq = np.array(list(map(self.code.get, found, repeat(0))), np.int64)
         if not seq.any():
@@ -262,19 +261,20 @@ class Index:
                     for j in np.flatnonzero(edits <= most):
                         hits.setdefault(k, []).append((int(edits[j]), int(part[j]), int(part[j] + length[j])))
         out = []
-        for k, each in hits.items():
+        for k, each in sorted(hits.items()):
             taken: list[tuple[int, int]] = []
             for edits, start, end in sorted(each):
                 if all(end <= a or start >= b for a, b in taken):
                     taken.append((start, end))
-                    out.append((self.items[k][0], start, end, edits))
-        return sorted(out)
+                    out.append((k, start, end, edits))
+        return [(self.items[k][0], start, end, edits) for k, start, end, edits in sorted(out)]
 
 
-def blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[list[tuple[int, str]]]:
-    """The items in the order of their ids, in blocks of bounded size, fetched one after another."""
+def blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[list[tuple[object, str]]]:
+    """The items in the order of their ids, null ids first, in blocks of bounded size, fetched one after another. Rows that are equal in id and text are one item."""
     block, size = [], 0
-    for r in benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(text).cast("string").alias("t")).where("t is not null").orderBy("i", "t").toLocalIterator():
+    items = benchmark.select(F.col(f"`{item_id}`").alias("i"), F.col(f"`{text}`").cast("string").alias("t")).where("t is not null").distinct()
+    for r in items.orderBy("i", "t").toLocalIterator():
         n = len(words(r["t"]))
         if block and (size + n > BLOCK_WORDS or len(block) == BLOCK_ITEMS):
             yield block
@@ -285,20 +285,22 @@ def blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[list[tuple
         yield block
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, settings: Settings | None = None, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The input's columns and ``leaks``: array of (item_id, start, end, edits), in words of the document, sorted.
+def leaks(docs: DataFrame, benchmark: DataFrame, settings: Settings | None = None, text: str = "text", item_id: str = "item_id", item_text: str = "text", out: str = "leaks") -> DataFrame:
+    """The input's columns and ``out``: array of (item_id, start, end, edits), in words of the document, by item_id (null first), then place.
 
     One row per input row, and repeated rows stay. Null, empty and word-less texts have none, as have all texts if the
-    benchmark is empty; items without words are never found. A column named leaks is replaced. Nothing is shuffled.
+    benchmark is empty; items without words are never found. Item ids are of any simple type and may be null or shared. A column
+    of the name ``out`` is replaced. Nothing is shuffled.
     """
     s = settings or Settings()
     sc = docs.sparkSession.sparkContext
-    out = docs.drop("leaks").withColumn("leaks", F.array().cast(f"array<struct<{HIT.replace(' ', ':').replace(',:', ',')}>>"))
+    kind = StructType().add("item_id", benchmark.schema[item_id].dataType).add("start", LongType()).add("end", LongType()).add("edits", LongType())
+    found = []
     for block in blocks(benchmark, item_id, item_text):
-        index = sc.broadcast(Index(block, s))
-
-        out = out.withColumn("leaks", F.array_sort(F.concat("leaks", _lookup(index, out.schema["leaks"].dataType)(F.col(text)))))
-    return out
+        found.append(_lookup(sc.broadcast(Index(block, s)), ArrayType(kind))(F.col(f"`{text}`").cast("string")))
+    # Blocks are in the order of the ids.
+    every = F.concat(*found) if found else F.array().cast(ArrayType(kind))
+    return docs.drop(out).withColumn(out, every)
 
 
 def _lookup(index: Broadcast, kind: DataType) -> Callable:

@@ -1,8 +1,8 @@
 """Licence scans by canonical digest, in DataFrame functions only.
 
 A text is brought to a canonical form: lower case, without copyright lines, punctuation and runs of white space, and with
-equivalent spellings made one. Its SHA-256 is looked up, by a hash join, among the digests of known licences. The whole text
-counts; a second digest, of each line, finds one-line notices inside longer documents, again as entire lines.
+equivalent spellings made one. Its SHA-256 is looked up, by a hash join, among the digests of known licences, which are a table.
+The whole text counts; a second digest, of each line, finds one-line notices inside longer documents, again as entire lines.
 """
 
 from __future__ import annotations
@@ -14,6 +14,10 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trackloom.llm.common import bounded, free, row_keys, stored
+
+#: Rows of the dictionary, and texts with notices, that are broadcast at most: some tens of MB. Beyond it the joins are Spark's choice.
+BROADCAST_ROWS = 200_000
 #: Spellings that licence texts use alike; each word becomes the one on the right.
 SPELLINGS = [
     ("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sublicence", "sublicense"), ("sub license", "sublicense"),
@@ -129,20 +133,25 @@ def known_licenses(spark: SparkSession, texts: list[tuple[str, str]] | None = No
 def scan_licenses(docs: DataFrame, known: DataFrame | None = None, text: str = "text", line_hint: str | None = None) -> DataFrame:
     """The input's columns and ``license_digest``, ``license`` (of the entire text, else null) and ``notices`` (sorted distinct licences of entire lines).
 
-    Null and empty texts, and those with nothing left in canonical form, have no licence. One row per input row. Columns of
-    these names in the input are replaced. ``known`` has a row per licence; the entire texts meet it in a hash join. Lines are
-    looked up, in a map of the same rows, where they match ``line_hint``; None stands for ``LINE_HINT``, a word that every known
-    text has, and for all lines if ``known`` is given.
+    Null and empty texts, and those with nothing left in canonical form, have no licence. One row per input row; empty tables
+    give none. Columns of these names in the input are replaced, others may have any name. ``known`` has rows (digest,
+    license); of rows with one digest the smallest name counts. Entire texts and lines meet it in hash joins; lines are
+    looked up where they match ``line_hint``. None stands for ``LINE_HINT``, a word that every text of ``known_texts`` has, and
+    for all lines if ``known`` is given. Notices come back to their text by 128 bits of it, so a text's copies share them.
     """
-    spark = docs.sparkSession
     if known is None:
-        known, line_hint = known_licenses(spark), line_hint or LINE_HINT
-    names = [c for c in docs.columns if c not in ("license_digest", "license", "notices", "__lines")]
+        known, line_hint = known_licenses(docs.sparkSession), line_hint or LINE_HINT
+    new = ("license_digest", "license", "notices")
+    names = [c for c in docs.columns if c.lower() not in new]
+    own = [F.col(f"`{c}`") for c in names]
     body = F.col(f"`{text}`")
-    lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(line_hint)) if line_hint else F.split(body, "\n")
-    rows = [r for r in known.collect() if r["digest"] != hashlib.sha256(b"").hexdigest()]  # as many as licences are known
-    out = docs.select(*[F.col(f"`{c}`") for c in names], digest(body).alias("license_digest"), F.transform(lines, digest).alias("__lines"))
-    out = out.join(F.broadcast(spark.createDataFrame([(r["digest"], r["license"]) for r in rows], "license_digest string, license string")), "license_digest", "left")
-    table = F.create_map(*[F.lit(x) for r in rows for x in (r["digest"], r["license"])])
-    found = F.transform(F.coalesce("__lines", F.array().cast("array<string>")), lambda d: F.element_at(table, d))
-    return out.select(*[F.col(f"`{c}`") for c in names], "license_digest", "license", F.array_sort(F.array_distinct(F.array_compact(found))).alias("notices"))
+    at = [free(c, [*names, *new]) for c in ("__r0", "__r1")]
+    keyed = docs.select(*own, digest(body).alias("license_digest"), *[k.alias(c) for k, c in zip(row_keys(text), at, strict=True)])
+    table = known.where(F.col("digest") != hashlib.sha256(b"").hexdigest()).groupBy("digest").agg(F.min("license").alias("license"))
+    table = bounded(stored(table.toDF("license_digest", "license")), BROADCAST_ROWS)
+    lines = F.split(body, "\n")
+    lines = docs.select(*[k.alias(c) for k, c in zip(row_keys(text), at, strict=True)], F.explode(F.filter(lines, lambda x: x.rlike(line_hint)) if line_hint else lines).alias("line"))
+    found = lines.select(*at, digest(F.col("line")).alias("license_digest")).join(table, "license_digest")
+    notices = stored(found.groupBy(*at).agg(F.array_sort(F.collect_set("license")).alias("notices")))
+    out = keyed.join(table, "license_digest", "left").join(bounded(notices, BROADCAST_ROWS), at, "left")
+    return out.select(*own, "license_digest", "license", F.coalesce("notices", F.array().cast("array<string>")).alias("notices"))

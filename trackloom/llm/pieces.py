@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StructType
 
+from trackloom.llm.common import free
+
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -321,4 +323,4 @@ def round_trips(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", kee
             counts = pa.array(np.diff(ends), pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids, counts, pa.array(same, pa.bool_())], [*names, "ids", "n_ids", "round_trip"])
 
-    return docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").cast("string").alias("__text")).mapInArrow(work, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").cast("string").alias(free("__text", names))).mapInArrow(work, schema)

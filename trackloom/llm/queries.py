@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm import chat_format, decontamination, license_scans, near_dups, pieces, quality_rules, secret_scans, sharding, toxicity, url_filters
-from trackloom.llm.common import LOWER, UPPER, WORD, table
+from trackloom.llm import chat_format, decontamination, license_scans, near_dups, oracles, pieces, quality_rules, secret_scans, sharding, toxicity, url_filters
+from trackloom.llm.common import shared_dir, table
 
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict = dict(oracles.ORACLES)
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,7 +33,8 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed, _ = sharding.assign(table(spark, sf_dir, "documents"), shards=16)
+    """The stored map of 16 shards, dealt in turn at first, is edited for the documents' bytes; its second version places them."""
+    placed, _ = sharding.assign(table(spark, sf_dir, "documents"), path=f"{shared_dir(spark)}/slots-{uuid.uuid4().hex}", shards=16)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")
 
 
@@ -51,13 +55,13 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality_rules.BASE, "base_failed", "kept", "chars_distance", "words_distance")
 
 
-#: The vocabulary that the encoding query and the pipeline use.
+#: The vocabulary that the encoding query and the pipeline use, unless the environment names another.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 
 
-def encoded(docs: DataFrame, vocabulary: str = VOCABULARY, keep: list[str] | None = None) -> DataFrame:
+def encoded(docs: DataFrame, vocabulary: str | None = None, keep: list[str] | None = None) -> DataFrame:
     """The input's columns, or those of ``keep``, and ids, n_ids, round_trip: whether decoding the ids gives the text."""
-    return pieces.round_trips(docs, pieces.load(vocabulary), keep=keep)
+    return pieces.round_trips(docs, pieces.load(vocabulary or os.environ.get("TRACKLOOM_PIECES", VOCABULARY)), keep=keep)
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

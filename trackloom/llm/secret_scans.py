@@ -1,23 +1,23 @@
 """Secret scans over a trigram inverted index, in DataFrame functions only.
 
 From each rule's regular expression a Boolean query on trigrams is derived: an OR of alternatives, each an AND of trigrams
-that a match cannot do without. The index holds, for every trigram that some query names, the keys of the documents that
-contain it. Intersecting its postings gives candidate (document, rule) pairs; only those run the expression on the whole
-text. A rule whose expression has an alternative without trigrams is run on every text.
+that a match cannot do without. The index, a stored table of postings, holds for every trigram that some query names the keys
+of the documents that contain it. Intersecting the postings of an alternative's trigrams gives candidate (document, rule)
+pairs; only those run the expression on the whole text. A rule whose expression has an alternative without trigrams is run on
+every text.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from functools import reduce
 from re import _constants as C
 from re import _parser as parser
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import row_key, stored
+from trackloom.llm.common import bounded, free, stored
 
 #: More alternatives than this in an expression's expansion: that part counts as unknown text.
 MOST_ALTERNATIVES = 64
@@ -52,12 +52,12 @@ RULES = [
 
 
 def _expand(tree) -> list[list[str | None]]:
-    """The expression's alternatives, each a list of literal pieces; None stands for unknown text."""
+    """The expression's alternatives, each a list of literal pieces; None stands for unknown text, as do characters beyond ASCII, whose cases are many."""
     out: list[list[str | None]] = [[]]
     for op, arg in tree:
         if op is C.LITERAL:
-            each = [[chr(arg)]]
-        elif op is C.IN and all(k is C.LITERAL for k, _ in arg) and len(arg) <= 8:
+            each = [[chr(arg) if arg < 128 else None]]
+        elif op is C.IN and all(k is C.LITERAL and v < 128 for k, v in arg) and len(arg) <= 8:
             each = [[chr(v)] for _, v in arg]
         elif op is C.SUBPATTERN:
             each = _expand(arg[-1])
@@ -67,7 +67,8 @@ def _expand(tree) -> list[list[str | None]]:
             each = ([[]] if arg[0] == 0 else []) + _expand(arg[2])
         elif op in (C.MAX_REPEAT, C.MIN_REPEAT) and arg[0] > 0:
             once = _expand(arg[2])
-            each = [[*x, None, *x] if arg[0] > 1 else [*x, None] for x in once]
+            # What is repeated may be another alternative each time; of more than two, the first and the last are known.
+            each = [[*x, *([] if arg[0] == arg[1] == 2 else [None]), *y] for x in once for y in once] if arg[0] > 1 else [[*x, None] for x in once]
         elif op is C.AT:
             each = [[]]
         else:
@@ -106,17 +107,21 @@ def trigram_finder(wanted: list[str]) -> str:
 def postings(docs: DataFrame, queries: dict[str, list[list[str]]], text: str = "text", key: str = "__key") -> DataFrame:
     """The inverted index (trigram, key), of the trigrams that the queries name. A text is read once."""
     wanted = sorted({t for q in queries.values() for alternative in q for t in alternative})
-    held = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(trigram_finder(wanted)), F.lit(1)))
-    return docs.select(key, F.explode(held).alias("t")).select(F.lower("t").alias("trigram"), key)
+    held = F.array_distinct(F.transform(F.regexp_extract_all(F.col(f"`{text}`"), F.lit(trigram_finder(wanted)), F.lit(1)), F.lower))
+    return docs.select(F.explode(held).alias("trigram"), key)
 
 
 def candidates(index: DataFrame, queries: dict[str, list[list[str]]], key: str = "__key") -> DataFrame:
-    """(key, rules): the documents whose postings fulfil a rule's query. The postings of a key meet once, as a set of trigrams."""
-    has = lambda t: F.array_contains("__set", t)
-    fits = {k: reduce(Column.__or__, [reduce(Column.__and__, map(has, alternative)) for alternative in q]) for k, q in queries.items() if q}
-    sets = index.groupBy(key).agg(F.collect_set("trigram").alias("__set"))
-    rules = F.array_compact(F.array(*[F.when(f, F.lit(k)) for k, f in fits.items()]))
-    return sets.select(key, rules.alias("__rules")).where(F.size("__rules") > 0)
+    """(key, __rules): the documents whose postings fulfil a rule's query.
+
+    The postings of each alternative's trigrams are intersected: a key is in all of them if the bits that it has from them, one
+    for each trigram, are all set. Of an alternative with more than 62 trigrams the first 62 are asked for. The queries, a few
+    rows for each rule, are a constant of the caller.
+    """
+    terms = [(t, f"{rule} {n}", rule, 1 << k, (1 << min(len(q), 62)) - 1) for rule, qs in queries.items() for n, q in enumerate(qs) for k, t in enumerate(q[:62])]
+    asked = index.sparkSession.createDataFrame(terms, "trigram string, alternative string, rule string, bit long, whole long")
+    hit = index.join(F.broadcast(asked), "trigram").groupBy(key, "alternative", "rule", "whole").agg(F.bit_or("bit").alias("bits")).where("bits = whole")
+    return hit.groupBy(key).agg(F.collect_set("rule").alias("__rules"))
 
 
 def _spans(text: Column, rule: SecretRule, order: int) -> Column:
@@ -140,10 +145,11 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def scan_secrets(docs: DataFrame, rules: list[SecretRule] | None = None, text: str = "text") -> DataFrame:
-    """The input's columns and ``secret_spans``: array of (start, o, end, kind) by start, then the rules' order.
+def scan_secrets(docs: DataFrame, rules: list[SecretRule] | None = None, text: str = "text", out: str = "secret_spans") -> DataFrame:
+    """The input's columns and ``out``: array of (start, o, end, kind) by start, then the rules' order.
 
-    Null texts count as empty. One row per input row; repeated rows stay. A column named secret_spans is replaced.
+    Null texts count as empty. One row per input row; repeated rows stay, and empty tables give none. A column of the name
+    ``out`` is replaced; other columns may have any name.
 
     Texts move at most once, and only if there are more candidate documents than BROADCAST_KEYS: else their keys are sent to
     where the texts are. A key stands for a document's whole content, so equal keys can but propose the same rules.
@@ -151,36 +157,34 @@ def scan_secrets(docs: DataFrame, rules: list[SecretRule] | None = None, text: s
     rules = RULES if rules is None else rules
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
     indexed = {k: q for k, q in queries.items() if q}
-    names = [c for c in docs.columns if c not in ("secret_spans", "__key", "__rules")]
+    names = [c for c in docs.columns if c.lower() != out.lower()]
+    key, found = free("__key", names), free("__rules", names)
+    own = [F.col(f"`{c}`") for c in names]
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     if indexed:
-        keyed = docs.select(*[F.col(f"`{c}`") for c in names], row_key(*[f"`{c}`" for c in names if c != text][:1], f"`{text}`").alias("__key"))
-        found = stored(candidates(postings(keyed, indexed, text), indexed))
-        found = F.broadcast(found) if found.count() <= BROADCAST_KEYS else found
-        docs = keyed.join(found, "__key", "left")
+        keyed = docs.select(*own, F.xxhash64(F.col(f"`{text}`")).alias(key))
+        index = stored(postings(keyed, indexed, text, key))
+        hits = stored(candidates(index, indexed, key).withColumnRenamed("__rules", found))
+        docs = keyed.join(bounded(hits, BROADCAST_KEYS), key, "left")
     else:
-        docs = docs.withColumn("__rules", F.array().cast("array<string>"))
+        docs = docs.withColumn(found, F.array().cast("array<string>"))
     nothing = F.array().cast("array<struct<start:int,o:int,end:int,kind:string>>")
     each = []
     for order, rule in enumerate(rules):
-        spans = _spans(body, rule, order)
-        if rule.kind in indexed:
-            spans = F.when(F.array_contains("__rules", rule.kind), spans).otherwise(nothing)
-        else:
-            spans = F.when(body.rlike(rule.pattern), spans).otherwise(nothing)
-        each.append(spans)
-    return docs.select(*[F.col(f"`{c}`") for c in names], F.array_sort(F.concat(*each)).alias("secret_spans"))
+        fits = F.array_contains(found, rule.kind) if rule.kind in indexed else body.rlike(rule.pattern)
+        each.append(F.when(fits, _spans(body, rule, order)).otherwise(nothing))
+    return docs.select(*own, (F.array_sort(F.concat(*each)) if each else nothing).alias(out))
 
 
-def redact(docs: DataFrame, text: str = "text", mark: str = "<{}>") -> DataFrame:
-    """``text`` with every span of ``secret_spans`` replaced by its kind's mark; spans that overlap are replaced as one, under the first one's kind."""
-    spans = F.col("secret_spans")
+def redact(docs: DataFrame, text: str = "text", mark: str = "<{}>", spans: str = "secret_spans") -> DataFrame:
+    """``text`` with every span of the column ``spans`` replaced by its kind's mark; spans that overlap are replaced as one, under the first one's kind."""
+    found, body = F.col(f"`{spans}`"), F.col(f"`{text}`")
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
-        piece = F.array(F.substring(F.col(text), acc["at"] + 1, s["start"] - acc["at"]), F.format_string(mark.replace("{}", "%s"), s["kind"]))
+        piece = F.array(F.substring(body, acc["at"] + 1, s["start"] - acc["at"]), F.format_string(mark.replace("{}", "%s"), s["kind"]))
         inside = s["start"] < acc["at"]
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], piece)).alias("out"))
 
-    folded = F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col(text), acc["at"] + 1, F.char_length(text))))
-    return docs.withColumn(text, F.when(F.size(spans) > 0, folded).otherwise(F.col(text)))
+    folded = F.aggregate(found, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(body, acc["at"] + 1, F.char_length(body))))
+    return docs.withColumn(text, F.when(F.size(found) > 0, folded).otherwise(body))

@@ -82,7 +82,7 @@ def maximal(scored: list[tuple[int, float]], default: float) -> list[tuple[float
     >>> maximal([(0, 2.0), (2, 3.0), (9, 1.0)], -1.0)
     [(4.0, 0, 3), (1.0, 9, 10)]
     """
-    stack: list[tuple[float, float, int, int]] = []  # (sum before, sum after, start, end)
+    stack: list[tuple[float, float, int, int, int]] = []  # (sum before, sum after, start, end, the nearest below with a smaller sum before)
     total, last = 0.0, 0
     for at, w in scored:
         total += default * (at - last)
@@ -92,23 +92,26 @@ def maximal(scored: list[tuple[int, float]], default: float) -> list[tuple[float
             continue
         left, right, start = total, total + w, at
         total = right
+        j = len(stack) - 1
         while True:
-            j = len(stack) - 1
+            # Whatever is stepped over here, the new segment's own link steps over from now on: the scan is linear.
             while j >= 0 and stack[j][0] >= left:
-                j -= 1
+                j = stack[j][4]
             if j < 0 or stack[j][1] >= right:
                 break
-            left, start = stack[j][0], stack[j][2]
+            left, _, start, _, below = stack[j]
             del stack[j:]
-        stack.append((left, right, start, at + 1))
-    return [(r - le, a, b) for le, r, a, b in stack]
+            j = below
+        stack.append((left, right, start, at + 1, j))
+    return [(r - le, a, b) for le, r, a, b, _ in stack]
 
 
 def sampled(docs: DataFrame, labels: DataFrame, s: Settings, doc_id: str, text: str, label: str) -> DataFrame:
-    """(label, text) of at most ``sample`` labelled rows outside the held-out third."""
+    """(label, text), distinct, of at most ``sample`` labelled ids outside the held-out third, and as many rows at most. The ids, which are bounded so, go to where the texts are."""
     own = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).where(~held_out(F.col(doc_id))).select(doc_id, F.col(label).cast("int").alias("label"))
     chosen = own.groupBy(doc_id).agg(F.max("label").alias("label")).orderBy(F.xxhash64(doc_id), doc_id).limit(s.sample)
-    return docs.select(doc_id, F.coalesce(F.col(text), F.lit("")).alias("text")).join(chosen, doc_id).select("label", "text")
+    rows = docs.select(F.col(f"`{doc_id}`").alias("i"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).join(F.broadcast(chosen.toDF("i", "label")), "i").select("label", "text").distinct()
+    return rows.orderBy(F.xxhash64("text"), "text", "label").limit(s.sample)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -137,7 +140,7 @@ def token_counts(rows: DataFrame) -> tuple[DataFrame, Row]:
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """The model of a bounded sample of labelled rows. With one label only, or none, every score is the sample's share of toxic rows, 0 if there are no rows."""
     s = settings or Settings()
-    rows = stored(sampled(docs, labels, s, doc_id, text, label).dropDuplicates(["label", "text"]))
+    rows = stored(sampled(docs, labels, s, doc_id, text, label))
     sums, totals = token_counts(rows)
     n1, n2 = totals["t"] or 0, totals["o"] or 0
     weights: dict[str, float] = {}
@@ -220,12 +223,12 @@ def _judge(shared: Broadcast):
     return judge
 
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The input's columns and ``toxicity``: (score, passages), passages in tokens, end exclusive.
+def score(docs: DataFrame, model: Model, text: str = "text", out: str = "toxicity") -> DataFrame:
+    """The input's columns and ``out``: (score, passages), passages in tokens, end exclusive.
 
-    One row per input row, repeated rows too. Null and empty texts have no passage and the score of no evidence. A column
-    named toxicity is replaced. Texts are scanned whole, where they are; nothing is shuffled. The model's tokens are bounded
+    One row per input row, repeated rows too; empty tables give none. Null and empty texts have no passage and the score of no
+    evidence. A column of the name ``out`` is replaced. Texts are scanned whole, where they are; nothing is shuffled. The model's tokens are bounded
     by Settings.vocabulary, which bounds what is broadcast.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.drop("toxicity").withColumn("toxicity", _judge(shared)(F.col(text)))
+    return docs.drop(out).withColumn(out, _judge(shared)(F.col(f"`{text}`")))

@@ -1,11 +1,12 @@
 """URL filters: pattern rules found through their rarest literal token.
 
-Every rule is a regular expression over ``host + path`` of a URL. From each rule's pattern the literal tokens (runs of
-letters and digits that every match must contain whole) are known; the rule is filed under the one that fewest URLs of the
-corpus contain. A URL's own tokens fetch its candidate rules from that index, and only those run their expressions. Rules
+Every rule is a regular expression over ``host + path`` of a URL, the host in lower case. From the parsed expression the literal
+tokens (runs of letters and digits that every match contains whole) are derived; the rule is filed under the one that fewest URLs
+of the corpus contain. A URL's own tokens fetch its candidate rules from that index, and only those run their expressions. Rules
 without a literal token are tried on every URL.
 
-The rule list is an argument that the caller holds in memory, so what is shipped to the tasks is bounded by it.
+Rules are an argument that the caller holds in memory, or lines of a block list table, of which there are some hundred thousand
+at most; the index goes to the tasks once.
 """
 
 from __future__ import annotations
@@ -13,12 +14,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from re import _constants as C
+from re import _parser as parser
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import ASCII_LOWER
+from trackloom.llm.common import ASCII_LOWER, LOWER, UPPER, free
 
 TOKEN = r"[a-z0-9]+"
 ALLOW, BLOCK = "allow", "block"
@@ -26,7 +29,7 @@ ALLOW, BLOCK = "allow", "block"
 
 @dataclass(frozen=True)
 class Rule:
-    """``tokens``: literal tokens that any match contains. ``weight``: the heaviest fitting rule decides."""
+    """``tokens``: literal tokens that any match contains, in lower case. ``weight``: the heaviest fitting rule decides."""
 
     name: str
     verdict: str
@@ -36,20 +39,92 @@ class Rule:
     reported: bool = True
 
 
+def _sequence(tree) -> list[str | None]:
+    """An expression as characters, None for unknown text and "" for a place where a token may end: only what every match has."""
+    out: list[str | None] = []
+    for op, arg in tree:
+        if op is C.LITERAL and arg < 128:
+            out.append(chr(arg))
+        elif op is C.SUBPATTERN:
+            out += _sequence(arg[-1])
+        elif op is C.BRANCH or op in (C.MAX_REPEAT, C.MIN_REPEAT) and arg[0] == 0:
+            out.append(None)
+        elif op in (C.MAX_REPEAT, C.MIN_REPEAT):
+            once = _sequence(arg[2])
+            out += once * arg[0] if arg[0] == arg[1] <= 3 else [*once, None, *once] if arg[0] > 1 else [None, *once, None]
+        elif op is C.AT and arg in (C.AT_BEGINNING, C.AT_BEGINNING_STRING, C.AT_END, C.AT_END_STRING, C.AT_BOUNDARY):
+            out.append("")
+        elif op is C.IN and all(k is C.LITERAL and not chr(v).isalnum() for k, v in arg):
+            out.append("/")
+        else:
+            out.append(None)
+    return out
+
+
+def tokens_of(pattern: str) -> tuple[str, ...]:
+    """The tokens that every text has which the expression matches, in lower case: runs of letters and digits that nothing can lengthen.
+
+    >>> tokens_of(r"/wp-admin/[a-z]+\\.php")
+    ('admin', 'wp')
+    """
+    found, run, whole = set(), "", False
+    for ch in [*_sequence(parser.parse(pattern)), None]:
+        if ch is not None and ch != "" and ch.isalnum():
+            run += ch.lower()
+            continue
+        if run and whole and ch is not None:
+            found.add(run)
+        run, whole = "", ch is not None
+    return tuple(sorted(found))
+
+
 def host_rule(verdict: str, host: str, path: str) -> Rule:
-    """A rule for a host with its subdomains and a path prefix, which begins with a slash. The prefix's last token may go on in the URL, so it is no whole token unless a delimiter ends it."""
-    whole = re.findall(TOKEN, host) + [m.group() for m in re.finditer(TOKEN, path.translate(ASCII_LOWER)) if m.end() < len(path)]
-    return Rule(host + path, verdict, rf"^(?:[^/]*\.)?{re.escape(host + path)}", tuple(whole), 1000 + len(host) + len(path))
+    """A rule for a host with its subdomains and a path prefix, which begins with a slash."""
+    pattern = rf"\A(?:[^/]*\.)?{re.escape(host + path)}"
+    return Rule(host + path, verdict, pattern, tokens_of(pattern.replace("(?:[^/]*\\.)?", "")), 1000 + len(host) + len(path))
 
 
 def label_rule(verdict: str, label: str) -> Rule:
     """A rule for any host that has this label, as in ``||label.`` of block lists. It yields to host rules."""
-    return Rule(f"||{label}.", verdict, rf"^(?:[^/]*\.)?{re.escape(label)}\.", tuple(re.findall(TOKEN, label)), len(label), False)
+    pattern = rf"\A(?:[^/]*\.)?{re.escape(label)}\."
+    return Rule(f"||{label}.", verdict, pattern, tokens_of(pattern.replace("(?:[^/]*\\.)?", "")), len(label), False)
+
 
+def domain_rule(verdict: str, host: str) -> Rule:
+    """A rule for a host with its subdomains, as in ``||host^`` of block lists."""
+    pattern = rf"\A(?:[^/]*\.)?{re.escape(host)}(?::\d+)?(?:/|\Z)"
+    return Rule(f"||{host}^", verdict, pattern, tokens_of(rf"\A{re.escape(host)}\Z"), len(host), False)
 
-def pattern_rule(verdict: str, name: str, pattern: str, tokens: tuple[str, ...] = ()) -> Rule:
-    """Any expression over host + path; the caller names the literal tokens it knows of."""
-    return Rule(name, verdict, pattern, tokens, 1, False)
+
+def pattern_rule(verdict: str, name: str, pattern: str) -> Rule:
+    """Any expression over host + path; its classes and its flag for either case know ASCII only."""
+    return Rule(name, verdict, pattern, tokens_of(pattern), 1, False)
+
+
+def list_rule(line: str | None) -> Rule | None:
+    """A line of a block list: ``||host^``, ``||label.``, ``@@`` before either for an exception, ``/expression/``, or a line of a hosts file (``0.0.0.0 host``). None for comments and what else there may be.
+
+    >>> list_rule("||Ads.example^").name, list_rule("0.0.0.0 bad.example").name, list_rule("! comment")
+    ('||ads.example^', '||bad.example^', None)
+    """
+    line = (line or "").strip()
+    verdict = ALLOW if line.startswith("@@") else BLOCK
+    line = line.removeprefix("@@")
+    if m := re.fullmatch(r"\|\|([^/^*$|\s]+)\^", line):
+        return domain_rule(verdict, m[1].translate(ASCII_LOWER))
+    if m := re.fullmatch(r"\|\|([^/^*$|\s]+)\.", line):
+        return label_rule(verdict, m[1].translate(ASCII_LOWER))
+    if m := re.fullmatch(r"(?:0\.0\.0\.0|127\.0\.0\.1)\s+(\S+)(?:\s*#.*)?", line):
+        return domain_rule(verdict, m[1].translate(ASCII_LOWER))
+    if len(line) > 2 and line[0] == line[-1] == "/":
+        return pattern_rule(verdict, line, line[1:-1])
+    return None
+
+
+def list_rules(lines: DataFrame, col: str = "line") -> list[Rule]:
+    """The rules of a block list table, each once, in the order of their names. A list is small beside the URLs: it is an argument, like any rules."""
+    found = {r.name: r for row in lines.select(F.col(f"`{col}`")).distinct().toLocalIterator() if (r := list_rule(row[0]))}
+    return [found[k] for k in sorted(found)]
 
 
 #: The site policy that reports its rule.
@@ -67,8 +142,8 @@ LIST_RULES = [
     label_rule(BLOCK, "ads-track"),
     label_rule(BLOCK, "casino"),
     label_rule(BLOCK, "doubleclick"),
-    pattern_rule(BLOCK, "/wp-admin/", r"/wp-admin/", ("wp", "admin")),
-    pattern_rule(BLOCK, "executables", r"\.(?:exe|apk|msi)$"),
+    pattern_rule(BLOCK, "/wp-admin/", r"/wp-admin/"),
+    pattern_rule(BLOCK, "executables", r"(?i)\.(?:exe|apk|msi)\Z"),
 ]
 
 
@@ -86,8 +161,9 @@ def token_counts(urls: DataFrame, col: str, rules: list[Rule]) -> dict[str, int]
     wanted = sorted({t for r in rules for t in r.tokens})
     if not wanted:
         return {}
-    seen = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(col), F.lit(""))), F.lit(TOKEN), F.lit(0)))
-    rows = urls.select(F.explode(F.array_intersect(seen, F.array(*map(F.lit, wanted)))).alias("t")).groupBy("t").count().collect()
+    seen = F.array_distinct(F.regexp_extract_all(F.translate(F.coalesce(F.col(f"`{col}`").cast("string"), F.lit("")), UPPER, LOWER), F.lit(TOKEN), F.lit(0)))
+    asked = urls.sparkSession.createDataFrame([(t,) for t in wanted], "t string")
+    rows = urls.select(F.explode(seen).alias("t")).join(F.broadcast(asked), "t").groupBy("t").count().collect()
     return {t: 0 for t in wanted} | {r["t"]: r["count"] for r in rows}
 
 
@@ -112,11 +188,18 @@ def filter_urls(urls: DataFrame, rules: list[Rule] | None = None, col: str = "ur
     the token counts.
     """
     rules = SITE_RULES + LIST_RULES if rules is None else rules
-    index, rest = build_index(rules, token_counts(urls, col, rules))
+    shared = urls.sparkSession.sparkContext.broadcast(build_index(rules, token_counts(urls, col, rules)))
 
     def judge(frames: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        known: dict[str, re.Pattern] = {r.pattern: re.compile(r.pattern) for r in rules}
+        index, rest = shared.value
+        known: dict[str, re.Pattern] = {}
         token = re.compile(TOKEN)
+
+        def fits(r: Rule, at: str) -> bool:
+            if r.pattern not in known:
+                known[r.pattern] = re.compile(r.pattern, re.ASCII)
+            return known[r.pattern].search(at) is not None
+
         for batch in frames:
             out = []
             for url in batch:
@@ -125,13 +208,14 @@ def filter_urls(urls: DataFrame, rules: list[Rule] | None = None, col: str = "ur
                     out.append((host, path, None, BLOCK, None))
                     continue
                 at, best = host + path, None
-                fetched = [r for t in set(token.findall(at.lower())) for r in index.get(t, ())]
+                fetched = [r for t in set(token.findall(at.translate(ASCII_LOWER))) for r in index.get(t, ())]
                 for r in (*fetched, *rest):
-                    if (best is None or (r.weight, r.verdict, best.name) > (best.weight, best.verdict, r.name)) and known[r.pattern].search(at):
+                    if (best is None or (r.weight, r.verdict, best.name) > (best.weight, best.verdict, r.name)) and fits(r, at):
                         best = r
                 out.append((host, path, best.name if best and best.reported else None, best.verdict if best else ALLOW, best.name if best else None))
             yield pd.DataFrame(out, columns=["host", "path", "rule", "verdict", "matched_rule"])
 
     judged = F.pandas_udf(judge, "host string, path string, rule string, verdict string, matched_rule string")
-    kept = [c for c in urls.columns if c not in ("host", "path", "rule", "verdict", "matched_rule", col)]
-    return urls.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{col}`"), judged(F.col(f"`{col}`").cast("string")).alias("__j")).select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{col}`"), "__j.*")
+    kept = [F.col(f"`{c}`") for c in urls.columns if c.lower() not in ("host", "path", "rule", "verdict", "matched_rule")]
+    out = free("__j", urls.columns)
+    return urls.select(*kept, judged(F.col(f"`{col}`").cast("string")).alias(out)).select(*kept, f"{out}.*")
