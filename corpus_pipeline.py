@@ -6,36 +6,43 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackloom.llm import decontamination, near_dups, queries, secret_scans, toxicity
-from trackloom.llm.common import stored, table
+from trackloom.llm.common import free, stored, table
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score as toxic go."""
+    """Documents that score as toxic go. Null and empty texts stay, repeated rows go or stay together, and all columns stay as they are."""
+    out = free("toxicity", docs.columns)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    judged = toxicity.score(docs, model)
-    return judged.where(F.col("toxicity.score") < toxicity.Settings().threshold).drop("toxicity")
+    judged = toxicity.score(docs, model, out=out)
+    return judged.where(F.col(out)["score"] < toxicity.Settings().threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, the document with the smallest id stays; without words or an id a document stays too."""
-    groups = near_dups.near_duplicates(docs, near_dups.Settings(words=5))
-    gone = groups.where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """Of each group of near duplicates one row stays, that with the smallest id; rows without words stay, those with a null text too.
+
+    Rows go, not ids: a text of its own stays though its id also names a copy. Of rows that are equal throughout one stays.
+    """
+    return near_dups.survivors(docs, near_dups.Settings(words=5))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    return decontamination.leaks(docs, table(spark, sf_dir, "benchmark")).where(F.size("leaks") == 0).drop("leaks")
+    """Documents that hold a benchmark item go. Null and empty texts stay, repeated rows go or stay together, and all columns stay as they are."""
+    out = free("leaks", docs.columns)
+    found = decontamination.leaks(docs, table(spark, sf_dir, "benchmark"), out=out)
+    return found.where(F.size(out) == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by marks; n_chars follows the text."""
-    found = secret_scans.redact(secret_scans.scan_secrets(docs))
-    return found.withColumn("n_chars", F.when(F.size("secret_spans") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    """Secrets are replaced by marks; n_chars, if there is such a column, follows a text that changes. No row goes; null texts stay null."""
+    out = free("secret_spans", docs.columns)
+    found = secret_scans.redact(secret_scans.scan_secrets(docs, out=out), spans=out)
+    if "n_chars" in docs.columns:
+        found = found.withColumn("n_chars", F.when(F.size(out) > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
+    return found.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds ids, n_ids, and whether decoding gives the text back."""
+    """Adds ids, n_ids and round_trip, in place of columns of these names. No row goes; null texts have no ids."""
     return queries.encoded(docs)
 
 
