@@ -1,4 +1,6 @@
-from trackloom.operators import boxes, changes
+import pytest
+
+from trackloom.operators import boxes, changes, work
 
 
 def test_field_changes_and_nulls(spark):
@@ -8,17 +10,42 @@ def test_field_changes_and_nulls(spark):
 
 
 def test_add_parts_by_path(spark):
-    old = spark.createDataFrame([(1, "A\\b/")], "task_id long, path string")
-    new = spark.createDataFrame([(1, 2, "a/B"), (1, 3, "c"), (1, 4, "C/")], "task_id long, part_index int, path string")
-    assert {r.part_index: r.accepted for r in changes.add_parts(old, new).collect()} == {2: False, 3: True, 4: False}
+    old = spark.createDataFrame([(1, 1, "A\\b"), (1, 5, "x/y")], "task_id long, part_index int, path string")
+    paths = ["a\\B\\", "c", "C", "./c", "x//y", "D:/q", "d:\\Q", None]
+    new = spark.createDataFrame([(1, k, p) for k, p in enumerate(paths)], "task_id long, part_index int, path string")
+    got = {r.part_index: (r.accepted, r.new_index) for r in changes.add_parts(old, new).collect()}
+    assert got == {0: (False, None), 1: (True, 6), 2: (True, 7), 3: (False, None), 4: (False, None), 5: (True, 8), 6: (False, None), 7: (True, 9)}
 
 
 def test_reassign_frees_unfinished_parts(spark):
-    tasks = spark.createDataFrame([(1, "ann")], "task_id long, publisher string")
-    parts = spark.createDataFrame([(1, "ann", "rework"), (2, "ann", "completed"), (3, None, "pending")], "part_id long, annotator string, status string")
-    moved, freed = changes.reassign(tasks, parts, "ann", "bo")
-    assert moved.first().publisher == "bo"
-    assert sorted(map(tuple, freed.select("part_id", "annotator", "status").collect())) == [(1, None, "pending"), (2, "ann", "completed"), (3, None, "pending")]
+    tasks = spark.createDataFrame([(1, "ann", "ann"), (2, "cy", "ann"), (3, "ann", None)], "task_id long, publisher string, manager string")
+    parts = spark.createDataFrame([(1, "ann", "rework", 9.0), (2, "ann", "completed", 8.0), (3, None, "pending", 0.0), (4, "ann", "paused", 7.0)], "part_id long, annotator string, status string, work_seconds double")
+    sessions = spark.createDataFrame([(1, 1), (2, 2), (3, 4)], "session_id long, part_id long")
+    after = changes.reassign(tasks, parts, sessions, "ann", "bo")
+    assert sorted((r.task_id, r.publisher, r.manager) for r in after["tasks"].collect()) == [(1, "bo", "bo"), (2, "cy", "cy"), (3, "bo", None)]
+    assert sorted((r.part_id, r.annotator, r.status, r.work_seconds) for r in after["parts"].collect()) == [(1, None, "pending", 0.0), (2, "ann", "completed", 8.0), (3, None, "pending", 0.0), (4, None, "pending", 0.0)]
+    assert [r.part_id for r in after["sessions"].collect()] == [2] and after["comments"].count() == 2
+    assert sorted((r.task_id, r.field, r.old, r.new) for r in after["audit"].collect()) == [(1, "publisher", "ann", "bo"), (2, "manager", "ann", "cy"), (3, "publisher", "ann", "bo")]
+
+
+def test_ranks_go_over_all_active_tasks(spark):
+    rows = [(1, 5, 1, False, "in_progress"), (2, 5, 2, False, "completed"), (3, 2, 1, False, "ready"), (4, 5, 3, False, "ready"), (5, 1, 1, True, "ready")]
+    tasks = spark.createDataFrame(rows, "task_id long, rank int, updated_at long, deleted boolean, status string")
+    ranked = work.normalize_ranks(tasks)
+    assert {r.task_id: (r.new_rank, r.changed) for r in ranked.collect()} == {3: (1, True), 4: (2, True), 1: (3, True)}
+    moved, audit = work.move_rank(ranked, 1, 1)
+    assert {r.task_id: r.moved_rank for r in moved.collect()} == {1: 1, 3: 2, 4: 3} and audit.count() == 3
+    assert {r.task_id: r.moved_rank for r in work.move_rank(ranked, 3, 99)[0].collect()} == {4: 1, 1: 2, 3: 3}
+    with pytest.raises(ValueError):
+        work.move_rank(ranked, 2, 1)
+
+
+def test_schedule_adds_hours_over_the_whole_list(spark):
+    rows = [(1, 1, 1, False, "8", None, None), (2, 0, 1, False, "", "1,600", "100"), (3, 2, 1, False, None, "100-200", "10"), (4, 3, 1, False, "4", None, None)]
+    tasks = spark.createDataFrame(rows, "task_id long, rank int, updated_at long, deleted boolean, estimated_hours string, data_amount string, hourly_capacity string")
+    done = spark.createDataFrame([(4, True)], "task_id long, done boolean")
+    got = [(r.task_id, r.hours, r.days, str(r.due)) for r in work.schedule(tasks, done, 1, "2024-02-02").collect()]
+    assert got == [(1, 8.0, 1, "2024-02-02"), (2, 16.0, 3, "2024-02-06"), (3, 0.0, None, "None"), (4, 4.0, None, "None")]
 
 
 def test_keyframes_stop_at_the_first_disabled(spark):

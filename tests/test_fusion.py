@@ -11,8 +11,16 @@ def test_components_become_tracks(spark):
     merged = fusion.merge_components(frames, members, videos)
     a = merged.where("component = 'a'").orderBy("frame_id").collect()
     assert [(r.class_id, r.x1) for r in a] == [(2, 11.0), (2, 15.0), (2, 19.0), (2, 22.0)]
-    final = fusion.final_tracks(merged, members, videos).orderBy("track_id", "frame_id").collect()
-    assert [(r.track_id, r.frame_id) for r in final] == [(1, 0), (1, 1), (2, 0), (2, 1), (2, 2), (2, 3)]  # c is too short, b comes first
+    final = fusion.final_tracks(merged, members, videos, 2, 1).orderBy("track_id", "frame_id").collect()
+    assert [(r.track_id, r.frame_id) for r in final] == [(1, 0), (1, 1), (1, 2), (1, 3), (2, 0), (2, 1)]  # c is too short, forward tracklets come first
+
+
+def test_class_ties_go_to_the_first_tracklet(spark):
+    videos = spark.createDataFrame([(1, 100, 100)], "video_id long, width int, height int")
+    rows = [(1, "forward", 7, f, 5, 0.0, 0.0, 10.0, 10.0) for f in range(3)] + [(1, "backward", 1, f, 3, 0.0, 0.0, 10.0, 10.0) for f in range(3)]
+    frames = spark.createDataFrame(rows, "video_id long, direction string, tracklet_idx long, frame_id long, class_id int, x1 double, y1 double, x2 double, y2 double")
+    members = spark.createDataFrame([(1, "forward", 7, "a"), (1, "backward", 1, "a")], "video_id long, direction string, tracklet_idx long, component string")
+    assert {r.class_id for r in fusion.merge_components(frames, members, videos).collect()} == {5}
 
 
 def test_boxes_far_from_the_leading_one_are_left_out(spark):

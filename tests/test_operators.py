@@ -70,16 +70,6 @@ def test_working_days_and_weeks(spark):
     assert tuple(r) == ("2024-02-02", "2024-02-05", "2024-02-05", "2026-07-21", "2026-07-14")
 
 
-@pytest.mark.parametrize("method", ["sort", "bytetrack", "oc_sort"])
-def test_tracker_invariants(spark, method):
-    d = fixture(spark, SF, "fx_detections").where("video_id < 2")
-    out = tracking.run_tracker(d, method).toPandas()
-    assert not out.duplicated(["video_id", "direction", "frame_id", "det_idx"]).any()
-    assert not out.duplicated(["video_id", "direction", "tracklet_idx", "frame_id"]).any()
-    if method == "sort":
-        assert len(out) == 2 * d.count()
-
-
 def test_unknown_methods(spark):
     d = fixture(spark, SF, "fx_detections")
     with pytest.raises(ValueError, match="bytetrack"):

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ntpath
+import posixpath
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,17 +20,31 @@ def field_changes(before: DataFrame, after: DataFrame, key: str, fields: list[st
     return b.join(a, key).select(key, each.alias("c")).select(key, "c.*").where(~F.col("old").eqNullSafe(F.col("new")))
 
 
+def normal_path(p: str | None) -> str | None:
+    if p is None:
+        return None
+    return ntpath.normcase(ntpath.normpath(p)) if "\\" in p or ntpath.splitdrive(p)[0] else posixpath.normpath(p)
+
+
 def path_key(path: Column) -> Column:
-    """Backslashes as slashes, no slash at the end, lower case."""
-    return F.lower(F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), "/+$", ""))
+    """Normalised paths, equal for names of one place: those with a backslash or a drive without case and with backslashes, others as they are written."""
+
+    @F.pandas_udf("string")
+    def key(paths: pd.Series) -> pd.Series:
+        return paths.map(normal_path)
+
+    return key(path)
 
 
 def add_parts(existing: DataFrame, new: DataFrame) -> DataFrame:
-    """``new`` with ``accepted``: its path is in no part of its task, and is the first of its kind (by part_index) among the new ones."""
+    """``new`` with ``accepted`` and ``new_index``: accepted if its path is in no part of its task and is the first of its kind (by part_index) among the new ones; its index then goes on from the task's largest."""
     known = existing.select("task_id", path_key(F.col("path")).alias("key")).distinct().withColumn("known", F.lit(True))
+    top = existing.groupBy("task_id").agg(F.max("part_index").alias("top"))
     keyed = new.withColumn("key", path_key(F.col("path")))
     place = F.row_number().over(Window.partitionBy("task_id", "key").orderBy("part_index"))
-    return keyed.withColumn("place", place).join(known, ["task_id", "key"], "left").withColumn("accepted", F.col("known").isNull() & (F.col("place") == 1)).drop("key", "place", "known")
+    marked = keyed.withColumn("place", place).join(known, ["task_id", "key"], "left").withColumn("accepted", F.col("known").isNull() & (F.col("place") == 1)).drop("key", "place", "known")
+    nth = F.count_if("accepted").over(Window.partitionBy("task_id").orderBy("part_index").rowsBetween(Window.unboundedPreceding, 0))
+    return marked.join(top, "task_id", "left").withColumn("new_index", F.when(F.col("accepted"), F.coalesce("top", F.lit(0)) + nth)).drop("top")
 
 
 def history(events: DataFrame, key: str, at: str, tie: str, fields: list[str]) -> DataFrame:
@@ -47,7 +65,7 @@ def check_ins(sessions: DataFrame) -> DataFrame:
 
 
 def reminders(rules: DataFrame, events: DataFrame, users: DataFrame) -> DataFrame:
-    """(event_id, username): rules of an event's task, and those without a task, reach their user; once each, and active users only."""
+    """(event_id, username): rules of an event's task, and those without a task, reach their user; once each, and active users only. Each rule without a task reaches its user for every event, so the result is that large."""
     own = events.join(rules.where("task_id is not null"), "task_id").select("event_id", "username")
     # Rules for all tasks meet all events, which is their purpose: dealt over 64 keys, so that no key holds them all.
     everywhere = rules.where("task_id is null").select("username").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(63).cast("bigint"))))
@@ -55,17 +73,32 @@ def reminders(rules: DataFrame, events: DataFrame, users: DataFrame) -> DataFram
     return own.union(tasks).distinct().join(users.where("is_active").select("username"), "username", "left_semi").select("event_id", "username")
 
 
-def soft_delete(tasks: DataFrame, gone: DataFrame) -> DataFrame:
-    """Marks tasks as deleted and ranks the others of each project anew; columns as ``normalize_ranks``."""
+def soft_delete(tasks: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(active tasks with new ranks, audit rows): tasks are marked as deleted and the others ranked anew; columns as ``normalize_ranks``."""
     marked = tasks.join(gone.select("task_id").distinct().withColumn("gone", F.lit(True)), "task_id", "left")
-    return work.normalize_ranks(marked.withColumn("deleted", F.col("deleted") | F.coalesce("gone", F.lit(False))).drop("gone"))
-
-
-def reassign(tasks: DataFrame, parts: DataFrame, username: str, heir: str) -> tuple[DataFrame, DataFrame]:
-    """A person leaves: their tasks go to ``heir``, their unfinished parts are open again."""
-    held = (F.col("annotator") == username) & F.col("status").isin("in_progress", "rework")
-    free = parts.withColumns({"status": F.when(held, "pending").otherwise(F.col("status")), "annotator": F.when(held, None).otherwise(F.col("annotator"))})
-    return tasks.withColumn("publisher", F.when(F.col("publisher") == username, heir).otherwise(F.col("publisher"))), free
+    audit = marked.where("gone and not deleted").select("task_id", F.lit("delete_task").alias("action"), F.lit("deleted").alias("field"), F.lit("0").alias("old"), F.lit("1").alias("new"))
+    return work.normalize_ranks(marked.withColumn("deleted", F.col("deleted") | F.coalesce("gone", F.lit(False))).drop("gone")), audit
+
+
+def reassign(tasks: DataFrame, parts: DataFrame, sessions: DataFrame, username: str, heir: str) -> dict[str, DataFrame]:
+    """A person leaves: tasks, parts, sessions, audit and comments as they are then.
+
+    Tasks that the person published go to ``heir``, who also manages them if the person did; other tasks that the person
+    managed are managed by their publisher. Parts in progress, paused or in rework are open again, without times and
+    sessions, and have a comment.
+    """
+    mine, managed = F.col("publisher") == username, F.coalesce(F.col("manager") == username, F.lit(False))
+    publisher = F.when(mine, heir).otherwise(F.col("publisher"))
+    after = tasks.withColumn("manager", F.when(managed & mine, heir).when(managed, F.col("publisher")).otherwise(F.col("manager"))).withColumn("publisher", publisher)
+    row = lambda when, field, new: tasks.where(when).select("task_id", F.lit("delete_user").alias("action"), F.lit(field).alias("field"), F.lit(username).alias("old"), new.alias("new"))
+    audit = row(mine, "publisher", F.lit(heir)).unionByName(row(managed & ~mine, "manager", F.col("publisher")))
+    held = F.coalesce((F.col("annotator") == username) & F.col("status").isin("in_progress", "paused", "rework"), F.lit(False))
+    freed = parts.where(held).select("part_id")
+    cleared = {"status": F.lit("pending"), "annotator": F.lit(None), "work_seconds": F.lit(0.0)} | {c: F.lit(None) for c in ("submitted_at", "claimed_at", "reviewed_at")}
+    kinds = dict(parts.dtypes)
+    free = parts.select(*[F.when(held, cleared[c].cast(kinds[c])).otherwise(F.col(c)).alias(c) if c in cleared else F.col(c) for c in parts.columns])
+    comments = freed.select("part_id", F.lit(heir).alias("actor"), F.lit("return").alias("kind"))
+    return {"tasks": after, "parts": free, "sessions": sessions.join(freed, "part_id", "left_anti"), "audit": audit, "comments": comments}
 
 
 def accumulated(sessions: DataFrame) -> DataFrame:

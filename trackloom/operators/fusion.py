@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.functions import geometry as G
-from trackloom.operators import tracks
+from trackloom.operators import tracking, tracks
 
 PAIR = ["video_id", "f_idx", "b_idx"]
 
@@ -99,6 +99,45 @@ def all_pairs(fwd: DataFrame, bwd: DataFrame, iou: float) -> DataFrame:
     return _members(fwd, bwd).join(named, key, "left").withColumn("component", F.coalesce("component", F.concat(F.substring("direction", 1, 1), "tracklet_idx")))
 
 
+def nms(fwd: DataFrame, bwd: DataFrame, iou: float) -> DataFrame:
+    """bidirectional_iou, of whose components one that overlaps a better one goes; ``position`` is the start frame's order, equals in that of their scores.
+
+    A component's score is its longest tracklet's length, its best quality and a quarter for each tracklet. Two overlap if any
+    tracklets of theirs do: mean overlap ``iou``, six tenths of the shorter, a gap of 1.5 diagonals at most. Which pairs do is a
+    join on the frame; what stays is chosen per video, whose overlapping components are few.
+    """
+    who = ["video_id", "direction", "tracklet_idx"]
+    members = bidirectional_iou(fwd, bwd, iou)
+    every = fwd.select("video_id", F.lit("forward").alias("direction"), "tracklet_idx", "frame_id", *tracks.BOX).unionByName(bwd.select("video_id", F.lit("backward").alias("direction"), "tracklet_idx", "frame_id", *tracks.BOX))
+    quality = tracks.tracklet_quality(every.withColumn("track_id", F.struct("direction", "tracklet_idx")).withColumn("class_id", F.lit(0))).select("video_id", "track_id.*", "n", "quality")
+    ahead = F.struct((F.col("direction") == "backward").alias("b"), "tracklet_idx")
+    starts = every.groupBy(*who).agg(F.min("frame_id").alias("start"))
+    scored = members.join(quality, who).join(starts, who).groupBy("video_id", "component").agg(
+        (F.max("n") + F.max("quality") + 0.25 * F.count("*")).alias("score"), F.min("start").alias("start"), F.min(ahead).alias("ahead")
+    )
+    # Pairs of tracklets of different components, each pair once; a tracklet's number is its direction and index.
+    numbered = every.withColumn("tracklet_idx", F.struct("direction", "tracklet_idx"))
+    pairs = tracks.pair_overlap(numbered, numbered, apart=True)
+    close = pairs.where((F.col("mean_iou") >= iou) & (F.col("overlap_ratio") >= 0.6) & (F.col("normalized_gap") <= 1.5))
+    of = lambda c: members.select("video_id", F.struct("direction", "tracklet_idx").alias(f"{c}_idx"), F.col("component").alias(f"{c}_component"))
+    meets = close.join(of("f"), ["video_id", "f_idx"]).join(of("b"), ["video_id", "b_idx"]).where("f_component <> b_component")
+    beside = meets.select("video_id", F.col("f_component").alias("component"), F.col("b_component").alias("other")).union(meets.select("video_id", "b_component", "f_component")).distinct()
+    listed = scored.join(beside.groupBy("video_id", "component").agg(F.collect_list("other").alias("others")), ["video_id", "component"], "left")
+
+    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.assign(b=[a["b"] for a in pdf["ahead"]], i=[a["tracklet_idx"] for a in pdf["ahead"]])
+        pdf = pdf.sort_values(["score", "b", "i"], ascending=[False, True, True], kind="stable")
+        kept: list[str] = []
+        for c, others in zip(pdf["component"], pdf["others"], strict=True):
+            if others is None or not set(others) & set(kept):
+                kept.append(c)
+        pdf = pdf[pdf["component"].isin(kept)].sort_values("start", kind="stable")
+        return pdf.assign(position=range(len(pdf)))[["video_id", "component", "position"]]
+
+    stays = listed.groupBy("video_id").applyInPandas(choose, "video_id bigint, component string, position bigint")
+    return members.join(stays, ["video_id", "component"]).select(*who, "component", "position")
+
+
 FUSERS: dict[str, Callable[[DataFrame, DataFrame, float], DataFrame]] = {
     "bidirectional_iou": bidirectional_iou,
     "forward_only": forward_only,
@@ -106,11 +145,12 @@ FUSERS: dict[str, Callable[[DataFrame, DataFrame, float], DataFrame]] = {
     "bidirectional_iou_forward_primary": forward_primary,
     "bidirectional_iou_forward_unique": forward_unique,
     "bidirectional_iou_all_pairs": all_pairs,
+    "bidirectional_iou_nms": nms,
 }
 
 
 def fuse(fwd: DataFrame, bwd: DataFrame, method: str = "bidirectional_iou_all_pairs", iou: float = 0.5) -> DataFrame:
-    """(video_id, direction, tracklet_idx, component)."""
+    """(video_id, direction, tracklet_idx, component), and position where the method orders its components itself."""
     if method not in FUSERS:
         raise ValueError(f"unknown fusion method {method!r}; known: {', '.join(sorted(FUSERS))}")
     return FUSERS[method](fwd, bwd, iou)
@@ -119,33 +159,57 @@ def fuse(fwd: DataFrame, bwd: DataFrame, method: str = "bidirectional_iou_all_pa
 def merge_components(frames: DataFrame, members: DataFrame, videos: DataFrame) -> DataFrame:
     """(video_id, component, frame_id, class_id, box): each component's tracklets as one track.
 
-    frames: (video_id, direction, tracklet_idx, frame_id, class_id, box). The class is that of the most frames, the smaller of
-    equals. In each frame the box of the best tracklet leads; boxes that overlap it by half, or whose centre is near its own,
-    are averaged with it, and what clipping would lose keeps the leading box.
+    frames: (video_id, direction, tracklet_idx, frame_id, class_id, box). The class is that of the most frames, of equals that of
+    the first tracklet, forward ones coming before backward ones. In each frame the box of the best tracklet leads; boxes that
+    overlap it by half, or whose centre is near its own, are averaged with it, and what clipping would lose keeps the leading
+    box. A frame of one tracklet only stays as it is.
     """
     who = ["video_id", "direction", "tracklet_idx"]
-    quality = tracks.tracklet_quality(frames.withColumn("track_id", F.struct("direction", "tracklet_idx")))
+    backward = F.col("direction") == "backward"
+    seen = F.when(backward, -F.col("frame_id")).otherwise(F.col("frame_id"))
+    quality = tracks.tracklet_quality(frames.withColumn("track_id", F.struct("direction", "tracklet_idx")), seen)
     quality = quality.select("video_id", "track_id.*", "n", "quality", F.col("class_id").alias("voted"))
-    named = members.join(quality, who)
-    votes = named.groupBy("video_id", "component", "voted").agg(F.sum("n").alias("c"))
-    classes = votes.groupBy("video_id", "component").agg(F.max_by("voted", F.struct("c", -F.col("voted"))).alias("class_id"))
+    named = members.select(*who, "component").join(quality, who).withColumn("ahead", F.struct(backward.alias("b"), F.col("tracklet_idx").alias("i")))
+    votes = named.groupBy("video_id", "component", "voted").agg(F.sum("n").alias("c"), F.min("ahead").alias("ahead"))
+    classes = votes.groupBy("video_id", "component").agg(F.min_by("voted", F.struct(-F.col("c"), "ahead")).alias("class_id"))
 
     spot = ["video_id", "component", "frame_id"]
-    best = Window.partitionBy(*spot).orderBy(F.desc("quality"), F.desc("direction"), "tracklet_idx").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = frames.drop("class_id").join(named.select(*who, "component", "quality"), who).withColumns({f"p_{c}": F.first(c).over(best) for c in tracks.BOX})
+    best = Window.partitionBy(*spot).orderBy(F.desc("quality"), "ahead").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = frames.drop("class_id").join(named.select(*who, "component", "quality", "ahead"), who).withColumns({f"p_{c}": F.first(c).over(best) for c in tracks.BOX})
     box, lead = G.Box.of(), G.Box.of("p_")
     (x, y), (px, py) = G.center(box), G.center(lead)
     reach = F.greatest(F.lit(5.0), F.hypot(lead.x2 - lead.x1, lead.y2 - lead.y1) / 2)
     near = (G.iou(box, lead) >= 0.5) | (F.hypot(x - px, y - py) <= reach)
-    mean = rows.where(near).groupBy(*spot).agg(*[F.avg(c).alias(c) for c in tracks.BOX], *[F.first(f"p_{c}").alias(f"p_{c}") for c in tracks.BOX])
-    clipped = mean.join(videos.select("video_id", "width", "height"), "video_id").withColumn("clip", G.clip_bbox(box, F.col("width"), F.col("height")))
+    mean = rows.groupBy(*spot).agg(F.count("*").alias("n"), *[F.avg(F.when(near, F.col(c))).alias(c) for c in tracks.BOX], *[F.first(f"p_{c}").alias(f"p_{c}") for c in tracks.BOX])
+    clipped = mean.join(videos.select("video_id", "width", "height"), "video_id").withColumn("clip", F.when(F.col("n") > 1, G.clip_bbox(box, F.col("width"), F.col("height"))))
     return clipped.join(classes, ["video_id", "component"]).select(*spot, "class_id", *[F.coalesce(F.col("clip")[c], F.col(f"p_{c}")).alias(c) for c in tracks.BOX])
 
 
-def final_tracks(merged: DataFrame, members: DataFrame, videos: DataFrame, least: int = 2, window: int = 1) -> DataFrame:
-    """Merged tracks of ``least`` frames or more, smoothed; track_id counts a video's components from 1 by their smallest tracklet."""
+def final_tracks(merged: DataFrame, members: DataFrame, videos: DataFrame, least: int = 10, window: int = 5) -> DataFrame:
+    """Merged tracks of ``least`` frames or more, smoothed; track_id counts a video's components from 1 by their position, or by their first tracklet: forward ones come before all backward ones."""
     part = ["video_id", "component"]
-    order = members.groupBy(*part).agg(F.min("tracklet_idx").alias("first"))
+    place = F.col("position") if "position" in members.columns else F.lit(0)
+    order = members.groupBy(*part).agg(F.min(F.struct(place.alias("p"), (F.col("direction") == "backward").alias("b"), "tracklet_idx")).alias("first"))
     long = merged.groupBy(*part).agg(F.count("*").alias("n")).where(F.col("n") >= least).join(order, part)
-    ids = long.select(*part, F.row_number().over(Window.partitionBy("video_id").orderBy("first", "component")).cast("bigint").alias("track_id"))
+    ids = long.select(*part, F.row_number().over(Window.partitionBy("video_id").orderBy("first")).cast("bigint").alias("track_id"))
     return tracks.smooth_tracks(merged.join(ids, part).drop("component"), videos, window)
+
+
+def filter_detections(detections: DataFrame, frames: DataFrame, videos: DataFrame, method: str = "sparse_track", fusion: str = "bidirectional_iou_all_pairs", iou: float = 0.5, least: int = 10, params: dict | None = None) -> DataFrame:
+    """The detections that were given to a tracklet of some fused track of ``least`` frames or more; their columns stay as they are."""
+    found = tracking.run_tracker(detections, method, params, frames)
+    side = lambda way: found.where(F.col("direction") == way).select("video_id", "tracklet_idx", "frame_id", *tracks.BOX)
+    members = fuse(side("forward"), side("backward"), fusion, iou)
+    who = ["video_id", "direction", "tracklet_idx"]
+    owned = found.join(members, who)
+    long = owned.select("video_id", "component", "frame_id").distinct().groupBy("video_id", "component").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    kept = owned.join(long, ["video_id", "component"]).select("video_id", "frame_id", "det_idx").distinct()
+    return detections.join(kept, ["video_id", "frame_id", "det_idx"], "left_semi")
+
+
+def filter_counts(detections: DataFrame, kept: DataFrame, frames: DataFrame) -> DataFrame:
+    """(video_id, frame_id, n_in, n_out, removed) of every frame, as each input file has an output file."""
+    spot = ["video_id", "frame_id"]
+    count = lambda df, c: df.groupBy(*spot).agg(F.count("*").alias(c))
+    both = frames.select(*spot).distinct().join(count(detections, "n_in"), spot, "left").join(count(kept, "n_out"), spot, "left").fillna(0, ["n_in", "n_out"])
+    return both.withColumn("removed", F.col("n_in") - F.col("n_out"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -11,57 +11,107 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BOX = ["x1", "y1", "x2", "y2"]
-ASSIGNED = "video_id bigint, direction string, frame_id bigint, det_idx int, tracklet_idx int, x1 double, y1 double, x2 double, y2 double"
-#: The methods' usual thresholds.
-DEFAULTS = {"iou": 0.3, "max_missed": 15, "high": 0.5, "low": 0.1, "new": 0.6, "low_iou": 0.15, "recover": 0.05, "direction_weight": 0.2, "min_direction": 0.5}
+ASSIGNED = "video_id bigint, direction string, frame_id bigint, det_idx int, tracklet_idx int, number int, class_id int, misses int, x1 double, y1 double, x2 double, y2 double"
+#: The pipeline's configured thresholds. A key that the caller sets to None is absent: each method then falls back to its own value.
+DEFAULTS = {
+    "iou_match": 0.3, "max_missed": 15, "disable_kalman": False, "class_agnostic": False, "score_high": 0.5, "score_low": 0.1, "new_track_score": 0.6,
+    "match_iou": 0.3, "low_iou_match": 0.15, "recover_iou_match": 0.05, "velocity_weight": 0.2, "velocity_min_score": 0.6, "height_weight": 0.08, "score_weight": 0.06,
+    "fuse_score": True, "cbiou_small_buffer": 0.08, "cbiou_large_buffer": 0.28, "cbiou_second_iou": 0.15, "sparse_depth_bins": 4, "sparse_neighbor_bins": 1,
+    "sparse_depth_weight": 0.15, "sparse_height_weight": 0.5, "sparse_cross_depth_iou": 0.75,
+}
+PROCESS_NOISE, MEASUREMENT_NOISE = np.float32(1e-2), np.float32(1e-1)
 
 
-class Kalman:
-    """Constant velocity over (cx, cy, w, h), in float32: process noise 1e-2, measurement noise 1e-1, unit start covariance."""
+def _sizes(b: np.ndarray) -> np.ndarray:
+    """Boxes as (cx, cy, w, h)."""
+    return np.stack([(b[:, 0] + b[:, 2]) / 2, (b[:, 1] + b[:, 3]) / 2, np.maximum(b[:, 2] - b[:, 0], 0), np.maximum(b[:, 3] - b[:, 1], 0)], axis=1)
 
-    def __init__(self, box: np.ndarray):
-        self.x = np.concatenate([_measure(box), np.zeros(4)]).astype(np.float32)
-        self.p = np.eye(8, dtype=np.float32)
 
-    def predict(self) -> np.ndarray:
-        f = np.eye(8, dtype=np.float32)
-        f[:4, 4:] = np.eye(4)
-        self.x = f @ self.x
-        self.p = f @ self.p @ f.T + np.eye(8, dtype=np.float32) * np.float32(1e-2)
-        return self.box()
-
-    def update(self, box: np.ndarray) -> np.ndarray:
-        gain = self.p[:, :4] @ np.linalg.inv(self.p[:4, :4] + np.eye(4, dtype=np.float32) * np.float32(1e-1))
-        self.x = self.x + gain @ (_measure(box) - self.x[:4])
-        self.p = self.p - gain @ self.p[:4]
-        return self.box()
-
-    def box(self) -> np.ndarray:
-        cx, cy, w, h = self.x[0], self.x[1], max(self.x[2], 1.0), max(self.x[3], 1.0)
-        return np.array([cx - w / 2, cy - h / 2, cx + w / 2, cy + h / 2], float)
-
-
-def _measure(b: np.ndarray) -> np.ndarray:
-    return np.array([(b[0] + b[2]) / 2, (b[1] + b[3]) / 2, max(b[2] - b[0], 1.0), max(b[3] - b[1], 1.0)], np.float32)
+def _corners(m: np.ndarray, floor: float = 0.0) -> np.ndarray:
+    half = np.maximum(m[:, 2:4], floor) / 2
+    return np.concatenate([m[:, :2] - half, m[:, :2] + half], axis=1).astype(float)
 
 
 @dataclass
-class Track:
-    number: int
-    kalman: Kalman
-    class_id: int
-    observed: list[np.ndarray] = field(default_factory=list)
-    misses: int = 0
-    predicted: np.ndarray | None = None
+class Detections:
+    """A frame's detections; ``at`` are their places in the frame."""
+
+    at: np.ndarray
+    boxes: np.ndarray
+    scores: np.ndarray
+    classes: np.ndarray
+
+    def where(self, mask: np.ndarray) -> Detections:
+        return Detections(self.at[mask], self.boxes[mask], self.scores[mask], self.classes[mask])
+
+
+class Tracks:
+    """The live tracks of a pass, one row of each array for a track, in the order of their creation.
+
+    The motion model is a Kalman filter of constant velocity over (cx, cy, w, h). Its noises and start covariance are the same for
+    the four axes, so their covariances stay equal: three numbers a track.
+    """
+
+    def __init__(self, kalman: bool):
+        self.kalman = kalman
+        self.state, self.cov = np.empty((0, 8), np.float32), np.empty((0, 3), np.float32)
+        self.predicted, self.last, self.before, self.measured = (np.empty((0, 4)) for _ in range(4))
+        self.number, self.classes, self.misses, self.frame, self.seen = (np.empty(0, np.int64) for _ in range(5))
+
+    _ROWS = ("state", "cov", "predicted", "last", "before", "measured", "number", "classes", "misses", "frame", "seen")
+
+    def __len__(self) -> int:
+        return len(self.number)
+
+    def keep(self, mask: np.ndarray) -> None:
+        for c in self._ROWS:
+            setattr(self, c, getattr(self, c)[mask])
+
+    def add(self, first: int, d: Detections, frame: int) -> None:
+        n = len(d.at)
+        m = _sizes(d.boxes)
+        new = {
+            "state": np.concatenate([m, np.zeros((n, 4))], axis=1).astype(np.float32), "cov": np.tile(np.array([1, 0, 1], np.float32), (n, 1)), "predicted": d.boxes, "last": d.boxes,
+            "before": d.boxes, "measured": m, "number": np.arange(first, first + n), "classes": d.classes, "misses": np.zeros(n, np.int64), "frame": np.full(n, frame), "seen": np.ones(n, np.int64),
+        }
+        for c in self._ROWS:
+            setattr(self, c, np.concatenate([getattr(self, c), new[c]]))
+
+    def predict(self) -> None:
+        self.state[:, :4] += self.state[:, 4:]
+        if self.kalman:
+            a, b, c = self.cov.T
+            self.cov = np.stack([a + 2 * b + c + PROCESS_NOISE, b + c, c + PROCESS_NOISE], axis=1)
+        else:
+            self.state[:, 2:4] = np.maximum(self.state[:, 2:4], 1)
+        self.predicted = _corners(self.state, 1.0)
+
+    def update(self, i: np.ndarray, d: Detections, frame: int, from_observations: bool) -> np.ndarray:
+        """The smoothed boxes of the tracks i, which the detections were given to."""
+        m = _sizes(d.boxes)
+        if self.kalman:
+            a, b, c = self.cov[i].T
+            gain = np.stack([a, b], axis=1) / (a + MEASUREMENT_NOISE)[:, None]
+            off = m.astype(np.float32) - self.state[i, :4]
+            self.state[i] += np.concatenate([gain[:, :1] * off, gain[:, 1:] * off], axis=1)
+            self.cov[i] = np.stack([a - gain[:, 0] * a, b - gain[:, 0] * b, c - gain[:, 1] * b], axis=1)
+            smooth = _corners(self.state[i], 1.0)
+        else:
+            self.state[i] = np.concatenate([m, m - self.measured[i]], axis=1)
+            smooth = _corners(m)
+        if from_observations:
+            self.state[i, 4:] = (m - _sizes(self.last[i])) / np.maximum(np.abs(frame - self.frame[i]), 1)[:, None]
+        self.before[i], self.last[i], self.measured[i], self.predicted[i] = self.last[i], d.boxes, m, smooth
+        self.classes[i], self.misses[i], self.frame[i] = d.classes, 0, frame
+        self.seen[i] += 1
+        return smooth
 
 
 def iou_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    if not len(a) or not len(b):
-        return np.zeros((len(a), len(b)))
     w = np.minimum(a[:, None, 2], b[None, :, 2]) - np.maximum(a[:, None, 0], b[None, :, 0])
     h = np.minimum(a[:, None, 3], b[None, :, 3]) - np.maximum(a[:, None, 1], b[None, :, 1])
     both = np.maximum(w, 0) * np.maximum(h, 0)
-    size = lambda x: (x[:, 2] - x[:, 0]) * (x[:, 3] - x[:, 1])
+    size = lambda x: np.maximum(x[:, 2] - x[:, 0], 0) * np.maximum(x[:, 3] - x[:, 1], 0)
     union = size(a)[:, None] + size(b)[None] - both
     return np.where((both > 0) & (union > 0), both / np.maximum(union, 1e-12), 0.0)
 
@@ -70,7 +120,7 @@ def greedy(scores: np.ndarray, allowed: np.ndarray) -> list[tuple[int, int]]:
     """One-to-one pairs by score; equal scores go by row, then column."""
     r, c = np.nonzero(allowed)
     out, used_r, used_c = [], set(), set()
-    for k in np.argsort(-scores[r, c], kind="stable"):
+    for k in np.argsort(-scores[r, c], kind="stable").tolist():
         if r[k] not in used_r and c[k] not in used_c:
             used_r.add(r[k])
             used_c.add(c[k])
@@ -78,138 +128,289 @@ def greedy(scores: np.ndarray, allowed: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _same_class(tracks: list[Track], classes: np.ndarray) -> np.ndarray:
-    return np.array([[t.class_id == c for c in classes] for t in tracks], bool).reshape(len(tracks), len(classes))
+class Pass:
+    """What the methods ask of a frame: the tracks, the configuration, and the scores of all pairs of tracks and detections."""
+
+    def __init__(self, tracks: Tracks, config: dict, forward: bool):
+        self.tracks, self.config, self.forward = tracks, config, forward
+
+    def value(self, key: str, fallback: float) -> float:
+        return self.config.get(key, fallback)
+
+    @property
+    def iou(self) -> float:
+        return self.value("iou_match", 0.3)
+
+    def same_class(self, d: Detections) -> np.ndarray:
+        return (self.tracks.classes[:, None] == d.classes[None]) | bool(self.value("class_agnostic", False))
 
+    def overlap(self, d: Detections, least: float, fuse: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        m = iou_matrix(self.tracks.predicted, d.boxes)
+        return m * (0.5 + 0.5 * d.scores)[None] if fuse else m, self.same_class(d) & (m >= least)
 
-def _boxes(tracks: list[Track]) -> np.ndarray:
-    return np.array([t.predicted for t in tracks]).reshape(-1, 4)
+    def buffered(self, d: Detections, least: float, ratio: float) -> tuple[np.ndarray, np.ndarray]:
+        def wider(b: np.ndarray) -> np.ndarray:
+            m = _sizes(b)
+            return _corners(np.concatenate([m[:, :2], m[:, 2:] * (1 + max(0.0, ratio))], axis=1))
 
+        m = iou_matrix(wider(self.tracks.predicted), wider(d.boxes))
+        return m * (0.5 + 0.5 * d.scores)[None], self.same_class(d) & (m >= least)
 
-def _sort(tracks, boxes, scores, classes, p):
+    def direction(self, d: Detections) -> np.ndarray:
+        """(cosine + 1) / 2 of a track's last move and the way to a detection; 0.5 where either is unknown. A backward pass knows no earlier observation."""
+        t = self.tracks
+        here = _sizes(t.last)[:, :2]
+        way = _sizes(d.boxes)[None, :, :2] - here[:, None]
+        move = here - _sizes(t.before)[:, :2]
+        far, fast = np.hypot(way[..., 0], way[..., 1]), np.hypot(move[:, 0], move[:, 1])
+        known = (far > 1e-6) & ((fast > 1e-6) & (t.seen > 1) & self.forward)[:, None]
+        cosine = (way * move[:, None]).sum(axis=2) / np.maximum(far * fast[:, None], 1e-12)
+        return np.where(known, (np.clip(cosine, -1, 1) + 1) / 2, 0.5)
+
+    def observed(self, d: Detections, least: float, velocity: float, minimum: float) -> tuple[np.ndarray, np.ndarray]:
+        """The better overlap of prediction and last observation, with the direction and less for misses. A small overlap will do where the direction fits."""
+        t = self.tracks
+        m, way = np.maximum(iou_matrix(t.predicted, d.boxes), iou_matrix(t.last, d.boxes)), self.direction(d)
+        recovered = (m >= self.value("recover_iou_match", max(0.01, least * 0.25))) & (way >= self.value("velocity_min_score", minimum))
+        return m + self.value("velocity_weight", velocity) * way - 0.01 * t.misses[:, None], self.same_class(d) & ((m >= least) | recovered)
+
+    def hybrid(self, d: Detections, least: float, velocity: float = 0.18, height: float = 0.08, weight: float = 0.06) -> tuple[np.ndarray, np.ndarray]:
+        scores, allowed = self.observed(d, least, velocity, 0.58)
+        a, b = _sizes(self.tracks.last)[:, 3][:, None], _sizes(d.boxes)[:, 3][None]
+        alike = np.maximum(np.minimum(a, b), 1) / np.maximum(np.maximum(a, b), 1)
+        return scores + self.value("height_weight", height) * alike + self.value("score_weight", weight) * d.scores[None], allowed
+
+    def depths(self, b: np.ndarray) -> np.ndarray:
+        return b[:, 3] + max(0.0, self.value("sparse_height_weight", 0.5)) * _sizes(b)[:, 3]
+
+
+Pairs = list[tuple[int, int]]
+
+
+def _sort(p: Pass, d: Detections) -> tuple[Pairs, np.ndarray]:
     """Overlap alone decides, whatever the class or score; every detection left starts a track."""
-    m = iou_matrix(_boxes(tracks), boxes)
-    pairs = greedy(m, m >= p["iou"])
-    taken = {d for _, d in pairs}
-    return pairs, [d for d in range(len(boxes)) if d not in taken]
-
-
-def _bytetrack(tracks, boxes, scores, classes, p):
-    """High scores first, low ones on the tracks left; only unmatched high scores of enough weight start tracks."""
-    m = iou_matrix(_boxes(tracks), boxes)
-    ok = _same_class(tracks, classes)
-    high = scores >= p["high"]
-    pairs = greedy(m, ok & (m >= p["iou"]) & high[None])
-    left = np.ones(len(tracks), bool)
+    m = iou_matrix(p.tracks.predicted, d.boxes)
+    return greedy(m, m >= p.iou), np.ones(len(d.at), bool)
+
+
+def _two_stages(p: Pass, d: Detections, first: Callable, second: Callable) -> tuple[Pairs, np.ndarray]:
+    """High scores first, low ones on the tracks left; only high scores of enough weight start tracks."""
+    high = d.scores >= p.value("score_high", p.value("track_thresh", 0.5))
+    low = ~high & (d.scores >= p.value("score_low", 0.1))
+    scores, allowed = first(d, p.value("match_iou", p.iou))
+    pairs = greedy(scores, allowed & high[None])
+    left = np.ones(len(p.tracks), bool)
     left[[t for t, _ in pairs]] = False
-    low = ~high & (scores >= p["low"])
-    pairs += greedy(m, ok & (m >= p["low_iou"]) & low[None] & left[:, None])
-    taken = {d for _, d in pairs}
-    return pairs, [d for d in np.flatnonzero(high & (scores >= p["new"])).tolist() if d not in taken]
-
-
-def _oc_sort(tracks, boxes, scores, classes, p):
-    """The better overlap of the prediction and the last observation, with the direction of motion."""
-    usable = scores >= p["low"]
-    last = np.array([t.observed[-1] for t in tracks]).reshape(-1, 4)
-    m = np.maximum(iou_matrix(_boxes(tracks), boxes), iou_matrix(last, boxes))
-    way = np.full(m.shape, 0.5)
-    for i, t in enumerate(tracks):
-        if len(t.observed) > 1:
-            a, b = _measure(t.observed[-2])[:2], _measure(t.observed[-1])[:2]
-            v = b - a
-            for j, box in enumerate(boxes):
-                u = _measure(box)[:2] - b
-                n = float(np.linalg.norm(v) * np.linalg.norm(u))
-                way[i, j] = (float(v @ u) / n + 1) / 2 if n > 1e-6 else 0.5
-    ok = _same_class(tracks, classes) & usable[None] & ((m >= p["iou"]) | ((m >= p["recover"]) & (way >= p["min_direction"])))
-    late = np.array([[0.01 * t.misses] for t in tracks]).reshape(-1, 1)
-    pairs = greedy(m + p["direction_weight"] * way - late, ok)
-    taken = {d for _, d in pairs}
-    return pairs, [d for d in np.flatnonzero(usable & (scores >= p["high"])).tolist() if d not in taken]
-
-
-TRACKERS: dict[str, Callable] = {"sort": _sort, "iou_kalman": _sort, "bytetrack": _bytetrack, "oc_sort": _oc_sort}
-
-
-def register_tracker(name: str, step: Callable) -> None:
-    """step(tracks, boxes, scores, classes, params) -> (pairs of track and detection, detections that start tracks)."""
-    TRACKERS[name] = step
-
-
-def run_tracker(detections: DataFrame, method: str, params: dict[str, float] | None = None) -> DataFrame:
-    """(video_id, direction, frame_id, det_idx, tracklet_idx, smoothed box): both directions in one shuffle. Each detection is assigned once at most. A long video is cut by segment_video first."""
+    scores, allowed = second(d, p.value("low_iou_match", max(0.1, p.iou * 0.5)))
+    pairs += greedy(scores, allowed & low[None] & left[:, None])
+    return pairs, high & (d.scores >= p.value("new_track_score", p.value("new_track_thresh", p.value("score_high", 0.5))))
+
+
+def _bytetrack(p: Pass, d: Detections) -> tuple[Pairs, np.ndarray]:
+    return _two_stages(p, d, p.overlap, p.overlap)
+
+
+def _bot_sort(p: Pass, d: Detections) -> tuple[Pairs, np.ndarray]:
+    return _two_stages(p, d, lambda d, least: p.overlap(d, least, bool(p.value("fuse_score", True))), p.hybrid)
+
+
+def _hybrid_sort(p: Pass, d: Detections) -> tuple[Pairs, np.ndarray]:
+    return _two_stages(p, d, p.hybrid, p.hybrid)
+
+
+def _usable(p: Pass, d: Detections) -> tuple[np.ndarray, np.ndarray]:
+    """Detections that may be matched, and those that may start tracks, of the methods without a second stage for low scores."""
+    low = d.scores >= p.value("score_low", 0.0)
+    return low, low & (d.scores >= p.value("new_track_score", p.value("score_high", 0.5)))
+
+
+def _oc_sort(p: Pass, d: Detections) -> tuple[Pairs, np.ndarray]:
+    low, fresh = _usable(p, d)
+    scores, allowed = p.observed(d, p.iou, 0.2, 0.6)
+    return greedy(scores, allowed & low[None]), fresh
+
+
+def _deep_oc_sort(p: Pass, d: Detections) -> tuple[Pairs, np.ndarray]:
+    low, fresh = _usable(p, d)
+    scores, allowed = p.hybrid(d, p.iou, 0.24, 0.06, 0.04)
+    return greedy(scores, allowed & low[None]), fresh
+
+
+def _cbiou(p: Pass, d: Detections) -> tuple[Pairs, np.ndarray]:
+    """Slightly widened boxes first, then much wider ones for what is left."""
+    low, fresh = _usable(p, d)
+    scores, allowed = p.buffered(d, p.iou, p.value("cbiou_small_buffer", 0.08))
+    pairs = greedy(scores, allowed & low[None])
+    t, left = np.ones(len(p.tracks), bool), low.copy()
+    t[[i for i, _ in pairs]] = False
+    left[[j for _, j in pairs]] = False
+    scores, allowed = p.buffered(d, p.value("cbiou_second_iou", max(0.05, p.iou * 0.5)), p.value("cbiou_large_buffer", 0.28))
+    return pairs + greedy(scores, allowed & left[None] & t[:, None]), fresh
+
+
+def _sparse_track(p: Pass, d: Detections) -> tuple[Pairs, np.ndarray]:
+    """Level by level from the nearest depth on, tracks of neighbouring levels included; then what overlaps well at any depth."""
+    low, fresh = _usable(p, d)
+    bins, beside = max(1, int(p.value("sparse_depth_bins", 4))), max(0, int(p.value("sparse_neighbor_bins", 1)))
+    of_tracks, of_detections = p.depths(p.tracks.predicted), p.depths(d.boxes)
+    every = np.concatenate([of_tracks, of_detections[low]])
+    top, bottom = (every.max(), every.min()) if len(every) else (1.0, 0.0)
+    level = lambda v: np.zeros(len(v), int) if bins <= 1 or top <= bottom else np.clip(np.floor((top - v) / (top - bottom) * bins), 0, bins - 1).astype(int)
+    t_level, d_level = level(of_tracks), level(of_detections)
+    overlap, allowed = p.overlap(d, p.iou)
+    alike = 1 - np.minimum(1, np.abs(of_tracks[:, None] - of_detections[None]) / max(1.0, top - bottom))
+    scores = overlap + p.value("sparse_depth_weight", 0.15) * alike + p.value("score_weight", 0.06) * d.scores[None]
+    t, left, pairs = np.ones(len(p.tracks), bool), low.copy(), []
+    stages = [(scores, allowed & (np.abs(t_level - k) <= beside)[:, None] & (d_level == k)[None]) for k in range(bins)]
+    if (cross := p.value("sparse_cross_depth_iou", 0.75)) > 0:
+        stages.append(p.overlap(d, cross))
+    for scores, allowed in stages:
+        for i, j in greedy(scores, allowed & left[None] & t[:, None]):
+            t[i] = left[j] = False
+            pairs.append((i, j))
+    return pairs, fresh
+
+
+#: Name -> (step, whether velocities are taken from the observations). A step says which tracks and detections match, and which detections may start tracks.
+TRACKERS: dict[str, tuple[Callable[[Pass, Detections], tuple[Pairs, np.ndarray]], bool]] = {
+    "sort": (_sort, False), "iou_kalman": (_sort, False), "bytetrack": (_bytetrack, False), "oc_sort": (_oc_sort, True), "bot_sort": (_bot_sort, True),
+    "hybrid_sort": (_hybrid_sort, True), "deep_oc_sort": (_deep_oc_sort, True), "cbiou": (_cbiou, True), "sparse_track": (_sparse_track, True),
+}
+
+
+def register_tracker(name: str, step: Callable, velocity_from_observations: bool = True) -> None:
+    TRACKERS[name] = (step, velocity_from_observations)
+
+
+def track_video(frames: list[tuple[int, Detections]], method: str, config: dict, forward: bool) -> pd.DataFrame:
+    """One pass over a video's frames, which are in ascending order: (frame_id, det_idx, tracklet_idx, number, class_id, misses, box)."""
+    step, from_observations = TRACKERS[method]
+    tracks = Tracks(not config.get("disable_kalman", False))
+    p = Pass(tracks, config, forward)
+    most = config.get("max_missed", 15)
+    rows: list[tuple[np.ndarray, ...]] = []
+    ended: list[tuple[np.ndarray, np.ndarray]] = []
+    n = 1
+    for frame, d in frames if forward else frames[::-1]:
+        if not len(tracks) and not len(d.at):
+            continue
+        tracks.predict()
+        pairs, fresh = step(p, d)
+        fresh = fresh.copy()
+        missed = np.ones(len(tracks), bool)
+        if pairs:
+            i, j = np.array(pairs).T
+            missed[i], fresh[j] = False, False
+            rows.append((np.full(len(i), frame), d.at[j], tracks.number[i], d.classes[j], tracks.update(i, d.where(j), frame, from_observations)))
+        tracks.misses[missed] += 1
+        gone = tracks.misses > most
+        if gone.any():
+            ended.append((tracks.number[gone], tracks.misses[gone]))
+            tracks.keep(~gone)
+        if fresh.any():
+            new = d.where(fresh)
+            rows.append((np.full(len(new.at), frame), new.at, np.arange(n, n + len(new.at)), new.classes, new.boxes))
+            tracks.add(n, new, frame)
+            n += len(new.at)
+    ended.append((tracks.number, tracks.misses))
+    # Tracks are listed as they end, the survivors in the order of their creation.
+    number, misses = (np.concatenate(c) for c in zip(*ended, strict=True))
+    place, missing = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    place[number], missing[number] = np.arange(len(number)), misses
+    if not rows:
+        return pd.DataFrame({c: [] for c in ("frame_id", "det_idx", "tracklet_idx", "number", "class_id", "misses", *BOX)})
+    frame, at, number, classes, boxes = (np.concatenate(c) for c in zip(*rows, strict=True))
+    return pd.DataFrame({"frame_id": frame, "det_idx": at, "tracklet_idx": place[number], "number": number, "class_id": classes, "misses": missing[number]} | dict(zip(BOX, boxes.T, strict=True)))
+
+
+def run_tracker(detections: DataFrame, method: str = "sparse_track", params: dict | None = None, frames: DataFrame | None = None) -> DataFrame:
+    """(video_id, direction, frame_id, det_idx, tracklet_idx, number, class_id, misses, smoothed box): both directions in one shuffle.
+
+    ``frames``: (video_id, frame_id) of all frames, as tracks grow older in those without a detection, too; by default only frames
+    with detections are passed. Each detection is assigned once at most. ``number`` counts a pass's tracks from 1 as they begin,
+    ``tracklet_idx`` from 0 as they end, and ``misses`` are those of a tracklet's end. Passes are sequential, so a video's
+    boxes and one direction's state lie in one task: give long videos as segments (``segment_video``) with ids of their own.
+    """
     if method not in TRACKERS:
         raise ValueError(f"unknown tracker {method!r}; known: {', '.join(sorted(TRACKERS))}")
-    step, p = TRACKERS[method], DEFAULTS | (params or {})
+    config = {k: v for k, v in (DEFAULTS | (params or {})).items() if v is not None}
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["frame_id", "det_idx"], kind="stable")
+        frame, real = pdf["frame_id"].to_numpy(), pdf["det_idx"].notna().to_numpy()
+        own = Detections(pdf["det_idx"].to_numpy(), pdf[BOX].to_numpy(float), pdf["score"].to_numpy(float), pdf["class_id"].to_numpy())
+        cuts = np.flatnonzero(np.diff(frame)) + 1
+        begin, end = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(frame)]])
+        each = []
+        for a, b in zip(begin.tolist(), end.tolist(), strict=True):
+            d = own.where(np.flatnonzero(real[a:b]) + a)
+            each.append((int(frame[a]), Detections(d.at.astype(np.int64), d.boxes, d.scores, d.classes.astype(np.int64))))
         way = pdf["direction"].iloc[0]
-        pdf = pdf.sort_values(["frame_id", "det_idx"])
-        frames = [(f, g) for f, g in pdf.groupby("frame_id", sort=True)]
-        alive: list[Track] = []
-        out, n = [], 0
-        for frame, g in frames if way == "forward" else frames[::-1]:
-            boxes, scores, classes = g[BOX].to_numpy(float), g["score"].to_numpy(float), g["class_id"].to_numpy()
-            for t in alive:
-                t.predicted = t.kalman.predict()
-            pairs, fresh = step(alive, boxes, scores, classes, p)
-            hit = set()
-            for i, d in pairs:
-                t = alive[i]
-                hit.add(i)
-                t.misses = 0
-                t.observed.append(boxes[d])
-                out.append((g["video_id"].iloc[0], way, frame, g["det_idx"].iloc[d], t.number, *t.kalman.update(boxes[d])))
-            for i, t in enumerate(alive):
-                t.misses += i not in hit
-            alive = [t for t in alive if t.misses <= p["max_missed"]]
-            for d in fresh:
-                alive.append(Track(n, Kalman(boxes[d]), int(classes[d]), [boxes[d]]))
-                out.append((g["video_id"].iloc[0], way, frame, g["det_idx"].iloc[d], n, *boxes[d]))
-                n += 1
-        return pd.DataFrame(out, columns=["video_id", "direction", "frame_id", "det_idx", "tracklet_idx", *BOX])
-
-    both = detections.withColumn("direction", F.explode(F.array(F.lit("forward"), F.lit("backward"))))
-    return both.select("video_id", "direction", "frame_id", "det_idx", "class_id", "score", *BOX).groupBy("video_id", "direction").applyInPandas(work, ASSIGNED)
-
-
-def fix_spikes(frames: DataFrame, history: int = 12, min_history: int = 4, area_ratio: float = 2.5, size_ratio: float = 1.8, max_run: int = 3) -> DataFrame:
-    """Runs of at most max_run abnormal sizes are replaced by interpolation between the normal frames around them. A size is abnormal against the medians of the last normal ones, so a track is read in order, as one group."""
+        out = track_video(each, method, config, way == "forward")
+        return out.assign(video_id=pdf["video_id"].iloc[0], direction=way)[["video_id", "direction", "frame_id", "det_idx", "tracklet_idx", "number", "class_id", "misses", *BOX]]
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame_id").reset_index(drop=True)
-        b, f = pdf[BOX].to_numpy(float).copy(), pdf["frame_id"].to_numpy()
-        w, h = b[:, 2] - b[:, 0], b[:, 3] - b[:, 1]
+    rows = detections.select("video_id", "frame_id", "det_idx", "class_id", "score", *BOX)
+    if frames is not None:
+        rows = rows.unionByName(frames.select("video_id", "frame_id").distinct(), allowMissingColumns=True)
+    both = rows.withColumn("direction", F.explode(F.array(F.lit("forward"), F.lit("backward"))))
+    return both.groupBy("video_id", "direction").applyInPandas(work, ASSIGNED)
+
+
+def fix_spikes(frames: DataFrame, history: int = 10, min_history: int = 3, area_ratio: float = 4.0, size_ratio: float = 3.0, max_run: int = 10, start_frame: int | None = None, end_frame: int | None = None) -> DataFrame:
+    """Frames with abnormal sizes, repaired: the columns video_id, track_id, class_id, frame_id, box, and fixed, run_start, run_end, anchor_before, anchor_after, which are null where nothing was fixed.
+
+    A size is abnormal if area, width or height exceed the medians of the last ``history`` normal ones by their ratio, once there
+    are ``min_history``; an area of 0 always is. Abnormal frames outside start_frame..end_frame are left alone and are no
+    history either. Runs of at most ``max_run`` abnormal frames with consecutive numbers are interpolated between the nearest
+    frames that aren't abnormal, on both sides. Tracks with fewer than min_history + 2 frames stay as they are. What is normal
+    depends on what was before it, so a track is read in order, as one group.
+    """
+    anchors = ("run_start", "run_end", "anchor_before", "anchor_after")
+
+    def abnormal(f: np.ndarray, w: np.ndarray, h: np.ndarray) -> np.ndarray:
         normal: list[int] = []
-        odd = np.zeros(len(b), bool)
-        for k in range(len(b)):
-            if w[k] <= 0 or h[k] <= 0:
+        odd = np.zeros(len(f), bool)
+        for k in range(len(f)):
+            if w[k] * h[k] <= 0:
                 odd[k] = True
                 continue
             past = normal[-history:]
+            wide = False
             if len(past) >= min_history:
-                odd[k] = w[k] * h[k] > np.median(w[past] * h[past]) * area_ratio or w[k] > np.median(w[past]) * size_ratio or h[k] > np.median(h[past]) * size_ratio
-            if not odd[k]:
+                limits = np.median(w[past] * h[past]) * area_ratio, np.median(w[past]) * size_ratio, np.median(h[past]) * size_ratio
+                wide = w[k] * h[k] > limits[0] or w[k] > limits[1] or h[k] > limits[2]
+            if not wide:
                 normal.append(k)
-        fixed = np.zeros(len(b), bool)
-        k = 0
-        while k < len(b):
-            if not odd[k]:
-                k += 1
+            elif (start_frame is None or f[k] >= start_frame) and (end_frame is None or f[k] <= end_frame):
+                odd[k] = True
+        return odd
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("frame_id").reset_index(drop=True)
+        b, f = pdf[BOX].to_numpy(float).copy(), pdf["frame_id"].to_numpy()
+        odd = abnormal(f, np.maximum(b[:, 2] - b[:, 0], 0), np.maximum(b[:, 3] - b[:, 1], 0)) if len(f) >= min_history + 2 else np.zeros(len(f), bool)
+        found = {c: [None] * len(f) for c in anchors}
+        fixed = np.zeros(len(f), bool)
+        at, fine = np.flatnonzero(odd), np.flatnonzero(~odd)
+        for run in np.split(at, np.flatnonzero(np.diff(f[at]) != 1) + 1) if len(at) else ():
+            place = np.searchsorted(fine, run[0])
+            if len(run) > max_run or place == 0 or place == len(fine):
                 continue
-            e = k
-            while e + 1 < len(b) and odd[e + 1]:
-                e += 1
-            if e - k + 1 <= max_run and k > 0 and e + 1 < len(b):
-                for j in range(k, e + 1):
-                    t = (f[j] - f[k - 1]) / (f[e + 1] - f[k - 1])
-                    b[j] = b[k - 1] + (b[e + 1] - b[k - 1]) * t
-                    fixed[j] = True
-            k = e + 1
+            lo, hi = fine[place - 1], fine[place]
+            b[run] = b[lo] + (b[hi] - b[lo]) * ((f[run] - f[lo]) / (f[hi] - f[lo]))[:, None]
+            fixed[run] = True
+            for c, v in zip(anchors, (f[run[0]], f[run[-1]], f[lo], f[hi]), strict=True):
+                for k in run:
+                    found[c][k] = int(v)
         pdf[BOX] = b
-        return pdf.assign(fixed=fixed)
+        return pdf.assign(fixed=fixed, **{c: pd.array(v, dtype="Int64") for c, v in found.items()})
 
     cols = ["video_id", "track_id", "class_id", "frame_id", *BOX]
     kinds = dict(frames.dtypes)
-    return frames.select(*cols).groupBy("video_id", "track_id").applyInPandas(work, ", ".join(f"{c} {kinds[c]}" for c in cols) + ", fixed boolean")
+    schema = ", ".join(f"{c} {kinds[c]}" for c in cols) + ", fixed boolean, " + ", ".join(f"{c} bigint" for c in anchors)
+    return frames.select(*cols).groupBy("video_id", "track_id").applyInPandas(work, schema)
+
+
+def fixed_intervals(fixed: DataFrame) -> DataFrame:
+    """(video_id, track_id, run_start, run_end, anchor_before, anchor_after, frames) of each run that fix_spikes repaired."""
+    return fixed.where("fixed").groupBy("video_id", "track_id", "run_start", "run_end", "anchor_before", "anchor_after").agg(F.count("*").alias("frames"))

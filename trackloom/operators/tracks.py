@@ -69,7 +69,7 @@ def area_anomalies(frames: DataFrame, max_gap: int = 2, **params: float) -> tupl
 
 
 def smooth_tracks(frames: DataFrame, videos: DataFrame, window: int) -> DataFrame:
-    """Centred moving average by row position, then clipped; a box that clipping would lose keeps its place. Nothing happens for windows of one or less and tracks of one frame."""
+    """Centred moving average by row position, then clipped; a box that clipping would lose stays as it was before. Nothing happens for windows of one or less and tracks of one frame."""
     if window <= 1:
         return frames
     r = window // 2
@@ -77,7 +77,7 @@ def smooth_tracks(frames: DataFrame, videos: DataFrame, window: int) -> DataFram
     rows = frames.withColumns({f"s_{c}": F.avg(c).over(near) for c in BOX} | {"__n": F.count("*").over(Window.partitionBy(*TRACK))})
     rows = rows.join(videos.select("video_id", "width", "height"), "video_id")
     clipped = G.clip_bbox(G.Box.of("s_"), F.col("width"), F.col("height"))
-    return rows.withColumn("__c", clipped).select(*[c for c in frames.columns if c not in BOX], *[F.when(F.col("__n") > 1, F.coalesce(F.col("__c")[c], F.col(f"s_{c}"))).otherwise(F.col(c)).alias(c) for c in BOX])
+    return rows.withColumn("__c", clipped).select(*[c for c in frames.columns if c not in BOX], *[F.when(F.col("__n") > 1, F.coalesce(F.col("__c")[c], F.col(c))).otherwise(F.col(c)).alias(c) for c in BOX])
 
 
 def _between(rows: DataFrame, first: Column, last: Column) -> DataFrame:
@@ -127,13 +127,13 @@ def densify(frames: DataFrame, videos: DataFrame, pad: int) -> DataFrame:
     return rows.select(*TRACK, "class_id", F.col("__f").alias("frame_id"), *[b.alias(c) for b, c in zip(box, BOX, strict=True)])
 
 
-def tracklet_quality(frames: DataFrame) -> DataFrame:
-    """n, jitter (mean jump of the centre), quality = n / (1 + jitter), and the class seen most, the first of equals."""
+def tracklet_quality(frames: DataFrame, seen: Column | None = None) -> DataFrame:
+    """n, jitter (mean jump of the centre), quality = n / (1 + jitter), and the class seen most, the first of equals; ``seen`` says in which order frames were, by default that of their numbers."""
     w = by_track()
     cx, cy = G.center(G.Box.of())
     rows = frames.withColumns({"cx": cx, "cy": cy}).withColumn("jump", F.hypot(F.col("cx") - F.lag("cx").over(w), F.col("cy") - F.lag("cy").over(w)))
     stats = rows.groupBy(*TRACK).agg(F.count("*").alias("n"), F.coalesce(F.avg("jump"), F.lit(0.0)).alias("jitter"))
-    votes = frames.groupBy(*TRACK, "class_id").agg(F.count("*").alias("c"), F.min("frame_id").alias("f"))
+    votes = frames.groupBy(*TRACK, "class_id").agg(F.count("*").alias("c"), F.min(F.col("frame_id") if seen is None else seen).alias("f"))
     best = votes.groupBy(*TRACK).agg(F.max_by("class_id", F.struct("c", -F.col("f"))).alias("class_id"))
     return stats.withColumn("quality", F.col("n") / (1 + F.col("jitter"))).join(best, TRACK)
 
@@ -197,19 +197,22 @@ def frames_between(frames: DataFrame, start: int, count: int) -> DataFrame:
     return rows.groupBy("video_id", "frame_id").agg(F.array_sort(F.collect_list(F.struct("track_id", "class_id", *BOX))).alias("boxes"))
 
 
-def pair_overlap(fwd: DataFrame, bwd: DataFrame, least: int = 3) -> DataFrame:
-    """Forward and backward tracklets (video_id, tracklet_idx, frame_id, box) with ``least`` common frames or more: an equi-join on the frame, then one aggregation."""
-    f = fwd.select("video_id", "frame_id", F.col("tracklet_idx").alias("f_idx"), *[F.col(c).alias(f"f_{c}") for c in BOX], F.count("*").over(Window.partitionBy("video_id", "tracklet_idx")).alias("f_len"))
-    b = bwd.select("video_id", "frame_id", F.col("tracklet_idx").alias("b_idx"), *[F.col(c).alias(f"b_{c}") for c in BOX], F.count("*").over(Window.partitionBy("video_id", "tracklet_idx")).alias("b_len"))
+def pair_overlap(fwd: DataFrame, bwd: DataFrame, least: int = 3, apart: bool = False) -> DataFrame:
+    """Forward and backward tracklets (video_id, tracklet_idx, frame_id, box) with ``least`` common frames or more: an equi-join on the frame, then one aggregation. ``apart``: only pairs whose first tracklet_idx is the smaller."""
+    side = lambda df, c: df.select("video_id", "frame_id", F.col("tracklet_idx").alias(f"{c}_idx"), *[F.col(x).alias(f"{c}_{x}") for x in BOX])
+    lengths = lambda df, c: df.groupBy("video_id", F.col("tracklet_idx").alias(f"{c}_idx")).agg(F.count("*").alias(f"{c}_len"))
+    f, b = side(fwd, "f"), side(bwd, "b")
     fb, bb = G.Box.of("f_"), G.Box.of("b_")
     (fx, fy), (bx, by) = G.center(fb), G.center(bb)
     diag = (F.hypot(fb.x2 - fb.x1, fb.y2 - fb.y1) + F.hypot(bb.x2 - bb.x1, bb.y2 - bb.y1)) / 2
-    rows = f.join(b, ["video_id", "frame_id"]).withColumns({"iou": G.iou(fb, bb), "gap": F.hypot(fx - bx, fy - by), "diag": diag})
+    met = f.join(b, ["video_id", "frame_id"])
+    rows = (met.where("f_idx < b_idx") if apart else met).withColumns({"iou": G.iou(fb, bb), "gap": F.hypot(fx - bx, fy - by), "diag": diag})
     out = rows.groupBy("video_id", "f_idx", "b_idx").agg(
-        F.count("*").alias("n"), F.avg("iou").alias("mean_iou"), (F.count("*") / F.least(F.first("f_len"), F.first("b_len"))).alias("overlap_ratio"),
-        ((F.min_by("gap", "frame_id") + F.max_by("gap", "frame_id")) / 2).alias("end_gap"), F.avg("diag").alias("mean_diag"),
+        F.count("*").alias("n"), F.avg("iou").alias("mean_iou"), ((F.min_by("gap", "frame_id") + F.max_by("gap", "frame_id")) / 2).alias("end_gap"), F.avg("diag").alias("mean_diag"),
     )
-    out = out.where(F.col("n") >= least)
+    # Lengths meet the pairs, of which there are fewer than frames.
+    out = out.where(F.col("n") >= least).join(lengths(fwd, "f"), ["video_id", "f_idx"]).join(lengths(bwd, "b"), ["video_id", "b_idx"])
+    out = out.select("video_id", "f_idx", "b_idx", "n", "mean_iou", (F.col("n") / F.least("f_len", "b_len")).alias("overlap_ratio"), "end_gap", "mean_diag")
     return out.withColumn("normalized_gap", F.col("end_gap") / F.greatest("mean_diag", F.lit(1.0))).withColumn("score", F.col("mean_iou") * F.col("overlap_ratio"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackloom.operators.ordering import numbered
+
 STATUSES = ["pending", "in_progress", "paused", "submitted", "rework", "completed"]
 #: Fixed value: the name of tasks without a tag in the window report.
 UNTAGGED = "未分类"
@@ -83,8 +85,10 @@ def admin_statistics(tasks: DataFrame, parts: DataFrame, sessions: DataFrame, us
         "annotator", "task_id", "tag", F.col("completed").cast("int").alias("done"), F.when(F.col("completed"), F.greatest("progress_count", F.lit(0))).otherwise(0).alias("images"),
         F.when(boxed, F.coalesce("bbox_count", F.lit(1))).otherwise(0).alias("boxes"), "seconds",
     )
+    # Facts are summed for each person and task first, so that the sets and the distinct tasks see few rows; a task has one tag.
+    facts = facts.groupBy("annotator", "task_id", "tag").agg(F.count("*").alias("parts"), *[F.sum(c).alias(c) for c in ("done", "images", "boxes", "seconds")])
     sets = facts.groupingSets([[F.col("annotator")], [F.col("annotator"), F.col("task_id")], [F.col("tag")], []], "annotator", "task_id", "tag").agg(
-        F.grouping_id().alias("level"), F.count("*").alias("parts"), F.sum("done").alias("completed"), F.sum("images").alias("images"), F.sum("boxes").alias("boxes"), F.round(F.sum("seconds"), 3).alias("seconds"), F.count_distinct("task_id").alias("tasks"),
+        F.grouping_id().alias("level"), F.sum("parts").alias("parts"), F.sum("done").alias("completed"), F.sum("images").alias("images"), F.sum("boxes").alias("boxes"), F.round(F.sum("seconds"), 3).alias("seconds"), F.count_distinct("task_id").alias("tasks"),
     )
     names = {3: "user", 1: "user_task", 6: "tag", 7: "total"}
     kind = F.create_map(*[F.lit(x) for k in names.items() for x in k])
@@ -131,20 +135,25 @@ def attendance(sessions: DataFrame, first_day: str, days: int) -> DataFrame:
 
 
 def normalize_ranks(tasks: DataFrame) -> DataFrame:
-    """Live tasks by rank, later update, larger id, numbered per project from 1; ``changed`` where the number is new."""
-    w = Window.partitionBy("project").orderBy("rank", F.desc("updated_at"), F.desc("task_id"))
-    return tasks.where(~F.col("deleted")).withColumn("new_rank", F.row_number().over(w)).withColumn("changed", F.col("new_rank") != F.col("rank"))
-
-
-def move_rank(ranked: DataFrame, moves: DataFrame) -> DataFrame:
-    """Moves (project, task_id, k): the task gets place min(k, n) of its project, the others close up around it."""
-    m = moves.select("project", F.col("task_id").alias("moved"), "k")
-    n = Window.partitionBy("project")
-    rows = ranked.join(m, "project", "left").withColumn("__n", F.count("*").over(n)).withColumn("__is", F.coalesce(F.col("task_id") == F.col("moved"), F.lit(False)))
-    r = F.row_number().over(Window.partitionBy("project", "__is").orderBy("new_rank"))
-    place = F.least("k", "__n")
-    rows = rows.withColumn("__r", r)
-    return rows.withColumn("moved_rank", F.when(F.col("moved").isNull(), F.col("new_rank")).when(F.col("__is"), place).otherwise(F.col("__r") + (F.col("__r") >= place).cast("int")).cast("int")).select(*ranked.columns, "moved_rank")
+    """The active tasks, neither deleted nor completed, with ``new_rank``: all together by rank, later update, larger id, numbered from 1; ``changed`` where the number is new."""
+    active = tasks.where(~F.col("deleted") & (F.col("status") != "completed"))
+    out = numbered(active, [F.asc("rank"), F.desc("updated_at"), F.desc("task_id")], "new_rank")
+    return out.withColumn("new_rank", F.col("new_rank").cast("int")).withColumn("changed", ~F.col("new_rank").eqNullSafe(F.col("rank")))
+
+
+def move_rank(ranked: DataFrame, task_id: int | str, k: int) -> tuple[DataFrame, DataFrame]:
+    """(tasks with moved_rank, audit rows): of the tasks that normalize_ranks numbered, one goes to place min(k, n) and the others close up around it. A completed task isn't among them, which is an error."""
+    here = ranked.where(F.col("task_id") == task_id).select("new_rank").first()
+    if here is None:
+        raise ValueError("only an active task has a rank")
+    if not 1 <= k <= 1_000_000_000:
+        raise ValueError("rank is out of range")
+    place = min(k, ranked.count())
+    rest = F.col("new_rank") - (F.col("new_rank") > here[0]).cast("int")
+    moved = F.when(F.col("task_id") == task_id, F.lit(place)).otherwise(rest + (rest >= place).cast("int")).cast("int")
+    out = ranked.withColumn("moved_rank", moved)
+    audit = out.where("moved_rank <> new_rank").select("task_id", F.lit("update_ordering").alias("action"), F.lit("rank").alias("field"), F.col("new_rank").cast("string").alias("old"), F.col("moved_rank").cast("string").alias("new"))
+    return out, audit
 
 
 def working_day(start: Column, n: Column) -> Column:
@@ -152,16 +161,45 @@ def working_day(start: Column, n: Column) -> Column:
     return F.element_at(F.filter(F.sequence(start, F.date_add(start, (n * 2 + 7).cast("int"))), lambda d: F.weekday(d) < 5), n.cast("int"))
 
 
+def _number(text: Column) -> Column:
+    """A whole text as a number, null where it is none; ranges are none."""
+    return text.cast("string").try_cast("double")
+
+
+def task_hours(tasks: DataFrame) -> Column:
+    """The estimated hours; where there are none, amount over hourly capacity, of which the amount may have thousands' commas; else 0."""
+    given = F.greatest(F.coalesce(_number(F.col("estimated_hours")), F.lit(0.0)), F.lit(0.0))
+    amount, hourly = _number(F.replace(F.col("data_amount").cast("string"), F.lit(","), F.lit(""))), _number(F.col("hourly_capacity"))
+    return F.when(given != 0, given).otherwise(F.coalesce(F.when(hourly > 0, amount / hourly), F.lit(0.0)))
+
+
 def schedule(tasks: DataFrame, completed: DataFrame, people: int, today: str) -> DataFrame:
-    """Per project the tasks in rank order (0 and null last): hours add up, days are the hours over eight a person, at least one, and the date is that working day. Completed tasks take no time."""
-    order = F.when(F.coalesce("rank", F.lit(0)) > 0, F.col("rank")).otherwise(1_000_000_000)
-    rows = tasks.where(~F.col("deleted")).join(completed.select("task_id", "done"), "task_id", "left").withColumn("done", F.coalesce("done", F.lit(False)))
-    hours = F.when(F.col("done"), 0.0).otherwise(F.col("estimated_hours"))
-    w = Window.partitionBy("project").orderBy(order, "updated_at", "task_id").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("hours", hours).withColumn("cumulative_hours", F.sum("hours").over(w))
-    days = F.when(~F.col("done") & (F.col("hours") > 0) & F.lit(people > 0), F.greatest(F.ceil(F.col("cumulative_hours") / (people * 8)), F.lit(1)).cast("int"))
-    rows = rows.withColumn("days", days)
-    return rows.withColumn("due", working_day(F.lit(today).cast("date"), F.col("days"))).select("task_id", "project", "hours", "cumulative_hours", "days", "due")
+    """All live tasks in rank order (0 and null last), then update and id: hours add up over the whole list, days are the sum over eight hours a person, at least one, and the date is that working day.
+
+    Completed tasks take no time and have no date; nor has one without hours. The rows come by date, those without one last,
+    then rank and id.
+    """
+    rank = F.when(F.coalesce("rank", F.lit(0)) != 0, F.col("rank")).otherwise(1_000_000_000)
+    rows = tasks.where(~F.col("deleted")).join(completed.select("task_id", "done"), "task_id", "left")
+    rows = rows.select("task_id", rank.alias("place"), "updated_at", F.coalesce("done", F.lit(False)).alias("done"), task_hours(tasks).alias("hours"))
+    takes = F.when(F.col("done"), 0.0).otherwise(F.col("hours"))
+    rows = numbered(rows, [F.asc("place"), F.asc("updated_at"), F.asc("task_id")], "n", takes, "cumulative_hours")
+    days = F.when(~F.col("done") & (F.col("hours") > 0) & F.lit(people > 0), F.greatest(F.ceil(F.round(F.col("cumulative_hours") / (people * 8), 9)), F.lit(1)).cast("int"))
+    rows = rows.withColumn("days", days).withColumn("due", working_day(F.lit(today).cast("date"), F.col("days")))
+    return rows.orderBy(F.asc_nulls_last("due"), "place", "task_id").select("task_id", "hours", "cumulative_hours", "days", "due")
+
+
+def period_bounds(ts: Column, period: str) -> tuple[Column, Column]:
+    """The first day of a moment's day, week (from Tuesday on) or month, and of the next one, at UTC+8."""
+    day = F.to_date(F.from_utc_timestamp(ts, "Asia/Shanghai"))
+    if period == "day":
+        return day, F.date_add(day, 1)
+    if period == "week":
+        return week_start(ts), F.date_add(week_start(ts), 7)
+    if period == "month":
+        first = F.trunc(day, "month")
+        return first, F.add_months(first, 1)
+    raise ValueError("a period is a day, a week or a month")
 
 
 def week_start(ts: Column) -> Column:

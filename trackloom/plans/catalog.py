@@ -60,7 +60,7 @@ def _(t):
     return rounded(tracks.area_anomalies(t)[1].withColumn("reasons", F.array_join("reasons", ",")).withColumn("segment", F.col("segment").cast("bigint")))
 
 
-@query("w1_smooth_tracks", TF, VID, sql="""select video_id, track_id, class_id, frame_id, video_frame_idx, """ + ", ".join(f"round(case when n>1 then (case when cx2>cx1 and cy2>cy1 then c{c} else s{c} end) else {c} end,6) as {c}" for c in tracks.BOX) + """ from (select *, """ + ", ".join(f"least(greatest(s{c},0), {'1919' if 'x' in c else '1079'}) as c{c}" for c in tracks.BOX) + """ from (select t.*, """ + ", ".join(f"avg({c}) over w as s{c}" for c in tracks.BOX) + """, count(*) over (partition by t.video_id, track_id) as n from fx_track_frames t join fx_videos v on t.video_id=v.video_id window w as (partition by t.video_id, track_id order by frame_id rows between 2 preceding and 2 following)))""")
+@query("w1_smooth_tracks", TF, VID, sql="""select video_id, track_id, class_id, frame_id, video_frame_idx, """ + ", ".join(f"round(case when n>1 then (case when cx2>cx1 and cy2>cy1 then c{c} else {c} end) else {c} end,6) as {c}" for c in tracks.BOX) + """ from (select *, """ + ", ".join(f"least(greatest(s{c},0), {'1919' if 'x' in c else '1079'}) as c{c}" for c in tracks.BOX) + """ from (select t.*, """ + ", ".join(f"avg({c}) over w as s{c}" for c in tracks.BOX) + """, count(*) over (partition by t.video_id, track_id) as n from fx_track_frames t join fx_videos v on t.video_id=v.video_id window w as (partition by t.video_id, track_id order by frame_id rows between 2 preceding and 2 following)))""")
 def _(t, v):
     return rounded(tracks.smooth_tracks(t, v, 5))
 
@@ -183,19 +183,22 @@ def _(d):
     return fusion.connected_components(fusion.candidate_pairs(f, b, 0.3))
 
 
-@query("t1_sort_tracker", DT)
-def _(d):
-    return tracking.run_tracker(d, "sort")
+def all_frames(v: DataFrame) -> DataFrame:
+    return v.select("video_id", F.explode(F.sequence(F.col("frame_offset").cast("bigint"), (F.col("frame_offset") + F.col("frame_count") - 1).cast("bigint"))).alias("frame_id"))
 
 
-@query("t2_bytetrack", DT)
-def _(d):
-    return tracking.run_tracker(d, "bytetrack")
+TRACKER_QUERIES = {
+    "t1_sort_tracker": "sort", "t2_bytetrack": "bytetrack", "t3_oc_sort": "oc_sort", "t4_bot_sort": "bot_sort", "t5_hybrid_sort": "hybrid_sort",
+    "t6_deep_oc_sort": "deep_oc_sort", "t7_cbiou": "cbiou", "t8_sparse_track": "sparse_track",
+}
+for name, method in TRACKER_QUERIES.items():
+    query(name, DT, VID)(lambda d, v, method=method: rounded(tracking.run_tracker(d, method, frames=all_frames(v))))
 
 
-@query("t3_oc_sort", DT)
-def _(d):
-    return tracking.run_tracker(d, "oc_sort")
+@query("t11_filter_detections", DT, VID)
+def _(d, v):
+    kept = fusion.filter_detections(d, all_frames(v), v)
+    return fusion.filter_counts(d, kept, all_frames(v))
 
 
 @query("q2_fix_spikes", TF)
@@ -203,6 +206,11 @@ def _(t):
     return rounded(tracking.fix_spikes(t))
 
 
+@query("q2_fixed_intervals", TF)
+def _(t):
+    return tracking.fixed_intervals(tracking.fix_spikes(t))
+
+
 @query("n_sampled_frames", VID, sql="select video_id, unnest(list_sort(list_distinct(list_concat(list_filter(range(0,frame_count,10), lambda f: not (f between 15 and 25)), list_concat(range(15,26,4), [25]))))) as frame from fx_videos")
 def _(v):
     plans = v.select("video_id", F.lit(10).alias("default_interval"))
@@ -267,7 +275,7 @@ def _(s):
 
 
 @query("a6_admin_statistics", TSK, PRT, SES, USR, sql=f""", cl as (select part_id, sum({CLIPPED}) as c from fx_sessions where started_at<{WINDOW[1]} and coalesce(ended_at,{NOW})>{WINDOW[0]} group by 1),
-p as (select annotator, t.task_id, case when product_tag is null or product_tag='' then '{work.UNTAGGED}' else product_tag end as tag, coalesce(submitted_at>={WINDOW[0]} and submitted_at<{WINDOW[1]},false) as done, progress_count, bbox_count, status, work_seconds_override as o, coalesce(c,0) as c from fx_parts p join fx_tasks t on t.task_id=p.task_id and not deleted left join cl on cl.part_id=p.part_id where annotator is not null),
+p as (select annotator, t.task_id, case when product_tag is null or product_tag='' then '{work.UNTAGGED}' else product_tag end as tag, coalesce(submitted_at>={WINDOW[0]} and submitted_at<{WINDOW[1]},false) as done, progress_count, bbox_count, p.status, work_seconds_override as o, coalesce(c,0) as c from fx_parts p join fx_tasks t on t.task_id=p.task_id and not deleted left join cl on cl.part_id=p.part_id where annotator is not null),
 f as (select annotator, task_id, tag, done::int as done, case when done then greatest(progress_count,0) else 0 end as images, case when done and status in ('submitted','completed') then coalesce(bbox_count,1) else 0 end as boxes, case when done and o is not null then o else c end as seconds from p where done or c>0),
 g as (select case grouping(annotator,task_id,tag) when 3 then 'user' when 1 then 'user_task' when 6 then 'tag' else 'total' end as kind, annotator, task_id, tag, count(*) as parts, cast(coalesce(sum(done),case when grouping(annotator,task_id,tag)=7 then null end) as bigint) as completed, cast(sum(images) as bigint) as images, cast(sum(boxes) as bigint) as boxes, round(sum(seconds),3) as seconds, count(distinct task_id) as tasks from f group by grouping sets ((annotator),(annotator,task_id),(tag),()))
 select * from g union all select 'user', username, null, null, 0,0,0,0,0,0 from fx_users where username not in (select annotator from f)""")
@@ -298,7 +306,7 @@ def _(s):
     return work.attendance(s, "2024-01-10", 7)
 
 
-RANKED = "select *, cast(row_number() over (partition by project order by rank, updated_at desc, task_id desc) as int) as new_rank from fx_tasks where not deleted"
+RANKED = "select *, cast(row_number() over (order by rank, updated_at desc, task_id desc) as int) as new_rank from fx_tasks where not deleted and status<>'completed'"
 
 
 @query("w9_normalize_ranks", TSK, sql=f"select *, new_rank<>rank as changed from ({RANKED})")
@@ -306,16 +314,39 @@ def _(t):
     return work.normalize_ranks(t)
 
 
-@query("w10_move_rank", TSK, sql=f", r as ({RANKED}), m as (select project, max(task_id) as moved from fx_tasks where not deleted group by 1), x as (select r.*, moved, least(3, count(*) over (partition by r.project)) as place, row_number() over (partition by r.project, task_id=moved order by new_rank) as k from r join m on m.project=r.project) select task_id, project, new_rank, cast(case when task_id=moved then place else k+(k>=place)::int end as int) as moved_rank from x")
+MOVED = f", r as ({RANKED}), m as (select max(task_id) as moved from r), x as (select r.*, moved, (select new_rank from r, m where task_id=moved) as here from r, m)"
+
+
+def moved(t: DataFrame) -> tuple[DataFrame, DataFrame]:
+    ranked = work.normalize_ranks(t)
+    return work.move_rank(ranked, ranked.agg(F.max("task_id")).first()[0], 3)
+
+
+@query("w10_move_rank", TSK, sql=MOVED + " select task_id, new_rank, cast(case when task_id=moved then least(3,(select count(*) from r)) else new_rank-(new_rank>here)::int+((new_rank-(new_rank>here)::int)>=least(3,(select count(*) from r)))::int end as int) as moved_rank from x")
+def _(t):
+    return moved(t)[0].select("task_id", "new_rank", "moved_rank")
+
+
+@query("w10_move_audit", TSK, sql=MOVED + ", y as (select *, cast(case when task_id=moved then 3 else new_rank-(new_rank>here)::int+((new_rank-(new_rank>here)::int)>=3)::int end as int) as mr from x) select task_id, 'update_ordering' as action, 'rank' as field, cast(new_rank as varchar) as old, cast(mr as varchar) as new from y where mr<>new_rank")
 def _(t):
-    ranked = work.normalize_ranks(t).select("task_id", "project", "new_rank")
-    return work.move_rank(ranked, ranked.groupBy("project").agg(F.max("task_id").alias("task_id")).withColumn("k", F.lit(3)))
+    return moved(t)[1]
 
 
-@query("w11_schedule", TSK, PRT, sql=", d as (select task_id, bool_and(status='completed') as done from fx_parts group by 1), s as (select t.task_id, project, case when coalesce(done,false) then 0 else estimated_hours end as hours, coalesce(done,false) as done, case when coalesce(rank,0)>0 then rank else 1000000000 end as r, updated_at from fx_tasks t left join d on d.task_id=t.task_id where not deleted), c as (select *, sum(hours) over (partition by project order by r, updated_at, task_id rows unbounded preceding) as cumulative_hours from s), n as (select *, case when not done and hours>0 then cast(greatest(ceil(cumulative_hours/(5000*8)),1) as int) end as days from c) select task_id, project, hours, cumulative_hours, days, case when days is not null then list_filter(list_transform(range(0, days*2+8), lambda i: date '2024-02-02' + cast(i as int)), lambda x: isodow(x)<6)[days] end as due from n")
+@query("w11_schedule", TSK, PRT, sql=""", d as (select task_id, bool_and(status='completed') as done from fx_parts group by 1),
+n as (select *, try_cast(replace(data_amount,',','') as double) as amount, try_cast(hourly_capacity as double) as hourly from fx_tasks where not deleted),
+s as (select t.task_id, coalesce(done,false) as done, case when rank<>0 then rank else 1000000000 end as r, updated_at, case when estimated_hours>0 then estimated_hours when hourly>0 then coalesce(amount/hourly,0) else 0 end as hours from n t left join d on d.task_id=t.task_id),
+c as (select *, sum(case when done then 0 else hours end) over (order by r, updated_at, task_id rows unbounded preceding) as cumulative_hours from s),
+e as (select *, case when not done and hours>0 then cast(greatest(ceil(round(cumulative_hours/(5000*8),9)),1) as int) end as days from c)
+select task_id, round(hours,6) as hours, round(cumulative_hours,4) as cumulative_hours, days, case when days is not null then list_filter(list_transform(range(0, days*2+8), lambda i: date '2024-02-02' + cast(i as int)), lambda x: isodow(x)<6)[days] end as due from e""")
 def _(t, p):
     done = p.groupBy("task_id").agg(F.bool_and(F.col("status") == "completed").alias("done"))
-    return work.schedule(t, done, 5000, "2024-02-02")
+    return work.schedule(t, done, 5000, "2024-02-02").withColumn("hours", F.round("hours", 6)).withColumn("cumulative_hours", F.round("cumulative_hours", 4))
+
+
+@query("d2_periods", SUB, sql="select event_id, cast(date_trunc('day', l) as date) as day, cast(date_trunc('day', l) as date)+1 as next_day, cast(date_trunc('month', l) as date) as month, cast(date_trunc('month', l) + interval 1 month as date) as next_month from (select event_id, submitted_at + interval 8 hour as l from fx_submissions)")
+def _(s):
+    (d, nd), (m, nm) = (work.period_bounds(F.col("submitted_at"), p) for p in ("day", "month"))
+    return s.select("event_id", d.alias("day"), nd.alias("next_day"), m.alias("month"), nm.alias("next_month"))
 
 
 @query("d2_week_totals", SUB, sql="select cast(submitted_at + interval 8 hour as date) - cast((isodow(cast(submitted_at + interval 8 hour as date))+5)%7 as int) as week, count(*) as events, cast(sum(cumulative) as bigint) as cumulative from fx_submissions group by 1")
@@ -357,13 +388,14 @@ def _(t):
     return changes.field_changes(t, after, "task_id", ["project", "rank"])
 
 
-@query("e7_add_parts", PRT, sql=""", k as (select distinct task_id, 'p/'||(part_index%4) as key from fx_parts where part_index<=2),
-n as (select task_id, part_index, 'P/'||(part_index%4)||'/' as path, 'p/'||(part_index%4) as key from fx_parts where part_index>2)
-select n.task_id, part_index, path, k.key is null and row_number() over (partition by n.task_id, n.key order by part_index)=1 as accepted from n left join k on n.task_id=k.task_id and n.key=k.key""")
+@query("e7_add_parts", PRT, sql=r""", k as (select distinct task_id, case when part_index%2=0 then 'a/b' else 'c:\data\x' end as key, max(part_index) over (partition by task_id) as top from fx_parts where part_index<=2),
+n as (select task_id, part_index, case part_index%5 when 0 then 'A/b' when 1 then 'a//b' when 2 then './a/b/' when 3 then 'c:/data/X' else 'a/b/../c' end as path, case part_index%5 when 0 then 'A/b' when 1 then 'a/b' when 2 then 'a/b' when 3 then 'c:\data\x' else 'a/c' end as key from fx_parts where part_index>2),
+f as (select n.*, k.key is null and row_number() over (partition by n.task_id, n.key order by part_index)=1 as accepted from n left join k on n.task_id=k.task_id and n.key=k.key)
+select f.task_id, part_index, path, accepted, case when accepted then top+count(*) filter (accepted) over (partition by f.task_id order by part_index) end as new_index from f join (select distinct task_id, top from k) t on t.task_id=f.task_id""")
 def _(p):
-    place = (F.col("part_index") % 4).cast("string")
-    old = p.where("part_index <= 2").select("task_id", F.concat(F.lit("p\\"), place).alias("path"))
-    return changes.add_parts(old, p.where("part_index > 2").select("task_id", "part_index", F.concat(F.lit("P/"), place, F.lit("/")).alias("path")))
+    old = p.where("part_index <= 2").select("task_id", "part_index", F.when(F.col("part_index") % 2 == 0, "a/b").otherwise("C:\\Data\\x").alias("path"))
+    path = F.expr("case part_index%5 when 0 then 'A/b' when 1 then 'a//b' when 2 then './a/b/' when 3 then 'c:/data/X' else 'a/b/../c' end")
+    return changes.add_parts(old, p.where("part_index > 2").select("task_id", "part_index", path.alias("path")))
 
 
 @query("e9_history", SUB, sql="select part_id, string_agg(cast(event_id as varchar)||':'||annotator, ',' order by submitted_at, event_id) as events from fx_submissions group by 1")
@@ -390,14 +422,32 @@ def _(s):
     return changes.check_ins(s)
 
 
-@query("e15_soft_delete", TSK, sql="select task_id, project, cast(row_number() over (partition by project order by rank, updated_at desc, task_id desc) as int) as new_rank from fx_tasks where not deleted and task_id%7<>0")
+@query("e15_soft_delete", TSK, sql="select task_id, cast(row_number() over (order by rank, updated_at desc, task_id desc) as int) as new_rank from fx_tasks where not deleted and status<>'completed' and task_id%7<>0")
 def _(t):
-    return changes.soft_delete(t, t.where("task_id % 7 = 0")).select("task_id", "project", "new_rank")
+    return changes.soft_delete(t, t.where("task_id % 7 = 0"))[0].select("task_id", "new_rank")
 
 
-@query("e6_reassign", TSK, PRT, sql="select part_id, case when annotator='u7' and status in ('in_progress','rework') then 'pending' else status end as status, case when annotator='u7' and status in ('in_progress','rework') then null else annotator end as annotator from fx_parts")
-def _(t, p):
-    return changes.reassign(t, p, "u7", "u1")[1].select("part_id", "status", "annotator")
+@query("e15_delete_audit", TSK, sql="select task_id, 'delete_task' as action, 'deleted' as field, '0' as old, '1' as new from fx_tasks where not deleted and task_id%7=0")
+def _(t):
+    return changes.soft_delete(t, t.where("task_id % 7 = 0"))[1]
+
+
+HELD = "coalesce(annotator='u7' and status in ('in_progress','paused','rework'),false)"
+
+
+@query("e6_reassign", TSK, PRT, SES, sql=f"select part_id, case when {HELD} then 'pending' else status end as status, case when not {HELD} then annotator end as annotator, case when {HELD} then 0 else work_seconds end as work_seconds, case when not {HELD} then submitted_at end as submitted_at from fx_parts")
+def _(t, p, s):
+    return changes.reassign(t, p, s, "u7", "u1")["parts"].select("part_id", "status", "annotator", "work_seconds", "submitted_at")
+
+
+@query("e6_reassigned_tasks", TSK, PRT, SES, sql="select task_id, case when publisher='u7' then 'u1' else publisher end as publisher, case when manager<>'u7' then manager when publisher='u7' then 'u1' else publisher end as manager from fx_tasks")
+def _(t, p, s):
+    return changes.reassign(t, p, s, "u7", "u1")["tasks"].select("task_id", "publisher", "manager")
+
+
+@query("e6_reassigned_sessions", TSK, PRT, SES, sql=f"select session_id from fx_sessions where part_id not in (select part_id from fx_parts where {HELD.replace('u7', 'u3')})")
+def _(t, p, s):
+    return changes.reassign(t, p, s, "u3", "u1")["sessions"].select("session_id")
 
 
 KEYS = "select video_id, track_id, frame_id as frame, video_frame_idx%41<>40 as enabled, x1, y1, x2, y2 from (select distinct on (video_id, track_id, frame_id) * from fx_track_frames order by video_id, track_id, frame_id, x2, y2)"

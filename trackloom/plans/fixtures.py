@@ -21,8 +21,8 @@ VIEWS = {
         where r_regionkey<2 and (c_custkey*31+(n_nationkey*2+r_regionkey)*17)%11<>0) d""",
     "fx_track_frames": """select user_id%8 as video_id, user_id as track_id, cast(user_id%3 as int) as class_id,
         cast(rn*4+event_id%3 as bigint) as frame_id, cast(rn*4+event_id%3 as bigint) as video_frame_idx,
-        cast(user_id*11%1500 as double) as x1, cast(user_id*7%700 as double) as y1,
-        cast(user_id*11%1500+(20+event_id%7)*(case when event_id%29=0 then 5 else 1 end) as double) as x2,
+        cast(user_id*11%1500-(case when user_id%50=7 then 2000 else 0 end) as double) as x1, cast(user_id*7%700 as double) as y1,
+        cast(user_id*11%1500-(case when user_id%50=7 then 2000 else 0 end)+(20+event_id%7)*(case when event_id%29=0 then 5 else 1 end) as double) as x2,
         cast(user_id*7%700+(30+event_id%5)*(case when event_id%29=0 then 5 else 1 end) as double) as y2
         from (select e.*, row_number() over (partition by user_id order by ts,event_id) as rn from events e) q""",
     "fx_users": """select distinct concat('u',cast(user_id as varchar(20))) as username,
@@ -32,7 +32,10 @@ VIEWS = {
         concat('u',cast(o_custkey%40 as varchar(20))) as publisher, o_orderdate as updated_at, o_orderkey%37 as rank,
         o_custkey%19=0 as deleted,
         case when o_orderkey%5=0 then cast(0 as double) else cast(o_orderkey%90 as double) end as estimated_hours,
-        cast(600 as double)*(o_orderkey%4) as expected_part_seconds from orders""",
+        cast(600 as double)*(o_orderkey%4) as expected_part_seconds,
+        case when o_orderkey%11=0 then 'completed' else 'in_progress' end as status, concat('u',cast(o_custkey%23 as varchar(20))) as manager,
+        case when o_orderkey%3=0 then '1,200' when o_orderkey%3=1 then cast(o_orderkey%900 as varchar(20)) else '100-200' end as data_amount,
+        case when o_orderkey%4=0 then '0' when o_orderkey%4=1 then '80-100' else '50' end as hourly_capacity from orders""",
     "fx_parts": """select l_orderkey*100+rn as part_id, l_orderkey as task_id, rn as part_index, cast(l_quantity as int) as image_count,
         cast(floor(l_quantity*(1-l_discount)) as int) as progress_count,
         case when l_linenumber%3=0 then null else cast(l_partkey%200 as int) end as bbox_count,
