@@ -164,7 +164,7 @@ def test_unigram_viterbi_is_best():
                 if text[s:e] in own.id:
                     best[e] = max(best[e], best[s] + own.score[own.id[text[s:e]]])
             best[e] = max(best[e], best[e - 1] + own.lowest)
-        assert abs(sum(own.score[k] if k else own.lowest for k in own._pass(text)) - best[-1]) < 1e-6
+        assert abs(sum(own.score[k] if k else own.lowest for k in own._segments(text)[1]) - best[-1]) < 1e-6
 
 
 def test_decontamination(spark):

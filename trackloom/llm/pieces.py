@@ -7,14 +7,20 @@ that end there, the one that can follow the last piece of the prefix before it.
 their characters by the model's ranks gives these two again; a sequence is a BPE segmentation if and only if all its
 neighbours can follow each other.
 
-White space is escaped and a leading one added as the model says. Where no piece holds a white space behind another character,
-segments never cross the start of a word, so the pass runs word by word, and words that come again are remembered.
+A BPE model's pieces, with their scores as they are in the file, are a unigram model too: its best segmentation, by the Viterbi
+pass, is given beside the model's own.
+
+White space is escaped and a leading one added as the model says. No segment crosses a place where no piece has the one character
+behind the other: before a white space, a line's end or a mark, if the vocabulary is such. The pass then runs from place to
+place, and what comes again is remembered.
 """
 
 from __future__ import annotations
 
+import re
+import string
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from itertools import chain
 
@@ -32,8 +38,8 @@ from trackloom.llm.common import free
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Words and pairs of pieces remembered in a task before the memory is emptied.
-MEMORY = 250_000
+#: Tokens, and pairs of pieces, remembered in a task.
+MEMORY = 150_000
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int, int | bytes]]:
@@ -62,6 +68,25 @@ def _fields(raw: bytes) -> Iterator[tuple[int, int, int | bytes]]:
             at += n
 
 
+class _Memory(dict):
+    """token -> its ids. When there are too many, those of late are kept as the older half, from which a token comes back when it is met again."""
+
+    def __init__(self, make: Callable):
+        super().__init__()
+        self.make, self.old = make, {}
+
+    def __missing__(self, token: str) -> tuple:
+        out = self.old.get(token) or self.make(token)
+        if len(token) <= 64:
+            self[token] = out
+        return out
+
+    def age(self) -> None:
+        if len(self) > MEMORY:
+            self.old = dict(self)
+            self.clear()
+
+
 @dataclass
 class Vocabulary:
     """What a model file says."""
@@ -120,10 +145,8 @@ class Encoder:
         self.bytes = [raw.get(k, b"") if kind == BYTE else shown.get(kind, lambda p: b"")(p) for k, (p, _, kind) in enumerate(v.pieces)]
         self.score = [s for _, s, _ in v.pieces]
         self.lowest = min((v.pieces[k][1] for k in self.id.values()), default=0.0) - 10.0
-        self.splits = not any(SPACE in p.lstrip(SPACE) for p in self.id)
-        # A character of no piece stands alone, so segments end there.
-        self.lines = not any("\n" in p for p in self.id)
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.tokens = self._tokens()
+        self.words = _Memory(self._segments)
         self.pairs: dict[tuple[int, int], bool] = {}
         self.automaton = ahocorasick.Automaton()
         for p, k in self.id.items():
@@ -149,15 +172,53 @@ class Encoder:
     def _follows(self, a: int, b: int) -> bool:
         ok = self.pairs.get((a, b))
         if ok is None:
-            if len(self.pairs) > MEMORY:
+            if len(self.pairs) > 3 * MEMORY:
                 self.pairs.clear()
             x, y = self.v.pieces[a][0], self.v.pieces[b][0]
             ok = self.pairs[a, b] = self._merge(x + y) == [x, y]
         return ok
 
-    def _pass(self, text: str) -> list[int]:
-        """The ids of an escaped text, by one pass of the automaton. A character without piece stands alone."""
-        piece, size = (self._bpe if self.v.kind == BPE else self._viterbi)(text)
+    def _tokens(self) -> re.Pattern | None:
+        """Cuts a text, its white space not yet escaped, where no segment can cross: before a run of white space; around a line's end, if no piece has one; before a run of ASCII marks, unless it is behind a character that some piece joins to a mark. None if pieces hold white space behind other characters."""
+        if any(SPACE in p.lstrip(SPACE) for p in self.id):
+            return None
+        end = "" if any("\n" in p for p in self.id) else "\n"
+        line = f"{end}|" if end else ""
+        marks = set(string.punctuation)
+        joined = {a for p in self.id for a, b in zip(p, p[1:], strict=False) if b in marks and a not in marks and a != SPACE}
+        m, j = (re.escape("".join(sorted(c))) for c in (marks, joined))
+        behind = f"|(?<=[{j}])[{m}]+" if joined else ""
+        return re.compile(f"{line} *[{m}]*(?:[^ {end}{m}]{behind})+| *[{m}]+| +")
+
+    def _segments(self, token: str) -> tuple[tuple[int, ...], tuple[int, ...]]:
+        """A token's ids by the model's own kind, and by Viterbi, in one pass of the automaton. A character without piece stands alone."""
+        text = token.replace(" ", SPACE)
+        n = len(text)
+        best, piece, size = [0.0] + [None] * n, [-1] * (n + 1), [1] * (n + 1)
+        own, own_size = ([-1] * (n + 1), [1] * (n + 1)) if self.v.kind == BPE else (piece, size)
+        known, scores, lowest, bpe = self.pairs.get, self.score, self.lowest, self.v.kind == BPE
+        done = 0
+        for end, (k, length) in self.automaton.iter(text) if len(self.automaton) else ():
+            end += 1
+            start = end - length
+            while done < start:  # up to here no piece can end any more
+                done += 1
+                if best[done] is None:
+                    best[done] = best[done - 1] + lowest
+            # Viterbi: each piece that ends here relaxes the place's best score.
+            score = best[start] + scores[k]
+            if best[end] is None or score > best[end]:
+                best[end], piece[end], size[end] = score, k, length
+            # BPE: the piece that can follow the prefix's last one.
+            if bpe and own[end] < 0:
+                last = own[start]
+                if last < 0 or (ok := known((last, k))) or (ok is None and self._follows(last, k)):
+                    own[end], own_size[end] = k, length
+        found = self._back(text, piece, size)
+        return (self._back(text, own, own_size) if bpe else found), found
+
+    def _back(self, text: str, piece: list[int], size: list[int]) -> tuple[int, ...]:
+        """The ids of the segments that end at the text's end, from each place's last piece, -1 where a character has none, and its length."""
         out, at = [], len(text)
         while at:
             if piece[at] < 0:
@@ -165,90 +226,28 @@ class Encoder:
             else:
                 out.append(piece[at])
             at -= size[at]
-        return out[::-1]
-
-    def _bpe(self, text: str) -> tuple[list[int], list[int]]:
-        """The last piece of each prefix, -1 where its last character has none, and the piece's length."""
-        piece, size = [-1] * (len(text) + 1), [1] * (len(text) + 1)
-        known = self.pairs.get
-        for end, (k, length) in self.automaton.iter(text) if len(self.automaton) else ():
-            end += 1
-            if piece[end] < 0:
-                last = piece[end - length]
-                if last < 0 or (ok := known((last, k))) or (ok is None and self._follows(last, k)):
-                    piece[end], size[end] = k, length
-        return piece, size
-
-    def _viterbi(self, text: str) -> tuple[list[int], list[int]]:
-        """The last piece of each prefix's best segmentation, -1 where it is a character without piece, and the piece's length."""
-        n = len(text)
-        best = [0.0] + [-np.inf] * n
-        piece, size = [-1] * (n + 1), [1] * (n + 1)
-        done = 0
-        for end, (k, length) in self.automaton.iter(text) if len(self.automaton) else ():
-            end += 1
-            while done < end - 1:  # characters that no piece reaches
-                done += 1
-                if piece[done] < 0:
-                    best[done] = best[done - 1] + self.lowest
-            score = best[end - length] + self.score[k]
-            if piece[end] < 0 or score > best[end]:
-                best[end], piece[end], size[end] = score, k, length
-        return piece, size
+        return tuple(out[::-1])
 
     def _unknown(self, ch: str) -> list[int]:
         return [self.byte[b] for b in ch.encode("utf-8", "surrogatepass")] if self.v.byte_fallback and self.byte else [self.unknown]
 
-    def escape(self, text: str) -> str:
+    def encode_both(self, text: str | None) -> tuple[list[int], list[int]]:
+        """The ids of the model's own segmentation and of the best one by Viterbi, which are the same for a unigram model."""
+        text = text or ""
         if self.v.squeeze:
             text = " ".join(x for x in text.split(" ") if x)
         if not text:
-            return ""
-        return ((" " if self.v.dummy_prefix else "") + text).replace(" ", SPACE)
+            return [], []
+        if self.v.dummy_prefix:
+            text = " " + text
+        # What is taken for white space stands for it in the pieces, too.
+        parts = [text] if self.tokens is None else self.tokens.findall(text)
+        found = list(map(self.words.__getitem__, parts))
+        self.words.age()
+        return list(chain.from_iterable(x for x, _ in found)), list(chain.from_iterable(y for _, y in found))
 
     def encode(self, text: str | None) -> list[int]:
-        text = self.escape(text or "")
-        if not text:
-            return []
-        if not self.splits:
-            return self._pass(text)
-        words = text.split(SPACE)
-        out = self._word(words[0]) if words[0] else ()
-        words = words[1:]
-        if "" in words:  # white space before a word belongs to its segment
-            runs, run = [], ""
-            for w in words:
-                run += SPACE
-                if w:
-                    runs.append(run[1:] + w)
-                    run = ""
-            words = [*runs, run[1:]] if run else runs
-        known = self.words
-        found = list(map(known.get, words))
-        if None in found:
-            for k, ids in enumerate(found):
-                if ids is None:
-                    found[k] = known.get(words[k]) or self._word(SPACE + words[k])
-        return [*out, *chain.from_iterable(found)]
-
-    def _word(self, w: str) -> tuple[int, ...]:
-        """The ids of a word; remembered without the white space that leads it."""
-        if self.lines and "\n" in w:
-            end = tuple(self._unknown("\n"))
-            out: tuple[int, ...] = ()
-            for k, x in enumerate(w.split("\n")):
-                key = x[1:] if x.startswith(SPACE) else "\n" + x
-                out += (end if k else ()) + ((self.words.get(key) or self._fresh(x, key)) if x else ())
-            return out
-        return self._fresh(w, w[1:] if w.startswith(SPACE) else "\n" + w)
-
-    def _fresh(self, w: str, key: str) -> tuple[int, ...]:
-        ids = tuple(self._pass(w))
-        if len(w) <= 64:
-            if len(self.words) > MEMORY:
-                self.words.clear()
-            self.words[key] = ids
-        return ids
+        return self.encode_both(text)[0]
 
     def decode(self, ids: list[int]) -> str:
         text = b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
@@ -261,15 +260,15 @@ def load(path: str) -> Vocabulary:
         return Vocabulary.parse(f.read())
 
 
-_ENCODERS: dict[int, Encoder] = {}
+_ENCODERS: dict[str, Encoder] = {}
 
 
 def _encoder(shared: Broadcast) -> Encoder:
-    """One encoder per task process and vocabulary."""
-    key = shared._jbroadcast.id() if getattr(shared, "_jbroadcast", None) is not None else id(shared.value)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(shared.value)
-    return _ENCODERS[key]
+    """One encoder per task process, that of the vocabulary used last: a broadcast's value is one object in a process."""
+    own = _ENCODERS.get("last")
+    if own is None or own.v is not shared.value:
+        own = _ENCODERS["last"] = Encoder(shared.value)
+    return own
 
 
 def with_ids(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", out: str = "ids") -> DataFrame:
@@ -299,28 +298,33 @@ def with_text(docs: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: st
 
 
 def round_trips(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (all, if not given) and ids, n_ids, round_trip: whether decoding the ids gives the text, a null text being empty.
+    """The columns ``keep`` (all, if not given) and ids, n_ids, viterbi_ids, round_trip.
 
-    One row per input row; input columns named ids, n_ids or round_trip are replaced. Both ways run in one task, so that the
-    text goes to Python once.
+    ids are those of the model's own kind, viterbi_ids those of the segmentation with the best sum of scores; for a unigram
+    model they are the same. round_trip: whether decoding either gives the text, a null text being empty. One row per input row;
+    input columns of these names are replaced. Both ways run in one task, so that the text goes to Python once.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    names = [c for c in (docs.columns if keep is None else keep) if c not in ("ids", "n_ids", "round_trip")]
-    schema = StructType([docs.schema[c] for c in names]).add("ids", ArrayType(IntegerType())).add("n_ids", LongType()).add("round_trip", BooleanType())
+    new = ["ids", "n_ids", "viterbi_ids", "round_trip"]
+    names = [c for c in (docs.columns if keep is None else keep) if c.lower() not in new]
+    schema = StructType([docs.schema[c] for c in names]).add("ids", ArrayType(IntegerType())).add("n_ids", LongType()).add("viterbi_ids", ArrayType(IntegerType())).add("round_trip", BooleanType())
+
+    def lists(flat: array, ends: list[int]) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32) if flat else [], pa.int32()))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _encoder(shared)
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
-            flat, ends, same = array("i"), [0], []
-            for t in texts:
-                t = t.as_py() or ""
-                ids = own.encode(t)
-                flat.extend(ids)
-                ends.append(len(flat))
-                same.append(own.decode(ids) == t)
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32) if flat else [], pa.int32()))
+            ids, best, ends, best_ends, same = array("i"), array("i"), [0], [0], []
+            for t in batch.column(batch.num_columns - 1).to_pylist():
+                t = t or ""
+                x, y = own.encode_both(t)
+                ids.extend(x)
+                best.extend(y)
+                ends.append(len(ids))
+                best_ends.append(len(best))
+                same.append(own.decode(x) == t and (x == y or own.decode(y) == t))
             counts = pa.array(np.diff(ends), pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids, counts, pa.array(same, pa.bool_())], [*names, "ids", "n_ids", "round_trip"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists(ids, ends), counts, lists(best, best_ends), pa.array(same, pa.bool_())], [*names, *new])
 
     return docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").cast("string").alias(free("__text", names))).mapInArrow(work, schema)
