@@ -56,9 +56,9 @@ def test_keyframes_stop_at_the_first_disabled(spark):
 
 def test_voc_clips_and_marks(spark):
     images = spark.createDataFrame([("i", 10, 10), ("j", 10, 10)], "image string, width int, height int")
-    found = spark.createDataFrame([("i", "a<b", -2.0, 1.0, 4.4, 5.0), ("i", "x", 12.0, 1.0, 14.0, 2.0)], "image string, name string, x1 double, y1 double, x2 double, y2 double")
+    found = spark.createDataFrame([("i", 0, "a<b", -2.0, 1.0, 4.5, 5.5), ("i", 1, "x", 12.0, 1.0, 14.0, 2.0)], "image string, order int, name string, x1 double, y1 double, x2 double, y2 double")
     xml = {r.image: r.xml for r in boxes.to_voc(found, images).collect()}
-    assert "<name>a&lt;b</name><truncated>1</truncated><bndbox><xmin>0</xmin><ymin>1</ymin><xmax>4</xmax>" in xml["i"] and xml["i"].count("<object>") == 1
+    assert "<name>a&lt;b</name><pose>Unspecified</pose><truncated>1</truncated><difficult>0</difficult><bndbox><xmin>0</xmin><ymin>1</ymin><xmax>4</xmax><ymax>6</ymax>" in xml["i"] and xml["i"].count("<object>") == 1
     assert "<object>" not in xml["j"]
 
 

@@ -47,11 +47,14 @@ def yolo_to_xyxy(cx: Column, cy: Column, w: Column, h: Column, width: Column, he
 
 
 def bbox_to_xywh(b: Box) -> Column:
-    return F.struct(b.x1.alias("x"), b.y1.alias("y"), F.greatest(b.x2 - b.x1, F.lit(0.0)).alias("w"), F.greatest(b.y2 - b.y1, F.lit(0.0)).alias("h"))
+    """Centre and size; a negative size is 0."""
+    cx, cy = center(b)
+    return F.struct(cx.alias("cx"), cy.alias("cy"), F.greatest(b.x2 - b.x1, F.lit(0.0)).alias("w"), F.greatest(b.y2 - b.y1, F.lit(0.0)).alias("h"))
 
 
-def xywh_to_bbox(x: Column, y: Column, w: Column, h: Column) -> Box:
-    return Box(x, y, x + F.greatest(w, F.lit(0.0)), y + F.greatest(h, F.lit(0.0)))
+def xywh_to_bbox(cx: Column, cy: Column, w: Column, h: Column) -> Box:
+    w, h = F.greatest(w, F.lit(0.0)) / 2, F.greatest(h, F.lit(0.0)) / 2
+    return Box(cx - w, cy - h, cx + w, cy + h)
 
 
 def area(b: Box) -> Column:

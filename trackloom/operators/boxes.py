@@ -32,26 +32,41 @@ def export_frames(frames: DataFrame, videos: DataFrame, interval: int) -> DataFr
 
 
 def to_voc(boxes: DataFrame, images: DataFrame) -> DataFrame:
-    """(image, xml): boxes clipped to their image and rounded, degenerate ones dropped, with a mark where they touch the border.
+    """(image, xml): boxes clipped to their image and rounded half to even, degenerate ones dropped, with a mark where they touch the border, in the order of their numbers.
 
-    boxes: image, name, box; images: image, width, height. Images without boxes have a document too.
+    boxes: image, order, name, box; images: image, width, height. Images without boxes have a document too.
     """
     inside = lambda c, top: F.greatest(F.lit(0.0), F.least(F.col(c), F.col(top).cast("double")))
-    clipped = boxes.join(images, "image").select("image", "name", "width", "height", *[inside(c, "width" if c[0] == "x" else "height").alias(c) for c in BOX]).where("x2 > x1 and y2 > y1")
+    clipped = boxes.join(images, "image").select("image", "order", "name", "width", "height", *[inside(c, "width" if c[0] == "x" else "height").alias(c) for c in BOX]).where("x2 > x1 and y2 > y1")
     cut = (F.col("x1") <= 0) | (F.col("y1") <= 0) | (F.col("x2") >= F.col("width")) | (F.col("y2") >= F.col("height"))
-    corner = lambda tag, c: F.concat(F.lit(f"<{tag}>"), F.floor(F.col(c) + 0.5).cast("string"), F.lit(f"</{tag}>"))
+    whole = lambda c: F.bround(c, 0).cast("bigint")
+    corner = lambda tag, v: F.concat(F.lit(f"<{tag}>"), v.cast("string"), F.lit(f"</{tag}>"))
     escaped = F.replace(F.replace(F.replace("name", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    one = F.concat(F.lit("<object><name>"), escaped, F.lit("</name><truncated>"), cut.cast("int").cast("string"), F.lit("</truncated><bndbox>"), corner("xmin", "x1"), corner("ymin", "y1"), corner("xmax", "x2"), corner("ymax", "y2"), F.lit("</bndbox></object>"))
-    objects = clipped.groupBy("image").agg(F.array_join(F.array_sort(F.collect_list(one)), "").alias("objects"))
-    head = F.concat(F.lit("<annotation><filename>"), F.col("image").cast("string"), F.lit("</filename><size><width>"), F.col("width").cast("string"), F.lit("</width><height>"), F.col("height").cast("string"), F.lit("</height></size>"))
+    least, most = lambda c: F.greatest(whole(c), F.lit(0)), lambda c, top: F.least(whole(c), F.col(top).cast("bigint"))
+    one = F.concat(
+        F.lit("<object><name>"), escaped, F.lit("</name><pose>Unspecified</pose><truncated>"), cut.cast("int").cast("string"), F.lit("</truncated><difficult>0</difficult><bndbox>"),
+        corner("xmin", least("x1")), corner("ymin", least("y1")), corner("xmax", most("x2", "width")), corner("ymax", most("y2", "height")), F.lit("</bndbox></object>"),
+    )
+    objects = clipped.groupBy("image").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("order", one.alias("xml")))), lambda o: o["xml"]), "").alias("objects"))
+    head = F.concat(F.lit("<annotation><folder>images</folder><filename>"), F.col("image").cast("string"), F.lit("</filename><size><width>"), F.col("width").cast("string"), F.lit("</width><height>"), F.col("height").cast("string"), F.lit("</height><depth>3</depth></size><segmented>0</segmented>"))
     return images.join(objects, "image", "left").select("image", F.concat(head, F.coalesce("objects", F.lit("")), F.lit("</annotation>")).alias("xml"))
 
 
+def same_label(a: Column, b: Column) -> Column:
+    """Labels without case and outer white space; an empty one agrees with all."""
+    given = lambda c: F.coalesce(c, F.lit("")) != ""
+    return ~(given(a) & given(b)) | (F.lower(F.trim(a)) == F.lower(F.trim(b)))
+
+
 def compare_box_sets(candidates: DataFrame, refs: DataFrame, cands: DataFrame) -> DataFrame:
     """(video_id, frame_id, tp, extra, missed): pairs are matched from the best iou down, ties by the higher reference, then candidate.
 
-    candidates: (video_id, frame_id, l, r, iou) as ``fusion.iou_join`` gives them. An image's pairs are one small group.
+    candidates: (video_id, frame_id, l, r, iou) as ``fusion.iou_join`` gives them. Where refs and cands, with their det_idx, have
+    a column ``label``, pairs of different labels don't match. An image's pairs are one small group.
     """
+    if "label" in refs.columns and "label" in cands.columns:
+        side = lambda df, k: df.select("video_id", "frame_id", F.col("det_idx").alias(k), F.col("label").alias(f"{k}_label"))
+        candidates = candidates.join(side(refs, "l"), ["video_id", "frame_id", "l"]).join(side(cands, "r"), ["video_id", "frame_id", "r"]).where(same_label(F.col("l_label"), F.col("r_label")))
     image = ["video_id", "frame_id"]
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -69,15 +84,23 @@ def compare_box_sets(candidates: DataFrame, refs: DataFrame, cands: DataFrame) -
     return both.select(*image, "tp", (F.col("n_cand") - F.col("tp")).alias("extra"), (F.col("n_ref") - F.col("tp")).alias("missed"))
 
 
-def floor_percentile(values: Column, q: float) -> Column:
-    """The value at index floor((n - 1) * q) of a group's sorted values."""
-    held = F.array_sort(F.collect_list(values))
-    return F.element_at(held, F.floor((F.size(held) - 1) * F.lit(q)).cast("int") + 1)
+def floor_percentile(frames: DataFrame, key: str, value: str, q: float) -> DataFrame:
+    """(key, value at the index floor((n - 1) q) of the key's sorted values): equal values are counted first, and of the running counts the one is taken that passes the index."""
+    counts = frames.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("c"))
+    w = Window.partitionBy(key).orderBy(value)
+    rows = counts.withColumn("upto", F.sum("c").over(w)).withColumn("n", F.sum("c").over(Window.partitionBy(key)))
+    return rows.where(F.col("upto") > F.floor((F.col("n") - 1) * F.lit(q))).groupBy(key).agg(F.min(value).alias(value))
 
 
-def summarize_runs(frames: DataFrame, baseline: int) -> DataFrame:
-    """Of frames (run, seconds, boxes): rates, median and 95th percentile of the seconds, and speed-up over the run ``baseline``."""
-    runs = frames.groupBy("run").agg(F.count("*").alias("frames"), F.sum("seconds").alias("seconds"), F.sum("boxes").alias("boxes"), F.median("seconds").alias("p50"), floor_percentile(F.col("seconds"), 0.95).alias("p95"))
+def summarize_runs(frames: DataFrame, baseline: int, compared: DataFrame | None = None) -> DataFrame:
+    """Of frames (run, seconds, boxes): rates, median and 95th percentile of the seconds, speed-up over the run ``baseline``, and, with ``compared`` (run, tp, extra, missed), precision and recall against it, null where there is nothing to divide by and for the baseline itself."""
+    runs = frames.groupBy("run").agg(F.count("*").alias("frames"), F.sum("seconds").alias("seconds"), F.sum("boxes").alias("boxes"), F.median("seconds").alias("p50"))
+    runs = runs.join(floor_percentile(frames, "run", "seconds", 0.95).withColumnRenamed("seconds", "p95"), "run")
     rated = runs.select("run", "frames", (F.col("frames") / F.col("seconds")).alias("fps"), (F.col("boxes") / F.col("seconds")).alias("boxes_per_second"), "p50", "p95")
     base = rated.where(F.col("run") == baseline).agg(F.max("fps").alias("base"))  # one row
-    return rated.join(F.broadcast(base)).withColumn("speed_up", F.col("fps") / F.col("base")).drop("base")
+    out = rated.join(F.broadcast(base)).withColumn("speed_up", F.col("fps") / F.col("base")).drop("base")
+    if compared is None:
+        return out
+    sums = compared.where(F.col("run") != baseline).groupBy("run").agg(*[F.sum(c).alias(c) for c in ("tp", "extra", "missed")])
+    share = lambda other: F.col("tp") / F.nullif(F.col("tp") + F.col(other), F.lit(0).cast("bigint"))
+    return out.join(sums.select("run", share("extra").alias("precision"), share("missed").alias("recall")), "run", "left")

@@ -469,7 +469,7 @@ def _(d, v):
 def _(d, v):
     images = d.select("video_id", "frame_id").distinct().join(v, "video_id")
     image = F.concat_ws("_", "video_id", "frame_id").alias("image")
-    return boxes.to_voc(d.select(image, F.concat(F.lit("class "), "class_id").alias("name"), *tracks.BOX), images.select(image, "width", "height"))
+    return boxes.to_voc(d.select(image, F.col("det_idx").alias("order"), F.concat(F.lit("class "), "class_id").alias("name"), *tracks.BOX), images.select(image, "width", "height"))
 
 
 @query("q4_compare_box_sets", DT)

@@ -55,6 +55,14 @@ VIEWS = {
         ts as submitted_at,
         10*(row_number() over (partition by (user_id%50)*100+1+event_id%3 order by ts,event_id)) as cumulative,
         event_type='purchase' as is_final from events""",
+    "fx_actions": """select event_id as action_id, ts, cast(user_id%25 as bigint) as task_id, concat('u',cast(event_id%5 as varchar(20))) as actor,
+        case event_id%11 when 0 then 'claim' when 1 then 'pause' when 2 then 'resume' when 3 then 'claim' when 4 then 'submit' when 5 then 'approve'
+             when 6 then 'reject' when 7 then 'progress' when 8 then 'rework' when 9 then 'submit' else 'return' end as action,
+        case when event_id%11 not in (0,3) then cast((user_id%25)*10+1+cast(floor(event_id/11) as bigint)%4 as bigint) end as part_id,
+        case when event_id%11=7 then cast(event_id%120 as bigint) end as value from events""",
+    "fx_action_tasks": """select distinct cast(user_id%25 as bigint) as task_id, 'u1' as publisher, concat('u',cast(user_id%25%5 as varchar(20))) as manager from events""",
+    "fx_action_parts": """select distinct cast(user_id%25 as bigint)*10+k as part_id, cast(user_id%25 as bigint) as task_id, k as part_index, cast(100 as bigint) as image_count
+        from events cross join (select distinct cast(event_id%6+1 as bigint) as k from events) n""",
 }
 #: The moment that stands for now in reports over open sessions.
 NOW = "timestamp '2024-01-31 12:00:00'"
