@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackloom.functions import text as T
+
 
 def validate_plans(plans: DataFrame, segments: DataFrame, videos: DataFrame) -> DataFrame:
     """(video_id, errors) of the plans with an error: intervals below 1, bounds outside the video or reversed, overlapping segments."""
@@ -71,3 +73,51 @@ def to_yolo_frames(rows: DataFrame, videos: DataFrame, prefix: str = "frame") ->
     lines = F.array_sort(F.collect_list(F.when(F.col("class_id").isNotNull(), F.struct("order", line.alias("line")))))
     content = F.array_join(F.transform(lines, lambda s: s["line"]), "\n")
     return both.groupBy("video_id", "frame_id").agg(content.alias("content")).select("video_id", F.format_string(f"{prefix}_%06d.txt", "frame_id").alias("file_name"), "content")
+
+
+def select_frames(videos: DataFrame, k: int) -> DataFrame:
+    """Every k-th frame of each video (video_id, stem, frame_count) from the first on, named by its number from 1."""
+    rows = videos.where("frame_count > 0").select("video_id", "stem", F.explode(F.sequence(F.lit(0).cast("bigint"), (F.col("frame_count") - 1).cast("bigint"), F.lit(k).cast("bigint"))).alias("frame"))
+    return rows.select("video_id", "frame", F.concat_ws("_", "stem", (F.col("frame") + 1).cast("string")).alias("name"))
+
+
+def benchmark_frames(videos: DataFrame, start: int, step: int, measured: int, warm_up: int = 1) -> DataFrame:
+    """(video_id, position, frame, warm_up): a fixed set of frames of each video, the first ones to warm up; those beyond the video are left out. A video without any measured frame has no row: that is an error of the request."""
+    at = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(warm_up + measured - 1).cast("bigint"))).alias("position")
+    rows = videos.select("video_id", "frame_count", at).withColumn("frame", F.col("position") * step + start).where("frame < frame_count").withColumn("warm_up", F.col("position") < warm_up)
+    enough = rows.groupBy("video_id").agg(F.bool_or(~F.col("warm_up")).alias("ok")).where("ok")
+    return rows.join(enough.select("video_id"), "video_id", "left_semi").select("video_id", "position", "frame", "warm_up")
+
+
+def export_sampled(track_frames: DataFrame, sampled: DataFrame, videos: DataFrame, include_empty: bool = True, prefix: str = "frame") -> DataFrame:
+    """(video_id, frame, stem, content, boxes) of the sampled frames, with the label lines of the tracks' boxes in track order; frames without a box only if they are wanted."""
+    width, height = F.col("width"), F.col("height")
+    x, y = (F.col("x1") + F.col("x2")) / 2 / width, (F.col("y1") + F.col("y2")) / 2 / height
+    line = F.concat_ws(" ", F.col("class_id").cast("string"), *[T.decimals(v) for v in (x, y, (F.col("x2") - F.col("x1")) / width, (F.col("y2") - F.col("y1")) / height)])
+    rows = track_frames.join(videos.select("video_id", "width", "height"), "video_id").select("video_id", F.col("video_frame_idx").alias("frame"), F.struct("track_id", line.alias("line")).alias("l"))
+    lines = rows.groupBy("video_id", "frame").agg(F.array_sort(F.collect_list("l")).alias("l"))
+    out = sampled.select("video_id", "frame").join(lines, ["video_id", "frame"], "left" if include_empty else "inner")
+    content = F.array_join(F.transform("l", lambda s: s["line"]), "\n")
+    return out.select("video_id", "frame", F.format_string(f"{prefix}_%06d", "frame").alias("stem"), F.coalesce(content, F.lit("")).alias("content"), F.coalesce(F.size("l"), F.lit(0)).alias("boxes"))
+
+
+def tiered_sample(track_frames: DataFrame, videos: DataFrame, window: int = 60, stride: int = 15, intervals: tuple[int, int, int, int] = (20, 10, 5, 2)) -> DataFrame:
+    """(video_id, frame): frames taken the denser the more moves around them.
+
+    The score of a window of frames is the mean motion of box centres within it. A frame has the largest score of the windows that
+    hold it; by the video's quantiles 0.5, 0.75 and 0.9 of scores it belongs to a tier, whose interval its number has to divide.
+    """
+    w = Window.partitionBy("video_id", "track_id").orderBy("video_frame_idx")
+    cx, cy = (F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2
+    moved = track_frames.select("video_id", "video_frame_idx", F.hypot(cx - F.lag(cx).over(w), cy - F.lag(cy).over(w)).alias("m"))
+    per_frame = moved.groupBy("video_id", "video_frame_idx").agg(F.sum("m").alias("m"), F.count("m").alias("n"))
+    number = F.lit(stride).cast("bigint")
+    first, last = F.greatest(F.ceil((F.col("f") - window + 1) / number), F.lit(0)), F.floor(F.col("f") / number)
+    windows = lambda df: df.withColumn("k", F.explode(F.sequence(first, last)))
+    scores = windows(per_frame.withColumnRenamed("video_frame_idx", "f")).groupBy("video_id", "k").agg((F.sum("m") / F.greatest(F.sum("n"), F.lit(1))).alias("s"))
+    grid = videos.where("frame_count > 0").select("video_id", F.explode(F.sequence(F.lit(0).cast("bigint"), (F.col("frame_count") - 1).cast("bigint"))).alias("f"))
+    best = windows(grid).join(scores, ["video_id", "k"], "left").groupBy("video_id", "f").agg(F.coalesce(F.max("s"), F.lit(0.0)).alias("s"))
+    cuts = best.groupBy("video_id").agg(*[F.percentile("s", F.lit(q)).alias(f"q{k}") for k, q in enumerate((0.5, 0.75, 0.9))])
+    a, b, c, d = intervals
+    every = F.when(F.col("s") > F.col("q2"), d).when(F.col("s") > F.col("q1"), c).when(F.col("s") > F.col("q0"), b).otherwise(a)
+    return best.join(cuts, "video_id").where(F.pmod(F.col("f"), every) == 0).select("video_id", F.col("f").alias("frame"))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from trackloom.functions import geometry as G
+from trackloom.functions import text as T
+
 TRACKING_SCHEMA = """metadata struct<video_path:string,fps:double,width:int,height:int,frame_count:int,frame_offset:int,num_tracks:int>,
 tracks array<struct<track_id:bigint,class_id:int,frames:array<struct<frame_id:bigint,video_frame_idx:bigint,bbox_xyxy:array<double>>>>>"""
 PLAN_SCHEMA = "default_interval int, include_empty_frames boolean, file_prefix string, segments array<struct<start_frame:int,end_frame:int,interval:int,label:string>>"
@@ -22,7 +25,7 @@ def read_yolo_labels(spark: SparkSession, path: str, videos: DataFrame) -> tuple
     ``videos``: (video_id, width, height, frame_count) with the folder's name as video_id. Numbers count from 1 where the
     folder's smallest is 1, else from 0. A line has five or six fields; the sixth is the score, 1 if missing, held to 0..1.
     Lines that don't parse and boxes of no size go to the warnings; frames without boxes stay. No reader gives a row for an
-    empty file, so the names come from Spark's own index of the files.
+    empty file, so the names come from Spark's own index of the files, which the driver holds for any reader.
     """
     names = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(path).inputFiles()
     listed = spark.createDataFrame([(n,) for n in names], "path string")
@@ -61,12 +64,16 @@ def read_tracking_results(spark: SparkSession, path: str) -> DataFrame:
 
 
 def to_tracking_results(track_frames: DataFrame, videos: DataFrame) -> DataFrame:
-    """(video_id, document): the JSON document of each video's tracks, frames and tracks in order."""
-    frame = F.struct("frame_id", F.col("video_frame_idx").cast("bigint").alias("video_frame_idx"), F.array(*[F.bround(c, 0).cast("int") for c in ("x1", "y1", "x2", "y2")]).alias("bbox_xyxy"))
-    tracks = track_frames.groupBy("video_id", "track_id", "class_id").agg(F.array_sort(F.collect_list(frame)).alias("frames"))
-    tracks = tracks.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("track_id", "class_id", F.size("frames").alias("num_frames"), "frames"))).alias("tracks"))
+    """(video_id, document): the JSON document of each video's tracks, frames and tracks in order: boxes clipped and in whole pixels, zeros where nothing is left, with the first and last frames. A video without tracks has a document, too."""
+    rows = track_frames.join(videos.select("video_id", "width", "height"), "video_id")
+    b = G.round_bbox_int(G.Box.of(), F.col("width").cast("double"), F.col("height").cast("double"))
+    frame = F.struct("frame_id", F.col("video_frame_idx").cast("bigint").alias("video_frame_idx"), F.array(*[b[c] for c in G.Box._fields]).alias("bbox_xyxy"))
+    tracks = rows.groupBy("video_id", "track_id", "class_id").agg(F.array_sort(F.collect_list(frame)).alias("frames"))
+    ends = [F.element_at("frames", k)[c].alias(f"{side}_{short}") for side, k in (("start", 1), ("end", -1)) for c, short in (("frame_id", "frame_id"), ("video_frame_idx", "video_frame_idx"))]
+    tracks = tracks.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("track_id", "class_id", F.size("frames").alias("num_frames"), *ends, "frames"))).alias("tracks"))
+    whole = videos.join(tracks, "video_id", "left").withColumn("tracks", F.coalesce("tracks", F.array().cast(tracks.schema["tracks"].dataType)))
     meta = F.struct("fps", "width", "height", "frame_count", "frame_offset", F.size("tracks").alias("num_tracks"))
-    return tracks.join(videos, "video_id").select("video_id", F.to_json(F.struct(meta.alias("metadata"), "tracks")).alias("document"))
+    return whole.select("video_id", F.to_json(F.struct(meta.alias("metadata"), "tracks")).alias("document"))
 
 
 def read_sampling_plans(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -93,3 +100,14 @@ def parse_answers(answers: DataFrame) -> DataFrame:
     v = F.regexp_extract_all("token", F.lit(r"<(\d+)>"), F.lit(1))
     at = lambda k, size: (F.get(v, F.lit(k)).cast("double") / 1000 * F.col(size))
     return rows.select("image", "pos", F.lower(F.regexp_replace(F.trim("label"), r"\s+", " ")).alias("label"), at(0, "width").alias("x1"), at(1, "height").alias("y1"), at(2, "width").alias("x2"), at(3, "height").alias("y2"))
+
+
+def answers_to_labels(answers: DataFrame, classes: Column, prompt: str = "", default: int = 0) -> DataFrame:
+    """(image, content, boxes): the scored label lines of each answer's boxes, in order, with score 1; images whose answer failed, or without boxes, have empty labels. answers: image, width, height, answer, of which the last is null after a failure."""
+    boxes = parse_answers(answers.where(F.col("answer").isNotNull()).select("image", "width", "height", "answer"))
+    number = T.class_id(F.col("label"), classes, F.lit(prompt), F.lit(default))
+    sized = boxes.join(answers.select("image", "width", "height"), "image")
+    line = T.scored_line(number, G.Box.of(), F.col("width"), F.col("height"), F.lit(1.0))
+    lines = sized.select("image", "pos", line.alias("line")).where("line is not null").groupBy("image").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("l"))
+    rows = answers.select("image").join(lines, "image", "left")
+    return rows.select("image", F.coalesce(F.array_join(F.transform("l", lambda r: r["line"]), "\n"), F.lit("")).alias("content"), F.coalesce(F.size("l"), F.lit(0)).alias("boxes"))
