@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from trackloom.functions import geometry as G
 from trackloom.functions import text as T
 from trackloom.operators import boxes, changes, fusion, lifecycle, reports, sampling, tracks, work
-from trackloom.plans.catalog import DT, PRT, SES, SUB, TF, TSK, USR, VID, query, rounded, sides
+from trackloom.plans.catalog import DT, ORACLES, PAIRS, PRT, SES, SUB, TF, TSK, USR, VID, query, rounded, sides
+from trackloom.plans.fixtures import oracle
 
 ACT, ATK, APT = "fx_actions", "fx_action_tasks", "fx_action_parts"
 NUM = "try_cast(nullif(regexp_extract({t}, '^(\\d+(\\.\\d+)?)\\s*([-–—~～]\\s*(\\d+(\\.\\d+)?))?$', {g}),'') as double)"
@@ -399,8 +400,29 @@ def _(t, p):
     return work.task_order(t, p.groupBy("task_id").agg(F.bool_and(F.col("status") == "completed").alias("done"))).select("task_id")
 
 
-for name, method in {"f1_bidirectional": "bidirectional_iou", "f2_forward_only": "forward_only", "f3_backward_only": "backward_only", "f4_forward_primary": "bidirectional_iou_forward_primary", "f5_forward_unique": "bidirectional_iou_forward_unique"}.items():
-    query(name, DT)(lambda d, method=method: fusion.fuse(*sides(d), method, 0.3).select("video_id", "direction", "tracklet_idx", "component"))
+CAND = f", {PAIRS}, c as (select *, round(score,9) as s from cand where mean_iou>=0.3 and normalized_gap<=1.5), rk as (select *, row_number() over (partition by video_id, f_idx order by s desc, b_idx) as rf, row_number() over (partition by video_id, b_idx order by s desc, f_idx) as rb from c), mb as (select * from rk where rf=1 and rb=1), fw as (select distinct video_id, idx from fwd), bw as (select distinct video_id, idx from bwd)"
+FORWARD = "select video_id, 'forward' as direction, idx as tracklet_idx, 'f' || idx as component from fw"
+PAIRED = "select video_id, 'backward' as direction, b_idx as tracklet_idx, 'f' || f_idx as component from mb"
+FUSION = {
+    "f1_bidirectional": ("bidirectional_iou", f"{FORWARD} union all {PAIRED} union all select video_id, 'backward', idx, 'b' || idx from bw where (video_id, idx) not in (select (video_id, b_idx) from mb)"),
+    "f2_forward_only": ("forward_only", FORWARD),
+    "f3_backward_only": ("backward_only", "select video_id, 'backward' as direction, idx as tracklet_idx, 'b' || idx as component from bw"),
+    "f4_forward_primary": ("bidirectional_iou_forward_primary", f"{FORWARD} union all {PAIRED}"),
+    "f5_forward_unique": ("bidirectional_iou_forward_unique", f"{FORWARD} union all {PAIRED} union all select video_id, 'backward', idx, 'b' || idx from bw where (video_id, idx) not in (select (video_id, b_idx) from c)"),
+}
+for name, (method, sql) in FUSION.items():
+    query(name, DT, sql=f"{CAND} {sql}")(lambda d, method=method: fusion.fuse(*sides(d), method, 0.3).select("video_id", "direction", "tracklet_idx", "component"))
+
+ORACLES["f6_all_pairs_components"] = oracle(f"""{CAND}, n as (select distinct video_id, 'f' || f_idx as node, 'forward' as direction, f_idx as idx from c union select video_id, 'b' || b_idx, 'backward', b_idx from c),
+e as (select video_id, 'f' || f_idx as a, 'b' || b_idx as z from c union select video_id, 'b' || b_idx, 'f' || f_idx from c),
+reach as (select video_id, node as a, node as z from n union select r.video_id, r.a, e.z from reach r join e on e.video_id=r.video_id and e.a=r.z),
+root as (select r.video_id, r.a, min((m.direction, m.idx)) as low from reach r join n m on m.video_id=r.video_id and m.node=r.z group by 1,2)
+select n.video_id, direction, idx as tracklet_idx, dense_rank() over (partition by n.video_id order by low) as component from n join root on root.video_id=n.video_id and root.a=n.node""", DT).replace("with ", "with recursive ", 1)
+
+CORNERS = "[('xmin', cast(greatest(round_even(a,0),0) as bigint)), ('ymin', cast(greatest(round_even(c,0),0) as bigint)), ('xmax', cast(least(round_even(b,0),1920) as bigint)), ('ymax', cast(least(round_even(d,0),1080) as bigint))]"
+ORACLES["k5_voc"] = oracle(f""", q as (select *, video_id || '_' || frame_id as image, least(greatest(x1,0),1920) as a, least(greatest(x2,0),1920) as b, least(greatest(y1,0),1080) as c, least(greatest(y2,0),1080) as d from fx_detections),
+o as (select image, string_agg('<object><name>class ' || class_id || '</name><pose>Unspecified</pose><truncated>' || (a<=0 or c<=0 or b>=1920 or d>=1080)::int || '</truncated><difficult>0</difficult><bndbox>' || array_to_string(list_transform({CORNERS}, lambda t: '<' || t[1] || '>' || t[2] || '</' || t[1] || '>'), '') || '</bndbox></object>', '' order by det_idx) as t from q where b>a and d>c group by 1)
+select image, '<annotation><folder>images</folder><filename>' || image || '</filename><size><width>1920</width><height>1080</height><depth>3</depth></size><segmented>0</segmented>' || coalesce(t,'') || '</annotation>' as xml from (select distinct image from q) left join o using (image)""", DT)
 
 
 @query("f7_suppression", DT)
