@@ -282,45 +282,74 @@ def register_tracker(name: str, step: Callable, velocity_from_observations: bool
     TRACKERS[name] = (step, velocity_from_observations)
 
 
-def track_video(frames: list[tuple[int, Detections]], method: str, config: dict, forward: bool) -> pd.DataFrame:
-    """One pass over a video's frames, which are in ascending order: (frame_id, det_idx, tracklet_idx, number, class_id, misses, box)."""
-    step, from_observations = TRACKERS[method]
-    tracks = Tracks(not config.get("disable_kalman", False))
-    p = Pass(tracks, config, forward)
-    most = config.get("max_missed", 15)
-    rows: list[tuple[np.ndarray, ...]] = []
-    ended: list[tuple[np.ndarray, np.ndarray]] = []
-    n = 1
-    for frame, d in frames if forward else frames[::-1]:
+class VideoPass:
+    """A pass over a video's frames, one after another: ``step`` takes a frame, ``taken`` gives the rows since it was asked last."""
+
+    def __init__(self, method: str, config: dict, forward: bool):
+        self.method, self.config = method, config
+        self.tracks = Tracks(not config.get("disable_kalman", False))
+        self.frame = Pass(self.tracks, config, forward)
+        self.rows: list[tuple[np.ndarray, ...]] = []
+        self.ended: list[tuple[np.ndarray, np.ndarray]] = []
+        self.next = 1
+
+    def step(self, frame: int, d: Detections) -> None:
+        find, from_observations = TRACKERS[self.method]
+        tracks = self.tracks
         if not len(tracks) and not len(d.at):
-            continue
+            return
         tracks.predict()
-        pairs, fresh = step(p, d)
+        pairs, fresh = find(self.frame, d)
         fresh = fresh.copy()
         missed = np.ones(len(tracks), bool)
         if pairs:
             i, j = np.array(pairs).T
             missed[i], fresh[j] = False, False
-            rows.append((np.full(len(i), frame), d.at[j], tracks.number[i], d.classes[j], tracks.update(i, d.where(j), frame, from_observations)))
+            self.rows.append((np.full(len(i), frame), d.at[j], tracks.number[i], d.classes[j], tracks.update(i, d.where(j), frame, from_observations)))
         tracks.misses[missed] += 1
-        gone = tracks.misses > most
+        gone = tracks.misses > self.config.get("max_missed", 15)
         if gone.any():
-            ended.append((tracks.number[gone], tracks.misses[gone]))
+            self.ended.append((tracks.number[gone], tracks.misses[gone]))
             tracks.keep(~gone)
         if fresh.any():
             new = d.where(fresh)
-            rows.append((np.full(len(new.at), frame), new.at, np.arange(n, n + len(new.at)), new.classes, new.boxes))
-            tracks.add(n, new, frame)
-            n += len(new.at)
-    ended.append((tracks.number, tracks.misses))
+            self.rows.append((np.full(len(new.at), frame), new.at, np.arange(self.next, self.next + len(new.at)), new.classes, new.boxes))
+            tracks.add(self.next, new, frame)
+            self.next += len(new.at)
+
+    def taken(self) -> pd.DataFrame:
+        rows, self.rows, self.ended = self.rows, [], []
+        if not rows:
+            return pd.DataFrame({c: [] for c in ("frame_id", "det_idx", "number", "class_id", *BOX)})
+        frame, at, number, classes, boxes = (np.concatenate(c) for c in zip(*rows, strict=True))
+        return pd.DataFrame({"frame_id": frame, "det_idx": at, "number": number, "class_id": classes} | dict(zip(BOX, boxes.T, strict=True)))
+
+
+def track_video(frames: list[tuple[int, Detections]], method: str, config: dict, forward: bool) -> pd.DataFrame:
+    """One pass over a video's frames, which are in ascending order: (frame_id, det_idx, tracklet_idx, number, class_id, misses, box)."""
+    own = VideoPass(method, config, forward)
+    for frame, d in frames if forward else frames[::-1]:
+        own.step(frame, d)
     # Tracks are listed as they end, the survivors in the order of their creation.
-    number, misses = (np.concatenate(c) for c in zip(*ended, strict=True))
-    place, missing = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    number, misses = (np.concatenate(c) for c in zip(*own.ended, (own.tracks.number, own.tracks.misses), strict=True))
+    place, missing = np.zeros(own.next, np.int64), np.zeros(own.next, np.int64)
     place[number], missing[number] = np.arange(len(number)), misses
-    if not rows:
-        return pd.DataFrame({c: [] for c in ("frame_id", "det_idx", "tracklet_idx", "number", "class_id", "misses", *BOX)})
-    frame, at, number, classes, boxes = (np.concatenate(c) for c in zip(*rows, strict=True))
-    return pd.DataFrame({"frame_id": frame, "det_idx": at, "tracklet_idx": place[number], "number": number, "class_id": classes, "misses": missing[number]} | dict(zip(BOX, boxes.T, strict=True)))
+    out = own.taken()
+    number = out["number"].to_numpy(np.int64)
+    return out.assign(tracklet_idx=place[number], misses=missing[number])
+
+
+def frames_of(rows: pd.DataFrame) -> list[tuple[int, Detections]]:
+    """A video's rows as frames in ascending order; a row without det_idx only says that there is its frame."""
+    rows = rows.sort_values(["frame_id", "det_idx"], kind="stable")
+    frame, real = rows["frame_id"].to_numpy(), rows["det_idx"].notna().to_numpy()
+    own = Detections(rows["det_idx"].to_numpy(), rows[BOX].to_numpy(float), rows["score"].to_numpy(float), rows["class_id"].to_numpy())
+    cuts = np.flatnonzero(np.diff(frame)) + 1
+    out = []
+    for at in np.split(np.arange(len(frame)), cuts) if len(frame) else ():
+        d = own.where(at[real[at]])
+        out.append((int(frame[at[0]]), Detections(d.at.astype(np.int64), d.boxes, d.scores, d.classes.astype(np.int64))))
+    return out
 
 
 def run_tracker(detections: DataFrame, method: str = "sparse_track", params: dict | None = None, frames: DataFrame | None = None) -> DataFrame:
@@ -336,17 +365,8 @@ def run_tracker(detections: DataFrame, method: str = "sparse_track", params: dic
     config = {k: v for k, v in (DEFAULTS | (params or {})).items() if v is not None}
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["frame_id", "det_idx"], kind="stable")
-        frame, real = pdf["frame_id"].to_numpy(), pdf["det_idx"].notna().to_numpy()
-        own = Detections(pdf["det_idx"].to_numpy(), pdf[BOX].to_numpy(float), pdf["score"].to_numpy(float), pdf["class_id"].to_numpy())
-        cuts = np.flatnonzero(np.diff(frame)) + 1
-        begin, end = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(frame)]])
-        each = []
-        for a, b in zip(begin.tolist(), end.tolist(), strict=True):
-            d = own.where(np.flatnonzero(real[a:b]) + a)
-            each.append((int(frame[a]), Detections(d.at.astype(np.int64), d.boxes, d.scores, d.classes.astype(np.int64))))
         way = pdf["direction"].iloc[0]
-        out = track_video(each, method, config, way == "forward")
+        out = track_video(frames_of(pdf), method, config, way == "forward")
         return out.assign(video_id=pdf["video_id"].iloc[0], direction=way)[["video_id", "direction", "frame_id", "det_idx", "tracklet_idx", "number", "class_id", "misses", *BOX]]
 
     rows = detections.select("video_id", "frame_id", "det_idx", "class_id", "score", *BOX)

@@ -46,3 +46,43 @@ def notifications(changes: DataFrame, users: DataFrame) -> DataFrame:
     """A stream of changes (change_id, publisher, manager) to notifications of the active users named; users is a table."""
     named = changes.withColumn("username", F.explode(F.array_distinct(F.array_compact(F.array("publisher", "manager"))))).drop("publisher", "manager")
     return named.join(users.where("is_active").select("username"), "username")
+
+
+def daily_credit(credits: DataFrame, late: str = "1 day") -> DataFrame:
+    """(day_start, annotator, credited) of a stream of credited events: days from midnight at UTC+8."""
+    day = F.window("submitted_at", "1 day", "1 day", "16 hours")
+    return credits.where("not rejected").withWatermark("submitted_at", late).groupBy(day.alias("day"), "annotator").agg(F.sum("credited").alias("credited")).select(F.col("day.start").alias("day_start"), "annotator", "credited")
+
+
+PAIRED = "part_id bigint, actor string, started_at timestamp, ended_at timestamp, timed_out boolean"
+
+
+def online_sessions(actions: DataFrame, start: list[str], stop: list[str], most: str = "12 hours", late: str = "1 hour") -> DataFrame:
+    """Sessions of a stream of actions (action_id, part_id, actor, action, ts) as they close: by a stop, by another start, which leaves the end open, or by a timeout, which also does, once the watermark is ``most`` behind the start."""
+    limit = int(pd.Timedelta(most).total_seconds() * 1000)
+
+    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        out = []
+        held = state.get if state.exists else None
+        if state.hasTimedOut:
+            out.append((key[0], held[1], pd.Timestamp(held[0], unit="us"), pd.NaT, True))
+            state.remove()
+        else:
+            for a in pd.concat(list(frames)).sort_values(["ts", "action_id"]).itertuples(index=False):
+                if a.action in start:
+                    if held is not None:
+                        out.append((key[0], held[1], pd.Timestamp(held[0], unit="us"), pd.NaT, False))
+                    held = (int(a.ts.value // 1000), a.actor)
+                elif held is not None:
+                    out.append((key[0], held[1], pd.Timestamp(held[0], unit="us"), a.ts, False))
+                    held = None
+            if held is None:
+                if state.exists:
+                    state.remove()
+            else:
+                state.update(held)
+                state.setTimeoutTimestamp(max(held[0] // 1000 + limit, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["part_id", "actor", "started_at", "ended_at", "timed_out"]).astype({"started_at": "datetime64[us]", "ended_at": "datetime64[us]"})
+
+    rows = actions.where(F.col("action").isin(*start, *stop)).select("action_id", "part_id", "actor", "action", "ts").withWatermark("ts", late)
+    return rows.groupBy("part_id").applyInPandasWithState(fold, PAIRED, "at bigint, actor string", "append", GroupStateTimeout.EventTimeTimeout)
