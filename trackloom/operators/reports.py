@@ -220,3 +220,58 @@ def first_names(events: DataFrame) -> DataFrame:
     first = events.groupBy("annotator", "name").agg(F.min(F.struct("submitted_at", "event_id")).alias("at"))
     ordered = first.groupBy("annotator").agg(F.array_sort(F.collect_list(F.struct("at", "name"))).alias("rows"))
     return ordered.select("annotator", F.transform("rows", lambda r: r["name"]).alias("names"))
+
+
+def resolve_applicants(rows: DataFrame, users: DataFrame) -> DataFrame:
+    """rows (with ``applicant``) and ``resolved``, ``error``: a username without case, else the only display name alike; a text that is neither stays. An account that isn't active, and a display name that several have, is an error."""
+    key = F.lower(F.trim("applicant"))
+    account = users.select(F.lower("username").alias("__k"), F.col("username").alias("__u"), F.col("is_active").alias("__a"))
+    shown = users.groupBy(F.lower(F.trim("display_name")).alias("__k")).agg(F.count("*").alias("__n"), F.min("username").alias("__d"), F.bool_and("is_active").alias("__da"))
+    out = rows.withColumn("__k", key).join(account, "__k", "left").join(shown, "__k", "left")
+    given = F.coalesce(F.col("__k"), F.lit("")) != ""
+    error = F.when(given & ~F.col("__a"), "inactive").when(given & (F.col("__n") > 1), "ambiguous")
+    resolved = F.when(given & F.col("__a"), F.col("__u")).when(given & F.col("__da"), F.col("__d")).otherwise(F.trim("applicant"))
+    return out.select(*rows.columns, F.when(error.isNull(), resolved).alias("resolved"), error.alias("error"))
+
+
+def overlaid(parameters: DataFrame, key: list[str]) -> DataFrame:
+    """(key, name, value) of parameters (key, level, name, value): of each name the value of the highest level, so that a video's own settings lie over its project's and those over the defaults. Names of nested values are paths with dots."""
+    return parameters.where(F.col("value").isNotNull()).groupBy(*key, "name").agg(F.max_by("value", "level").alias("value"))
+
+
+def search(df: DataFrame, query: str) -> DataFrame:
+    """The rows whose text fields, joined by blanks, hold the query, without case."""
+    fields = [f.name for f in df.schema.fields if f.dataType.typeName() == "string"]
+    text = F.lower(F.concat_ws(" ", *[F.col(f"`{c}`") for c in fields]))
+    return df.where(F.contains(text, F.lit(query.strip().lower()))) if query.strip() else df
+
+
+def inside(path: Column, root: Column) -> Column:
+    """Whether a normalised path is the root or lies below it."""
+    base = F.regexp_replace(root, "/+$", "")
+    return (F.regexp_replace(path, "/+$", "") == base) | path.startswith(F.concat(base, F.lit("/")))
+
+
+def layout_errors(jobs: DataFrame, folders: tuple[str, ...] = ("labels", "annotations")) -> DataFrame:
+    """(job, destination) of the output folders of jobs (job, input, output) that lie inside their input or around it."""
+    rows = jobs.select("job", "input", F.explode(F.array(*[F.concat(F.regexp_replace("output", "/+$", ""), F.lit(f"/{f}")) for f in folders])).alias("destination"))
+    return rows.where(inside(F.col("destination"), F.col("input")) | inside(F.col("input"), F.col("destination"))).select("job", "destination")
+
+
+#: How states are called, and what stands for a date that isn't known.
+STATES = {"awaiting_parts": "待补充 Part", "pending": "待领取", "in_progress": "执行中", "submitted": "待审核", "completed": "已完成", "mixed": "混合状态"}
+UNKNOWN_DATE = "待估算"
+LINE = "{tag} | {project} | {status} | {progress} | {hours}h | {due}"
+
+
+def digest_lines(overview: DataFrame, schedule: DataFrame, tasks: DataFrame, most: int = 5) -> DataFrame:
+    """(task_id, line) of the first unfinished tasks by their date: a top-k report, in text."""
+    names = F.create_map(*[F.lit(x) for k in STATES.items() for x in k])
+    rows = schedule.join(overview.where("state <> 'completed'").select("task_id", "state", "completed", "total"), "task_id").join(tasks.select("task_id", "product_tag", "project", "rank"), "task_id")
+    flat = lambda c: F.regexp_replace(c, "[\r\n]", " ")
+    values = {
+        "tag": flat(F.col("product_tag")), "project": flat(F.col("project")), "status": F.element_at(names, F.col("state")), "progress": F.concat_ws("/", F.col("completed").cast("string"), F.col("total").cast("string")),
+        "hours": F.format_string("%.2f", F.floor(F.col("hours") * 100 + 0.5) / 100), "due": F.coalesce(F.col("due").cast("string"), F.lit(UNKNOWN_DATE)),
+    }
+    order = [F.asc_nulls_last("due"), F.when(F.coalesce("rank", F.lit(0)) != 0, F.col("rank")).otherwise(1_000_000_000), F.col("task_id")]
+    return rows.orderBy(*order).limit(most).select("task_id", T.rendered(F.lit(LINE), values).alias("line"))

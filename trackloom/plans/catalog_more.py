@@ -428,3 +428,51 @@ select image, '<annotation><folder>images</folder><filename>' || image || '</fil
 @query("f7_suppression", DT)
 def _(d):
     return fusion.fuse(*sides(d), "bidirectional_iou_nms", 0.3)
+
+
+# Accounts, parameters and texts
+
+
+@query("x11_applicants", TSK, USR, sql="""select task_id, case when error is null then case when a.is_active then a.username when d.ok then d.username else applicant end end as resolved, error from (
+select r.*, case when applicant<>'' and not a.is_active then 'inactive' when applicant<>'' and d.n>1 then 'ambiguous' end as error from (select task_id, case task_id%4 when 0 then upper(publisher) when 1 then 'user ' || substr(publisher,2) when 2 then 'nobody' else '' end as applicant from fx_tasks) r
+left join fx_users a on lower(a.username)=lower(applicant) left join (select lower(display_name) as k, count(*) as n, min(username) as username, bool_and(is_active) as ok from fx_users group by 1) d on d.k=lower(applicant)) e
+left join fx_users a on lower(a.username)=lower(applicant) left join (select lower(display_name) as k, min(username) as username, bool_and(is_active) as ok from fx_users group by 1) d on d.k=lower(applicant)""")
+def _(t, u):
+    name = F.expr("case task_id%4 when 0 then upper(publisher) when 1 then concat(' user ', substr(publisher,2)) when 2 then 'nobody' else '' end")
+    return reports.resolve_applicants(t.select("task_id", name.alias("applicant")), u).select("task_id", "resolved", "error")
+
+
+@query("x15_overlaid", VID, sql="select video_id, name, case when name='tracking.iou' and video_id%3=0 then '0.5' when name='tracking.iou' and video_id%2=0 then '0.4' when name='tracking.iou' then '0.3' else '15' end as value from fx_videos, (select unnest(['tracking.iou','tracking.max_missed']) as name)")
+def _(v):
+    row = lambda level, name, value: v.select("video_id", F.lit(level).alias("level"), F.lit(name).alias("name"), value.alias("value"))
+    levels = row(0, "tracking.iou", F.lit("0.3")).unionByName(row(0, "tracking.max_missed", F.lit("15"))).unionByName(row(1, "tracking.iou", F.when(F.col("video_id") % 2 == 0, "0.4"))).unionByName(row(2, "tracking.iou", F.when(F.col("video_id") % 3 == 0, "0.5")))
+    return reports.overlaid(levels, ["video_id"])
+
+
+@query("p1_search", TSK, sql="select task_id from fx_tasks where contains(lower(concat_ws(' ', product_tag, project, publisher, status, manager, data_amount, hourly_capacity)), 'high f')")
+def _(t):
+    return reports.search(t.select("task_id", "product_tag", "project", "publisher", "status", "manager", "data_amount", "hourly_capacity"), " HIGH F").select("task_id")
+
+
+@query("p4_layout_errors", TSK, sql="select task_id as job, case task_id%4 when 0 then '/in/' || task_id || '/out/' || f when 1 then '/in' || '/' || f else '/o/' || f end as destination from fx_tasks, (select unnest(['labels','annotations']) as f) where task_id%4=0")
+def _(t):
+    jobs = t.select(F.col("task_id").alias("job"), F.concat(F.lit("/in/"), "task_id").alias("input"), F.expr("case task_id%4 when 0 then concat('/in/', task_id, '/out/') when 1 then '/in/' else '/o' end").alias("output"))
+    return reports.layout_errors(jobs)
+
+
+OVERVIEW = "o as (select t.task_id, product_tag, project, rank, coalesce(c,0) as completed, coalesce(n,0) as total, case when coalesce(n,0)=0 then 'awaiting_parts' when c=n then 'completed' when p=n then 'pending' when s+c=n then 'submitted' when a>0 then 'in_progress' else 'mixed' end as state from fx_tasks t left join (select task_id, count(*) as n, count(*) filter (status='completed') as c, count(*) filter (status='pending') as p, count(*) filter (status='submitted') as s, count(*) filter (status in ('in_progress','paused','rework')) as a from fx_parts group by 1) q on q.task_id=t.task_id where not deleted)"
+_SCHEDULE = ORACLES["w11_schedule"].split("select task_id, round(hours,6)")[0]
+ORACLES["e13_digest_lines"] = (
+    _SCHEDULE
+    + ", w as (select task_id, hours, case when days is not null then list_filter(list_transform(range(0, days*2+8), lambda i: date '2024-02-02' + cast(i as int)), lambda x: isodow(x)<6)[days] end as due from e), "
+    + OVERVIEW
+    + " select w.task_id, product_tag || ' | ' || project || ' | ' || case state "
+    + " ".join(f"when '{k}' then '{v}'" for k, v in reports.STATES.items())
+    + f" end || ' | ' || completed || '/' || total || ' | ' || printf('%.2f', floor(hours*100+0.5)/100) || 'h | ' || coalesce(cast(due as varchar), '{reports.UNKNOWN_DATE}') as line from w join o on o.task_id=w.task_id where state<>'completed' order by due nulls last, case when coalesce(rank,0)<>0 then rank else 1000000000 end, w.task_id limit 5"
+)
+
+
+@query("e13_digest_lines", TSK, PRT)
+def _(t, p):
+    done = p.groupBy("task_id").agg(F.bool_and(F.col("status") == "completed").alias("done"))
+    return reports.digest_lines(work.task_overview(t, p), work.schedule(t, done, 5000, "2024-02-02"), t)
