@@ -78,7 +78,12 @@ def compare_box_sets(candidates: DataFrame, refs: DataFrame, cands: DataFrame) -
                 n += 1
         return pd.DataFrame({"video_id": [pdf["video_id"].iloc[0]], "frame_id": [pdf["frame_id"].iloc[0]], "tp": [n]})
 
-    matched = candidates.select(*image, "l", "r", "iou").groupBy(*image).applyInPandas(work, "video_id bigint, frame_id bigint, tp bigint")
+    # Where no box is in two pairs, all pairs match; only the other images have to be gone through.
+    own = lambda c: F.count("*").over(Window.partitionBy(*image, c))
+    rows = candidates.select(*image, "l", "r", "iou").withColumn("__n", F.greatest(own("l"), own("r")))
+    rows = rows.withColumn("__n", F.max("__n").over(Window.partitionBy(*image)))
+    plain = rows.where("__n = 1").groupBy(*image).agg(F.count("*").alias("tp"))
+    matched = plain.unionByName(rows.where("__n > 1").drop("__n").groupBy(*image).applyInPandas(work, "video_id bigint, frame_id bigint, tp bigint"))
     count = lambda df, c: df.groupBy(*image).agg(F.count("*").alias(c))
     both = count(refs, "n_ref").join(count(cands, "n_cand"), image, "full").join(matched, image, "left").fillna(0, ["n_ref", "n_cand", "tp"])
     return both.select(*image, "tp", (F.col("n_cand") - F.col("tp")).alias("extra"), (F.col("n_ref") - F.col("tp")).alias("missed"))

@@ -354,7 +354,7 @@ def _(s):
     return s.groupBy(work.week_start(F.col("submitted_at")).alias("week")).agg(F.count("*").alias("events"), F.sum("cumulative").cast("bigint").alias("cumulative"))
 
 
-@query("q3_time_deviation", PRT, TSK, SES, sql=f", o as (select part_id, arg_max(started_at, session_id) as since from fx_sessions where ended_at is null group by 1), e as (select p.part_id, p.task_id, status, expected_part_seconds as x, coalesce(work_seconds_override, work_seconds + case when since is null then 0 else greatest(epoch({NOW})-epoch(since),0) end) as eff from fx_parts p join fx_tasks t on t.task_id=p.task_id left join o on o.part_id=p.part_id) select part_id, task_id, round(eff,3) as effective_seconds, case when x>0 then round((eff-x)/x,4) end as deviation, coalesce(abs(case when x>0 then round((eff-x)/x,4) end)>=0.5,false) as flagged, status in ('paused','submitted','rework','completed') as reviewable from e")
+@query("q3_time_deviation", PRT, TSK, SES, sql=f", o as (select part_id, arg_max(started_at, session_id) as since from fx_sessions where ended_at is null group by 1), e as (select p.part_id, p.task_id, p.status, expected_part_seconds as x, coalesce(work_seconds_override, work_seconds + case when since is null then 0 else greatest(epoch({NOW})-epoch(since),0) end) as eff from fx_parts p join fx_tasks t on t.task_id=p.task_id left join o on o.part_id=p.part_id) select part_id, task_id, round(eff,3) as effective_seconds, case when x>0 then round((eff-x)/x,4) end as deviation, coalesce(abs(case when x>0 then round((eff-x)/x,4) end)>=0.5,false) as flagged, status in ('paused','submitted','rework','completed') as reviewable from e")
 def _(p, t, s):
     return work.time_deviation(p, t, s, moment(NOW)).withColumn("effective_seconds", F.round("effective_seconds", 3))
 
@@ -364,7 +364,7 @@ def _(p):
     return work.next_pending(p)
 
 
-@query("e4_task_status", TSK, PRT, sql="select t.task_id, case when count(p.part_id)=0 then 'ready' when count(*) filter (status='completed')=count(p.part_id) then 'completed' else 'in_progress' end as status from fx_tasks t left join fx_parts p on p.task_id=t.task_id where not deleted group by 1")
+@query("e4_task_status", TSK, PRT, sql="select t.task_id, case when count(p.part_id)=0 then 'ready' when count(*) filter (p.status='completed')=count(p.part_id) then 'completed' else 'in_progress' end as status from fx_tasks t left join fx_parts p on p.task_id=t.task_id where not deleted group by 1")
 def _(t, p):
     return work.task_status(t, p)
 

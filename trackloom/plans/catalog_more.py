@@ -335,9 +335,9 @@ def _(t, u):
     return reports.visible(t, u)
 
 
-@query("e2_paired_sessions", ACT, sql="select part_id, actor, started_at, ended_at, round(epoch(ended_at)-epoch(started_at),3) as seconds from (select part_id, actor, action, ts as started_at, case when lead(action) over w in ('pause','submit','return') then lead(ts) over w end as ended_at from fx_actions where action in ('resume','rework','pause','submit','return') window w as (partition by part_id order by ts, action_id)) where action in ('resume','rework')")
+@query("e2_paired_sessions", ACT, sql="select part_id, actor, started_at, ended_at, round(epoch(ended_at)-epoch(started_at),1) as seconds from (select part_id, actor, action, ts as started_at, case when lead(action) over w in ('pause','submit','return') then lead(ts) over w end as ended_at from fx_actions where action in ('resume','rework','pause','submit','return') window w as (partition by part_id order by ts, action_id)) where action in ('resume','rework')")
 def _(a):
-    return rounded(lifecycle.paired_sessions(a, ["resume", "rework"], ["pause", "submit", "return"]), 3)
+    return rounded(lifecycle.paired_sessions(a, ["resume", "rework"], ["pause", "submit", "return"]), 1)
 
 
 for kind in ("parts", "sessions", "events", "rejects", "comments"):
