@@ -75,4 +75,44 @@ def _secrets() -> str:
         from docs d left join spans s on s.doc_id = d.doc_id group by d.doc_id"""
 
 
-ORACLES = {"op1_url_filters": OP1, "op2_minhash_near_dedup": OP2, "op3_secret_scans": _secrets()}
+#: Vectors whose components are all there and finite; those components times 256, rounded down.
+USABLE = "embedding is not null and not coalesce(list_bool_or(list_transform(embedding, lambda x: x is null or isnan(x) or isinf(x))), false)"
+WHOLE = "list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint))"
+
+
+def _clusters(dims: int = 64, clusters: int = 40, rounds: int = 5) -> str:
+    """One assignment and one set of centroids after the other; integer division rounds towards zero, so the rest is taken off first."""
+    distance = "list_sum(list_transform(list_zip(v.v, c.c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    assigned = lambda k: f"a{k} as materialized (select v.vec_id, v.v, min((cast({distance} as bigint), c.k)) as best from vs v cross join c{k} c group by v.n, v.vec_id, v.v)"
+    floor = "list(cast((s - ((s % n) + n) % n) // n as bigint) order by i)"
+    sums = lambda k: f"select k, i, sum(x) as s, count(*) as n from (select best[2] as k, unnest(v) as x, unnest(range(1, {dims + 1})) as i from a{k}) group by k, i"
+    moved = lambda k: f"c{k + 1} as materialized (select c.k, coalesce(m.c, c.c) as c from c{k} c left join (select k, {floor} as c from ({sums(k)}) group by k) m on m.k = c.k)"
+    start = f"c0 as materialized (select row_number() over (order by sha256('2:' || vec_id), v) - 1 as k, v as c from vs order by k limit {clusters})"
+    steps = ", ".join(f"{assigned(k)}, {moved(k)}" for k in range(rounds))
+    return f"""with vs as materialized (select row_number() over () as n, vec_id, {WHOLE} as v from embeddings where len(embedding) = {dims} and {USABLE}),
+        {start}, {steps}, {assigned(rounds)},
+        told as (select vec_id, best[1] as distance, cast(best[2] as integer) as cluster from a{rounds})
+        select t.vec_id, t.cluster, t.distance, cast(sum(t.distance) over (partition by t.cluster) as bigint) as cluster_inertia,
+        cast(sum(t.distance) over () as bigint) as inertia, sha256(array_to_string(c.c, ',')) as centroid_sha256 from told t join c{rounds} c on c.k = t.cluster"""
+
+
+OP12 = f"""with vs as materialized (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, {WHOLE} as v
+    from embeddings where label is not null and {USABLE}),
+pairs as materialized (select a.vec_id as anchor_id, r.vec_id, a.label = r.label as same, cast(list_sum(list_transform(list_zip(a.v, r.v), lambda z: z[1] * z[2])) as bigint) as score
+    from vs a join vs r on a.vec_id % 100 = 0 and a.vec_id <> r.vec_id and len(a.v) = len(r.v)),
+positives as (select anchor_id, vec_id as positive_id, score as positive_score from pairs where same
+    qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select p.anchor_id, p.positive_id, cast(row_number() over (partition by p.anchor_id, p.positive_id order by n.score desc, n.vec_id) as integer) as rank,
+    n.vec_id as negative_id, p.positive_score, n.score as negative_score
+from positives p join pairs n on n.anchor_id = p.anchor_id and not n.same and 80 * p.positive_score <= 100 * n.score and n.score <= p.positive_score
+qualify rank <= 5"""
+
+OP13 = f"""with recursive vs as (select vec_id, label, cast(embedding as double[]) as v from embeddings where label is not null and {USABLE} and list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+links as materialized (select a.vec_id as x, b.vec_id as y from vs a join vs b on a.label = b.label and len(a.v) = len(b.v) and a.vec_id <> b.vec_id and list_cosine_similarity(a.v, b.v) >= 0.93),
+reach(x, y) as (select vec_id, vec_id from embeddings union select r.x, l.y from reach r join links l on l.x = r.y),
+least as (select x, min(y) as component_id from reach group by x),
+degree as (select x, count(*) as n from links group by x)
+select e.vec_id, coalesce(d.n, 0) as n_links, l.component_id, e.vec_id = l.component_id as kept
+from embeddings e join least l on l.x = e.vec_id left join degree d on d.x = e.vec_id"""
+
+ORACLES = {"op1_url_filters": OP1, "op2_minhash_near_dedup": OP2, "op3_secret_scans": _secrets(), "op11_centroid_clustering": _clusters(), "op12_hard_negatives": OP12, "op13_vector_near_dedup": OP13}

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm import chat_format, decontamination, license_scans, near_dups, oracles, pieces, quality_rules, secret_scans, sharding, toxicity, url_filters
+from trackloom.llm import centroids, chat_format, decontamination, hard_negatives, license_scans, near_dups, oracles, pieces, quality_rules, secret_scans, sharding, toxicity, url_filters, vector_dups
 from trackloom.llm.common import shared_dir, table
 
 QUERIES: dict = {}
@@ -80,10 +80,25 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", predicted.alias("predicted"), F.size("toxicity.passages").alias("n_passages"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings")).drop("centroid")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors are the ids divisible by 100; where the id is divisible by 7, the label is the next one of ten."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+def op13_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dups.near_vectors(table(spark, sf_dir, "embeddings")).drop("class_size")
+
+
 QUERIES |= {
     f.__name__: f
     for f in (
         op1_url_filters, op2_minhash_near_dedup, op3_secret_scans, op4_sharding, op5_license_scans,
         op6_sentencepiece, op7_benchmark_decontamination, op8_chat_formatting, op9_quality_rules, op10_toxicity,
+        op11_centroid_clustering, op12_hard_negatives, op13_vector_near_dedup,
     )
 }
