@@ -82,5 +82,6 @@ def cluster(vectors: DataFrame, settings: Settings | None = None, vec_id: str =
     total = fit(sum(int(r["d"]) for r in sums))
     told = [(r["cluster"], fit(r["d"]), total, hashlib.sha256(",".join(map(str, centroids[r["cluster"]])).encode()).hexdigest(), centroids[r["cluster"]]) for r in sums]
     names = "cluster int, cluster_inertia bigint, inertia bigint, centroid_sha256 string, centroid array<bigint>"
-    placed = rows.select("vec_id", best.alias("best")).select("vec_id", "best.cluster", "best.distance")
+    # As a generator, so that no filter or projection takes the distances again.
+    placed = rows.select("vec_id", F.inline(F.array(best)))
     return placed.join(F.broadcast(spark.createDataFrame(told, names)), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256", "centroid")
