@@ -8,6 +8,7 @@ from trackloom.operators import tracking, work
 from trackloom.plans.catalog import all_frames
 from trackloom.plans.fixtures import fixture
 from trackloom.streaming import ledger, tracks
+from trackloom.streaming.keyed import with_state
 
 SF = "/root/testdata/sf0.001"
 
@@ -31,7 +32,7 @@ def test_online_tracker_equals_the_forward_pass(spark, tmp_path):
     for k in range(3):
         rows.where(f"frame_id between {17 * k + 1} and {17 * k + 17}").repartition(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    got = {(r.video_id, r.frame_id, r.det_idx): r.number for r in run(spark, tracks.online_tracker(stream), tmp_path, "tracked").collect()}
+    got = {(r.video_id, r.frame_id, r.det_idx): r.number for r in run(spark, tracks.online_tracker(stream), tmp_path, "tracked").where("not late").collect()}
     want = {(r.video_id, r.frame_id, r.det_idx): r.number for r in tracking.run_tracker(d, frames=every).where("direction = 'forward'").collect()}
     assert got == want and len(got) > 500
 
@@ -83,3 +84,30 @@ def test_online_credit(spark, tmp_path):
     q.awaitTermination(120)
     got = {r.event_id: r.credited for r in spark.table("credit").where("not rejected").collect()}
     assert got == {r.event_id: r.credited for r in work.credit_ledger(batch)[0].collect()}
+
+
+def test_tracks_go_on_after_a_restart_and_late_frames_are_told(spark, tmp_path):
+    """The state is read by its columns: another class, with other settings, goes on with the tracks that a stopped stream left."""
+    kinds = "video_id bigint, frame_id bigint, det_idx int, class_id int, score double, x1 double, y1 double, x2 double, y2 double"
+
+    def batch(name, frames):
+        spark.createDataFrame([(1, f, 0, 0, 0.9, 10.0 + f, 10.0, 40.0 + f, 40.0) for f in frames], kinds).coalesce(1).write.parquet(str(tmp_path / "in" / name))
+
+    def go(processor):
+        stream = spark.readStream.schema(kinds).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+        out = with_state(stream, "video_id", processor, tracks.ONLINE)
+        q = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        return sorted(((r.frame_id, r.number, r.late, r.x1) for r in spark.read.parquet(str(tmp_path / "out")).collect()), key=repr)
+
+    class Renamed(tracks.TrackVideo):
+        pass
+
+    config = tracking.configured("sort", None)
+    batch("a", range(1, 6))
+    assert [r[:3] for r in go(tracks.TrackVideo("sort", config, None))] == [(f, 1, False) for f in range(1, 6)]
+    live = spark.read.format("statestore").option("stateVarName", "live").load(str(tmp_path / "state")).select("list_element.*").collect()
+    assert len(live) == 1 and live[0].number == 1 and live[0].seen == 5 and live[0].last_0 == 15.0
+    batch("b", [3, 6, 7])
+    got = go(Renamed("sort", config | {"max_missed": 3}, None))
+    assert [r[:3] for r in got if not r[2]] == [(f, 1, False) for f in range(1, 8)] and [r for r in got if r[2]] == [(3, None, True, 13.0)]

@@ -89,3 +89,71 @@ def test_detections_off_any_track_go(spark):
     assert kept.count() == 12 and kept.columns == d.columns
     counts = fusion.filter_counts(d, kept, frames).collect()
     assert len(counts) == 14 and sum(r.removed for r in counts) == 1 and sum(r.n_in for r in counts) == 13
+
+
+def passing(objects, frames, seed=0):
+    """Objects that come and go, some with gaps that end their tracks, each in a row of its own."""
+    r = np.random.RandomState(seed)
+    rows = []
+    for k in range(objects):
+        begin = r.randint(0, frames - 60)
+        end, hole = min(frames, begin + r.randint(40, 400)), r.randint(begin, begin + 200)
+        for f in range(begin, end):
+            if r.rand() < 0.9 and not hole <= f < hole + 25:
+                rows.append((1, f, k, k % 2, float(np.round(0.6 + 0.4 * r.rand(), 3)), 10.0 + (f - begin), 50.0 * k, 40.0 + (f - begin), 50.0 * k + 40))
+    return rows
+
+
+@pytest.mark.parametrize("method", ["sort", "bytetrack", "oc_sort", "sparse_track"])
+def test_segments_joined_at_seams_number_as_the_whole(spark, method):
+    d = spark.createDataFrame(passing(12, 900), DETECTION)
+    frames = spark.range(900).select(F.lit(1).cast("bigint").alias("video_id"), F.col("id").alias("frame_id"))
+    told = lambda df: {(r.direction, r.frame_id, r.det_idx): r.number for r in df.collect()}
+    whole = told(tracking.run_tracker(d, method, frames=frames))
+    assert told(tracking.track_segments(d, frames, 100, method)) == whole and len(set(whole.values())) > 12
+    # Without overlap nothing says which tracks go on.
+    assert len(set(told(tracking.track_segments(d, frames, 100, method, overlap=0)).values())) > len(set(whole.values()))
+
+
+def test_a_long_video_is_read_batch_by_batch(spark):
+    """Many more frames than a batch has rows, in batches that cut frames; what is held are a batch and the live tracks."""
+    n = 3000
+    d = spark.range(n * 4).select(F.lit(1).cast("bigint").alias("video_id"), (F.col("id") / 4).cast("bigint").alias("frame_id"), (F.col("id") % 4).cast("int").alias("det_idx"), F.lit(0).alias("class_id"), F.lit(0.9).alias("score"))
+    x = (F.col("frame_id") % 500).cast("double")
+    d = d.select("*", x.alias("x1"), (F.col("det_idx") * 100.0).alias("y1"), (x + 40).alias("x2"), (F.col("det_idx") * 100.0 + 40).alias("y2"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1001")
+    try:
+        out = tracking.run_tracker(d, "sort").groupBy("direction", "number").agg(F.count("*").alias("n"), F.min("frame_id").alias("lo"), F.max("tracklet_idx").alias("t"), F.countDistinct("tracklet_idx").alias("one")).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(out) == 48 and all(r.n == 500 and r.one == 1 for r in out)
+    assert {r.lo for r in out if r.direction == "forward" and r.number <= 4} == {0} and {r.lo for r in out if r.direction == "backward" and r.number <= 4} == {2500}
+    plan = tracking.run_tracker(d, "sort")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" in plan and "FlatMapGroupsInPandas" not in plan
+
+
+def test_lanes_hold_live_tracks_only():
+    own = tracking.Lanes("sort", tracking.DEFAULTS)
+    own.open(np.array([True]))
+    most = 0
+    for f in range(2000):
+        box = np.array([[f % 100 * 1.0, 0, f % 100 + 40.0, 40]])
+        own.step(f, np.array([0]), tracking.Detections(np.zeros(1, np.int64), np.zeros(1, np.int64), box, np.ones(1), np.zeros(1, np.int64)))
+        own.taken()
+        most = max(most, len(own.tracks))
+    assert own.begun[0] == 20 and most <= 2 and not own.rows
+
+
+def test_greedy_in_rounds_is_greedy_in_order():
+    r = np.random.RandomState(1)
+    for _ in range(50):
+        i, j = (x.ravel() for x in np.meshgrid(np.arange(7), np.arange(5), indexing="ij"))
+        scores = r.randint(0, 4, len(i)) / 4
+        want, a, b = set(), set(), set()
+        for k in sorted(range(len(i)), key=lambda k: (-scores[k], i[k], j[k])):
+            if i[k] not in a and j[k] not in b:
+                a.add(i[k])
+                b.add(j[k])
+                want.add(k)
+        assert set(tracking.greedy(scores, i, j).tolist()) == want

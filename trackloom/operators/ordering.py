@@ -20,13 +20,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder, read again."""
+def stored(df: DataFrame, scratch: list[str] | None = None) -> DataFrame:
+    """df as a table in the shared folder, read again. The path is added to ``scratch``, for ``forget``."""
     path = f"{shared_dir(df.sparkSession)}/o-{uuid.uuid4().hex}"
+    if scratch is not None:
+        scratch.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession, scratch: list[str]) -> None:
+    """Deletes stored tables that nothing will read again."""
+    for path in scratch:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    scratch.clear()
+
+
 def numbered(df: DataFrame, order: list[Column], number: str, total: Column | None = None, running: str | None = None) -> DataFrame:
     """df with ``number``, each row's place in the order from 1 on, and ``running``, the sum of ``total`` up to the row.
 
