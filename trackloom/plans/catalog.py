@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from trackloom.functions import geometry as G
 from trackloom.operators import boxes, changes, fusion, sampling, tracking, tracks, work
 from trackloom.plans.fixtures import NOW, WINDOW, fixture, oracle
+from trackloom.plans.tracker_sql import tracker_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -192,7 +193,8 @@ TRACKER_QUERIES = {
     "t6_deep_oc_sort": "deep_oc_sort", "t7_cbiou": "cbiou", "t8_sparse_track": "sparse_track",
 }
 for name, method in TRACKER_QUERIES.items():
-    query(name, DT, VID)(lambda d, v, method=method: rounded(tracking.run_tracker(d, method, frames=all_frames(v))))
+    by_score, by_filter = method != "sort", method in ("sort", "bytetrack")
+    query(name, DT, VID, sql=tracker_sql(0.6 if by_score else 0.0, not by_filter))(lambda d, v, method=method: rounded(tracking.run_tracker(d, method, frames=all_frames(v))))
 
 
 @query("t11_filter_detections", DT, VID)

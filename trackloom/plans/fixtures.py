@@ -79,5 +79,5 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def oracle(body: str, *names: str) -> str:
-    """The views that a query needs, then the query."""
-    return "with " + ",\n".join(f"{n} as ({VIEWS[n]})" for n in names) + "\n" + body
+    """The views that a query needs, then the query; a body with a step of its own calls for a recursive one."""
+    return ("with recursive " if "union all select s." in body else "with ") + ",\n".join(f"{n} as ({VIEWS[n]})" for n in names) + "\n" + body
