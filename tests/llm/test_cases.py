@@ -422,3 +422,56 @@ def test_stages_take_any_rows(spark):
         if name != P.STAGES[-1][0]:
             assert out.columns == d.columns and all(r.leaks == r.toxicity == "mine" for r in out.collect())
         assert out.count() == (4 if name == "minhash_near_dedup" else 5), name
+
+
+# what went wrong in the second round
+
+
+def test_common_words_count_whatever_marks_are_around_them():
+    assert quality_rules.word_classes({b"(the": 1, b"((((((((((((the": 2, b"notcommonatallinanyway": 3}, "en")[:1] == [3]
+    assert sum(quality_rules.word_classes({b"x" * 40: 5}, "en")) == 5
+
+
+def test_quality_with_clashing_columns(spark):
+    d = docs(spark, ["the cat and the dog " * 40, None, "a " * 300])
+    plain = {tuple(r) for r in quality_rules.quality(d).select("doc_id", *quality_rules.BASE, "kept").collect()}
+    for c in ("__m", "N_WORDS", "chars_ref", "words_ref", "__lang", "a.b", "Chars_Hist", "KEPT"):
+        d = d.withColumn(c, F.lit(7))
+    got = quality_rules.quality(d)
+    assert {tuple(r) for r in got.select("doc_id", *quality_rules.BASE, "kept").collect()} == plain
+    assert {"__m", "chars_ref", "words_ref", "__lang", "a.b"} < set(got.columns) and not {"N_WORDS", "Chars_Hist", "KEPT"} & set(got.columns)
+    assert quality_rules.quality(d.withColumnRenamed("text", "t.x"), text="t.x").count() == 3
+
+
+def test_pieces_with_dotted_columns(spark):
+    v = pieces.Vocabulary([("<unk>", 0.0, pieces.UNKNOWN), ("▁", -1.0, 1), ("a", -2.0, 1), ("b", -3.0, 1)], dummy_prefix=True)
+    d = docs(spark, ["a b", None, "ab c"]).withColumn("a.b", F.lit(1)).withColumn("IDS", F.lit(2))
+    got = pieces.round_trips(d, v)
+    assert got.columns == [*docs(spark, []).columns, "a.b", "ids", "n_ids", "viterbi_ids", "round_trip"]
+    assert [(r["a.b"], r.ids, r.round_trip) for r in got.orderBy("doc_id").collect()] == [(1, [1, 2, 1, 3], True), (1, [], True), (1, [1, 2, 3, 1, 0], False)]
+
+
+def test_viterbi_runs_over_all_pieces_and_merges_over_those_they_reach():
+    """No merge arrives at abc, as neither ab nor bc is a piece; the best sum of scores is abc's."""
+    v = pieces.Vocabulary([("<unk>", 0.0, pieces.UNKNOWN), ("a", -9.0, 1), ("b", -9.0, 1), ("c", -9.0, 1), ("d", -9.0, 1), ("cd", -1.0, 1), ("abc", -2.0, 1)], kind=pieces.BPE, dummy_prefix=False)
+    own = pieces.Encoder(v)
+    assert own.encode_both("abcd") == ([1, 2, 5], [6, 4], True)
+    best = lambda s: max((sum(v.pieces[k][1] for k in x), x) for x in _splits(own, s))[0]
+    r = random.Random(2)
+    for _ in range(200):
+        s = "".join(r.choice("abcd") for _ in range(r.randint(1, 9)))
+        ids, found, same = own.encode_both(s)
+        assert same and sum(v.pieces[k][1] for k in found) == best(s) and [v.pieces[k][0] for k in ids] == own._merge(s)
+
+
+def _splits(own, s):
+    if not s:
+        return [[]]
+    return [[own.id[s[:n]], *rest] for n in range(1, len(s) + 1) if s[:n] in own.id for rest in _splits(own, s[n:])]
+
+
+def test_rebalancing_says_what_is_left():
+    loads = {s: (1000 if s == 0 else 1, 1) for s in range(64)}
+    m = sharding.SlotMap.first(4, 64).rebalanced(loads)
+    assert m.imbalance > 1  # one slot holds nearly all and can't be cut
+    assert sharding.SlotMap.first(4, 64).rebalanced({s: (10, 1) for s in range(64)}).imbalance <= 0.001

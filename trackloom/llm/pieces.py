@@ -7,8 +7,8 @@ that end there, the one that can follow the last piece of the prefix before it.
 their characters by the model's ranks gives these two again; a sequence is a BPE segmentation if and only if all its
 neighbours can follow each other.
 
-A BPE model's pieces, with their scores as they are in the file, are a unigram model too: its best segmentation, by the Viterbi
-pass, is given beside the model's own.
+A BPE model's pieces, with their scores as they are in the file, are a unigram model too: its best segmentation over all
+pieces, by the Viterbi pass, is given beside the model's own.
 
 White space is escaped and a leading one added as the model says. No segment crosses a place where no piece has the one character
 behind the other: before a white space, a line's end or a mark, if the vocabulary is such. The pass then runs from place to
@@ -31,9 +31,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StructType
-
-from trackloom.llm.common import free
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StructField, StructType
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -150,8 +148,9 @@ class Encoder:
         self.pairs: dict[tuple[int, int], bool] = {}
         self.automaton = ahocorasick.Automaton()
         for p, k in self.id.items():
-            if v.kind != BPE or self._merge(p) == [p]:
-                self.automaton.add_word(p, (k, len(p)))
+            self.automaton.add_word(p, (k, len(p)))
+        #: The pieces that the model's own merges can arrive at.
+        self.reached = {k for p, k in self.id.items() if v.kind != BPE or self._merge(p) == [p]}
         if len(self.automaton):
             self.automaton.make_automaton()
 
@@ -190,13 +189,13 @@ class Encoder:
         behind = f"|(?<=[{j}])[{m}]+" if joined else ""
         return re.compile(f"{line} *[{m}]*(?:[^ {end}{m}]{behind})+| *[{m}]+| +")
 
-    def _segments(self, token: str) -> tuple[tuple[int, ...], tuple[int, ...]]:
-        """A token's ids by the model's own kind, and by Viterbi, in one pass of the automaton. A character without piece stands alone."""
+    def _segments(self, token: str) -> tuple[tuple[int, ...], tuple[int, ...], bool]:
+        """A token's ids by the model's own kind, and by Viterbi, in one pass of the automaton, and whether both stand for its bytes. A character without piece stands alone."""
         text = token.replace(" ", SPACE)
         n = len(text)
         best, piece, size = [0.0] + [None] * n, [-1] * (n + 1), [1] * (n + 1)
         own, own_size = ([-1] * (n + 1), [1] * (n + 1)) if self.v.kind == BPE else (piece, size)
-        known, scores, lowest, bpe = self.pairs.get, self.score, self.lowest, self.v.kind == BPE
+        known, scores, lowest, bpe, reached = self.pairs.get, self.score, self.lowest, self.v.kind == BPE, self.reached
         done = 0
         for end, (k, length) in self.automaton.iter(text) if len(self.automaton) else ():
             end += 1
@@ -210,12 +209,15 @@ class Encoder:
             if best[end] is None or score > best[end]:
                 best[end], piece[end], size[end] = score, k, length
             # BPE: the piece that can follow the prefix's last one.
-            if bpe and own[end] < 0:
+            if bpe and own[end] < 0 and k in reached:
                 last = own[start]
                 if last < 0 or (ok := known((last, k))) or (ok is None and self._follows(last, k)):
                     own[end], own_size[end] = k, length
         found = self._back(text, piece, size)
-        return (self._back(text, own, own_size) if bpe else found), found
+        model = self._back(text, own, own_size) if bpe else found
+        raw = token.encode("utf-8", "surrogatepass")
+        stands = lambda ids: b"".join(map(self.bytes.__getitem__, ids)) == raw
+        return model, found, stands(model) and stands(found)
 
     def _back(self, text: str, piece: list[int], size: list[int]) -> tuple[int, ...]:
         """The ids of the segments that end at the text's end, from each place's last piece, -1 where a character has none, and its length."""
@@ -231,20 +233,26 @@ class Encoder:
     def _unknown(self, ch: str) -> list[int]:
         return [self.byte[b] for b in ch.encode("utf-8", "surrogatepass")] if self.v.byte_fallback and self.byte else [self.unknown]
 
-    def encode_both(self, text: str | None) -> tuple[list[int], list[int]]:
-        """The ids of the model's own segmentation and of the best one by Viterbi, which are the same for a unigram model."""
-        text = text or ""
+    def encode_both(self, text: str | None) -> tuple[list[int], list[int], bool]:
+        """The ids of the model's own segmentation and of the best one by Viterbi, which are the same for a unigram model, and whether decoding either gives the text.
+
+        Each token's bytes are compared once and remembered; a text is only decoded if one of its tokens doesn't stand for them.
+        """
+        whole = text = text or ""
         if self.v.squeeze:
             text = " ".join(x for x in text.split(" ") if x)
         if not text:
-            return [], []
+            return [], [], not whole
+        kept = text == whole
         if self.v.dummy_prefix:
             text = " " + text
         # What is taken for white space stands for it in the pieces, too.
         parts = [text] if self.tokens is None else self.tokens.findall(text)
         found = list(map(self.words.__getitem__, parts))
         self.words.age()
-        return list(chain.from_iterable(x for x, _ in found)), list(chain.from_iterable(y for _, y in found))
+        ids, best = list(chain.from_iterable(x for x, _, _ in found)), list(chain.from_iterable(y for _, y, _ in found))
+        same = kept and self.v.dummy_prefix and all(ok for _, _, ok in found)
+        return ids, best, same or (self.decode(ids) == whole and self.decode(best) == whole)
 
     def encode(self, text: str | None) -> list[int]:
         return self.encode_both(text)[0]
@@ -281,7 +289,7 @@ def with_ids(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", out: s
         for f in frames:
             yield pd.Series([np.asarray(own.encode(t), np.int32) for t in f], dtype=object)
 
-    return docs.drop(out).withColumn(out, encode(F.col(text)))
+    return docs.drop(out).withColumn(out, encode(F.col(f"`{text}`")))
 
 
 def with_text(docs: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -294,7 +302,7 @@ def with_text(docs: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: st
         for f in frames:
             yield pd.Series(["" if x is None else own.decode(np.asarray(x).tolist()) for x in f], dtype=object)
 
-    return docs.drop(out).withColumn(out, decode(F.col(ids)))
+    return docs.drop(out).withColumn(out, decode(F.col(f"`{ids}`")))
 
 
 def round_trips(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -302,12 +310,14 @@ def round_trips(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", kee
 
     ids are those of the model's own kind, viterbi_ids those of the segmentation with the best sum of scores; for a unigram
     model they are the same. round_trip: whether decoding either gives the text, a null text being empty. One row per input row;
-    input columns of these names are replaced. Both ways run in one task, so that the text goes to Python once.
+    input columns of these names are replaced, all others stay, dots in their names too. A text of any length is encoded whole.
+    Both ways run in one task, so that the text goes to Python once.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
     new = ["ids", "n_ids", "viterbi_ids", "round_trip"]
     names = [c for c in (docs.columns if keep is None else keep) if c.lower() not in new]
-    schema = StructType([docs.schema[c] for c in names]).add("ids", ArrayType(IntegerType())).add("n_ids", LongType()).add("viterbi_ids", ArrayType(IntegerType())).add("round_trip", BooleanType())
+    plain = [f"c{k}" for k in range(len(names))]  # mapInArrow takes a dot in a name for a field's
+    schema = StructType([StructField(p, docs.schema[c].dataType) for p, c in zip(plain, names, strict=True)]).add("ids", ArrayType(IntegerType())).add("n_ids", LongType()).add("viterbi_ids", ArrayType(IntegerType())).add("round_trip", BooleanType())
 
     def lists(flat: array, ends: list[int]) -> pa.Array:
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32) if flat else [], pa.int32()))
@@ -317,14 +327,14 @@ def round_trips(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", kee
         for batch in batches:
             ids, best, ends, best_ends, same = array("i"), array("i"), [0], [0], []
             for t in batch.column(batch.num_columns - 1).to_pylist():
-                t = t or ""
-                x, y = own.encode_both(t)
+                x, y, ok = own.encode_both(t)
                 ids.extend(x)
                 best.extend(y)
                 ends.append(len(ids))
                 best_ends.append(len(best))
-                same.append(own.decode(x) == t and (x == y or own.decode(y) == t))
+                same.append(ok)
             counts = pa.array(np.diff(ends), pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists(ids, ends), counts, lists(best, best_ends), pa.array(same, pa.bool_())], [*names, *new])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists(ids, ends), counts, lists(best, best_ends), pa.array(same, pa.bool_())], [*plain, *new])
 
-    return docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").cast("string").alias(free("__text", names))).mapInArrow(work, schema)
+    own = docs.select(*[F.col(f"`{c}`").alias(p) for p, c in zip(plain, names, strict=True)], F.col(f"`{text}`").cast("string").alias("text"))
+    return own.mapInArrow(work, schema).select(*[F.col(p).alias(c) for p, c in zip(plain, names, strict=True)], *new)

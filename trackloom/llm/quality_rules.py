@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import stored
+from trackloom.llm.common import free, stored
 
 SYMBOLS = "#*$%&|<>"
 #: Frequent function words.
@@ -29,6 +29,8 @@ COMMON = {
 }
 #: Classes of characters: lower case, upper case, digit, white space, sentence marks, other punctuation and symbols, letters without case.
 CLASSES = 7
+#: What is added to a document's columns, in place of columns of these names.
+OWN = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "chars_hist", "words_hist", "chars_distance", "words_distance", "kept")
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 MEMORY = 200_000
 
@@ -105,10 +107,7 @@ def word_classes(words: dict[bytes, int], lang: str | None) -> list[int]:
     place = {w: k for k, w in enumerate(common)}
     out = [0] * (len(common) + 1)
     for w, n in words.items():
-        if len(w) < 14:
-            out[place.get(w.decode("utf-8", "replace").lower().strip(".,;:!?\"'()"), -1)] += n
-        else:
-            out[-1] += n
+        out[place.get(w.decode("utf-8", "replace").lower().strip(".,;:!?\"'()"), -1)] += n
     return out
 
 
@@ -124,8 +123,9 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> float:
 
 
 def measured(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """The input's columns without the text, the base counts, base_failed, and the histograms chars_hist and words_hist."""
-    kept = [c for c in docs.columns if c not in (text, *BASE, "base_failed", "chars_hist", "words_hist")]
+    """The input's columns without the text, the base counts, base_failed, and the histograms chars_hist and words_hist; input columns of these names, in any case, go."""
+    kept = [c for c in docs.columns if c.lower() not in (text.lower(), *OWN)]
+    m = free("__m", kept)
     kind = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, chars_hist array<long>, words_hist array<long>"
 
     def work(frames: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -138,7 +138,7 @@ def measured(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFra
             yield pd.DataFrame(rows, columns=[*BASE, "chars_hist", "words_hist"])
 
     work.__annotations__ = {"frames": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.DataFrame]}
-    out = docs.select(*[F.col(f"`{c}`") for c in kept], F.pandas_udf(work, kind)(F.col(text), F.col(lang)).alias("__m")).select(*[F.col(f"`{c}`") for c in kept], "__m.*")
+    out = docs.select(*[F.col(f"`{c}`") for c in kept], F.pandas_udf(work, kind)(F.col(f"`{text}`"), F.col(f"`{lang}`")).alias(m)).select(*[F.col(f"`{c}`") for c in kept], f"{m}.*")
     return out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
@@ -146,23 +146,25 @@ def references(measures: DataFrame, lang: str = "lang") -> DataFrame:
     """(lang, chars_ref, words_ref): the summed histograms of all documents that pass the base rules; one row per language."""
     each = lambda c, n: [F.sum(F.get(c, F.lit(k))).alias(f"{c}{k}") for k in range(n)]
     most = 1 + max(map(len, COMMON.values()))
-    sums = measures.where(~F.col("base_failed")).groupBy(F.coalesce(F.col(lang), F.lit("")).alias("lang")).agg(*each("chars_hist", CLASSES), *each("words_hist", most))
+    sums = measures.where(~F.col("base_failed")).groupBy(F.coalesce(F.col(f"`{lang}`"), F.lit("")).alias("lang")).agg(*each("chars_hist", CLASSES), *each("words_hist", most))
     whole = lambda c, n: F.array_compact(F.array(*[f"{c}{k}" for k in range(n)]))
     return sums.select("lang", whole("chars_hist", CLASSES).alias("chars_ref"), whole("words_hist", most).alias("words_ref"))
 
 
-def quality(docs: DataFrame, settings: Settings | None = None, text: str = "text", lang: str = "lang") -> DataFrame:
+def quality(docs: DataFrame, settings: Settings | None = None, text: str = "text", lang: str = "lang", scratch: list[str] | None = None) -> DataFrame:
     """The input's columns without the text, the base counts, base_failed, chars_distance, words_distance and kept.
 
     kept is false where base_failed is; else false where a document past the guards lies beyond a limit. Distances are null
     for documents below the guards and for languages without reference; words_distance also for those without common words.
-    Null texts count as empty, null languages as one language of their own. One row per input row; repeated rows stay.
+    Null texts count as empty, null languages as one language of their own. A text of any length is counted whole. One row per
+    input row; repeated rows stay. Columns named as the new ones, in any case, are replaced; all others stay, whatever their names.
     Measures are stored once, so each text is read once; the references join by language, of which there are few: the join
-    goes by Spark's own measure of their size.
+    goes by Spark's own measure of their size. ``scratch`` gets the path of the table that the result reads.
     """
     s = settings or Settings()
-    m = stored(measured(docs, text, lang))
-    known = references(m, lang)
+    m = stored(measured(docs, text, lang), scratch)
+    joined_by, chars_ref, words_ref = (free(c, m.columns) for c in ("__lang", "chars_ref", "words_ref"))
+    known = references(m, lang).toDF(joined_by, chars_ref, words_ref)
 
     def compare(frames: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for a, b in frames:
@@ -170,10 +172,10 @@ def quality(docs: DataFrame, settings: Settings | None = None, text: str = "text
 
     compare.__annotations__ = {"frames": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.Series]}
     distance = F.pandas_udf(compare, "double")
-    joined = m.withColumn("__lang", F.coalesce(F.col(lang), F.lit(""))).join(known.withColumnRenamed("lang", "__lang"), "__lang", "left")
+    joined = m.withColumn(joined_by, F.coalesce(F.col(f"`{lang}`"), F.lit(""))).join(known, joined_by, "left")
     chars = F.aggregate("chars_hist", F.lit(0).cast("long"), lambda x, y: x + y)
     guard = (F.col("n_words") >= s.least_words) & (chars >= s.least_chars)
-    out = joined.withColumn("chars_distance", distance(F.when(guard, F.col("chars_hist")), F.col("chars_ref")))
-    out = out.withColumn("words_distance", distance(F.when(guard & (F.size("words_hist") > 1), F.col("words_hist")), F.col("words_ref")))
+    out = joined.withColumn("chars_distance", distance(F.when(guard, F.col("chars_hist")), F.col(chars_ref)))
+    out = out.withColumn("words_distance", distance(F.when(guard & (F.size("words_hist") > 1), F.col("words_hist")), F.col(words_ref)))
     far = (F.coalesce("chars_distance", F.lit(0.0)) > s.most_chars_distance) | (F.coalesce("words_distance", F.lit(0.0)) > s.most_words_distance)
-    return out.withColumn("kept", ~F.col("base_failed") & ~far).drop("__lang", "chars_ref", "words_ref", "chars_hist", "words_hist")
+    return out.withColumn("kept", ~F.col("base_failed") & ~far).drop(joined_by, chars_ref, words_ref, "chars_hist", "words_hist")

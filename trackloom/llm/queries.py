@@ -55,7 +55,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality_rules.BASE, "base_failed", "kept", "chars_distance", "words_distance")
 
 
-#: The vocabulary that the encoding query and the pipeline use, unless the environment names another.
+#: The vocabulary that the encoding query and the pipeline use, unless the environment's TRACKLOOM_PIECES or an argument names another.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 
 

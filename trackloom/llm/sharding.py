@@ -43,6 +43,7 @@ class SlotMap:
     shards: int
     version: int = 1
     moved: list[int] = field(default_factory=list)
+    imbalance: float | None = None
 
     def __post_init__(self) -> None:
         if sorted(self.shard_of) != list(range(len(self.shard_of))):
@@ -77,7 +78,7 @@ class SlotMap:
         return out
 
     def rebalanced(self, loads: dict[int, tuple[int, int]] | None = None, shards: int | None = None, tolerance: float = 0.001) -> SlotMap:
-        """The next version, for new loads or more shards: slots move from the fullest to the emptiest shard while that narrows the gap, and only as far as the tolerance asks. Where shards are added, slots move into those alone."""
+        """The next version, for new loads or more shards: slots move from the fullest to the emptiest shard while that narrows the gap, and only as far as the tolerance asks. ``imbalance`` is what is left between the fullest and the emptiest shard, as a share of the mean: more than the tolerance where slots are too large to be moved, or too many. Where shards are added, slots move into those alone."""
         loads = self.loads if loads is None else {s: loads.get(s, (0, 0)) for s in self.shard_of}
         new = SlotMap(dict(self.shard_of), loads, max(shards or 0, self.shards), self.version + 1)
         owned: dict[int, list[int]] = {k: [] for k in range(new.shards)}
@@ -100,6 +101,7 @@ class SlotMap:
             new.shard_of[s] = low
             total[high] -= loads[s][0]
             total[low] += loads[s][0]
+        new.imbalance = (max(total) - min(total)) / target if target else 0.0
         new.moved = [s for s, k in sorted(new.shard_of.items()) if k != self.shard_of[s]]
         return new
 

@@ -30,8 +30,8 @@ TOKEN = re.compile(r"[^\W_]+")
 @dataclass(frozen=True)
 class Settings:
     """sample: labelled rows to learn from, at most (the first by a hash of their id). prior: weight of the prior, in words by
-    their shares in all rows; floor: what it adds to each word. z: least z-score of a token that counts. vocabulary: tokens
-    kept, at most, those with the largest z-scores. drift: score of any other token. significant: largest chance of a segment
+    their shares in all rows; floor: what it adds to each word. z: least z-score of a token that counts; the tokens of
+    the sample bound how many there are. drift: score of any other token. significant: largest chance of a segment
     that counts. threshold: least score of a toxic document.
     """
 
@@ -39,7 +39,6 @@ class Settings:
     prior: float = 500.0
     floor: float = 0.5
     z: float = 3.0
-    vocabulary: int = 50_000
     drift: float = -0.08
     significant: float = 0.5
     threshold: float = 0.7
@@ -149,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None, do
         y1, y2 = F.col("t") + a, F.col("o") + a
         d = F.log(y1 / (n1 + s.prior - y1)) - F.log(y2 / (n2 + s.prior - y2))
         z = F.abs(d) / F.sqrt(1 / y1 + 1 / y2)
-        kept = sums.select("w", d.alias("d"), z.alias("z")).where(F.col("z") >= s.z).orderBy(F.desc("z"), "w").limit(s.vocabulary)
+        kept = sums.select("w", d.alias("d"), z.alias("z")).where(F.col("z") >= s.z)
         weights = {r["w"]: r["d"] for r in kept.collect()}
     model = Model(weights, s.drift, 1.0, 1.0, s.significant)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -158,7 +157,8 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None, do
     plain = best[(best["label"] == 0) & (best["n"] > 0)]
     over = plain[plain["score"] > 0]
     if len(over):
-        # The tail of the scores is exponential: its rate by maximum likelihood, K from the expected number of exceedances.
+        # The tail of the scores is exponential, at one over the mean excess. A quarter is added to it, which keeps the rate below 4
+        # where a few scores lie close together; K is from the expected number of exceedances.
         model.lam = 1.0 / max(1e-6, float(over["score"].mean()) - float(over["score"].min()) + 0.25)
         model.k = len(over) / float(plain["n"].sum()) * math.exp(model.lam * float(over["score"].min()))
     shared.unpersist()
