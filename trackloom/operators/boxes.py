@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackloom.operators import graphs
+
 BOX = ["x1", "y1", "x2", "y2"]
 
 
@@ -62,28 +63,14 @@ def compare_box_sets(candidates: DataFrame, refs: DataFrame, cands: DataFrame) -
     """(video_id, frame_id, tp, extra, missed): pairs are matched from the best iou down, ties by the higher reference, then candidate.
 
     candidates: (video_id, frame_id, l, r, iou) as ``fusion.iou_join`` gives them. Where refs and cands, with their det_idx, have
-    a column ``label``, pairs of different labels don't match. An image's pairs are one small group.
+    a column ``label``, pairs of different labels don't match. The choice goes in rounds over all images at once.
     """
     if "label" in refs.columns and "label" in cands.columns:
         side = lambda df, k: df.select("video_id", "frame_id", F.col("det_idx").alias(k), F.col("label").alias(f"{k}_label"))
         candidates = candidates.join(side(refs, "l"), ["video_id", "frame_id", "l"]).join(side(cands, "r"), ["video_id", "frame_id", "r"]).where(same_label(F.col("l_label"), F.col("r_label")))
     image = ["video_id", "frame_id"]
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right, n = set(), set(), 0
-        for r in pdf.sort_values(["iou", "l", "r"], ascending=False).itertuples():
-            if r.l not in left and r.r not in right:
-                left.add(r.l)
-                right.add(r.r)
-                n += 1
-        return pd.DataFrame({"video_id": [pdf["video_id"].iloc[0]], "frame_id": [pdf["frame_id"].iloc[0]], "tp": [n]})
-
-    # Where no box is in two pairs, all pairs match; only the other images have to be gone through.
-    own = lambda c: F.count("*").over(Window.partitionBy(*image, c))
-    rows = candidates.select(*image, "l", "r", "iou").withColumn("__n", F.greatest(own("l"), own("r")))
-    rows = rows.withColumn("__n", F.max("__n").over(Window.partitionBy(*image)))
-    plain = rows.where("__n = 1").groupBy(*image).agg(F.count("*").alias("tp"))
-    matched = plain.unionByName(rows.where("__n > 1").drop("__n").groupBy(*image).applyInPandas(work, "video_id bigint, frame_id bigint, tp bigint"))
+    taken = graphs.chosen_pairs(candidates.select(*image, "l", "r", "iou"), [*image, "l"], [*image, "r"], F.struct("iou", "l", "r"))
+    matched = taken.groupBy(*image).agg(F.count("*").alias("tp"))
     count = lambda df, c: df.groupBy(*image).agg(F.count("*").alias(c))
     both = count(refs, "n_ref").join(count(cands, "n_cand"), image, "full").join(matched, image, "left").fillna(0, ["n_ref", "n_cand", "tp"])
     return both.select(*image, "tp", (F.col("n_cand") - F.col("tp")).alias("extra"), (F.col("n_ref") - F.col("tp")).alias("missed"))

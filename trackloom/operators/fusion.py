@@ -4,49 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.functions import geometry as G
-from trackloom.operators import tracking, tracks
+from trackloom.operators import graphs, tracking, tracks
+from trackloom.operators.joins import iou_join  # noqa: F401  a part of this module's interface
 
 PAIR = ["video_id", "f_idx", "b_idx"]
 
 
-def iou_join(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
-    """Detections of the same video and frame that overlap by ``least`` or more: (video_id, frame_id, l, r, iou), l and r being det_idx."""
-    a = left.select("video_id", "frame_id", F.col("det_idx").alias("l"), *[F.col(c).alias(f"l_{c}") for c in tracks.BOX])
-    b = right.select("video_id", "frame_id", F.col("det_idx").alias("r"), *[F.col(c).alias(f"r_{c}") for c in tracks.BOX])
-    return a.join(b, ["video_id", "frame_id"]).withColumn("iou", G.iou(G.Box.of("l_"), G.Box.of("r_"))).where((F.col("iou") > 0) & (F.col("iou") >= least))
-
-
 def candidate_pairs(fwd: DataFrame, bwd: DataFrame, iou: float, most_gap: float = 1.5) -> DataFrame:
     return tracks.pair_overlap(fwd, bwd).where((F.col("mean_iou") >= iou) & (F.col("normalized_gap") <= most_gap))
 
 
 def connected_components(pairs: DataFrame) -> DataFrame:
-    """(video_id, direction, tracklet_idx, component) of the tracklets in any pair: a union-find per video, whose tracklets are few."""
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        parent: dict[tuple[str, int], tuple[str, int]] = {}
-
-        def root(x: tuple[str, int]) -> tuple[str, int]:
-            parent.setdefault(x, x)
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        for f, b in zip(pdf["f_idx"], pdf["b_idx"], strict=True):
-            x, y = root(("forward", f)), root(("backward", b))
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-        rows = sorted((root(x), x) for x in list(parent))
-        names = {r: k for k, r in enumerate(dict.fromkeys(r for r, _ in rows), 1)}
-        return pd.DataFrame([(pdf["video_id"].iloc[0], d, i, names[r]) for r, (d, i) in rows], columns=["video_id", "direction", "tracklet_idx", "component"])
-
-    return pairs.select(*PAIR).groupBy("video_id").applyInPandas(work, "video_id bigint, direction string, tracklet_idx bigint, component bigint")
+    """(video_id, direction, tracklet_idx, component) of the tracklets in any pair; a video's components are numbered from 1 by their first tracklets, backward ones coming first."""
+    node = lambda way, c: F.struct("video_id", F.lit(way).alias("direction"), F.col(c).cast("bigint").alias("tracklet_idx"))
+    named = graphs.components(pairs.select(node("forward", "f_idx").alias("a"), node("backward", "b_idx").alias("b")))
+    first = Window.partitionBy("root.video_id").orderBy("root")
+    numbers = named.select("root").distinct().withColumn("component", F.row_number().over(first).cast("bigint"))
+    return named.join(numbers, "root").select("node.*", "component")
 
 
 def _members(fwd: DataFrame, bwd: DataFrame) -> DataFrame:
@@ -104,7 +82,7 @@ def nms(fwd: DataFrame, bwd: DataFrame, iou: float) -> DataFrame:
 
     A component's score is its longest tracklet's length, its best quality and a quarter for each tracklet. Two overlap if any
     tracklets of theirs do: mean overlap ``iou``, six tenths of the shorter, a gap of 1.5 diagonals at most. Which pairs do is a
-    join on the frame; what stays is chosen per video, whose overlapping components are few.
+    join on the frame; what stays is chosen in rounds.
     """
     who = ["video_id", "direction", "tracklet_idx"]
     members = bidirectional_iou(fwd, bwd, iou)
@@ -122,19 +100,11 @@ def nms(fwd: DataFrame, bwd: DataFrame, iou: float) -> DataFrame:
     of = lambda c: members.select("video_id", F.struct("direction", "tracklet_idx").alias(f"{c}_idx"), F.col("component").alias(f"{c}_component"))
     meets = close.join(of("f"), ["video_id", "f_idx"]).join(of("b"), ["video_id", "b_idx"]).where("f_component <> b_component")
     beside = meets.select("video_id", F.col("f_component").alias("component"), F.col("b_component").alias("other")).union(meets.select("video_id", "b_component", "f_component")).distinct()
-    listed = scored.join(beside.groupBy("video_id", "component").agg(F.collect_list("other").alias("others")), ["video_id", "component"], "left")
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(b=[a["b"] for a in pdf["ahead"]], i=[a["tracklet_idx"] for a in pdf["ahead"]])
-        pdf = pdf.sort_values(["score", "b", "i"], ascending=[False, True, True], kind="stable")
-        kept: list[str] = []
-        for c, others in zip(pdf["component"], pdf["others"], strict=True):
-            if others is None or not set(others) & set(kept):
-                kept.append(c)
-        pdf = pdf[pdf["component"].isin(kept)].sort_values("start", kind="stable")
-        return pdf.assign(position=range(len(pdf)))[["video_id", "component", "position"]]
-
-    stays = listed.groupBy("video_id").applyInPandas(choose, "video_id bigint, component string, position bigint")
+    rank = F.struct("score", (~F.col("ahead.b")).alias("first"), (-F.col("ahead.tracklet_idx")).alias("i"))
+    edges = beside.select("video_id", "component", F.col("video_id").alias("other_video_id"), F.col("other").alias("other_component"))
+    kept = graphs.chosen_nodes(scored, edges, ["video_id", "component"], rank)
+    place = Window.partitionBy("video_id").orderBy("start", rank.desc())
+    stays = kept.select("video_id", "component", (F.row_number().over(place) - 1).cast("bigint").alias("position"))
     return members.join(stays, ["video_id", "component"]).select(*who, "component", "position")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackloom.functions import geometry as G
-from trackloom.operators import boxes, changes, fusion, sampling, tracking, tracks, work
+from trackloom.operators import boxes, changes, fusion, joins, sampling, tracking, tracks, work
 from trackloom.plans.fixtures import NOW, WINDOW, fixture, oracle
 from trackloom.plans.tracker_sql import tracker_sql
 
@@ -197,7 +197,18 @@ for name, method in TRACKER_QUERIES.items():
     query(name, DT, VID, sql=tracker_sql(0.6 if by_score else 0.0, not by_filter))(lambda d, v, method=method: rounded(tracking.run_tracker(d, method, frames=all_frames(v))))
 
 
-@query("t11_filter_detections", DT, VID)
+#: Objects keep apart, so a detection stays whose object both gets a track by a score of 0.6 and is seen ten times: from that
+#: score on in the forward pass, up to it in the backward one.
+FILTERED = """, begun as (select video_id, object_key, min(frame_id) filter (score>=0.6) as f, max(frame_id) filter (score>=0.6) as t from fx_detections group by all),
+tracked as (select d.* from fx_detections d join begun b on b.video_id=d.video_id and b.object_key=d.object_key and (d.frame_id>=f or d.frame_id<=t)),
+kept as (select video_id, frame_id, count(*) as n from (select *, count(*) over (partition by video_id, object_key) as long from tracked) where long>=10 group by all),
+given as (select video_id, frame_id, count(*) as n from fx_detections group by all),
+frames as (select video_id, unnest(range(cast(frame_offset as bigint), cast(frame_offset+frame_count as bigint))) as frame_id from fx_videos)
+select f.video_id, f.frame_id, coalesce(g.n,0) as n_in, coalesce(k.n,0) as n_out, coalesce(g.n,0)-coalesce(k.n,0) as removed
+from frames f left join given g on g.video_id=f.video_id and g.frame_id=f.frame_id left join kept k on k.video_id=f.video_id and k.frame_id=f.frame_id"""
+
+
+@query("t11_filter_detections", DT, VID, sql=FILTERED)
 def _(d, v):
     kept = fusion.filter_detections(d, all_frames(v), v)
     return fusion.filter_counts(d, kept, all_frames(v))
@@ -276,6 +287,15 @@ def _(s):
     return rounded(work.overlap_join(s, moment(WINDOW[0]), moment(WINDOW[1]), moment(NOW)), 3)
 
 
+@query("j9_all_days", SES, sql=f""", days as (select unnest(generate_series(timestamp '2024-01-01', timestamp '2024-01-31', interval 1 day)) as begins)
+select session_id, begins, round(epoch(least(coalesce(ended_at,{NOW}),begins+interval 1 day)-greatest(started_at,begins)),3) as clipped_seconds
+from fx_sessions join days on started_at<begins+interval 1 day and coalesce(ended_at,{NOW})>begins and coalesce(ended_at,{NOW})>started_at""")
+def _(s):
+    days = s.sparkSession.range(1).select(F.explode(F.sequence(moment("timestamp '2024-01-01'"), moment("timestamp '2024-01-31'"), F.expr("interval 1 day"))).alias("begins"))
+    found = joins.window_overlaps(s, days.withColumn("ends", F.col("begins") + F.expr("interval 1 day")), moment(NOW))
+    return rounded(found.select("session_id", "begins", "clipped_seconds"), 3)
+
+
 @query("a6_admin_statistics", TSK, PRT, SES, USR, sql=f""", cl as (select part_id, sum({CLIPPED}) as c from fx_sessions where started_at<{WINDOW[1]} and coalesce(ended_at,{NOW})>{WINDOW[0]} group by 1),
 p as (select annotator, t.task_id, case when product_tag is null or product_tag='' then '{work.UNTAGGED}' else product_tag end as tag, coalesce(submitted_at>={WINDOW[0]} and submitted_at<{WINDOW[1]},false) as done, progress_count, bbox_count, p.status, work_seconds_override as o, coalesce(c,0) as c from fx_parts p join fx_tasks t on t.task_id=p.task_id and not deleted left join cl on cl.part_id=p.part_id where annotator is not null),
 f as (select annotator, task_id, tag, done::int as done, case when done then greatest(progress_count,0) else 0 end as images, case when done and status in ('submitted','completed') then coalesce(bbox_count,1) else 0 end as boxes, case when done and o is not null then o else c end as seconds from p where done or c>0),
@@ -474,7 +494,21 @@ def _(d, v):
     return boxes.to_voc(d.select(image, F.col("det_idx").alias("order"), F.concat(F.lit("class "), "class_id").alias("name"), *tracks.BOX), images.select(image, "width", "height"))
 
 
-@query("q4_compare_box_sets", DT)
+def compared_sql(shift: str, least: float = 0.5) -> str:
+    """Common tables up to ``cmp``: the images' tp, extra and missed, their pairs being gone through one after another, the best first."""
+    return f""", o as materialized (select video_id, frame_id, det_idx, x1+{shift} as x1, y1, x2+{shift} as x2, y2 from fx_detections where det_idx%5<>4),
+w as materialized (select * from fx_detections),
+c as materialized (select video_id, frame_id, l, r, row_number() over (partition by video_id, frame_id order by i/u desc, l desc, r desc) as k from (
+ select a.video_id, a.frame_id, a.det_idx as l, b.det_idx as r, {IOU} as i, (a.x2-a.x1)*(a.y2-a.y1)+(b.x2-b.x1)*(b.y2-b.y1)-{IOU} as u from w a join o b on a.video_id=b.video_id and a.frame_id=b.frame_id) where i>0 and i/u>={least}),
+s as (select distinct video_id, frame_id, cast(0 as bigint) as k, cast([] as int[]) as ls, cast([] as int[]) as rs from c
+ union all select s.video_id, s.frame_id, c.k, case when list_contains(ls, l) or list_contains(rs, r) then ls else list_append(ls, l) end,
+ case when list_contains(ls, l) or list_contains(rs, r) then rs else list_append(rs, r) end from s join c on c.video_id=s.video_id and c.frame_id=s.frame_id and c.k=s.k+1),
+tp as (select video_id, frame_id, max(len(ls)) as tp from s group by all),
+n1 as (select video_id, frame_id, count(*) as n from w group by all), n2 as (select video_id, frame_id, count(*) as n from o group by all),
+cmp as (select video_id, frame_id, coalesce(tp,0) as tp, coalesce(n2.n,0)-coalesce(tp,0) as extra, coalesce(n1.n,0)-coalesce(tp,0) as missed from n1 full join n2 using (video_id, frame_id) left join tp using (video_id, frame_id))"""
+
+
+@query("q4_compare_box_sets", DT, sql=compared_sql("9") + " select * from cmp")
 def _(d):
     other = d.where("det_idx % 5 <> 4").withColumn("x1", F.col("x1") + 9).withColumn("x2", F.col("x2") + 9)
     return boxes.compare_box_sets(fusion.iou_join(d, other, 0.5), d, other)

@@ -128,7 +128,14 @@ def _(d, v):
     return out.select("video_id", "frame", F.col("boxes").cast("bigint").alias("boxes"))
 
 
-@query("n9_tiered_sample", TF, VID)
+@query("n9_tiered_sample", TF, VID, sql=""", m as (select video_id, video_frame_idx as f, sqrt(power((x1+x2)/2-lag((x1+x2)/2) over w,2)+power((y1+y2)/2-lag((y1+y2)/2) over w,2)) as m
+ from fx_track_frames window w as (partition by video_id, track_id order by video_frame_idx)),
+p as (select video_id, f, sum(m) as m, count(m) as n from m group by all),
+scores as (select video_id, k, sum(m)/greatest(sum(n),1) as s from (select *, unnest(range(cast(greatest(ceil((f-59)/15),0) as bigint), cast(floor(f/15) as bigint)+1)) as k from p) group by all),
+grid as (select video_id, unnest(range(0, cast(frame_count as bigint))) as f from fx_videos),
+best as (select g.video_id, g.f, coalesce(max(s),0) as s from (select *, unnest(range(cast(greatest(ceil((f-59)/15),0) as bigint), cast(floor(f/15) as bigint)+1)) as k from grid) g left join scores c on c.video_id=g.video_id and c.k=g.k group by 1,2),
+cuts as (select video_id, quantile_cont(s,0.5) as a, quantile_cont(s,0.75) as b, quantile_cont(s,0.9) as c from best group by 1)
+select b.video_id, f as frame from best b join cuts q on q.video_id=b.video_id where f % (case when s>c then 2 when s>q.b then 5 when s>a then 10 else 20 end)=0""")
 def _(t, v):
     return sampling.tiered_sample(t, v)
 

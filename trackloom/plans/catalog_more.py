@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from trackloom.functions import geometry as G
 from trackloom.functions import text as T
 from trackloom.operators import boxes, changes, fusion, lifecycle, reports, sampling, tracks, work
-from trackloom.plans.catalog import DT, ORACLES, PAIRS, PRT, SES, SUB, TF, TSK, USR, VID, query, rounded, sides
+from trackloom.plans.catalog import DT, ORACLES, PAIRS, PRT, SES, SUB, TF, TSK, USR, VID, compared_sql, query, rounded, sides
 from trackloom.plans.fixtures import oracle
 
 ACT, ATK, APT = "fx_actions", "fx_action_tasks", "fx_action_parts"
@@ -293,7 +293,11 @@ def _(d):
     return found.select("job", F.array_join("errors", ",").alias("errors"))
 
 
-@query("a13_precision_recall", DT)
+@query("a13_precision_recall", DT, sql=compared_sql("(video_id%5*9)") + """, f as (select video_id%5 as run, frame_id, sum(x1)/1000 as seconds, count(*) as boxes from fx_detections group by all),
+q as (select run, count(*) as frames, count(*)/sum(seconds) as fps, sum(boxes)/sum(seconds) as bps, median(seconds) as p50, list_sort(list(seconds))[cast(floor((count(*)-1)*0.95) as int)+1] as p95 from f group by run),
+m as (select video_id%5 as run, sum(tp) as tp, sum(extra) as extra, sum(missed) as missed from cmp where video_id%5<>0 group by 1)
+select q.run, frames, round(fps,6) as fps, round(bps,6) as boxes_per_second, round(p50,6) as p50, round(p95,6) as p95, round(fps/(select fps from q where run=0),6) as speed_up,
+round(tp/nullif(tp+extra,0),6) as precision, round(tp/nullif(tp+missed,0),6) as recall from q left join m on m.run=q.run""")
 def _(d):
     other = d.where("det_idx % 5 <> 4").withColumn("x1", F.col("x1") + F.col("video_id") % 5 * 9).withColumn("x2", F.col("x2") + F.col("video_id") % 5 * 9)
     compared = boxes.compare_box_sets(fusion.iou_join(d, other, 0.5), d, other).withColumn("run", F.col("video_id") % 5)
