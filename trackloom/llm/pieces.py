@@ -23,6 +23,7 @@ from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from itertools import chain
+from operator import itemgetter
 
 import ahocorasick
 import numpy as np
@@ -36,6 +37,8 @@ from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, Str
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
+#: The score of a place where no piece has ended yet.
+NONE = float("-inf")
 #: Tokens, and pairs of pieces, remembered in a task.
 MEMORY = 150_000
 
@@ -145,12 +148,10 @@ class Encoder:
         self.lowest = min((v.pieces[k][1] for k in self.id.values()), default=0.0) - 10.0
         self.tokens = self._tokens()
         self.words = _Memory(self._segments)
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.automaton = ahocorasick.Automaton()
-        for p, k in self.id.items():
-            self.automaton.add_word(p, (k, len(p)))
-        #: The pieces that the model's own merges can arrive at.
-        self.reached = {k for p, k in self.id.items() if v.kind != BPE or self._merge(p) == [p]}
+        for p, k in self.id.items():  # with each piece, whether a BPE model's merges can arrive at it
+            self.automaton.add_word(p, (k, len(p), self.score[k], v.kind == BPE and self._merge(p) == [p]))
         if len(self.automaton):
             self.automaton.make_automaton()
 
@@ -169,12 +170,13 @@ class Encoder:
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
 
     def _follows(self, a: int, b: int) -> bool:
-        ok = self.pairs.get((a, b))
+        key = a * len(self.score) + b
+        ok = self.pairs.get(key)
         if ok is None:
             if len(self.pairs) > 3 * MEMORY:
                 self.pairs.clear()
             x, y = self.v.pieces[a][0], self.v.pieces[b][0]
-            ok = self.pairs[a, b] = self._merge(x + y) == [x, y]
+            ok = self.pairs[key] = self._merge(x + y) == [x, y]
         return ok
 
     def _tokens(self) -> re.Pattern | None:
@@ -193,42 +195,49 @@ class Encoder:
         """A token's ids by the model's own kind, and by Viterbi, in one pass of the automaton, and whether both stand for its bytes. A character without piece stands alone."""
         text = token.replace(" ", SPACE)
         n = len(text)
-        best, piece, size = [0.0] + [None] * n, [-1] * (n + 1), [1] * (n + 1)
-        own, own_size = ([-1] * (n + 1), [1] * (n + 1)) if self.v.kind == BPE else (piece, size)
-        known, scores, lowest, bpe, reached = self.pairs.get, self.score, self.lowest, self.v.kind == BPE, self.reached
-        done = 0
-        for end, (k, length) in self.automaton.iter(text) if len(self.automaton) else ():
+        best, piece, size = [0.0] + [NONE] * n, [-1] * (n + 1), [1] * (n + 1)
+        bpe, known, lowest, count = self.v.kind == BPE, self.pairs.get, self.lowest, len(self.score)
+        own, own_size = ([-1] * (n + 1), [1] * (n + 1)) if bpe else (piece, size)
+        for end, (k, length, score, reached) in self.automaton.iter(text) if len(self.automaton) else ():
             end += 1
             start = end - length
-            while done < start:  # up to here no piece can end any more
-                done += 1
-                if best[done] is None:
-                    best[done] = best[done - 1] + lowest
             # Viterbi: each piece that ends here relaxes the place's best score.
-            score = best[start] + scores[k]
-            if best[end] is None or score > best[end]:
+            before = best[start]
+            if before == NONE:  # no piece ends there: the characters since the last one stand alone
+                at = start
+                while best[at] == NONE:
+                    at -= 1
+                for i in range(at, start):
+                    best[i + 1] = best[i] + lowest
+                before = best[start]
+            score += before
+            if score > best[end]:
                 best[end], piece[end], size[end] = score, k, length
             # BPE: the piece that can follow the prefix's last one.
-            if bpe and own[end] < 0 and k in reached:
+            if reached and own[end] < 0:
                 last = own[start]
-                if last < 0 or (ok := known((last, k))) or (ok is None and self._follows(last, k)):
+                if last < 0 or (ok := known(last * count + k)) or (ok is None and self._follows(last, k)):
                     own[end], own_size[end] = k, length
-        found = self._back(text, piece, size)
-        model = self._back(text, own, own_size) if bpe else found
-        raw = token.encode("utf-8", "surrogatepass")
-        stands = lambda ids: b"".join(map(self.bytes.__getitem__, ids)) == raw
-        return model, found, stands(model) and stands(found)
-
-    def _back(self, text: str, piece: list[int], size: list[int]) -> tuple[int, ...]:
-        """The ids of the segments that end at the text's end, from each place's last piece, -1 where a character has none, and its length."""
-        out, at = [], len(text)
+        found, whole = self._back(text, piece, size)
+        if not bpe:
+            return found, found, whole and SPACE not in token
+        model, also = self._back(text, own, own_size)
+        return (found if model == found else model), found, whole and also and SPACE not in token
+
+    def _back(self, text: str, piece: list[int], size: list[int]) -> tuple[tuple[int, ...], bool]:
+        """The ids of the segments that end at the text's end, from each place's last piece, -1 where a character has none, and its length; and whether they stand for the text: an unknown character's don't, nor do the bytes of half a surrogate pair."""
+        out, at, whole = [], len(text), True
         while at:
-            if piece[at] < 0:
-                out += self._unknown(text[at - 1])[::-1]
+            k = piece[at]
+            if k < 0:
+                ch = text[at - 1]
+                out += self._unknown(ch)[::-1]
+                whole = whole and self.v.byte_fallback and bool(self.byte) and not "\ud800" <= ch <= "\udfff"
             else:
-                out.append(piece[at])
+                out.append(k)
             at -= size[at]
-        return tuple(out[::-1])
+        out.reverse()
+        return tuple(out), whole
 
     def _unknown(self, ch: str) -> list[int]:
         return [self.byte[b] for b in ch.encode("utf-8", "surrogatepass")] if self.v.byte_fallback and self.byte else [self.unknown]
@@ -250,8 +259,8 @@ class Encoder:
         parts = [text] if self.tokens is None else self.tokens.findall(text)
         found = list(map(self.words.__getitem__, parts))
         self.words.age()
-        ids, best = list(chain.from_iterable(x for x, _, _ in found)), list(chain.from_iterable(y for _, y, _ in found))
-        same = kept and self.v.dummy_prefix and all(ok for _, _, ok in found)
+        ids, best = list(chain.from_iterable(map(itemgetter(0), found))), list(chain.from_iterable(map(itemgetter(1), found)))
+        same = kept and self.v.dummy_prefix and all(map(itemgetter(2), found))
         return ids, best, same or (self.decode(ids) == whole and self.decode(best) == whole)
 
     def encode(self, text: str | None) -> list[int]:
