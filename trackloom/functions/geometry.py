@@ -130,6 +130,12 @@ def scale_grid(v: Column, size: Column, grid: int = 1000) -> Column:
     return v / grid * size
 
 
+def to_square(b: Box, width: Column, height: Column, size: int = 1008) -> Box:
+    """A box of a picture in the square grid of ``size`` that a model reads, each axis scaled by itself."""
+    sx, sy = size / width.cast("double"), size / height.cast("double")
+    return Box(b.x1 * sx, b.y1 * sy, b.x2 * sx, b.y2 * sy)
+
+
 def crop_window(b: Box, crop_w: Column, crop_h: Column, width: Column, height: Column) -> Column:
     """The window's corner and the paddings where it leaves the picture."""
     cx, cy = center(b)

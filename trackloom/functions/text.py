@@ -116,6 +116,11 @@ def cell(value: Column) -> Column:
     return F.when(flat.rlike(r"^[=+\-@]"), F.concat(F.lit("'"), flat)).otherwise(flat)
 
 
+def weekly_cells(name: Column, start: Column, end: Column, projects: Column) -> Column:
+    """A report's row as text between tabs: the name, its first and last day (the end is the day after) and the projects in one cell."""
+    return F.concat_ws("\t", cell(name), F.date_format(start, "yyyy-MM-dd"), F.date_format(F.date_sub(end, 1), "yyyy-MM-dd"), cell(F.array_join(projects, "；")))
+
+
 def decimals(v: Column) -> Column:
     """Six decimals, halves up, so that all engines agree."""
     return F.format_string("%.6f", F.floor(v * 1e6 + 0.5) / 1e6)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackloom.functions import text as T
 from trackloom.operators import graphs
 
 BOX = ["x1", "y1", "x2", "y2"]
@@ -32,6 +33,32 @@ def export_frames(frames: DataFrame, videos: DataFrame, interval: int) -> DataFr
     return at.join(counts, ["video_id", "video_frame_idx"], "left").fillna(0, ["boxes"])
 
 
+def export_files(frames: DataFrame, videos: DataFrame, interval: int, class_labels: DataFrame | None = None, segment: str | None = None) -> DataFrame:
+    """(video_id, segment, name, labels, annotations): the YOLO text and the VOC document of every ``interval``-th frame of each video, boxes or not.
+
+    frames: video_id, track_id, class_id, video_frame_idx, box; videos: video_id, stem, width, height, frame_count. The text has a
+    line for each box, unclipped, by track; the document has what is left of the boxes within the picture, under their class's
+    label (class_id, label), else ``class_`` and its number. ``segment`` names a column of both tables: with it, each segment's
+    frames are numbered by themselves and the segment's name comes before that of the file, so that all can go to one folder.
+    """
+    key = ["video_id", *([segment] if segment else [])]
+    at = videos.where("frame_count > 0").select(*key, "stem", "width", "height", F.explode(F.sequence(F.lit(0).cast("bigint"), (F.col("frame_count") - 1).cast("bigint"), F.lit(interval).cast("bigint"))).alias("video_frame_idx"))
+    prefix = F.concat(F.col(segment).cast("string"), F.lit("_")) if segment else F.lit("")
+    at = at.withColumn("name", F.concat(prefix, "stem", F.format_string("_frame_%06d", "video_frame_idx")))
+    rows = at.join(frames, [*key, "video_frame_idx"])
+    cx, cy, w, h = (F.col("x1") + F.col("x2")) / 2 / F.col("width"), (F.col("y1") + F.col("y2")) / 2 / F.col("height"), (F.col("x2") - F.col("x1")) / F.col("width"), (F.col("y2") - F.col("y1")) / F.col("height")
+    line = F.concat_ws(" ", F.col("class_id").cast("string"), *map(T.decimals, (cx, cy, w, h)))
+    lines = rows.groupBy("name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("track_id", line.alias("line")))), lambda s: s["line"]), "\n").alias("labels"))
+    if class_labels is not None:
+        rows = rows.join(class_labels.select("class_id", "label"), "class_id", "left")
+    label = F.concat(F.lit("class_"), F.col("class_id").cast("string"))
+    label = F.coalesce("label", label) if class_labels is not None else label
+    image = F.concat("name", F.lit(".jpg")).alias("image")
+    documents = to_voc(rows.select(image, F.col("track_id").alias("order"), label.alias("name"), *BOX), at.select(image, "width", "height"))
+    out = at.join(lines, "name", "left").join(documents.select(F.regexp_replace("image", r"\.jpg$", "").alias("name"), F.col("xml").alias("annotations")), "name")
+    return out.select("video_id", (F.col(segment) if segment else F.lit(None).cast("string")).alias("segment"), "name", F.coalesce("labels", F.lit("")).alias("labels"), "annotations")
+
+
 def to_voc(boxes: DataFrame, images: DataFrame) -> DataFrame:
     """(image, xml): boxes clipped to their image and rounded half to even, degenerate ones dropped, with a mark where they touch the border, in the order of their numbers.
 

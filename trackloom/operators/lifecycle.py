@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from trackloom.operators import changes
 from trackloom.operators.ordering import stored
 
 #: What a fold gives, in one schema: kind says which of the columns count.
@@ -305,6 +307,27 @@ def daily_snapshot(tasks: DataFrame, estimates: DataFrame, date: str) -> DataFra
     return tasks.where(~F.col("deleted") & (F.col("status") != "completed")).join(estimates, "task_id", "left").withColumn("report_date", F.lit(date).cast("date"))
 
 
+def write_snapshot(tasks: DataFrame, estimates: DataFrame, now: str, path: str) -> bool:
+    """Writes the snapshot that is due at ``now`` (a moment with its zone) to its date's partition under path; False where it is before 18:00 or the date has one. The folder of the date is what says so, and a run that was cut off left none: it is written elsewhere and moved when it is whole."""
+    spark = tasks.sparkSession
+    runs = spark.createDataFrame([(now,)], "now string").select(F.col("now").cast("timestamp").alias("now"))
+    due = changes.due_runs(runs).first()
+    if due is None:
+        return False
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    at = hadoop(f"{path}/report_date={due['report_date']}")
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(at):
+        return False
+    part = hadoop(f"{path}/_writing-{uuid.uuid4().hex}")
+    daily_snapshot(tasks, estimates, str(due["report_date"])).drop("report_date").write.parquet(part.toString())
+    files.mkdirs(at.getParent())
+    if not files.rename(part, at):  # another run was first
+        files.delete(part, True)
+        return False
+    return True
+
+
 def visible_counts(snapshot: DataFrame, users: DataFrame) -> DataFrame:
     """(username, tasks): of each active account the tasks that it sees: all for admins, those that it published or manages for others."""
     roles = [c for c in ("publisher", "manager") if c in snapshot.columns]

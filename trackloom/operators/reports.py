@@ -9,6 +9,7 @@ from trackloom.functions import geometry as G
 from trackloom.functions import text as T
 from trackloom.operators import work
 from trackloom.operators.ordering import numbered
+from trackloom.operators.tracking import fix_spikes
 
 
 def task_estimate(tasks: DataFrame, parts: DataFrame) -> DataFrame:
@@ -195,24 +196,35 @@ def upsert_boxes(frames: DataFrame, boxes: DataFrame, videos: DataFrame) -> Data
     return frames.select(*new.columns).join(new.select(*key), key, "left_anti").unionByName(new)
 
 
-def replace_from(target: DataFrame, source: DataFrame, start: int) -> DataFrame:
-    """Each video's target track (video_id, track_id, class_id, frame_id, box) with the frames from ``start`` on taken from the video's source track with the smallest id; spikes are then for ``fix_spikes`` from start."""
+def replace_from(target: DataFrame, source: DataFrame, start: int, replace: bool = True, repair: bool = True, **spikes: float) -> DataFrame:
+    """Each video's target track (video_id, track_id, class_id, frame_id, box) with the frames of the video's source track with the smallest id.
+
+    With ``replace`` the target's frames from ``start`` on go first; the source's frames come in whole and take the place of the
+    target's. With ``repair`` spikes from ``start`` on are mended (``fix_spikes``, which takes ``spikes``), with what lies before as
+    their history.
+    """
     first = source.groupBy("video_id").agg(F.min("track_id").alias("track_id"))
     ids = target.groupBy("video_id").agg(F.min("track_id").alias("__t"), F.min_by("class_id", "frame_id").alias("__c"))
-    new = source.where(F.col("frame_id") >= start).join(first, ["video_id", "track_id"], "left_semi").join(ids, "video_id")
+    new = source.join(first, ["video_id", "track_id"], "left_semi").join(ids, "video_id")
     new = new.select("video_id", F.col("__t").alias("track_id"), F.col("__c").alias("class_id"), "frame_id", "x1", "y1", "x2", "y2")
-    return target.where(F.col("frame_id") < start).select(*new.columns).unionByName(new)
+    left = target.where(F.col("frame_id") < start) if replace else target
+    both = left.select(*new.columns).join(new.select("video_id", "frame_id"), ["video_id", "frame_id"], "left_anti").select(*new.columns).unionByName(new)
+    return fix_spikes(both, start_frame=start, **spikes).select(*new.columns) if repair else both
 
 
 def visible(tasks: DataFrame, users: DataFrame) -> DataFrame:
-    """(username, task_id, may_review) of each active account and the tasks that it sees: admins all, others those that they publish or manage; applicants see none but may review.
+    """(username, task_id, sees, may_review) of each active account and the live tasks that it sees or may review: admins all of them, others those that they publish or manage; applicants may review what they don't see.
 
-    Admins are few; their tasks are a product by intent, of that size.
+    Admins meet all tasks, which is their purpose: dealt over 64 keys, so that no key holds them all. The result is that large.
     """
+    live = tasks.where(~F.col("deleted")) if "deleted" in tasks.columns else tasks
+    active = users.where("is_active").select("username", (F.col("role") == "admin").alias("admin"))
     roles = {c: F.col(c) for c in ("publisher", "manager", "applicant") if c in tasks.columns}
-    named = tasks.select("task_id", F.explode(F.array(*[F.struct(v.alias("username"), F.lit(c != "applicant").alias("sees")) for c, v in roles.items()])).alias("r")).select("task_id", "r.*").where("username is not null")
-    own = named.groupBy("username", "task_id").agg(F.bool_or("sees").alias("sees")).join(users.where("is_active").select("username", "role"), "username").where("role <> 'admin'")
-    return own.select("username", "task_id", "sees", F.lit(True).alias("may_review"))
+    named = live.select("task_id", F.explode(F.array(*[F.struct(v.alias("username"), F.lit(c != "applicant").alias("sees")) for c, v in roles.items()])).alias("r")).select("task_id", "r.*").where("username is not null")
+    own = named.groupBy("username", "task_id").agg(F.bool_or("sees").alias("sees")).join(active.where("not admin"), "username").select("username", "task_id", "sees")
+    everywhere = active.where("admin").select("username", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(63).cast("bigint"))).alias("salt"))
+    every = live.select("task_id", F.pmod(F.xxhash64("task_id"), F.lit(64).cast("bigint")).alias("salt")).join(everywhere, "salt").select("username", "task_id", F.lit(True).alias("sees"))
+    return own.unionByName(every).withColumn("may_review", F.lit(True))
 
 
 def first_names(events: DataFrame) -> DataFrame:

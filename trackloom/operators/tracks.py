@@ -148,10 +148,13 @@ def clip_plan(frames: DataFrame, videos: DataFrame, pad: int, margin: float, lea
 
 
 def track_listing(frames: DataFrame) -> DataFrame:
-    return frames.groupBy(*TRACK).agg(
+    """Per track: first and last frame, how many, their list, the median area, and how many segments have abnormal areas."""
+    listed = frames.groupBy(*TRACK).agg(
         F.min("frame_id").alias("start_frame"), F.max("frame_id").alias("end_frame"), F.count("*").alias("num_frames"),
         F.percentile(G.area(G.Box.of()), F.lit(0.5)).alias("median_area"), F.sort_array(F.collect_list("frame_id")).alias("frame_ids"),
     )
+    found = area_anomalies(frames)[1].groupBy(*TRACK).agg(F.count("*").alias("area_anomaly_count"))
+    return listed.join(found, TRACK, "left").fillna(0, ["area_anomaly_count"])
 
 
 def edit_tracks(frames: DataFrame, edits: DataFrame) -> DataFrame:

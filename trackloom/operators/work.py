@@ -127,6 +127,33 @@ def production_report(events: DataFrame, users: DataFrame, start: Column, end: C
     return users.select("username", "display_name").join(sums, "username", "left").fillna(0, ["credited", "excluded", "events"])
 
 
+def production_tasks(events: DataFrame, start: Column, end: Column, workdays_only: bool = False) -> DataFrame:
+    """(annotator, task_id, name, image_count, first): credit in [start, end) by person, task and name, without imported events.
+
+    events: event_id, annotator, submitted_at, credited, event_kind, task_id, task_name, project. A task's name is the first of name,
+    project and id that isn't empty. Events without credit make no task. ``first`` numbers a person's names in the order in
+    which they came, the same for all tasks of a name.
+    """
+    given = lambda c: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col(c))
+    name = F.coalesce(given("task_name"), given("project"), F.col("task_id").cast("string"))
+    rows = events.where((F.col("event_kind") != "legacy_import") & (F.col("submitted_at") >= start) & (F.col("submitted_at") < end) & (F.col("credited") > 0))
+    if workdays_only:
+        rows = rows.where(~is_weekend(F.col("submitted_at")))
+    place = F.struct("submitted_at", "event_id")
+    sums = rows.withColumn("name", name).groupBy("annotator", "task_id", "name").agg(F.sum("credited").alias("image_count"), F.min(place).alias("at"))
+    named = sums.withColumn("at", F.min("at").over(Window.partitionBy("annotator", "name")))
+    first = F.dense_rank().over(Window.partitionBy("annotator").orderBy("at", "name"))
+    return named.select("annotator", "task_id", "name", "image_count", first.alias("first"))
+
+
+def production_summary(events: DataFrame, start: Column, end: Column, since: Column, workdays_only: bool = False) -> DataFrame:
+    """One row: image_count, excluded_weekend_count, legacy_parts_excluded (imported events of all times) and includes_untracked_time (whether start lies before ``since``)."""
+    own = (F.col("event_kind") != "legacy_import") & (F.col("submitted_at") >= start) & (F.col("submitted_at") < end)
+    off = is_weekend(F.col("submitted_at")) if workdays_only else F.lit(False)
+    total = lambda when: F.coalesce(F.sum(F.when(own & when, F.col("credited"))), F.lit(0)).cast("bigint")
+    return events.agg(total(~off).alias("image_count"), total(off).alias("excluded_weekend_count"), F.count_if(F.col("event_kind") == "legacy_import").alias("legacy_parts_excluded"), (start < since).alias("includes_untracked_time"))
+
+
 def attendance(sessions: DataFrame, first_day: str, days: int) -> DataFrame:
     """Check-ins per day: the first start of each user and day; days without any have zero."""
     calendar = sessions.sparkSession.range(1).select(F.explode(F.sequence(F.lit(first_day).cast("date"), F.date_add(F.lit(first_day).cast("date"), days - 1))).alias("day"))
@@ -237,6 +264,30 @@ def next_pending(parts: DataFrame) -> DataFrame:
     return parts.where(F.col("status") == "pending").groupBy("task_id").agg(F.min_by("part_id", F.struct("part_index", "part_id")).alias("part_id"))
 
 
+def next_reminder(events: DataFrame) -> DataFrame:
+    """The oldest pending event by its time and id; no row where none is pending."""
+    return events.where(F.col("status") == "pending").orderBy("created_at", "event_id").limit(1)
+
+
+def reopened(tasks: DataFrame, added: DataFrame) -> DataFrame:
+    """Tasks (task_id, status, rank, deleted) after parts were added to those of ``added`` (task_id): they are in progress, and what was completed comes behind all that aren't, by task_id where several do. Deleted tasks stay as they are."""
+    rows = tasks.join(added.select("task_id").distinct().withColumn("__new", F.lit(True)), "task_id", "left")
+    new = F.coalesce("__new", F.lit(False)) & ~F.col("deleted")
+    again = new & (F.col("status") == "completed")
+    back = numbered(rows.where(again), [F.col("task_id")], "__place").select("task_id", "__place")
+    active = rows.agg(F.count_if(~F.col("deleted") & (F.col("status") != "completed")).alias("__active"))
+    out = rows.join(back, "task_id", "left").join(F.broadcast(active))  # one row
+    rank = F.when(F.col("__place").isNotNull(), F.col("__active") + F.col("__place")).otherwise(F.col("rank")).cast(tasks.schema["rank"].dataType)
+    return out.withColumn("rank", rank).withColumn("status", F.when(new, "in_progress").otherwise(F.col("status"))).select(*tasks.columns)
+
+
+def page_after(df: DataFrame, order_by: list[str], last: tuple | None, size: int) -> DataFrame:
+    """The ``size`` rows (1 to 100) behind the row whose ``order_by`` values are ``last``, or the first ones: nothing is counted or skipped, so page after page costs the same. order_by should end with a key and hold no nulls."""
+    if last is not None:
+        df = df.where(F.struct(*order_by) > F.struct(*[F.lit(v).cast(df.schema[c].dataType).alias(c) for c, v in zip(order_by, last, strict=True)]))
+    return df.orderBy(*order_by).limit(min(max(size, 1), 100))
+
+
 def task_status(tasks: DataFrame, parts: DataFrame) -> DataFrame:
     """ready without parts, completed if all are, else in_progress."""
     s = parts.groupBy("task_id").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "completed").alias("c"))

@@ -96,7 +96,12 @@ def _(t, v):
     return tracks.clip_plan(t, v, 5, 1.2, 32)
 
 
-@query("a20_track_listing", TF, sql=f"select video_id, track_id, min(frame_id) as start_frame, max(frame_id) as end_frame, count(*) as num_frames, round(quantile_cont({AREA},0.5),6) as median_area, array_to_string(list_sort(list(frame_id)),',') as frame_ids from fx_track_frames group by all")
+@query("a20_track_listing", TF, sql=f""", {PROFILE}, {FLAGGED},
+begun as (select video_id, track_id, case when coalesce(frame_id-lag(frame_id) over w > 3, true) then 1 else 0 end as fresh from flagged where len(reasons)>0 window w as (partition by video_id, track_id order by frame_id)),
+found as (select video_id, track_id, sum(fresh) as n from begun group by all)
+select t.video_id, t.track_id, min(frame_id) as start_frame, max(frame_id) as end_frame, count(*) as num_frames, round(quantile_cont({AREA},0.5),6) as median_area,
+ array_to_string(list_sort(list(frame_id)),',') as frame_ids, coalesce(any_value(n),0) as area_anomaly_count
+from fx_track_frames t left join found f on f.video_id=t.video_id and f.track_id=t.track_id group by all""")
 def _(t):
     return rounded(tracks.track_listing(t).withColumn("frame_ids", F.array_join("frame_ids", ",")))
 
@@ -214,12 +219,34 @@ def _(d, v):
     return fusion.filter_counts(d, kept, all_frames(v))
 
 
-@query("q2_fix_spikes", TF)
+def spikes_sql(source: str, start: int = 0) -> str:
+    """Common tables up to ``mended``: the tracks of ``source`` as fix_spikes leaves them. A row is held against the last ten normal ones before it, so a recursion goes along each track."""
+    median = lambda x: f"list_aggregate(s.{x}, 'median')"
+    wide = f"coalesce(len(s.areas)>=3 and (r.w*r.h>{median('areas')}*4 or r.w>{median('widths')}*3 or r.h>{median('heights')}*3), false)"
+    normal = f"r.w*r.h>0 and not {wide}"
+    kept = lambda x, v: f"case when {normal} then list_slice(list_append(s.{x}, {v}), -10, -1) else s.{x} end"
+    box = ", ".join(f"case when fixed then lo.{c}+(hi.{c}-lo.{c})*((m.frame_id-lo.frame_id)/(hi.frame_id-lo.frame_id)) else m.{c} end as {c}" for c in tracks.BOX)
+    return f""", r as materialized (select video_id, track_id, class_id, frame_id, x1, y1, x2, y2, greatest(x2-x1,0) as w, greatest(y2-y1,0) as h,
+ row_number() over (partition by video_id, track_id order by frame_id) as k, count(*) over (partition by video_id, track_id) as n from {source}),
+s as (select distinct video_id, track_id, cast(0 as bigint) as k, cast([] as double[]) as areas, cast([] as double[]) as widths, cast([] as double[]) as heights, false as odd from r
+ union all select s.video_id, s.track_id, r.k, {kept('areas', 'r.w*r.h')}, {kept('widths', 'r.w')}, {kept('heights', 'r.h')}, r.n>=5 and (r.w*r.h<=0 or {wide} and r.frame_id>={start})
+ from s join r on r.video_id=s.video_id and r.track_id=s.track_id and r.k=s.k+1),
+o as (select r.*, s.odd, max(case when not s.odd then r.k end) over (partition by r.video_id, r.track_id order by r.k) as before,
+ min(case when not s.odd then r.k end) over (partition by r.video_id, r.track_id order by r.k rows between current row and unbounded following) as after from r join s on s.video_id=r.video_id and s.track_id=r.track_id and s.k=r.k),
+g as (select *, sum(fresh) over (partition by video_id, track_id order by k) as run from (select *, case when frame_id-lag(frame_id) over (partition by video_id, track_id order by k)=1 then 0 else 1 end as fresh from o where odd)),
+runs as (select video_id, track_id, run, min(frame_id) as run_start, max(frame_id) as run_end, count(*) as size, min(before) as before, min(after) as after from g group by all having count(*)<=10 and min(before) is not null and min(after) is not null),
+m as (select o.*, u.run_start is not null as fixed, u.run_start, u.run_end, u.before as b, u.after as a from o left join g on g.video_id=o.video_id and g.track_id=o.track_id and g.k=o.k
+ left join runs u on u.video_id=g.video_id and u.track_id=g.track_id and u.run=g.run),
+mended as (select m.video_id, m.track_id, m.class_id, m.frame_id, {box}, fixed, run_start, run_end, lo.frame_id as anchor_before, hi.frame_id as anchor_after from m
+ left join r lo on lo.video_id=m.video_id and lo.track_id=m.track_id and lo.k=m.b left join r hi on hi.video_id=m.video_id and hi.track_id=m.track_id and hi.k=m.a)"""
+
+
+@query("q2_fix_spikes", TF, sql=spikes_sql("fx_track_frames") + " select video_id, track_id, class_id, frame_id, " + ", ".join(f"round({c},6) as {c}" for c in tracks.BOX) + ", fixed, run_start, run_end, anchor_before, anchor_after from mended")
 def _(t):
     return rounded(tracking.fix_spikes(t))
 
 
-@query("q2_fixed_intervals", TF)
+@query("q2_fixed_intervals", TF, sql=spikes_sql("fx_track_frames") + " select video_id, track_id, run_start, run_end, anchor_before, anchor_after, count(*) as frames from mended where fixed group by all")
 def _(t):
     return tracking.fixed_intervals(tracking.fix_spikes(t))
 
@@ -431,14 +458,6 @@ def _(p):
     return changes.status_changes(p, "task_id", "part_index")
 
 
-@query("e12_reminders", SUB, USR, sql=""", r as (select distinct part_id as task_id, annotator as username from fx_submissions where is_final union all select null, username from fx_users where role='admin')
-select event_id, username from (select event_id, username from fx_submissions s join r on s.part_id=r.task_id union select event_id, username from fx_submissions, r where r.task_id is null) join (select username from fx_users where is_active) using (username)""")
-def _(s, u):
-    own = s.where("is_final").select(F.col("part_id").alias("task_id"), F.col("annotator").alias("username")).distinct()
-    rules = own.union(u.where("role = 'admin'").select(F.lit(None).cast("bigint"), "username"))
-    return changes.reminders(rules, s.select("event_id", F.col("part_id").alias("task_id")), u)
-
-
 @query("e14_check_ins", SES, sql="select annotator, cast(started_at + interval 8 hour as date) as day, min(started_at) as checked_in_at from fx_sessions group by all")
 def _(s):
     return changes.check_ins(s)

@@ -314,13 +314,6 @@ def _(t, v):
     return reports.upsert_boxes(t, new, v).select("video_id", "track_id", "class_id", "frame_id", "x1", "x2")
 
 
-@query("u7_replace_from", TF, sql=", a as (select video_id, min(track_id) as t from fx_track_frames where class_id=0 group by 1), b as (select video_id, min(track_id) as t from fx_track_frames where class_id=1 group by 1) select f.video_id, f.track_id, class_id, frame_id, x1 from fx_track_frames f join a on a.video_id=f.video_id and a.t=f.track_id where frame_id<40 union all select f.video_id, a.t, 0, frame_id, x1 from fx_track_frames f join b on b.video_id=f.video_id and b.t=f.track_id join a on a.video_id=f.video_id where frame_id>=40")
-def _(t):
-    first = t.where("class_id = 0").groupBy("video_id").agg(F.min("track_id").alias("track_id"))
-    target = t.where("class_id = 0").join(first, ["video_id", "track_id"], "left_semi")
-    return reports.replace_from(target, t.where("class_id = 1"), 40).select("video_id", "track_id", "class_id", "frame_id", "x1")
-
-
 @query("u9_upsert", USR, sql="select username, case when username like '%3' then 'renamed' else display_name end as display_name, role, is_active from fx_users union all select 'v' || username, display_name, role, is_active from fx_users where username like '%5'")
 def _(u):
     old = u.where("username like '%3'").withColumn("display_name", F.lit("renamed"))
@@ -334,11 +327,6 @@ def _(p, s):
     return reports.legacy_events(p, s)
 
 
-@query("p2_visible", TSK, USR, sql="select username, task_id, true as sees, true as may_review from (select distinct username, task_id from (select task_id, unnest([publisher, manager]) as username from fx_tasks)) join fx_users using (username) where is_active and role<>'admin'")
-def _(t, u):
-    return reports.visible(t, u)
-
-
 @query("e2_paired_sessions", ACT, sql="select part_id, actor, started_at, ended_at, round(epoch(ended_at)-epoch(started_at),1) as seconds from (select part_id, actor, action, ts as started_at, case when lead(action) over w in ('pause','submit','return') then lead(ts) over w end as ended_at from fx_actions where action in ('resume','rework','pause','submit','return') window w as (partition by part_id order by ts, action_id)) where action in ('resume','rework')")
 def _(a):
     return rounded(lifecycle.paired_sessions(a, ["resume", "rework"], ["pause", "submit", "return"]), 1)
