@@ -100,3 +100,17 @@ def test_choice_of_nodes_is_that_of_one_after_another(spark):
     n = spark.createDataFrame(nodes, "g int, k int, score double")
     e = spark.createDataFrame([(g, a, g, b) for g, a, b in edges], "g int, k int, other_g int, other_k int")
     assert {(x.g, x.k) for x in graphs.chosen_nodes(n, e, ["g", "k"], F.struct("score", "k")).collect()} == want
+
+
+def test_class_ids_as_one_after_another(spark):
+    r = np.random.RandomState(8)
+    labels = [f"class_{k}" if k % 3 == 0 else f"thing {k}" for k in r.randint(0, 60, 400)] + [None, "class_x", "class_7 "]
+    known = {"thing 1": 0, "class_3": 5, "other": 9}
+    want = dict(known)
+    for label in labels:
+        if label is not None and label not in want:
+            n = label.removeprefix("class_")
+            want[label] = int(n) if label.startswith("class_") and n.isdigit() else len(want)
+    df = spark.createDataFrame(list(enumerate(labels)), "position bigint, label string")
+    got = boxes.class_ids(df, spark.createDataFrame(list(known.items()), "label string, class_id bigint"))
+    assert {x.label: x.class_id for x in got.collect()} == want

@@ -75,3 +75,31 @@ def test_edit_rules(spark):
     assert [r.reason for r in found.orderBy("edit_id").collect()] == [None, "image_count", "permission", None, "permission", None, "permission", "work_seconds", "permission", "unknown part"]
     after = {r.part_id: (r.image_count, r.progress_count) for r in lifecycle.apply_edits(parts.withColumn("progress_count", F.lit(1).cast("bigint")), found).collect()}
     assert after == {1: (60, 0), 2: (100, 1)}
+
+
+def test_replay_from_a_state_equals_the_whole_at_any_cut(spark):
+    a, t, p = (fixture(spark, "/root/testdata/sf0.001", f"fx_{n}") for n in ("actions", "action_tasks", "action_parts"))
+    rows = lambda df, *cols: sorted(map(tuple, df.select(*cols).collect()), key=repr)
+    whole = lifecycle.replay(a, t, p)
+    moments = [r.ts for r in a.orderBy("ts", "action_id").select("ts").collect()]
+    for cut in (moments[0], moments[len(moments) // 3], moments[-1]):
+        first = lifecycle.replay(a.where(F.col("ts") < cut), t, p)
+        second = lifecycle.replay(a.where(F.col("ts") >= cut), t, first["state"])
+        assert rows(second["parts"], "part_id", "status", "annotator", "work_seconds", "progress_count") == rows(whole["parts"], "part_id", "status", "annotator", "work_seconds", "progress_count")
+        for kind, cols in (("events", ("action_id", "part_id", "cumulative", "credited", "is_final")), ("rejects", ("action_id", "reason")), ("comments", ("action_id", "kind"))):
+            assert rows(first[kind].union(second[kind]), *cols) == rows(whole[kind], *cols)
+        both = first["sessions"].where("ended_at is not null").union(second["sessions"])
+        assert rows(both, "part_id", "annotator", "started_at", "ended_at") == rows(whole["sessions"], "part_id", "annotator", "started_at", "ended_at")
+
+
+def test_a_snapshot_is_written_once_a_date_and_not_before_its_hour(spark, tmp_path):
+    tasks = spark.createDataFrame([(1, "in_progress", False), (2, "completed", False), (3, "ready", True)], "task_id bigint, status string, deleted boolean")
+    more = tasks.union(spark.createDataFrame([(4, "ready", False)], tasks.schema))
+    hours = spark.createDataFrame([(1, 2.0)], "task_id bigint, hours double")
+    path = str(tmp_path / "daily")
+    assert not lifecycle.write_snapshot(tasks, hours, "2026-07-20T17:59:00+08:00", path)
+    assert lifecycle.write_snapshot(tasks, hours, "2026-07-20T10:00:00Z", path)
+    assert not lifecycle.write_snapshot(more, hours, "2026-07-20T23:00:00+08:00", path)
+    assert lifecycle.write_snapshot(more, hours, "2026-07-21T18:00:00+08:00", path)
+    got = spark.read.parquet(path).groupBy("report_date").agg(F.sort_array(F.collect_list("task_id")).alias("t")).collect()
+    assert {str(r.report_date): r.t for r in got} == {"2026-07-20": [1], "2026-07-21": [1, 4]}

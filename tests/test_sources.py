@@ -2,6 +2,8 @@
 
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from trackloom.operators import sampling, tracks
@@ -168,3 +170,23 @@ def test_sampled_exports(spark):
     moving = spark.createDataFrame([(0, 1, 0, f, f, x, 0.0, x + 9, 9.0) for f in range(300) for x in [0.0 if f < 200 else 5.0 * (f - 200)]], TRACK)
     frames = [r.frame for r in sampling.tiered_sample(moving, videos).collect()]
     assert sum(f >= 200 for f in frames) / 100 > 1.5 * sum(f < 180 for f in frames) / 180 > 0
+
+
+def test_prelabels_to_be_organized(spark):
+    v = spark.createDataFrame([(f"/v/{n}.mp4", 10) for n in ("A", "b", "c", "d", "e", "f", "g", "h")] + [("/w/H.mp4", 10)], "path string, length bigint")
+    rows = [("/p/a/labels/1.txt", 1, "x"), ("/p/a/A.mp4", 10, "m"), ("/p/b/B/1.txt", 1, "x"), ("/p/c/labels/1.txt", 1, "x"), ("/p/c/c/1.txt", 1, "x"), ("/p/c/c/2.txt", 1, "y")]
+    rows += [("/p/d/labels/1.txt", 1, "x"), ("/p/d/d.mp4", 11, "m")] + [(f"/p/e/{k}/{n}.txt", 1, f"{k}{n}") for k in ("labels", "e") for n in range(7)] + [("/p/f/other/1.txt", 1, "x"), ("/p/f/1.txt", 1, "x"), ("/p/h/labels/1.txt", 1, "x")]
+    rows += [("/q/G/labels/1.txt", 1, "x"), ("/p/g/labels/1.txt", 1, "x")]
+    got = {r.video: (r.status, r.reason, r.action, r.conflicts) for r in files.organize_prelabels(v, spark.createDataFrame(rows, "path string, length bigint, digest string")).collect()}
+    assert got == {
+        "/v/A.mp4": ("ready", None, "rename", None), "/v/b.mp4": ("ready", None, "done", None), "/v/c.mp4": ("ready", None, "merge", None), "/v/d.mp4": ("error", "video of another size", None, None),
+        "/v/e.mp4": ("error", "conflicts", None, [f"{n}.txt" for n in range(5)]), "/v/f.mp4": ("error", "no labels", None, None), "/v/g.mp4": ("error", "folder twice", None, None),
+        "/v/h.mp4": ("error", "stem twice", None, None), "/w/H.mp4": ("error", "stem twice", None, None),
+    }
+
+
+def test_the_first_files(spark):
+    f = names(spark, "/r/b.jpg", "/r/A.jpg", "/r/c.jpg")
+    assert [r.path for r in files.first_media(f, 2).collect()] == ["/r/A.jpg", "/r/b.jpg"] and files.first_media(f, 0).count() == 3
+    with pytest.raises(ValueError):
+        files.first_media(f.limit(0), 3)

@@ -71,7 +71,9 @@ def test_labels_and_answers_as_they_arrive(spark, tmp_path):
     (tmp_path / "l" / "v_1.txt").write_text("0 0.5 0.5 0.1 0.1\n\n1 0.2 0.2 0.1 0.1\n")
     (tmp_path / "a").mkdir()
     (tmp_path / "a" / "x.jsonl").write_text('{"image": "i", "answer": "<box>"}\n')
-    assert sorted(r.line_no for r in run(spark, tracks.label_stream(spark, str(tmp_path / "l")), tmp_path, "lines").collect()) == [0, 2]
+    (tmp_path / "l" / "v_2.txt").write_text("")
+    got = run(spark, tracks.label_stream(spark, str(tmp_path / "l"), settle=0), tmp_path, "lines").collect()
+    assert sorted((r.file[-7:], r.line_no) for r in got) == [("v_1.txt", 0), ("v_1.txt", 2), ("v_2.txt", None)]
     assert [r.image for r in run(spark, tracks.answer_stream(spark, str(tmp_path / "a")), tmp_path, "answers").collect()] == ["i"]
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trackloom.functions import text as T
 from trackloom.operators import graphs
+from trackloom.operators.ordering import numbered
 
 BOX = ["x1", "y1", "x2", "y2"]
 
@@ -80,6 +81,21 @@ def to_voc(boxes: DataFrame, images: DataFrame) -> DataFrame:
     return images.join(objects, "image", "left").select("image", F.concat(head, F.coalesce("objects", F.lit("")), F.lit("</annotation>")).alias("xml"))
 
 
+def class_ids(labels: DataFrame, known: DataFrame) -> DataFrame:
+    """(label, class_id) of all labels (label, position) and known ones (label, class_id), as they would be named one after another.
+
+    A known label keeps its id. Of the new ones, by their first positions, ``class_N`` gets N, any other the number of labels that
+    are known by then: both kinds count, and ids may come twice. Null labels have none. Labels are numbered over ranges of their
+    first positions, so no task has to go through them all.
+    """
+    first = labels.where("label is not null").groupBy("label").agg(F.min("position").alias("position"))
+    fresh = numbered(first.join(known.select("label"), "label", "left_anti"), [F.col("position"), F.col("label")], "__n")
+    size = known.agg(F.countDistinct("label").alias("__known"))  # one row
+    given = F.regexp_extract("label", r"^class_([0-9]+)$", 1)
+    own = F.coalesce(given.try_cast("bigint"), F.col("__known") + F.col("__n") - 1)
+    return known.select("label", F.col("class_id").cast("bigint").alias("class_id")).distinct().unionByName(fresh.join(F.broadcast(size)).select("label", own.alias("class_id")))
+
+
 def same_label(a: Column, b: Column) -> Column:
     """Labels without case and outer white space; an empty one agrees with all."""
     given = lambda c: F.coalesce(c, F.lit("")) != ""

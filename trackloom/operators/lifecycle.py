@@ -5,21 +5,27 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Iterator
-from dataclasses import asdict, dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from trackloom.operators import changes
 from trackloom.operators.ordering import stored
+from trackloom.streaming.keyed import together, with_state
 
 #: What a fold gives, in one schema: kind says which of the columns count.
-OUT = "kind string, seq bigint, action_id bigint, task_id bigint, part_id bigint, actor string, at double, status string, annotator string, work_seconds double, progress_count bigint, started double, ended double, cumulative bigint, credited bigint, is_final boolean, note string"
+OUT = "kind string, seq bigint, action_id bigint, task_id bigint, part_id bigint, actor string, at double, status string, annotator string, work_seconds double, progress_count bigint, started double, ended double, cumulative bigint, credited bigint, is_final boolean, note string, part_index bigint, image_count bigint"
 COLUMNS = [c.split()[0] for c in OUT.split(", ")]
 
 
+#: A part's state by columns, and what they hold.
+STATE = {"part_index": int, "image_count": int, "status": str, "annotator": str, "work_seconds": float, "progress_count": int, "opened": float, "credited": int, "final": bool}
+STATE_SCHEMA = "part_index bigint, image_count bigint, status string, annotator string, work_seconds double, progress_count bigint, opened double, credited bigint, final boolean"
+
+
 @dataclass
 class Part:
     part_id: int
@@ -42,15 +48,6 @@ class Task:
     reviewers: list[str]
     parts: dict[int, Part] = field(default_factory=dict)
 
-    def load(self, text: str) -> Task:
-        held = json.loads(text)
-        self.reviewers = held["reviewers"]
-        self.parts = {p["part_id"]: Part(**p) for p in held["parts"]}
-        return self
-
-    def dump(self) -> str:
-        return json.dumps({"reviewers": self.reviewers, "parts": [asdict(p) for p in self.parts.values()]})
-
     def do(self, a) -> list[dict]:
         rule = getattr(self, f"_{a.action}", None) if a.action in ACTIONS else None
         if rule is None:
@@ -179,7 +176,8 @@ def _start(key: int, rows: pd.DataFrame) -> Task:
     first = rows.iloc[0]
     task = Task(int(key), sorted({r for r in first["reviewers"] if r}))
     for r in rows.sort_values("part_index").itertuples(index=False):
-        task.parts[int(r.part_id)] = Part(int(r.part_id), int(r.part_index), int(r.image_count or 0))
+        given = {c: kind(v) for c, kind in STATE.items() if (v := getattr(r, c, None)) is not None and v == v}
+        task.parts[int(r.part_id)] = Part(int(r.part_id), **given)
     return task
 
 
@@ -189,15 +187,16 @@ def _frame(rows: list[dict]) -> pd.DataFrame:
 
 
 def replay(actions: DataFrame, tasks: DataFrame, parts: DataFrame) -> dict[str, DataFrame]:
-    """parts, sessions, events, comments and rejects after the actions, each task's in order of time and id.
+    """parts, sessions, events, comments, rejects and state after the actions, each task's in order of time and id.
 
     actions: (action_id, task_id, part_id, actor, action, value, ts); a claim has no part: it takes the first pending one. tasks:
     (task_id, publisher, manager, applicant); these three may review. parts: (part_id, task_id, part_index, image_count), pending
-    at first. An illegal action changes nothing and is a reject with its reason; actions on unknown tasks are rejects, too. Claims
+    at first; or the ``state`` of an earlier replay, from which later actions go on: what both give together is what the whole log
+    gives, but for sessions that the first leaves open, which the second gives again with their ends. An illegal action changes nothing and is a reject with its reason; actions on unknown tasks are rejects, too. Claims
     depend on all parts of a task, so a task, some thousand parts at most, is folded as one group; it is folded once and stored.
     """
     who = F.array(*[F.col(c).cast("string") for c in ("publisher", "manager", "applicant") if c in tasks.columns])
-    own = parts.join(tasks.select("task_id", who.alias("reviewers")), "task_id").select("task_id", "part_id", "part_index", "image_count", "reviewers")
+    own = parts.join(tasks.select("task_id", who.alias("reviewers")), "task_id").select("task_id", "part_id", *[c for c in STATE if c in parts.columns], "reviewers")
     log = actions.select("task_id", "action_id", F.col("part_id").cast("double").alias("part_id"), "actor", "action", F.col("value").cast("double").alias("value"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
 
     def fold(key: tuple, rows: pd.DataFrame, log: pd.DataFrame) -> pd.DataFrame:
@@ -208,7 +207,7 @@ def replay(actions: DataFrame, tasks: DataFrame, parts: DataFrame) -> dict[str,
         for a in log.sort_values(["at", "action_id"]).itertuples(index=False):
             out += task.do(a)
         for p in task.parts.values():
-            out.append({"kind": "part", "task_id": task.task_id, "part_id": p.part_id, "status": p.status, "annotator": p.annotator, "work_seconds": p.work_seconds, "progress_count": p.progress_count})
+            out.append({"kind": "part", "task_id": task.task_id, "part_id": p.part_id, "status": p.status, "annotator": p.annotator, "work_seconds": p.work_seconds, "progress_count": p.progress_count, "started": p.opened, "credited": p.credited, "is_final": p.final, "part_index": p.part_index, "image_count": p.image_count})
             if p.opened is not None:
                 out.append({"kind": "session", "task_id": task.task_id, "part_id": p.part_id, "annotator": p.annotator, "started": p.opened})
         return _frame(out)
@@ -218,6 +217,7 @@ def replay(actions: DataFrame, tasks: DataFrame, parts: DataFrame) -> dict[str,
     of = lambda kind: every.where(F.col("kind") == kind)
     return {
         "parts": of("part").select("task_id", "part_id", "status", "annotator", "work_seconds", "progress_count"),
+        "state": of("part").select("task_id", "part_id", "part_index", "image_count", "status", "annotator", "work_seconds", "progress_count", F.col("started").alias("opened"), "credited", F.col("is_final").alias("final")),
         "sessions": of("session").select("task_id", "part_id", "annotator", moment("started").alias("started_at"), moment("ended").alias("ended_at")),
         "events": of("event").select("action_id", "task_id", "part_id", "annotator", moment("at").alias("submitted_at"), "cumulative", "credited", "is_final"),
         "comments": of("comment").select("action_id", "task_id", "part_id", "actor", moment("at").alias("created_at"), F.col("status").alias("kind")),
@@ -233,22 +233,35 @@ def replay_stream(actions: DataFrame) -> DataFrame:
     """
     log = actions.select("task_id", "action_id", F.col("part_id").cast("double").alias("part_id"), "actor", "action", F.col("value").cast("double").alias("value"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), F.to_json("task_parts").alias("own"), F.to_json("reviewers").alias("who"))
 
-    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values(["at", "action_id"])
-        task = Task(int(key[0]), [])
-        if state.exists:
-            task.load(state.get[0])
+    return with_state(log, "task_id", FoldTask(), OUT)
+
+
+class FoldTask(StatefulProcessor):
+    """State of a task: ``parts``, a row of named columns for each, and ``reviewers``. Only parts that an action changed are written again."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.parts = handle.getMapState("parts", "part_id bigint", STATE_SCHEMA)
+        self.reviewers = handle.getListState("reviewers", "name string")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  Spark's names
+        f = together(rows).sort_values(["at", "action_id"], kind="stable")
+        task = Task(int(key[0]), [r[0] for r in self.reviewers.get()] if self.reviewers.exists() else [])
+        if self.parts.exists():
+            task.parts = {k: Part(k, *v) for (k,), v in sorted(self.parts.iterator(), key=lambda x: x[1][0])}
+            before = {k: replace(p) for k, p in task.parts.items()}
         else:
-            task.reviewers = sorted({r for r in json.loads(rows["who"].iloc[0]) if r})
-            for p in json.loads(rows["own"].iloc[0]):
+            task.reviewers = sorted({r for r in json.loads(f["who"].iloc[0]) if r})
+            for p in json.loads(f["own"].iloc[0]):
                 task.parts[p["part_id"]] = Part(p["part_id"], p["part_index"], p.get("image_count") or 0)
-        out = []
-        for a in rows.itertuples(index=False):
-            out += task.do(a)
-        state.update((task.dump(),))
-        yield _frame(out)
-
-    return log.groupBy("task_id").applyInPandasWithState(fold, OUT, "task string", "append", GroupStateTimeout.NoTimeout)
+            if task.reviewers:
+                self.reviewers.put([(r,) for r in task.reviewers])
+            before = {}
+        out = [row for a in f.itertuples(index=False) for row in task.do(a)]
+        for k, p in task.parts.items():
+            if before.get(k) != p:
+                self.parts.updateValue((k,), tuple(None if (v := getattr(p, c)) is None else kind(v) for c, kind in STATE.items()))
+        if out:
+            yield _frame(out)
 
 
 def paired_sessions(actions: DataFrame, start: list[str], stop: list[str]) -> DataFrame:

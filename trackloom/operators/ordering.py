@@ -42,20 +42,23 @@ def numbered(df: DataFrame, order: list[Column], number: str, total: Column | No
 
     Rows are dealt to ranges of the order, which are stored, so that all that follows sees the same ones. Each range is numbered
     by itself; the ranges' counts and sums, one row each, give what comes before. Equal rows are numbered in any order, so the
-    order should end with a key.
+    order should end with a key. df is stored first, as the ranges' bounds come from a pass of their own over it; so it should hold
+    what is needed and no more.
     """
-    ranges = stored(df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()))
+    scratch: list[str] = []
+    ranges = stored(stored(df, scratch).repartitionByRange(*order).withColumn("__p", F.spark_partition_id()))
+    forget(df.sparkSession, scratch)
     value = F.lit(0) if total is None else total
     before, n, s = [], 0, 0
     for r in sorted(ranges.groupBy("__p").agg(F.count("*").alias("n"), F.sum(value).alias("s")).collect(), key=lambda r: r["__p"]):
         before.append((r["__p"], n, float(s)))
         n, s = n + r["n"], s + (r["s"] or 0)
-    offsets = df.sparkSession.createDataFrame(before, "__p int, __n long, __s double")
+    offsets = df.sparkSession.createDataFrame(before, "__p int, __before long, __sum double")
     w = Window.partitionBy("__p").orderBy(*order)
     out = ranges.withColumn(number, F.row_number().over(w))
     if running:
         out = out.withColumn(running, F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    out = out.join(F.broadcast(offsets), "__p").withColumn(number, F.col(number) + F.col("__n"))
+    out = out.join(F.broadcast(offsets), "__p").withColumn(number, F.col(number) + F.col("__before"))
     if running:
-        out = out.withColumn(running, F.col(running) + F.col("__s"))
-    return out.drop("__p", "__n", "__s")
+        out = out.withColumn(running, F.col(running) + F.col("__sum"))
+    return out.drop("__p", "__before", "__sum")

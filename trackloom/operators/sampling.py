@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.functions import text as T
+from trackloom.operators.ordering import numbered
 
 
 def validate_plans(plans: DataFrame, segments: DataFrame, videos: DataFrame) -> DataFrame:
@@ -46,9 +47,12 @@ def segment_video(frames: DataFrame, length: int) -> DataFrame:
 
 
 def split_round_robin(samples: DataFrame, parts: int, order: list[str], within: list[str] | None = None) -> DataFrame:
-    """Samples dealt to parts in order, within each group given (a dataset root, a video); the groups keep one task from ordering all."""
-    w = Window.partitionBy(*(within or [])).orderBy(*order)
-    return samples.withColumn("part", F.pmod(F.row_number().over(w) - 1, F.lit(parts)).cast("int"))
+    """Samples dealt to parts in order, within each group given (a dataset root, a video), or over the whole table, which ranges of the order number."""
+    if within:
+        rows = samples.withColumn("__n", F.row_number().over(Window.partitionBy(*within).orderBy(*order)))
+    else:
+        rows = numbered(samples, [F.col(c) for c in order], "__n")
+    return rows.withColumn("part", F.pmod(F.col("__n") - 1, F.lit(parts)).cast("int")).drop("__n")
 
 
 def uniform_sample(samples: DataFrame, k: int, order: list[str], within: list[str]) -> DataFrame:

@@ -203,8 +203,8 @@ def task_hours(tasks: DataFrame) -> Column:
 def schedule(tasks: DataFrame, completed: DataFrame, people: int, today: str) -> DataFrame:
     """All live tasks in rank order (0 and null last), then update and id: hours add up over the whole list, days are the sum over eight hours a person, at least one, and the date is that working day.
 
-    Completed tasks take no time and have no date; nor has one without hours. The rows come by date, those without one last,
-    then rank and id.
+    Completed tasks take no time and have no date; nor has one without hours. The rows are in no order: who lists them sorts them by
+    date, rank and id, or takes the first by these.
     """
     rank = F.when(F.coalesce("rank", F.lit(0)) != 0, F.col("rank")).otherwise(1_000_000_000)
     rows = tasks.where(~F.col("deleted")).join(completed.select("task_id", "done"), "task_id", "left")
@@ -213,7 +213,7 @@ def schedule(tasks: DataFrame, completed: DataFrame, people: int, today: str) ->
     rows = numbered(rows, [F.asc("place"), F.asc("updated_at"), F.asc("task_id")], "n", takes, "cumulative_hours")
     days = F.when(~F.col("done") & (F.col("hours") > 0) & F.lit(people > 0), F.greatest(F.ceil(F.round(F.col("cumulative_hours") / (people * 8), 9)), F.lit(1)).cast("int"))
     rows = rows.withColumn("days", days).withColumn("due", working_day(F.lit(today).cast("date"), F.col("days")))
-    return rows.orderBy(F.asc_nulls_last("due"), "place", "task_id").select("task_id", "hours", "cumulative_hours", "days", "due")
+    return rows.select("task_id", "hours", "cumulative_hours", "days", "due")
 
 
 def period_bounds(ts: Column, period: str) -> tuple[Column, Column]:

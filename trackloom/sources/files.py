@@ -106,6 +106,14 @@ def list_media(files: DataFrame, root: str, kind: str = "images", recursive: boo
     return rows.drop("n"), rows.where("n > 1").drop("n")
 
 
+def first_media(media: DataFrame, most: int) -> DataFrame:
+    """The first ``most`` files by their paths without case, then as they are; all of them for 0. No file at all is an error."""
+    out = media.orderBy(F.lower("path"), "path").limit(most) if most > 0 else media
+    if out.isEmpty():
+        raise ValueError("no files of this kind")
+    return out
+
+
 def list_image_folders(files: DataFrame, output_root: str, existing: DataFrame) -> DataFrame:
     """(folder, images, output, conflict) of the folders that hold images themselves: the output folder that is planned, and whether it is there already."""
     rows = files.where(_suffix(F.col("path")).isin(*IMAGES)).groupBy(_folder(F.col("path")).alias("folder")).agg(F.count("*").alias("images"))
@@ -274,3 +282,40 @@ def prelabel_plan(videos: DataFrame, files: DataFrame) -> DataFrame:
     reason = F.when(F.col("same") > 1, "stem twice").when(F.col("folders") > 1, "folder twice").when(F.col("folders").isNull(), "no folder").when(F.col("labels") == 0, "no labels")
     status = F.when(F.coalesce(reason, F.lit("")).isin("stem twice", "folder twice"), "error").when(reason.isNotNull(), "skipped").otherwise("ready")
     return rows.select(F.col("path").alias("video"), "folder", status.alias("status"), reason.alias("reason"))
+
+
+def organize_prelabels(videos: DataFrame, files: DataFrame) -> DataFrame:
+    """(video, folder, status, reason, action, conflicts) of videos (path, length) and files of prelabel folders (path, length, digest).
+
+    A video takes the folder of its stem, without case: ``skipped`` without one. ``error`` where stems or folders come twice, where
+    the folder has a file of the video's name and another length, where it has neither ``labels`` nor a folder of the stem, and
+    where both have files of a name with other contents: ``conflicts`` names the first five. Else it is ``ready``; the action is
+    ``rename`` for labels alone, ``done`` for the stem's folder alone, ``merge`` for both. Nothing is renamed here. Lengths and
+    digests that aren't given are taken to agree.
+    """
+    given = lambda df, c, kind: F.col(c) if c in df.columns else F.lit(None).cast(kind)
+    v = videos.select("path", given(videos, "length", "bigint").alias("length"), F.lower(_stem(F.col("path"))).alias("stem"), _name(F.col("path")).alias("name"))
+    v = v.withColumn("same", F.count("*").over(Window.partitionBy("stem")))
+    f = files.select("path", given(files, "length", "bigint").alias("f_length"), given(files, "digest", "string").alias("digest"))
+    # A file lies in a folder itself (a video's copy) or in one within it (labels, or the stem's).
+    at = f.select("*", _name(F.col("path")).alias("file"), _folder(F.col("path")).alias("inner"))
+    owner = F.explode(F.array(F.struct(F.col("inner").alias("folder"), F.lit("").alias("kind")), F.struct(_folder(F.col("inner")).alias("folder"), F.lower(_name(F.col("inner"))).alias("kind"))))
+    own = at.select("file", "f_length", "digest", owner.alias("o")).select("file", "f_length", "digest", "o.*").withColumn("stem", F.lower(_name(F.col("folder"))))
+    own = own.join(v.select("stem").distinct(), "stem", "left_semi").where(F.col("kind").isin("", "labels") | (F.col("kind") == F.col("stem")))
+    own = own.where((F.col("kind") != "") | (F.lower(_name(_folder(F.col("folder")))) != F.col("stem")))  # the stem's folder within one of its own is no other
+    within = own.where("kind <> ''").withColumn("labelled", F.col("kind") == "labels")
+    twice = within.groupBy("stem", "folder", "file").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b")
+    clashes = twice.groupBy("stem", "folder").agg(F.slice(F.array_sort(F.collect_set("file")), 1, 5).alias("conflicts"))
+    sides = within.groupBy("stem", "folder").agg(F.bool_or("labelled").alias("has_labels"), F.bool_or(~F.col("labelled")).alias("has_stem"))
+    folders = own.groupBy("stem", "folder").agg(F.count("*").alias("n")).join(sides, ["stem", "folder"], "left").join(clashes, ["stem", "folder"], "left")
+    one = folders.groupBy("stem").agg(F.count("*").alias("folders"), *[F.min_by(c, "folder").alias(c) for c in ("folder", "has_labels", "has_stem", "conflicts")])
+    copies = own.where("kind = ''").select("stem", "folder", F.col("file").alias("name"), F.col("f_length").alias("copy"))
+    rows = v.join(one, "stem", "left").join(copies.groupBy("stem", "folder", "name").agg(F.max("copy").alias("copy")), ["stem", "folder", "name"], "left")
+    a, b = F.coalesce("has_labels", F.lit(False)), F.coalesce("has_stem", F.lit(False))
+    reason = (
+        F.when(F.col("same") > 1, "stem twice").when(F.col("folders").isNull(), "no folder").when(F.col("folders") > 1, "folder twice")
+        .when(F.col("copy") != F.col("length"), "video of another size").when(~a & ~b, "no labels").when(a & b & (F.size("conflicts") > 0), "conflicts")
+    )
+    status = F.when(reason.isNull(), "ready").when(reason == "no folder", "skipped").otherwise("error")
+    action = F.when(reason.isNull(), F.when(a & b, "merge").when(a, "rename").otherwise("done"))
+    return rows.select(F.col("path").alias("video"), "folder", status.alias("status"), reason.alias("reason"), action.alias("action"), F.when(reason == "conflicts", F.col("conflicts")).alias("conflicts"))

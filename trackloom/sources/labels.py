@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trackloom.functions import geometry as G
 from trackloom.functions import text as T
+from trackloom.sources import folders
 
 TRACKING_SCHEMA = """metadata struct<video_path:string,fps:double,width:int,height:int,frame_count:int,frame_offset:int,num_tracks:int>,
 tracks array<struct<track_id:bigint,class_id:int,frames:array<struct<frame_id:bigint,video_frame_idx:bigint,bbox_xyxy:array<double>>>>>"""
@@ -24,21 +25,16 @@ def read_yolo_labels(spark: SparkSession, path: str, videos: DataFrame) -> tuple
 
     ``videos``: (video_id, width, height, frame_count) with the folder's name as video_id. Numbers count from 1 where the
     folder's smallest is 1, else from 0. A line has five or six fields; the sixth is the score, 1 if missing, held to 0..1.
-    Lines that don't parse and boxes of no size go to the warnings; frames without boxes stay. No reader gives a row for an
-    empty file, so the names come from Spark's own index of the files, which the driver holds for any reader.
+    Lines that don't parse and boxes of no size go to the warnings; frames without boxes stay. Tasks list the folders and read
+    the files, once, names and lines together, so that empty files are rows and no name passes through the driver.
     """
-    names = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(path).inputFiles()
-    listed = spark.createDataFrame([(n,) for n in names], "path string")
-    files = listed.select("path", _video().alias("video_id"), F.regexp_extract("path", r"_([0-9]+)\.txt$", 1).alias("n"))
+    files = folders.files(spark, path, ".txt").withColumns({"video_id": _video(), "n": F.regexp_extract("path", r"_([0-9]+)\.txt$", 1)})
     unnamed = files.where("n = ''").select("path", F.lit("no frame number").alias("warning"))
     files = files.where("n <> ''").withColumn("frame_id", F.col("n").cast("bigint"))
-    offset = (F.min("frame_id").over(Window.partitionBy("video_id")) == 1).cast("int")
-    files = files.withColumn("video_frame_idx", F.col("frame_id") - offset).join(videos, "video_id")
+    first = files.groupBy("video_id").agg((F.min("frame_id") == 1).cast("int").alias("offset"))
+    files = files.join(first, "video_id").withColumn("video_frame_idx", F.col("frame_id") - F.col("offset")).join(videos, "video_id")
     frames = files.where((F.col("video_frame_idx") >= 0) & (F.col("video_frame_idx") < F.col("frame_count")))
-    text = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").text(path)
-    lines = text.select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("det_idx", "line")).where(F.trim("line") != "")
-    key = lambda c: F.regexp_replace(c, "^file:/+", "/")  # noqa: E731  the two readers write local paths differently
-    rows = lines.withColumn("key", key("file")).join(frames.withColumn("key", key("path")), "key")
+    rows = frames.select("*", F.posexplode(F.split("value", "\r?\n")).alias("det_idx", "line")).where(F.trim("line") != "")
     f = F.split(F.trim("line"), r"\s+")
     num = lambda k: F.get(f, F.lit(k)).try_cast("double")
     rows = rows.withColumns({"k": F.size(f), "c": num(0), "cx": num(1), "cy": num(2), "w": num(3), "h": num(4), "s": F.when(F.size(f) == 6, num(5)).otherwise(1.0)})

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from trackloom.operators.tracking import BOX, STATE, Lanes, configured
+from trackloom.sources.folders import file_stream
 from trackloom.streaming.keyed import together, with_state
 
 ONLINE = "video_id bigint, frame_id bigint, det_idx int, number int, class_id int, x1 double, y1 double, x2 double, y2 double, late boolean"
@@ -82,10 +83,11 @@ def online_tracker(detections: DataFrame, method: str = "sparse_track", params:
     return with_state(rows, "video_id", processor, ONLINE)
 
 
-def label_stream(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, line) of label files as they arrive in a folder, one row a line that isn't blank."""
-    text = spark.readStream.format("text").option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(path)
-    return text.select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line")).where(F.trim("line") != "")
+def label_stream(spark: SparkSession, path: str, settle: float = 2) -> DataFrame:
+    """(file, line_no, line) of label files as they arrive in a folder, one row a line that isn't blank; a file without any is one row of nulls, as it says that its frame has no boxes."""
+    text = file_stream(spark, path, ".txt", settle)
+    lines = F.filter(F.transform(F.split("value", "\r?\n"), lambda x, k: F.struct(k.alias("line_no"), x.alias("line"))), lambda s: F.trim(s["line"]) != "")
+    return text.select(F.col("path").alias("file"), F.explode_outer(lines).alias("l")).select("file", "l.line_no", "l.line")
 
 
 def answer_stream(spark: SparkSession, path: str, schema: str = "image string, width int, height int, answer string, error string") -> DataFrame:
