@@ -1,11 +1,11 @@
 """SentencePiece encoding and decoding with an Aho-Corasick automaton over the pieces.
 
-One pass over a text: at each position the automaton gives, by its output links, all pieces that end there. For a unigram
-model each of them relaxes the best score of the position (Viterbi). A BPE model's segmentation is not the one with the best
-sum of scores, so there the same pass keeps, at each position, the last piece of the prefix's BPE segmentation: of the pieces
-that end there, the one that can follow the last piece of the prefix before it. Two pieces can follow each other if merging
-their characters by the model's ranks gives these two again; a sequence is a BPE segmentation if and only if all its
-neighbours can follow each other.
+One pass over a text: at each position the automaton gives, by its output links, all pieces that end there, and each of them
+relaxes the best score of the position (Viterbi). A BPE model's segmentation is not the one with the best sum of scores, so for
+it the same pass keeps, at each position, the last piece of the prefix's BPE segmentation too: of the pieces that end there, the
+one that can follow the last piece of the prefix before it. Two pieces can follow each other if merging their characters by
+the model's ranks gives these two again; a sequence is a BPE segmentation if and only if all its neighbours can follow each
+other.
 
 A BPE model's pieces, with their scores as they are in the file, are a unigram model too: its best segmentation over all
 pieces, by the Viterbi pass, is given beside the model's own.
@@ -145,6 +145,7 @@ class Encoder:
         shown = {NORMAL: lambda p: p.replace(SPACE, " ").encode(), USER: lambda p: p.replace(SPACE, " ").encode(), UNKNOWN: lambda p: " ⁇ ".encode()}
         self.bytes = [raw.get(k, b"") if kind == BYTE else shown.get(kind, lambda p: b"")(p) for k, (p, _, kind) in enumerate(v.pieces)]
         self.score = [s for _, s, _ in v.pieces]
+        self.size = [len(p) for p, _, _ in v.pieces]
         self.lowest = min((v.pieces[k][1] for k in self.id.values()), default=0.0) - 10.0
         self.tokens = self._tokens()
         self.words = _Memory(self._segments)
@@ -155,28 +156,33 @@ class Encoder:
         if len(self.automaton):
             self.automaton.make_automaton()
 
-    def _merge(self, text: str) -> list[str]:
-        """BPE of a short text: the best-scored neighbours are merged first, the leftmost of equals."""
-        parts = list(text)
-        while True:
-            best = None
-            for k in range(len(parts) - 1):
-                found = self.id.get(parts[k] + parts[k + 1])
-                if found is not None and (best is None or self.score[found] > best[0]):
-                    best = (self.score[found], k)
-            if best is None:
-                return parts
-            k = best[1]
+    def _merge(self, text: str, wall: int = 0) -> list[str] | None:
+        """BPE of a short text: the best-scored neighbours are merged first, the leftmost of equals. None as soon as a merge would go over ``wall``, a place in the text."""
+        parts, known, score = list(text), self.id.get, self.score
+        place = list(range(1, len(parts)))  # where each part but the last one ends
+        rank = lambda a, b: NONE if (k := known(a + b)) is None else score[k]
+        ranks = [rank(a, b) for a, b in zip(parts, parts[1:], strict=False)]
+        while ranks and (top := max(ranks)) != NONE:
+            k = ranks.index(top)
+            if place[k] == wall:
+                return None
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            del ranks[k], place[k]
+            if k:
+                ranks[k - 1] = rank(parts[k - 1], parts[k])
+            if k < len(ranks):
+                ranks[k] = rank(parts[k], parts[k + 1])
+        return parts
 
     def _follows(self, a: int, b: int) -> bool:
+        """Whether piece b can come after piece a: merging their characters gives the two again, which it does if no merge goes from one to the other."""
         key = a * len(self.score) + b
         ok = self.pairs.get(key)
         if ok is None:
             if len(self.pairs) > 3 * MEMORY:
                 self.pairs.clear()
             x, y = self.v.pieces[a][0], self.v.pieces[b][0]
-            ok = self.pairs[key] = self._merge(x + y) == [x, y]
+            ok = self.pairs[key] = self._merge(x + y, len(x)) is not None
         return ok
 
     def _tokens(self) -> re.Pattern | None:
@@ -195,9 +201,8 @@ class Encoder:
         """A token's ids by the model's own kind, and by Viterbi, in one pass of the automaton, and whether both stand for its bytes. A character without piece stands alone."""
         text = token.replace(" ", SPACE)
         n = len(text)
-        best, piece, size = [0.0] + [NONE] * n, [-1] * (n + 1), [1] * (n + 1)
-        bpe, known, lowest, count = self.v.kind == BPE, self.pairs.get, self.lowest, len(self.score)
-        own, own_size = ([-1] * (n + 1), [1] * (n + 1)) if bpe else (piece, size)
+        best, piece = [0.0] + [NONE] * n, [-1] * (n + 1)
+        own, bpe, known, lowest, count = [-1] * (n + 1), self.v.kind == BPE, self.pairs.get, self.lowest, len(self.score)
         for end, (k, length, score, reached) in self.automaton.iter(text) if len(self.automaton) else ():
             end += 1
             start = end - length
@@ -212,30 +217,31 @@ class Encoder:
                 before = best[start]
             score += before
             if score > best[end]:
-                best[end], piece[end], size[end] = score, k, length
+                best[end], piece[end] = score, k
             # BPE: the piece that can follow the prefix's last one.
             if reached and own[end] < 0:
                 last = own[start]
                 if last < 0 or (ok := known(last * count + k)) or (ok is None and self._follows(last, k)):
-                    own[end], own_size[end] = k, length
-        found, whole = self._back(text, piece, size)
+                    own[end] = k
+        found, whole = self._back(text, piece)
         if not bpe:
             return found, found, whole and SPACE not in token
-        model, also = self._back(text, own, own_size)
+        model, also = self._back(text, own)
         return (found if model == found else model), found, whole and also and SPACE not in token
 
-    def _back(self, text: str, piece: list[int], size: list[int]) -> tuple[tuple[int, ...], bool]:
-        """The ids of the segments that end at the text's end, from each place's last piece, -1 where a character has none, and its length; and whether they stand for the text: an unknown character's don't, nor do the bytes of half a surrogate pair."""
-        out, at, whole = [], len(text), True
+    def _back(self, text: str, piece: list[int]) -> tuple[tuple[int, ...], bool]:
+        """The ids of the segments that end at the text's end, from each place's last piece, -1 where a character has none; and whether they stand for the text: an unknown character's don't, nor do the bytes of half a surrogate pair."""
+        out, at, whole, size = [], len(text), True, self.size
         while at:
             k = piece[at]
             if k < 0:
                 ch = text[at - 1]
                 out += self._unknown(ch)[::-1]
                 whole = whole and self.v.byte_fallback and bool(self.byte) and not "\ud800" <= ch <= "\udfff"
+                at -= 1
             else:
                 out.append(k)
-            at -= size[at]
+                at -= size[k]
         out.reverse()
         return tuple(out), whole
 
