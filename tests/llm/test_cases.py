@@ -55,6 +55,17 @@ def test_url_tokens_are_in_every_match():
     assert r.tokens == ("exe", "setup")
 
 
+def test_url_rules_are_filed_under_each_alternative():
+    own = next(r for r in url_filters.LIST_RULES if r.name == "executables")
+    assert own.tokens == () and own.ways == (("apk",), ("exe",), ("msi",))
+    index, rest = url_filters.build_index(url_filters.SITE_RULES + url_filters.LIST_RULES, {})
+    assert not rest and all(own in index[t] for t in ("apk", "exe", "msi"))
+    assert url_filters.alternatives_of(r"/(?:ad/|x[a-z]|b/c/)") == ((),) and url_filters.alternatives_of(r"/(?:ad|b-c)/q/") == (("ad", "q"), ("b", "c", "q"))
+    assert url_filters.tokens_of(r"/(?:ad|b-c)/q/") == ("q",) and url_filters.pattern_rule("block", "x", r"/(?:ad|b-c)/q/").ways == ()
+    many = "/(?:" + "|".join(f"a{k}x" for k in range(100)) + ")/"
+    assert url_filters.alternatives_of(many) == ((),) and url_filters.alternatives_of(r"/(?:a/|b/)+") == ((),)
+
+
 def test_urls_repeated_and_with_other_columns(spark):
     df = spark.createDataFrame([(1, "http://a.net/es/"), (1, "http://a.net/es/"), (None, None)], "page_id bigint, url string").withColumn("Host", F.lit(1)).withColumn("__j", F.lit(2))
     got = url_filters.filter_urls(df)

@@ -24,12 +24,14 @@ from pyspark.sql import functions as F
 from trackloom.llm.common import ASCII_LOWER, LOWER, UPPER, free
 
 TOKEN = r"[a-z0-9]+"
+#: Ways through an expression that are told apart; the alternatives of one with more are unknown text.
+MOST_WAYS = 64
 ALLOW, BLOCK = "allow", "block"
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``tokens``: literal tokens that any match contains, in lower case. ``weight``: the heaviest fitting rule decides."""
+    """``tokens``: literal tokens that any match contains, in lower case; ``ways``: where there are none, those of each alternative. ``weight``: the heaviest fitting rule decides."""
 
     name: str
     verdict: str
@@ -37,45 +39,71 @@ class Rule:
     tokens: tuple[str, ...]
     weight: int
     reported: bool = True
+    ways: tuple[tuple[str, ...], ...] = ()
 
 
-def _sequence(tree) -> list[str | None]:
-    """An expression as characters, None for unknown text and "" for a place where a token may end: only what every match has."""
-    out: list[str | None] = []
+def _sequences(tree) -> list[list[str | None]]:
+    """The ways through an expression, each as characters, None for unknown text and "" for a place where a token may end: only what every match that goes this way has. Alternatives beyond MOST_WAYS are unknown text."""
+    ways: list[list[str | None]] = [[]]
+
+    def add(tails: list[list[str | None]]) -> None:
+        nonlocal ways
+        ways = [w + tail for w in ways for tail in tails] if len(ways) * len(tails) <= MOST_WAYS else [[*w, None] for w in ways]
+
     for op, arg in tree:
         if op is C.LITERAL and arg < 128:
-            out.append(chr(arg))
+            add([[chr(arg)]])
         elif op is C.SUBPATTERN:
-            out += _sequence(arg[-1])
-        elif op is C.BRANCH or op in (C.MAX_REPEAT, C.MIN_REPEAT) and arg[0] == 0:
-            out.append(None)
+            add(_sequences(arg[-1]))
+        elif op is C.BRANCH:
+            add([way for branch in arg[1] for way in _sequences(branch)])
         elif op in (C.MAX_REPEAT, C.MIN_REPEAT):
-            once = _sequence(arg[2])
-            out += once * arg[0] if arg[0] == arg[1] <= 3 else [*once, None, *once] if arg[0] > 1 else [None, *once, None]
+            once = _sequences(arg[2])
+            if arg[0] == 0 or len(once) > 1:
+                add([[None]])
+            elif arg[0] == arg[1] <= 3:
+                add([once[0] * arg[0]])
+            else:
+                add([[*once[0], None, *once[0]] if arg[0] > 1 else [None, *once[0], None]])
         elif op is C.AT and arg in (C.AT_BEGINNING, C.AT_BEGINNING_STRING, C.AT_END, C.AT_END_STRING, C.AT_BOUNDARY):
-            out.append("")
+            add([[""]])
         elif op is C.IN and all(k is C.LITERAL and not chr(v).isalnum() for k, v in arg):
-            out.append("/")
+            add([["/"]])
         else:
-            out.append(None)
-    return out
+            add([[None]])
+    return ways
+
+
+def alternatives_of(pattern: str) -> tuple[tuple[str, ...], ...]:
+    """For each way through an expression the tokens, in lower case, that every text has which it matches that way: runs of letters and digits that nothing can lengthen. A rule is found by one token of each.
+
+    >>> alternatives_of(r"/wp-admin/[a-z]+\\.php")
+    (('admin', 'wp'),)
+    >>> alternatives_of(r"\\.(?:exe|apk)\\Z")
+    (('apk',), ('exe',))
+    """
+    out = set()
+    for way in _sequences(parser.parse(pattern)):
+        found, run, whole = set(), "", False
+        for ch in [*way, None]:
+            if ch is not None and ch != "" and ch.isalnum():
+                run += ch.lower()
+                continue
+            if run and whole and ch is not None:
+                found.add(run)
+            run, whole = "", ch is not None
+        out.add(tuple(sorted(found)))
+    # A way whose tokens another one has all of finds that one too.
+    return tuple(sorted(w for w in out if not any(set(o) < set(w) for o in out)))
 
 
 def tokens_of(pattern: str) -> tuple[str, ...]:
-    """The tokens that every text has which the expression matches, in lower case: runs of letters and digits that nothing can lengthen.
+    """The tokens that every text has which the expression matches, whichever way.
 
     >>> tokens_of(r"/wp-admin/[a-z]+\\.php")
     ('admin', 'wp')
     """
-    found, run, whole = set(), "", False
-    for ch in [*_sequence(parser.parse(pattern)), None]:
-        if ch is not None and ch != "" and ch.isalnum():
-            run += ch.lower()
-            continue
-        if run and whole and ch is not None:
-            found.add(run)
-        run, whole = "", ch is not None
-    return tuple(sorted(found))
+    return tuple(sorted(set.intersection(*map(set, alternatives_of(pattern)))))
 
 
 def host_rule(verdict: str, host: str, path: str) -> Rule:
@@ -98,7 +126,8 @@ def domain_rule(verdict: str, host: str) -> Rule:
 
 def pattern_rule(verdict: str, name: str, pattern: str) -> Rule:
     """Any expression over host + path; its classes and its flag for either case know ASCII only."""
-    return Rule(name, verdict, pattern, tokens_of(pattern), 1, False)
+    tokens = tokens_of(pattern)
+    return Rule(name, verdict, pattern, tokens, 1, False, () if tokens else alternatives_of(pattern))
 
 
 def list_rule(line: str | None) -> Rule | None:
@@ -158,7 +187,7 @@ def parts(url: str | None) -> tuple[str, str]:
 
 def token_counts(urls: DataFrame, col: str, rules: list[Rule]) -> dict[str, int]:
     """In how many URLs each token of the rules occurs: one aggregation over all URLs, at most one row per rule token."""
-    wanted = sorted({t for r in rules for t in r.tokens})
+    wanted = sorted({t for r in rules for way in (r.tokens, *r.ways) for t in way})
     if not wanted:
         return {}
     seen = F.array_distinct(F.regexp_extract_all(F.translate(F.coalesce(F.col(f"`{col}`").cast("string"), F.lit("")), UPPER, LOWER), F.lit(TOKEN), F.lit(0)))
@@ -168,12 +197,14 @@ def token_counts(urls: DataFrame, col: str, rules: list[Rule]) -> dict[str, int]
 
 
 def build_index(rules: list[Rule], counts: dict[str, int]) -> tuple[dict[str, list[Rule]], list[Rule]]:
-    """Token -> rules filed under it, and the rules that have no token."""
+    """Token -> rules filed under it, and the rules that have no token. A rule without a token of its own is filed under one of each of its alternatives, if all have some."""
     index: dict[str, list[Rule]] = {}
     rest = []
     for r in rules:
-        if r.tokens:
-            index.setdefault(min(r.tokens, key=lambda t: (counts.get(t, 0), t)), []).append(r)
+        ways = r.ways or (r.tokens,)
+        if all(ways):
+            for rarest in {min(way, key=lambda t: (counts.get(t, 0), t)) for way in ways}:
+                index.setdefault(rarest, []).append(r)
         else:
             rest.append(r)
     return index, rest
