@@ -67,9 +67,9 @@ def chosen_nodes(nodes: DataFrame, edges: DataFrame, key: list[str], order: Colu
     directions. A node that is the largest left among its neighbours is kept whatever the others do, and its neighbours go.
     """
     scratch: list[str] = []
-    plain = nodes.select(*key, order.alias("__o"))
+    nodes = stored(nodes, scratch)
     other = [f"other_{k}" for k in key]
-    rest, kept = stored(plain, scratch), None
+    rest, kept = nodes.select(*key, order.alias("__o")), None
     links = stored(edges.select(*key, *other).distinct(), scratch)
     while True:
         ends = rest.select(*[F.col(k).alias(f"other_{k}") for k in key], F.col("__o").alias("other_o"))

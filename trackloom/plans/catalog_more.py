@@ -10,6 +10,7 @@ from trackloom.functions import text as T
 from trackloom.operators import boxes, changes, fusion, lifecycle, reports, sampling, tracks, work
 from trackloom.plans.catalog import DT, ORACLES, PAIRS, PRT, SES, SUB, TF, TSK, USR, VID, compared_sql, query, rounded, sides
 from trackloom.plans.fixtures import oracle
+from trackloom.plans.fusion_sql import F8, final_sql, merged_sql, suppressed_sql
 
 ACT, ATK, APT = "fx_actions", "fx_action_tasks", "fx_action_parts"
 NUM = "try_cast(nullif(regexp_extract({t}, '^(\\d+(\\.\\d+)?)\\s*([-–—~～]\\s*(\\d+(\\.\\d+)?))?$', {g}),'') as double)"
@@ -411,6 +412,11 @@ reach as (select video_id, node as a, node as z from n union select r.video_id,
 root as (select r.video_id, r.a, min((m.direction, m.idx)) as low from reach r join n m on m.video_id=r.video_id and m.node=r.z group by 1,2)
 select n.video_id, direction, idx as tracklet_idx, dense_rank() over (partition by n.video_id order by low) as component from n join root on root.video_id=n.video_id and root.a=n.node""", DT).replace("with ", "with recursive ", 1)
 
+ORACLES["f8_merge_components"] = oracle(merged_sql(CAND) + F8, DT, VID).replace("with ", "with recursive ", 1)
+ORACLES["f9_final_tracks"] = oracle(merged_sql(CAND) + final_sql(5, 2), DT, VID).replace("with ", "with recursive ", 1)
+
+ORACLES["f7_suppression"] = oracle(suppressed_sql(CAND, FUSION["f1_bidirectional"][1], 0.3), DT)
+
 CORNERS = "[('xmin', cast(greatest(round_even(a,0),0) as bigint)), ('ymin', cast(greatest(round_even(c,0),0) as bigint)), ('xmax', cast(least(round_even(b,0),1920) as bigint)), ('ymax', cast(least(round_even(d,0),1080) as bigint))]"
 ORACLES["k5_voc"] = oracle(f""", q as (select *, video_id || '_' || frame_id as image, least(greatest(x1,0),1920) as a, least(greatest(x2,0),1920) as b, least(greatest(y1,0),1080) as c, least(greatest(y2,0),1080) as d from fx_detections),
 o as (select image, string_agg('<object><name>class ' || class_id || '</name><pose>Unspecified</pose><truncated>' || (a<=0 or c<=0 or b>=1920 or d>=1080)::int || '</truncated><difficult>0</difficult><bndbox>' || array_to_string(list_transform({CORNERS}, lambda t: '<' || t[1] || '>' || t[2] || '</' || t[1] || '>'), '') || '</bndbox></object>', '' order by det_idx) as t from q where b>a and d>c group by 1)
