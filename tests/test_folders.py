@@ -1,5 +1,6 @@
 """Folders and the work database as sources and sinks, and the model hook."""
 
+import json
 import os
 import sqlite3
 
@@ -7,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from trackloom.operators import inference, sampling
+from trackloom.operators import boxes, inference, sampling
 from trackloom.sources import folders, labels, workdb
 
 
@@ -102,3 +103,13 @@ def test_only_rows_that_fail_alone_have_errors(spark):
     assert [r.id for r in got] == list(range(100)) and got[0].asDict().keys() == {"id", "a.b", "score", "note", "error"}
     assert all((r.score, r.note, r.error) == ((None, None, "ValueError: bad row") if r.id % 10 == 7 else (r.id * 2.0, f"n{r.id}", None)) for r in got)
     assert inference.run_model(rows.limit(0), make, "score double, note string").count() == 0
+
+
+def test_summaries_as_files(spark, tmp_path):
+    runs = spark.createDataFrame([("b", 8, 2.0, 1.0, 4.5, 0.5, 0.75, 0.9, None), ("a", 8, 1.0, None, 4.0, 0.25, 0.5, None, None)], "run string, frames bigint, fps double, speed_up double, boxes_per_second double, p50 double, p95 double, precision double, recall double")
+    folders.write_files(boxes.summary_files(runs.where("run = 'b'").withColumn("run", F.lit(1)), "1"), str(tmp_path))
+    assert json.loads((tmp_path / "summary.json").read_text()) == {"baseline": "1", "cases": [{"run": 1, "frames": 8, "fps": 2.0, "speed_up": 1.0, "boxes_per_second": 4.5, "p50": 0.5, "p95": 0.75, "precision": 0.9, "recall": None}]}
+    csv = spark.read.option("header", "true").csv(str(tmp_path / "summary.csv")).collect()
+    assert len(csv) == 1 and csv[0].precision == "0.900000" and csv[0].recall is None
+    md = {r.name: r.content for r in boxes.summary_files(runs, "a").collect()}["summary.md"].splitlines()
+    assert md[-2:] == ["| a | 8 | 1.0000 | - | 4.000 | 0.250 | 0.500 | - | - |", "| b | 8 | 2.0000 | 1.00 | 4.500 | 0.500 | 0.750 | 0.900 | - |"]

@@ -139,3 +139,33 @@ def summarize_runs(frames: DataFrame, baseline: int, compared: DataFrame | None
     sums = compared.where(F.col("run") != baseline).groupBy("run").agg(*[F.sum(c).alias(c) for c in ("tp", "extra", "missed")])
     share = lambda other: F.col("tp") / F.nullif(F.col("tp") + F.col(other), F.lit(0).cast("bigint"))
     return out.join(sums.select("run", share("extra").alias("precision"), share("missed").alias("recall")), "run", "left")
+
+
+#: Columns of a summary and their digits in its table: those of ``summarize_runs``.
+SUMMARY = {"run": None, "frames": None, "fps": 4, "speed_up": 2, "boxes_per_second": 3, "p50": 3, "p95": 3, "precision": 3, "recall": 3}
+
+
+def summary_files(runs: DataFrame, baseline: str) -> DataFrame:
+    """(name, content) of a summary as summary.csv, summary.json and summary.md, runs in their order, to be written by ``folders.write_files``.
+
+    Values have six digits in the first two, nulls are empty there and null in JSON; the table rounds halves up and shows a dash.
+    Runs are a handful of rows, which meet in three texts.
+    """
+    have = [c for c in SUMMARY if c in runs.columns]
+    fixed = lambda c, d: F.col(c).cast("string") if d is None else F.format_string(f"%.{d}f", F.floor(F.col(c) * 10**d + 0.5) / 10**d)
+    value = lambda c, none: F.when(F.col(c).isNull(), none).otherwise(fixed(c, None if SUMMARY[c] is None else 6))
+    quoted = F.regexp_replace(F.to_json(F.array("run")), r"^\[|\]$", "")  # a text or a number
+    line = {
+        "csv": F.concat_ws(",", *[value(c, "") for c in have]),
+        "json": F.concat(F.lit("{"), F.concat_ws(", ", *[F.concat(F.lit(f'"{c}": '), quoted if c == "run" else value(c, "null")) for c in have]), F.lit("}")),
+        "md": F.concat(F.lit("| "), F.concat_ws(" | ", *[F.when(F.col(c).isNull(), "-").otherwise(fixed(c, SUMMARY[c])) for c in have]), F.lit(" |")),
+    }
+    rows = runs.agg(F.array_sort(F.collect_list(F.struct("run", *[v.alias(k) for k, v in line.items()]))).alias("r"))
+    text = lambda kind, between: F.array_join(F.transform("r", lambda x: x[kind]), between)
+    table = "| " + " | ".join(have) + " |\n|" + "---:|" * len(have) + "\n"
+    contents = {
+        "summary.csv": F.concat(F.lit(",".join(have) + "\n"), text("csv", "\n"), F.lit("\n")),
+        "summary.json": F.concat(F.lit(f'{{"baseline": "{baseline}", "cases": ['), text("json", ", "), F.lit("]}")),
+        "summary.md": F.concat(F.lit(f"Compared with the output of `{baseline}`, which is no ground truth.\n\n{table}"), text("md", "\n"), F.lit("\n")),
+    }
+    return rows.select(F.explode(F.array(*[F.struct(F.lit(k).alias("name"), v.alias("content")) for k, v in contents.items()])).alias("f")).select("f.*")

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from trackloom.functions import geometry as G
 from trackloom.functions import text as T
-from trackloom.operators import boxes, changes, reports, work
-from trackloom.plans.catalog import DT, LEDGER, PRT, SES, SUB, TF, TSK, USR, VID, moment, query, rounded, spikes_sql
+from trackloom.operators import boxes, changes, joins, reports, work
+from trackloom.plans.catalog import DT, LEDGER, PRT, SES, SUB, TF, TSK, USR, VID, compared_sql, moment, query, rounded, spikes_sql
 from trackloom.plans.fixtures import WINDOW
 
 # Visibility and reminders
@@ -219,6 +219,40 @@ def _(d, v):
     return boxes.export_files(d.withColumn("track_id", F.col("det_idx")).withColumn("part", segment), videos, 10, labels, "part")
 
 
+RUNS = """, f as (select video_id%5 as run, frame_id, sum(x1)/1000 as seconds, count(*) as boxes from fx_detections group by all),
+q as (select run, count(*) as frames, count(*)/sum(seconds) as fps, sum(boxes)/sum(seconds) as bps, median(seconds) as p50, list_sort(list(seconds))[cast(floor((count(*)-1)*0.95) as int)+1] as p95 from f group by run),
+m as (select video_id%5 as run, sum(tp) as tp, sum(extra) as extra, sum(missed) as missed from cmp where video_id%5<>0 group by 1),
+v as (select q.run, frames, fps, fps/(select fps from q where run=0) as speed_up, bps, p50, p95, tp/nullif(tp+extra,0) as pr, tp/nullif(tp+missed,0) as re from q left join m on m.run=q.run)"""
+VALUES = ("fps", "speed_up", "bps", "p50", "p95", "pr", "re")
+FIXED = lambda v, d: f"printf('%.{d}f', floor(({v})*1e{d}+0.5)/1e{d})"
+CSV = "run || ',' || frames || ',' || " + " || ',' || ".join(f"coalesce({FIXED(v, 6)}, '')" for v in VALUES)
+TABLE = "'| ' || run || ' | ' || frames || ' | ' || " + " || ' | ' || ".join(f"coalesce({FIXED(v, d)}, '-')" for v, d in zip(VALUES, (4, 2, 3, 3, 3, 3, 3), strict=True)) + " || ' |'"
+
+
+@query("k9_summary_files", DT, sql=compared_sql("(video_id%5*9)") + RUNS + f"""
+select 'summary.csv' as name, 'run,frames,fps,speed_up,boxes_per_second,p50,p95,precision,recall' || chr(10) || string_agg({CSV}, chr(10) order by run) || chr(10) as content from v
+union all select 'summary.md', 'Compared with the output of `0`, which is no ground truth.' || chr(10) || chr(10) || '| run | frames | fps | speed_up | boxes_per_second | p50 | p95 | precision | recall |' || chr(10)
+ || '|---:|---:|---:|---:|---:|---:|---:|---:|---:|' || chr(10) || string_agg({TABLE}, chr(10) order by run) || chr(10) from v""")
+def _(d):
+    shift = F.col("video_id") % 5 * 9
+    other = d.where("det_idx % 5 <> 4").withColumn("x1", F.col("x1") + shift).withColumn("x2", F.col("x2") + shift)
+    compared = boxes.compare_box_sets(joins.iou_join(d, other, 0.5), d, other).withColumn("run", F.col("video_id") % 5)
+    frames = d.groupBy((F.col("video_id") % 5).alias("run"), "frame_id").agg((F.sum("x1") / 1000).alias("seconds"), F.count("*").alias("boxes"))
+    return boxes.summary_files(boxes.summarize_runs(frames, 0, compared), "0").where("name <> 'summary.json'")
+
+
+@query("x3_class_ids", DT, sql="""
+, l as (select case when class_id=1 then 'class_' || object_key%40 else 'thing ' || object_key%25 end as label, object_key*100+frame_id as position from fx_detections),
+known as (select 'thing 3' as label, 0 as class_id union all select 'class_5', 7),
+fresh as (select label, row_number() over (order by min(position), label) as n from l where label not in (select label from known) group by 1)
+select label, cast(class_id as bigint) as class_id from known
+union all select label, coalesce(try_cast(nullif(regexp_extract(label, '^class_([0-9]+)$', 1), '') as bigint), 2+n-1) from fresh""")
+def _(d):
+    label = F.when(F.col("class_id") == 1, F.concat(F.lit("class_"), F.col("object_key") % 40)).otherwise(F.concat(F.lit("thing "), F.col("object_key") % 25))
+    known = d.sparkSession.createDataFrame([("thing 3", 0), ("class_5", 7)], "label string, class_id bigint")
+    return boxes.class_ids(d.select(label.alias("label"), (F.col("object_key") * 100 + F.col("frame_id")).alias("position")), known)
+
+
 @query("g16_square", DT, sql="select video_id, frame_id, det_idx, round(x1*(1008/1920),6) as x1, round(y2*(1008/1080),6) as y2 from fx_detections")
 def _(d):
     box = G.to_square(G.Box.of(), F.lit(1920), F.lit(1080))
