@@ -54,11 +54,12 @@ def scan_samples(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """
     kinds = {"images": IMAGES, "labels": ["txt"], "annotations": ["xml"]}
     f = files.select("path", _folder(F.col("path")).alias("folder")).select("path", _folder(F.col("folder")).alias("root"), _name(F.col("folder")).alias("kind"), F.lower(_stem(F.col("path"))).alias("key"), _suffix(F.col("path")).alias("suffix"))
-    roots = f.where(F.col("kind").isin(*kinds)).groupBy("root").agg(F.count_distinct("kind").alias("k")).where("k = 3").select("root")
+    has = F.col("kind").isin(*kinds)
+    roots = f.where(has).groupBy("root").agg(*[F.bool_or(F.col("kind") == k).alias(k) for k in kinds]).where(" and ".join(kinds)).select("root")
     fits = F.lit(False)
     for kind, suffixes in kinds.items():
         fits = fits | ((F.col("kind") == kind) & F.col("suffix").isin(*suffixes))
-    f = f.join(roots, "root").where(fits)
+    f = f.where(fits).join(roots, "root").repartition("key")  # all that follows groups by the key, and what else there is
     twice = f.groupBy("root", "kind", "key").agg(F.count("*").alias("n"), F.min("path").alias("path")).where("n > 1").select("root", "path", F.lit("stem twice in a folder").alias("error"))
     one = lambda k: F.min(F.when(F.col("kind") == k, F.col("path"))).alias(k)
     rows = f.groupBy("root", "key").agg(*[one(k) for k in kinds])
