@@ -22,7 +22,6 @@ import string
 from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from itertools import chain
 from operator import itemgetter
 
 import ahocorasick
@@ -148,7 +147,7 @@ class Encoder:
         self.size = [len(p) for p, _, _ in v.pieces]
         self.lowest = min((v.pieces[k][1] for k in self.id.values()), default=0.0) - 10.0
         self.tokens = self._tokens()
-        self.words = _Memory(self._segments)
+        self.words = _Memory(self._packed)
         self.pairs: dict[int, bool] = {}
         self.automaton = ahocorasick.Automaton()
         for p, k in self.id.items():  # with each piece, whether a BPE model's merges can arrive at it
@@ -195,7 +194,12 @@ class Encoder:
         joined = {a for p in self.id for a, b in zip(p, p[1:], strict=False) if b in marks and a not in marks and a != SPACE}
         m, j = (re.escape("".join(sorted(c))) for c in (marks, joined))
         behind = f"|(?<=[{j}])[{m}]+" if joined else ""
-        return re.compile(f"{line} *[{m}]*(?:[^ {end}{m}]{behind})+| *[{m}]+| +")
+        return re.compile(f"{line} *[{m}]*(?:[^ {end}{m}]++{behind})+| *[{m}]+| +")
+
+    def _packed(self, token: str) -> tuple[bytes, bytes, bool]:
+        """``_segments`` with the ids as 32-bit numbers in a row, which texts are joined of."""
+        ids, best, same = self._segments(token)
+        return array("i", ids).tobytes(), array("i", best).tobytes(), same
 
     def _segments(self, token: str) -> tuple[tuple[int, ...], tuple[int, ...], bool]:
         """A token's ids by the model's own kind, and by Viterbi, in one pass of the automaton, and whether both stand for its bytes. A character without piece stands alone."""
@@ -227,7 +231,7 @@ class Encoder:
         if not bpe:
             return found, found, whole and SPACE not in token
         model, also = self._back(text, own)
-        return (found if model == found else model), found, whole and also and SPACE not in token
+        return model, found, whole and also and SPACE not in token
 
     def _back(self, text: str, piece: list[int]) -> tuple[tuple[int, ...], bool]:
         """The ids of the segments that end at the text's end, from each place's last piece, -1 where a character has none; and whether they stand for the text: an unknown character's don't, nor do the bytes of half a surrogate pair."""
@@ -249,7 +253,12 @@ class Encoder:
         return [self.byte[b] for b in ch.encode("utf-8", "surrogatepass")] if self.v.byte_fallback and self.byte else [self.unknown]
 
     def encode_both(self, text: str | None) -> tuple[list[int], list[int], bool]:
-        """The ids of the model's own segmentation and of the best one by Viterbi, which are the same for a unigram model, and whether decoding either gives the text.
+        """``packed_both`` with the ids as lists."""
+        ids, best, same = self.packed_both(text)
+        return array("i", ids).tolist(), array("i", best).tolist(), same
+
+    def packed_both(self, text: str | None) -> tuple[bytes, bytes, bool]:
+        """The ids, as 32-bit numbers in a row, of the model's own segmentation and of the best one by Viterbi, which are the same for a unigram model, and whether decoding either gives the text.
 
         Each token's bytes are compared once and remembered; a text is only decoded if one of its tokens doesn't stand for them.
         """
@@ -257,7 +266,7 @@ class Encoder:
         if self.v.squeeze:
             text = " ".join(x for x in text.split(" ") if x)
         if not text:
-            return [], [], not whole
+            return b"", b"", not whole
         kept = text == whole
         if self.v.dummy_prefix:
             text = " " + text
@@ -265,9 +274,9 @@ class Encoder:
         parts = [text] if self.tokens is None else self.tokens.findall(text)
         found = list(map(self.words.__getitem__, parts))
         self.words.age()
-        ids, best = list(chain.from_iterable(map(itemgetter(0), found))), list(chain.from_iterable(map(itemgetter(1), found)))
+        ids, best = b"".join(map(itemgetter(0), found)), b"".join(map(itemgetter(1), found))
         same = kept and self.v.dummy_prefix and all(map(itemgetter(2), found))
-        return ids, best, same or (self.decode(ids) == whole and self.decode(best) == whole)
+        return ids, best, same or (self.decode(array("i", ids)) == whole and self.decode(array("i", best)) == whole)
 
     def encode(self, text: str | None) -> list[int]:
         return self.encode_both(text)[0]
@@ -334,19 +343,19 @@ def round_trips(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", kee
     plain = [f"c{k}" for k in range(len(names))]  # mapInArrow takes a dot in a name for a field's
     schema = StructType([StructField(p, docs.schema[c].dataType) for p, c in zip(plain, names, strict=True)]).add("ids", ArrayType(IntegerType())).add("n_ids", LongType()).add("viterbi_ids", ArrayType(IntegerType())).add("round_trip", BooleanType())
 
-    def lists(flat: array, ends: list[int]) -> pa.Array:
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32) if flat else [], pa.int32()))
+    def lists(flat: list[bytes], ends: list[int]) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(flat), np.int32), pa.int32()))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _encoder(shared)
         for batch in batches:
-            ids, best, ends, best_ends, same = array("i"), array("i"), [0], [0], []
+            ids, best, ends, best_ends, same = [], [], [0], [0], []
             for t in batch.column(batch.num_columns - 1).to_pylist():
-                x, y, ok = own.encode_both(t)
-                ids.extend(x)
-                best.extend(y)
-                ends.append(len(ids))
-                best_ends.append(len(best))
+                x, y, ok = own.packed_both(t)
+                ids.append(x)
+                best.append(y)
+                ends.append(ends[-1] + len(x) // 4)
+                best_ends.append(best_ends[-1] + len(y) // 4)
                 same.append(ok)
             counts = pa.array(np.diff(ends), pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists(ids, ends), counts, lists(best, best_ends), pa.array(same, pa.bool_())], [*plain, *new])
