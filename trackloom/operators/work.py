@@ -184,8 +184,12 @@ def move_rank(ranked: DataFrame, task_id: int | str, k: int) -> tuple[DataFrame,
 
 
 def working_day(start: Column, n: Column) -> Column:
-    """The n-th weekday from start on, which counts if it is one itself."""
-    return F.element_at(F.filter(F.sequence(start, F.date_add(start, (n * 2 + 7).cast("int"))), lambda d: F.weekday(d) < 5), n.cast("int"))
+    """The n-th weekday from start on, which counts if it is one itself. It is counted in whole weeks, so a far day costs what a near one does."""
+    day = F.weekday(start)
+    monday = F.date_sub(start, day)
+    # Places among the weekdays from that Monday on: a weekend's first weekday is the sixth.
+    place = F.least(day, F.lit(5)) + n.cast("int") - 1
+    return F.when(n > 0, F.date_add(monday, (F.floor(place / 5) * 7 + F.pmod(place, F.lit(5))).cast("int")))
 
 
 def _number(text: Column) -> Column:
