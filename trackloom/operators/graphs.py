@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.operators.ordering import forget, stored
@@ -39,20 +39,46 @@ def components(edges: DataFrame) -> DataFrame:
     return out
 
 
-def chosen_pairs(pairs: DataFrame, left: list[str], right: list[str], order: Column) -> DataFrame:
+def chosen_pairs(pairs: DataFrame, left: list[str], right: list[str], order: Column, most: int = 256) -> DataFrame:
     """The rows of ``pairs`` that a greedy choice takes: by ``order``, the largest first, each that shares neither its ``left`` nor its ``right`` with one taken before.
 
-    ``order`` must be the same for no two rows. A pair that is the largest left at both its ends is taken whatever the others do; so
-    each round takes those, and drops what shares an end with them.
+    ``order`` must be the same for no two rows. What ``left`` and ``right`` have in common parts the table: a part of up to
+    ``most`` pairs is gone through where it lies. The other parts go in rounds: a pair that is the largest left at both its ends is
+    taken whatever the others do; so each round takes those, and drops what shares an end with them.
     """
+    shared = [c for c in left if c in right]
+    if not shared:
+        return _chosen_in_rounds(pairs, left, right, order)
+    scratch: list[str] = []
+    ends = [F.struct(*[F.col(c) for c in side if c not in shared]).alias(k) for side, k in ((left, "l"), (right, "r"))]
+    row = F.struct(order.alias("o"), *ends, F.struct(*[F.col(f"`{c}`") for c in pairs.columns]).alias("row"))
+    one = F.struct(*[F.col(c) for c in {*left, *right} - {*shared}])
+    large = F.count("*").over(Window.partitionBy(*shared)) > most
+    parts = pairs.withColumn("__row", row).withColumn("__large", F.when(large, one))  # a large part's pairs stay apart
+    parts = parts.groupBy(*shared, "__large").agg(F.sort_array(F.collect_list("__row"), asc=False).alias("__rows"))
+    none = lambda c: F.transform(F.slice("__rows", 1, 0), lambda x: x[c])
+    free = lambda s, x: ~F.exists(s["l"], lambda k: k == x["l"]) & ~F.exists(s["r"], lambda k: k == x["r"])
+    longer = lambda s, x: F.struct(*[F.concat(s[c], F.array(x[c])).alias(c) for c in ("l", "r", "row")])
+    taken = F.aggregate("__rows", F.struct(*[none(c).alias(c) for c in ("l", "r", "row")]), lambda s, x: F.when(free(s, x), longer(s, x)).otherwise(s), lambda s: s["row"])
+    found = stored(parts.select(F.col("__large").isNotNull().alias("large"), taken.alias("rows")), scratch)
+    rows = lambda large: found.where(F.col("large") == large).select(F.explode("rows").alias("r")).select("r.*")
+    if found.where("large").isEmpty():
+        return rows(False)
+    out = stored(rows(False).unionByName(_chosen_in_rounds(rows(True), left, right, order)))
+    forget(pairs.sparkSession, scratch)
+    return out
+
+
+def _chosen_in_rounds(pairs: DataFrame, left: list[str], right: list[str], order: Column) -> DataFrame:
+    """``chosen_pairs`` in rounds. The stored tables are small as files and large as rows, so they are shuffled, never sent whole to all tasks."""
     scratch: list[str] = []
     rest, taken = stored(pairs.withColumn("__o", order), scratch), None
     while True:
-        best = lambda key: rest.groupBy(*key).agg(F.max("__o").alias("__o"))  # noqa: E731, B023
+        best = lambda key: rest.groupBy(*key).agg(F.max("__o").alias("__o")).hint("merge")  # noqa: E731, B023
         first = rest.join(best(left), [*left, "__o"], "left_semi").join(best(right), [*right, "__o"], "left_semi")
         first = stored(first, scratch)
         taken = first if taken is None else taken.unionByName(first)
-        rest = stored(rest.join(first, left, "left_anti").join(first, right, "left_anti"), scratch)
+        rest = stored(rest.join(first.hint("merge"), left, "left_anti").join(first.hint("merge"), right, "left_anti"), scratch)
         if rest.isEmpty():
             break
     out = stored(taken.select(*[F.col(f"`{c}`") for c in pairs.columns]))
