@@ -265,12 +265,13 @@ class FoldTask(StatefulProcessor):
 
 
 def paired_sessions(actions: DataFrame, start: list[str], stop: list[str]) -> DataFrame:
-    """(part_id, actor, started_at, ended_at, seconds): each start with the next stop of its part, null where none has come."""
+    """(part_id, actor, started_at, ended_at, seconds): each start with the next stop of its part, null where none has come. Seconds are the difference of the two in seconds of the epoch, as SQL's ``epoch`` gives them."""
     w = Window.partitionBy("part_id").orderBy("ts", "action_id")
     rows = actions.where(F.col("action").isin(*start, *stop)).withColumns({"next": F.lead("action").over(w), "until": F.lead("ts").over(w)})
     ends = F.when(F.col("next").isin(*stop), F.col("until"))
     rows = rows.where(F.col("action").isin(*start)).select("part_id", "actor", F.col("ts").alias("started_at"), ends.alias("ended_at"))
-    return rows.withColumn("seconds", (F.unix_micros(F.col("ended_at").cast("timestamp")) - F.unix_micros(F.col("started_at").cast("timestamp"))) / 1e6)
+    epoch = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / 1e6
+    return rows.withColumn("seconds", epoch("ended_at") - epoch("started_at"))
 
 
 MOST_SECONDS, MOST_COUNT = 31 * 86400, 2**53 - 1
