@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -186,6 +187,16 @@ def _frame(rows: list[dict]) -> pd.DataFrame:
     return pd.DataFrame({c: pd.Series(v, dtype=object) for c, v in held.items()})
 
 
+def _held(task: Task) -> list[dict]:
+    """The rows of a task's parts, and of the sessions that are still open."""
+    out = []
+    for p in task.parts.values():
+        out.append({"kind": "part", "task_id": task.task_id, "part_id": p.part_id, "status": p.status, "annotator": p.annotator, "work_seconds": p.work_seconds, "progress_count": p.progress_count, "started": p.opened, "credited": p.credited, "is_final": p.final, "part_index": p.part_index, "image_count": p.image_count})
+        if p.opened is not None:
+            out.append({"kind": "session", "task_id": task.task_id, "part_id": p.part_id, "annotator": p.annotator, "started": p.opened})
+    return out
+
+
 def replay(actions: DataFrame, tasks: DataFrame, parts: DataFrame) -> dict[str, DataFrame]:
     """parts, sessions, events, comments, rejects and state after the actions, each task's in order of time and id.
 
@@ -193,26 +204,51 @@ def replay(actions: DataFrame, tasks: DataFrame, parts: DataFrame) -> dict[str,
     (task_id, publisher, manager, applicant); these three may review. parts: (part_id, task_id, part_index, image_count), pending
     at first; or the ``state`` of an earlier replay, from which later actions go on: what both give together is what the whole log
     gives, but for sessions that the first leaves open, which the second gives again with their ends. An illegal action changes nothing and is a reject with its reason; actions on unknown tasks are rejects, too. Claims
-    depend on all parts of a task, so a task, some thousand parts at most, is folded as one group; it is folded once and stored.
+    depend on all parts of a task, so a task, some thousand parts at most, is folded
+    in one place, its actions batch by batch: what is held are its parts and a batch. It is folded once and stored.
     """
     who = F.array(*[F.col(c).cast("string") for c in ("publisher", "manager", "applicant") if c in tasks.columns])
     own = parts.join(tasks.select("task_id", who.alias("reviewers")), "task_id").select("task_id", "part_id", *[c for c in STATE if c in parts.columns], "reviewers")
     log = actions.select("task_id", "action_id", F.col("part_id").cast("double").alias("part_id"), "actor", "action", F.col("value").cast("double").alias("value"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
 
-    def fold(key: tuple, rows: pd.DataFrame, log: pd.DataFrame) -> pd.DataFrame:
-        if not len(rows):
-            return _frame([{"kind": "reject", "action_id": a.action_id, "task_id": key[0], "actor": a.actor, "at": a.at, "note": "unknown task"} for a in log.itertuples(index=False)])
-        task = _start(key[0], rows)
-        out = []
-        for a in log.sort_values(["at", "action_id"]).itertuples(index=False):
-            out += task.do(a)
-        for p in task.parts.values():
-            out.append({"kind": "part", "task_id": task.task_id, "part_id": p.part_id, "status": p.status, "annotator": p.annotator, "work_seconds": p.work_seconds, "progress_count": p.progress_count, "started": p.opened, "credited": p.credited, "is_final": p.final, "part_index": p.part_index, "image_count": p.image_count})
-            if p.opened is not None:
-                out.append({"kind": "session", "task_id": task.task_id, "part_id": p.part_id, "annotator": p.annotator, "started": p.opened})
-        return _frame(out)
-
-    every = stored(own.groupBy("task_id").cogroup(log.groupBy("task_id")).applyInPandas(fold, OUT))
+    # A task's parts come first, then its actions in order, all in one task of Spark, which reads them batch by batch.
+    key = [F.coalesce("task_id", F.lit(0).cast("bigint")).alias("task_id"), F.col("task_id").isNull().alias("nameless")]
+    have = [c for c in STATE if c in parts.columns]
+    first = own.select(*key, F.lit(False).alias("acts"), F.lit(0).cast("bigint").alias("action_id"), F.col("part_id").cast("bigint").alias("own_id"), *have, "reviewers")
+    rest = log.select(*key, F.lit(True).alias("acts"), F.col("action_id").cast("bigint").alias("action_id"), F.lit(0).cast("bigint").alias("own_id"), "part_id", "actor", "action", "value", "at")
+    ordered = first.unionByName(rest, allowMissingColumns=True).repartition("task_id", "nameless").sortWithinPartitions("task_id", "nameless", "acts", F.asc_nulls_last("at"), "action_id")
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, task, given = None, None, []  # the key, its task once its actions begin, and till then its rows of parts
+
+        def begun() -> Task | None:
+            return _start(now[0], pd.concat(given, ignore_index=True)) if given else None
+
+        def ended() -> list[dict]:
+            return _held(task or begun()) if task or given else []
+
+        for f in batches:
+            out = []
+            at = f[["task_id", "nameless", "acts"]].to_numpy()
+            cuts = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1), len(f)]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                rows, here = f.iloc[lo:hi], (int(at[lo][0]), bool(at[lo][1]))
+                if here != now:
+                    out += ended()
+                    now, task, given = here, None, []
+                if not at[lo][2]:
+                    given.append(rows.drop(columns="part_id").rename(columns={"own_id": "part_id"}))
+                    continue
+                task, given = task or begun(), []
+                if task is None:
+                    out += [{"kind": "reject", "action_id": a.action_id, "task_id": None if here[1] else here[0], "actor": a.actor, "at": a.at, "note": "unknown task"} for a in rows.itertuples(index=False)]
+                    continue
+                for a in rows.itertuples(index=False):
+                    out += task.do(a)
+            yield _frame(out)
+        yield _frame(ended())
+
+    every = stored(ordered.mapInPandas(fold, OUT))
     moment = lambda c: F.timestamp_micros((F.col(c) * 1e6).cast("bigint"))
     of = lambda kind: every.where(F.col("kind") == kind)
     return {
