@@ -240,6 +240,7 @@ def replay(actions: DataFrame, tasks: DataFrame, parts: DataFrame) -> dict[str,
                     given.append(rows.drop(columns="part_id").rename(columns={"own_id": "part_id"}))
                     continue
                 task, given = task or begun(), []
+                rows = rows[["action_id", "part_id", "actor", "action", "value", "at"]]
                 if task is None:
                     out += [{"kind": "reject", "action_id": a.action_id, "task_id": None if here[1] else here[0], "actor": a.actor, "at": a.at, "note": "unknown task"} for a in rows.itertuples(index=False)]
                     continue
