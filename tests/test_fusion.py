@@ -1,4 +1,4 @@
-from trackloom.operators import fusion
+from trackloom.operators import fusion, graphs, tracks
 
 
 def test_components_become_tracks(spark):
@@ -30,3 +30,41 @@ def test_boxes_far_from_the_leading_one_are_left_out(spark):
     members = spark.createDataFrame([(1, "forward", 1, "a"), (1, "backward", 2, "a")], "video_id long, direction string, tracklet_idx long, component string")
     found = fusion.merge_components(frames, members, videos).where("frame_id = 0").first()
     assert (found.x1, found.x2) == (0.0, 10.0)
+
+
+def counted(spark, df):
+    """df, and a counter of the rows of it that jobs have read."""
+    read = spark.sparkContext.accumulator(0)
+
+    def work(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    return df.mapInPandas(work, df.schema), read
+
+
+def test_edges_of_components_are_found_once(spark):
+    edges, read = counted(spark, spark.createDataFrame([(1, 2), (2, 3), (7, 7), (9, 8)], "a long, b long"))
+    assert {tuple(r) for r in graphs.components(edges).collect()} == {(1, 1), (2, 1), (3, 1), (7, 7), (8, 8), (9, 8)}
+    assert read.value == 4
+
+
+def test_a_filter_passes_its_detections_once(spark):
+    rows = [(1, f, 0, 0, 0.9, 10.0 + f, 10.0, 50.0 + f, 60.0) for f in range(12)] + [(1, f, 1, 0, 0.9, 300.0, 10.0, 350.0, 60.0) for f in range(4)]
+    given = spark.createDataFrame(rows, "video_id long, frame_id long, det_idx int, class_id int, score double, x1 double, y1 double, x2 double, y2 double")
+    detections, read = counted(spark, given)
+    frames, videos = given.select("video_id", "frame_id").distinct(), spark.createDataFrame([(1, 400, 100)], "video_id long, width int, height int")
+    kept = fusion.filter_detections(detections, frames, videos, "sort").collect()
+    assert sorted(r.frame_id for r in kept) == list(range(12))
+    assert read.value <= 2 * len(rows)  # for the pass, and for the rows that stay
+
+
+def test_pairs_of_a_least_overlap_are_those_of_all_pairs(spark):
+    rows = [(1, t, f, 30.0 * t + f, 10.0, 30.0 * t + f + 40.0, 50.0) for t in range(6) for f in range(9) if (t + f) % 4]
+    fwd = spark.createDataFrame(rows, "video_id long, tracklet_idx long, frame_id long, x1 double, y1 double, x2 double, y2 double")
+    bwd = fwd.withColumn("x1", fwd.x1 + 5).withColumn("x2", fwd.x2 + 5)
+    short = lambda df: sorted((r.f_idx, r.b_idx, r.n, round(r.mean_iou, 9), round(r.normalized_gap, 9), round(r.score, 9)) for r in df.collect())
+    for least, apart, found in ((0.05, False, True), (0.3, False, True), (0.05, True, True), (0.3, True, False)):
+        every = short(tracks.pair_overlap(fwd, bwd, apart=apart).where(f"mean_iou >= {least}"))
+        assert short(tracks.pair_overlap(fwd, bwd, apart=apart, iou=least)) == every and bool(every) == found

@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from trackloom.functions import geometry as G
 from trackloom.operators import graphs, tracking, tracks
 from trackloom.operators.joins import iou_join  # noqa: F401  a part of this module's interface
+from trackloom.operators.ordering import forget, stored
 
 PAIR = ["video_id", "f_idx", "b_idx"]
 
 
 def candidate_pairs(fwd: DataFrame, bwd: DataFrame, iou: float, most_gap: float = 1.5) -> DataFrame:
-    return tracks.pair_overlap(fwd, bwd).where((F.col("mean_iou") >= iou) & (F.col("normalized_gap") <= most_gap))
+    return tracks.pair_overlap(fwd, bwd, iou=iou).where((F.col("mean_iou") >= iou) & (F.col("normalized_gap") <= most_gap))
 
 
 def connected_components(pairs: DataFrame) -> DataFrame:
@@ -167,13 +168,16 @@ def final_tracks(merged: DataFrame, members: DataFrame, videos: DataFrame, least
 
 def filter_detections(detections: DataFrame, frames: DataFrame, videos: DataFrame, method: str = "sparse_track", fusion: str = "bidirectional_iou_all_pairs", iou: float = 0.5, least: int = 10, params: dict | None = None) -> DataFrame:
     """The detections that were given to a tracklet of some fused track of ``least`` frames or more; their columns stay as they are."""
-    found = tracking.run_tracker(detections, method, params, frames)
+    scratch: list[str] = []
+    found = stored(tracking.run_tracker(detections, method, params, frames), scratch)  # the pass is dear, and read by each side of each join
     side = lambda way: found.where(F.col("direction") == way).select("video_id", "tracklet_idx", "frame_id", *tracks.BOX)
-    members = fuse(side("forward"), side("backward"), fusion, iou)
+    members = stored(fuse(side("forward"), side("backward"), fusion, iou), scratch)
     who = ["video_id", "direction", "tracklet_idx"]
     owned = found.join(members, who)
     long = owned.select("video_id", "component", "frame_id").distinct().groupBy("video_id", "component").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     kept = owned.join(long, ["video_id", "component"]).select("video_id", "frame_id", "det_idx").distinct()
+    kept = stored(kept)
+    forget(detections.sparkSession, scratch)
     return detections.join(kept, ["video_id", "frame_id", "det_idx"], "left_semi")
 
 

@@ -21,7 +21,8 @@ def components(edges: DataFrame) -> DataFrame:
     """
     scratch: list[str] = []
     edge = lambda a, b: (F.least(a, b).alias("v"), F.greatest(a, b).alias("u"))
-    at = stored(edges.where("a <> b").select(*edge("a", "b")).distinct(), scratch)
+    given = stored(edges.select(*edge("a", "b")).distinct(), scratch)  # once, as edges are often dear to find
+    at = given.where("v <> u")
     mark = None
     while (new := _count(at)) != mark:
         mark = new
@@ -32,8 +33,8 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(low, "u").select(F.col("m").alias("v"), F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"))
         at = stored(small.distinct(), scratch)
     roots = at.select(F.col("u").alias("node"), F.col("v").alias("root")).union(at.select("v", "v").distinct())
-    own = edges.where("a = b").select("a").distinct()
-    alone = own.join(roots, F.col("a") == F.col("node"), "left_anti").select(F.col("a").alias("node"), F.col("a").alias("root"))
+    own = given.where("v = u").select("v")
+    alone = own.join(roots, F.col("v") == F.col("node"), "left_anti").select(F.col("v").alias("node"), F.col("v").alias("root"))
     out = stored(roots.union(alone))
     forget(edges.sparkSession, scratch)
     return out

@@ -200,8 +200,12 @@ def frames_between(frames: DataFrame, start: int, count: int) -> DataFrame:
     return rows.groupBy("video_id", "frame_id").agg(F.array_sort(F.collect_list(F.struct("track_id", "class_id", *BOX))).alias("boxes"))
 
 
-def pair_overlap(fwd: DataFrame, bwd: DataFrame, least: int = 3, apart: bool = False) -> DataFrame:
-    """Forward and backward tracklets (video_id, tracklet_idx, frame_id, box) with ``least`` common frames or more: an equi-join on the frame, then one aggregation. ``apart``: only pairs whose first tracklet_idx is the smaller."""
+def pair_overlap(fwd: DataFrame, bwd: DataFrame, least: int = 3, apart: bool = False, iou: float = 0.0) -> DataFrame:
+    """Forward and backward tracklets (video_id, tracklet_idx, frame_id, box) with ``least`` common frames or more: an equi-join on the frame, then one aggregation. ``apart``: only pairs whose first tracklet_idx is the smaller.
+
+    ``iou``: only pairs of that mean_iou or more. The frames in which two boxes overlap give a mean's sum, so the pairs that can
+    reach it are known from these, and only theirs meet again in all their frames: of a frame's pairs most don't overlap anywhere.
+    """
     side = lambda df, c: df.select("video_id", "frame_id", F.col("tracklet_idx").alias(f"{c}_idx"), *[F.col(x).alias(f"{c}_{x}") for x in BOX])
     lengths = lambda df, c: df.groupBy("video_id", F.col("tracklet_idx").alias(f"{c}_idx")).agg(F.count("*").alias(f"{c}_len"))
     f, b = side(fwd, "f"), side(bwd, "b")
@@ -209,14 +213,21 @@ def pair_overlap(fwd: DataFrame, bwd: DataFrame, least: int = 3, apart: bool = F
     (fx, fy), (bx, by) = G.center(fb), G.center(bb)
     diag = (F.hypot(fb.x2 - fb.x1, fb.y2 - fb.y1) + F.hypot(bb.x2 - bb.x1, bb.y2 - bb.y1)) / 2
     met = f.join(b, ["video_id", "frame_id"])
-    rows = (met.where("f_idx < b_idx") if apart else met).withColumns({"iou": G.iou(fb, bb), "gap": F.hypot(fx - bx, fy - by), "diag": diag})
+    met = met.where("f_idx < b_idx") if apart else met
+    if iou > 0:
+        pair = ["video_id", "f_idx", "b_idx"]
+        touched = met.withColumn("iou", G.iou(fb, bb)).where("iou > 0").groupBy(*pair).agg(F.sum("iou").alias("s"))
+        # Sums in another order differ by their last digits, and the exact mean follows.
+        met = touched.where(F.col("s") >= iou * least * (1 - 1e-9)).select(*pair).join(f, ["video_id", "f_idx"]).join(b, ["video_id", "b_idx", "frame_id"])
+    rows = met.withColumns({"iou": G.iou(fb, bb), "gap": F.hypot(fx - bx, fy - by), "diag": diag})
     out = rows.groupBy("video_id", "f_idx", "b_idx").agg(
         F.count("*").alias("n"), F.avg("iou").alias("mean_iou"), ((F.min_by("gap", "frame_id") + F.max_by("gap", "frame_id")) / 2).alias("end_gap"), F.avg("diag").alias("mean_diag"),
     )
     # Lengths meet the pairs, of which there are fewer than frames.
     out = out.where(F.col("n") >= least).join(lengths(fwd, "f"), ["video_id", "f_idx"]).join(lengths(bwd, "b"), ["video_id", "b_idx"])
     out = out.select("video_id", "f_idx", "b_idx", "n", "mean_iou", (F.col("n") / F.least("f_len", "b_len")).alias("overlap_ratio"), "end_gap", "mean_diag")
-    return out.withColumn("normalized_gap", F.col("end_gap") / F.greatest("mean_diag", F.lit(1.0))).withColumn("score", F.col("mean_iou") * F.col("overlap_ratio"))
+    out = out.withColumn("normalized_gap", F.col("end_gap") / F.greatest("mean_diag", F.lit(1.0))).withColumn("score", F.col("mean_iou") * F.col("overlap_ratio"))
+    return out.where(F.col("mean_iou") >= iou) if iou > 0 else out
 
 
 def mutual_best(pairs: DataFrame) -> DataFrame:
