@@ -42,7 +42,11 @@ def _groups(pairs: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def bidirectional_iou(fwd: DataFrame, bwd: DataFrame, iou: float) -> DataFrame:
-    return _groups(tracks.mutual_best(candidate_pairs(fwd, bwd, iou)), _members(fwd, bwd))
+    scratch: list[str] = []
+    best = stored(tracks.mutual_best(candidate_pairs(fwd, bwd, iou)).select(*PAIR), scratch)  # each pair names both of its ends
+    out = stored(_groups(best, _members(fwd, bwd)))
+    forget(fwd.sparkSession, scratch)
+    return out
 
 
 def forward_only(fwd: DataFrame, bwd: DataFrame, iou: float) -> DataFrame:
@@ -96,7 +100,7 @@ def nms(fwd: DataFrame, bwd: DataFrame, iou: float) -> DataFrame:
     )
     # Pairs of tracklets of different components, each pair once; a tracklet's number is its direction and index.
     numbered = every.withColumn("tracklet_idx", F.struct("direction", "tracklet_idx"))
-    pairs = tracks.pair_overlap(numbered, numbered, apart=True)
+    pairs = tracks.pair_overlap(numbered, numbered, apart=True, iou=iou)
     close = pairs.where((F.col("mean_iou") >= iou) & (F.col("overlap_ratio") >= 0.6) & (F.col("normalized_gap") <= 1.5))
     of = lambda c: members.select("video_id", F.struct("direction", "tracklet_idx").alias(f"{c}_idx"), F.col("component").alias(f"{c}_component"))
     meets = close.join(of("f"), ["video_id", "f_idx"]).join(of("b"), ["video_id", "b_idx"]).where("f_component <> b_component")
