@@ -100,3 +100,12 @@ def test_working_days_far_off(spark):
         assert r["d"] == (None if r["n"] is None else [d for d in days if d.weekday() < 5][r["n"] - 1])
     far = spark.range(499_001, 519_001, 1, 4).select(F.col("id").alias("n"), work.working_day(F.lit("2024-02-02").cast("date"), F.col("id").cast("int")).alias("d"))
     assert far.where((F.weekday("d") > 4) | (F.datediff("d", F.lit("2024-01-29").cast("date")) != F.floor((F.col("n") + 3) / 5) * 7 + (F.col("n") + 3) % 5)).isEmpty()
+
+
+def test_lines_are_made_of_sampled_frames_only(spark):
+    boxes = spark.createDataFrame([(1, 5, 0, 0, 10.0, 10.0, 30.0, 30.0), (1, 6, 0, 0, 10.0, 10.0, 30.0, 30.0), (2, 5, 0, 0, 1.0, 1.0, 2.0, 2.0)], "video_id long, video_frame_idx long, track_id long, class_id int, x1 double, y1 double, x2 double, y2 double")
+    videos = spark.createDataFrame([(1, 100, 100), (2, 0, 0)], "video_id long, width int, height int")  # a line of the second would divide by 0
+    sampled = spark.createDataFrame([(1, 5), (1, 7)], "video_id long, frame long")
+    out = sampling.export_sampled(boxes, sampled, videos).orderBy("frame").collect()
+    assert [(r.video_id, r.frame, r.boxes) for r in out] == [(1, 5, 1), (1, 7, 0)]
+    assert out[0].content.startswith("0 0.2")
