@@ -190,3 +190,21 @@ def test_the_first_files(spark):
     assert [r.path for r in files.first_media(f, 2).collect()] == ["/r/A.jpg", "/r/b.jpg"] and files.first_media(f, 0).count() == 3
     with pytest.raises(ValueError):
         files.first_media(f.limit(0), 3)
+
+
+def test_only_paths_are_shuffled_and_a_root_is_dealt_to_tasks(spark):
+    rows = [(f"/d/{r}/{k}/v{n}{s}", 1) for r in "ab" for n in range(3) for k, s in (("images", ".jpg"), ("labels", ".txt"), ("annotations", ".xml"))]
+    given = spark.createDataFrame([*rows, ("/e/images/v0.jpg", 1)], "path string, length long")  # e isn't whole, so it's no root
+    samples, errors, extra = files.scan_samples(given.where("not (path like '/d/b/%')"))
+    assert {tuple(r) for r in samples.select("stem", "root").collect()} == {(f"v{n}", "/d/a") for n in range(3)}
+    assert errors.isEmpty() and extra.isEmpty()
+    assert files.scan_samples(given)[1].where("error = 'stem in two roots'").count() == 6
+
+    def nodes(plan):
+        yield plan
+        for k in range(plan.children().size()):
+            yield from nodes(plan.children().apply(k))
+
+    found = list(nodes(samples._jdf.queryExecution().optimizedPlan()))
+    assert [n.output().size() for n in found if n.nodeName() == "RepartitionByExpression"] == [1]
+    assert any(n.nodeName() == "Join" and "share" in n.toString().split("\n")[0] for n in found)

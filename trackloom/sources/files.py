@@ -21,6 +21,8 @@ HEADINGS = {
     "每小时可标": "hourly_capacity", "数据量": "data_amount", "预计工时/单人": "estimated_hours", "数据路径": "data_path", "标注说明书路径": "guide_path",
 }
 ALSO = {"希望完成时间": "desired_completion_date"}
+#: Fixed value: how many shares a root's files are dealt to where they meet their root.
+SHARES = 256
 #: Fixed value: the name of a part that is its data set's root.
 ROOT_NAME = "数据集根目录"
 
@@ -53,13 +55,18 @@ def scan_samples(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     labels and annotations without image. Samples (stem, root, image, label, annotation) are those without an error.
     """
     kinds = {"images": IMAGES, "labels": ["txt"], "annotations": ["xml"]}
-    f = files.select("path", _folder(F.col("path")).alias("folder")).select("path", _folder(F.col("folder")).alias("root"), _name(F.col("folder")).alias("kind"), F.lower(_stem(F.col("path"))).alias("key"), _suffix(F.col("path")).alias("suffix"))
+    named = lambda df: df.select("path", _folder(F.col("path")).alias("folder")).select("path", _folder(F.col("folder")).alias("root"), _name(F.col("folder")).alias("kind"), F.lower(_stem(F.col("path"))).alias("key"), _suffix(F.col("path")).alias("suffix"))
+    f = named(files)
     has = F.col("kind").isin(*kinds)
     roots = f.where(has).groupBy("root").agg(*[F.bool_or(F.col("kind") == k).alias(k) for k in kinds]).where(" and ".join(kinds)).select("root")
     fits = F.lit(False)
     for kind, suffixes in kinds.items():
         fits = fits | ((F.col("kind") == kind) & F.col("suffix").isin(*suffixes))
-    f = f.where(fits).join(roots, "root").repartition("key")  # all that follows groups by the key, and what else there is
+    # All that follows groups by the key, and what else there is. Paths alone are shuffled, as all else is a part of them.
+    # Roots are few and hold much: each is dealt to some tasks, not to one, to meet the files.
+    dealt = f.where(fits).select("path", "root", F.pmod(F.xxhash64("path"), F.lit(SHARES)).alias("share"))
+    of_roots = roots.withColumn("share", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SHARES - 1).cast("bigint"))))
+    f = named(dealt.join(of_roots, ["root", "share"]).select("path").repartition(F.lower(_stem(F.col("path")))))
     twice = f.groupBy("root", "kind", "key").agg(F.count("*").alias("n"), F.min("path").alias("path")).where("n > 1").select("root", "path", F.lit("stem twice in a folder").alias("error"))
     one = lambda k: F.min(F.when(F.col("kind") == k, F.col("path"))).alias(k)
     rows = f.groupBy("root", "key").agg(*[one(k) for k in kinds])
