@@ -204,6 +204,22 @@ def test_decontamination_of_dropped_clauses():
             assert [h[0] for h in index.search(" ".join(w[n:] + noise(60)))] == [k] == [h[0] for h in index.search(" ".join(noise(60) + w[:-n]))]
 
 
+def test_decontamination_verifies_only_windows_with_the_item_s_sequences(monkeypatch):
+    """Items of the same words, three at a time in another order, meet in their samples; their windows need no edit distance."""
+    r = np.random.RandomState(13)
+    verified = []
+    plain = decontamination.edit_distances
+    monkeypatch.setattr(decontamination, "edit_distances", lambda x, windows, most: verified.append(x.tolist()) or plain(x, windows, most))
+    for _ in range(5):
+        parts = [[f"v{r.randint(10**6)}" for _ in range(3)] for _ in range(11)]
+        items = [" ".join(w for k in range(11) for w in parts[k * stride % 11]) for stride in range(1, 11)]
+        index = decontamination.Index(list(enumerate(items)), decontamination.Settings())
+        for k, item in enumerate(items):
+            verified.clear()
+            assert [h[0] for h in index.search(f"{WORDS[0]} {item} {WORDS[1]}")] == [k]
+            assert verified == [index.items[k][1].tolist()]
+
+
 def test_decontamination_over_blocks_of_items(spark, monkeypatch):
     monkeypatch.setattr(decontamination, "BLOCK_ITEMS", 2)
     r = np.random.RandomState(12)

@@ -13,7 +13,8 @@ therefore walked from up to 16 anchors along it, so that some walk begins behind
 anchor that meets a word of the document stands for all windows that begin its distance before that word, give or take d words.
 
 A window within d edits of an item of m words shares m - 2 - 3 d of its three-word sequences with it, as an edit spoils three at
-most. Windows are walked only where that many sequences are known from the benchmark, which loses none of the windows sought.
+most. Windows are walked only where that many sequences are known from the benchmark, and verified only where that many are the
+item's own, which loses none of the windows sought.
 
 The items are taken in blocks of bounded size, each block being sent to all tasks; every document is compared with every block.
 """
@@ -127,8 +128,14 @@ class Index:
             found, which, anchor = map(np.concatenate, (found, which, anchor))
             order = np.argsort(found, kind="stable")
             self.found[c] = found[order], which[order], anchor[order]
-        grams = [self.grams(x) for _, x in self.items if len(x) >= GRAM]
+        self.length = np.array([len(x) for _, x in self.items], np.int64)
+        self.most = np.array([s.edits(n) for n in self.length.tolist()], np.int64)
+        #: Sequences that a window shares with the item at least.
+        self.need = self.length - GRAM + 1 - GRAM * self.most
+        grams = [self.grams(x) if len(x) >= GRAM else np.empty(0, np.uint64) for _, x in self.items]
         self.known = np.unique(np.concatenate(grams)) if grams else np.empty(0, np.uint64)
+        # Of each item the numbers of its sequences, from 1 on.
+        self.own = [np.searchsorted(self.known, g) + 1 for g in grams]
         # The upper bits of the known sequences: most others are told apart by one look-up.
         self.shift = np.uint64(64 - max(16, int(np.log2(len(self.known) + 1)) + 5))
         self.maybe = np.zeros(1 << (64 - int(self.shift)), bool)
@@ -143,12 +150,13 @@ class Index:
             out = (out ^ seq[k : k + n].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
         return out
 
-    def in_known(self, grams: np.ndarray) -> np.ndarray:
-        out = self.maybe[(grams >> self.shift).astype(np.int64)]
-        at = np.flatnonzero(out)
+    def numbers(self, grams: np.ndarray) -> np.ndarray:
+        """The sequences' numbers among the known ones, from 1 on; 0 for others."""
+        out = np.zeros(len(grams), np.int64)
+        at = np.flatnonzero(self.maybe[(grams >> self.shift).astype(np.int64)])
         if len(at):
             place = np.minimum(np.searchsorted(self.known, grams[at]), len(self.known) - 1)
-            out[at] = self.known[place] == grams[at]
+            out[at] = np.where(self.known[place] == grams[at], place + 1, 0)
         return out
 
     def keys(self, seq: np.ndarray, starts: np.ndarray, c: int) -> tuple[np.ndarray, np.ndarray]:
@@ -173,10 +181,9 @@ class Index:
             inside &= taken > 0
         return out.reshape(walks * tables, len(starts)), inside.reshape(walks * tables, len(starts))
 
-    def candidates(self, seq: np.ndarray, starts: np.ndarray, c: int) -> dict[int, np.ndarray]:
-        """item -> where the item would begin in the document (maybe before it) if one of its anchors is the word at one of the starts."""
+    def candidates(self, seq: np.ndarray, starts: np.ndarray, c: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Items, and where they would begin in the document (maybe before it) if one of their anchors is the word at one of the starts; in parts."""
         found, which, anchor = self.found[c]
-        tried: dict[int, list[np.ndarray]] = {}
         step = max(1, CELLS // (self.s.walks * (int(self.sampled[c].max()) + 1)))
         for lo in range(0, len(starts), step):
             part = starts[lo : lo + step]
@@ -192,26 +199,51 @@ class Index:
             back = 2 ** (c + 1)  # more than any anchor
             start = np.repeat(np.broadcast_to(part, keys.shape)[hit], n) - anchor[entry] + back
             pairs = np.unique(item * np.int64(len(seq) + back) + start)
-            item, start = pairs // (len(seq) + back), pairs % (len(seq) + back) - back
-            cut = np.flatnonzero(np.diff(item)) + 1
-            for k, each in zip(item[np.concatenate([[0], cut])].tolist(), np.split(start, cut), strict=True):
-                tried.setdefault(k, []).append(each)
-        return {k: np.concatenate(each) for k, each in sorted(tried.items())}
+            yield pairs // (len(seq) + back), pairs % (len(seq) + back) - back
+
+    def windows(self, item: np.ndarray, start: np.ndarray, fits: np.ndarray, total: np.ndarray) -> np.ndarray:
+        """The distinct numbers item * len(fits) + place of the windows to verify: the places that fit, up to the item's edits beside a start, with enough known sequences."""
+        last = len(total) - 1
+        fitting = np.concatenate([[0], np.cumsum(fits)])
+        # Up to d words were dropped or added before the anchor.
+        most = self.most[item]
+        near = fitting[np.minimum(np.maximum(start + most + 1, 0), last)] > fitting[np.minimum(np.maximum(start - most, 0), last)]
+        item, start, most = item[near], start[near], most[near]
+        out = [np.empty(0, np.int64)]
+        beside = np.arange(-most.max(), most.max() + 1) if len(most) else np.empty(0, np.int64)
+        for lo in range(0, len(item), step := max(1, CELLS // max(1, len(beside)))):
+            place = start[lo : lo + step, None] + beside
+            ok = (place >= 0) & (place < last) & (np.abs(beside) <= most[lo : lo + step, None])
+            place, which = place[ok], np.broadcast_to(item[lo : lo + step, None], ok.shape)[ok]
+            ok = fits[place]
+            place, which = place[ok], which[ok]
+            ok = total[np.minimum(place + self.length[which] + self.most[which], last)] - total[place] >= self.need[which]
+            out.append(np.unique(which[ok] * np.int64(len(fits)) + place[ok]))
+        return np.unique(np.concatenate(out))
 
     def search(self, text: str | None) -> list[tuple[object, int, int, int]]:
         """(item_id, start, end, edits) of the leaks in a text, in words, end exclusive, in the items' order: of each item, those that don't overlap, best first."""
         found = words(text)
-        seq = np.array(list(map(self.code.get, found, repeat(0))), np.int64)
+        seq = np.fromiter(map(self.code.get, found, repeat(0)), np.int64, len(found))
         if not seq.any():
             return []
-        shared = np.zeros(len(seq), bool)
+        number = np.zeros(len(seq), np.int64)
         if len(seq) >= GRAM and len(self.known):
-            shared[: len(seq) - GRAM + 1] = self.in_known(self.grams(seq))
-        total = np.concatenate([[0], np.cumsum(shared)])
+            number[: len(seq) - GRAM + 1] = self.numbers(self.grams(seq))
+        total = np.concatenate([[0], np.cumsum(number > 0)])
         if total[-1] < self.least:
             return []
         hits: dict[int, list[tuple[int, int, int]]] = {}
-        of_item = np.zeros(len(self.code) + 1, bool)
+        of_item = np.zeros(max(len(self.code), len(self.known)) + 1, bool)
+
+        def enough(each: np.ndarray, n: int, values: np.ndarray, own: np.ndarray, need: int) -> np.ndarray:
+            """The places, which ascend, of those windows of n in which ``need`` values are among the item's own."""
+            of_item[own] = True
+            count = np.concatenate([[0], np.cumsum(of_item[values[each[0] : each[-1] + n]])])
+            of_item[own] = False
+            near = each - each[0]
+            return each[count[np.minimum(near + n, len(count) - 1)] - count[near] >= need]
+
         for c in self.classes:
             # The window within d edits begins and ends with a word of the item, and has m + d words at most. First the class's
             # longest window is held against its least need, then, where that is met, each length against its own.
@@ -231,29 +263,20 @@ class Index:
             # Walks begin on the words of the windows that are left, as anchors lie anywhere in them.
             opened = np.cumsum(np.bincount(starts, minlength=len(seq) + 1) - np.bincount(np.minimum(starts + longest, len(seq)), minlength=len(seq) + 1))
             walked = np.flatnonzero((opened[:-1] > 0) & (seq > 0))
-            fitting = np.concatenate([[0], np.cumsum(fits)])
-            for k, each in self.candidates(seq, walked, c).items():
-                item = self.items[k][1]
-                most = self.s.edits(len(item))
+            chosen = [self.windows(item, start, fits, total) for item, start in self.candidates(seq, walked, c)]
+            chosen = np.unique(np.concatenate(chosen)) if chosen else np.empty(0, np.int64)
+            of, at = chosen // len(fits), chosen % len(fits)
+            cut = np.flatnonzero(np.diff(of)) + 1
+            for k, each in zip(of[np.concatenate([[0], cut])].tolist(), np.split(at, cut), strict=True) if len(of) else ():
+                item, most = self.items[k][1], int(self.most[k])
                 n = len(item) + most
-                # Up to d words were dropped or added before the anchor.
-                lo, hi = np.clip(each - most, 0, len(seq)), np.clip(each + most + 1, 0, len(seq))
-                each = each[fitting[hi] > fitting[lo]]
-                if not len(each):
-                    continue
-                each = each[:, None] + np.arange(-most, most + 1)
-                each = each[(each >= 0) & (each < len(seq))]
-                each = each[fits[each]]
-                each = each[total[np.minimum(each + n, len(seq))] - total[each] >= len(item) - GRAM + 1 - GRAM * most]
+                # At most d edits leave all but d of the item's words in the window, and all but 3 d of its sequences.
+                if self.need[k] > 0:
+                    each = enough(each, n, number, self.own[k], int(self.need[k]))
+                if len(each):
+                    each = enough(each, n, seq, item, len(item) - most)
                 if not len(each):
                     continue
-                each = np.unique(each)
-                # At most d edits leave all but d of the item's words in the window.
-                of_item[item] = True
-                own = np.concatenate([[0], np.cumsum(of_item[seq[each[0] : each[-1] + n]])])
-                of_item[item] = False
-                near = each - each[0]
-                each = each[own[np.minimum(near + n, len(own) - 1)] - own[near] >= len(item) - most]
                 padded = np.concatenate([seq, np.zeros(n, np.int64)])
                 for lo in range(0, len(each), step := max(1, CELLS // n)):
                     part = each[lo : lo + step]
