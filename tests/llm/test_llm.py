@@ -2,10 +2,14 @@
 
 import re
 import textwrap
+import time
+import weakref
 import zlib
 from pathlib import Path
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -167,6 +171,31 @@ def test_unigram_viterbi_is_best():
         assert abs(sum(own.score[k] if k else own.lowest for k in own._segments(text)[1]) - best[-1]) < 1e-6
 
 
+def test_encoders_without_tasks_go(monkeypatch):
+    """Worker processes outlive their tasks: the next task gets the same encoder, and after a while without tasks it goes with what it remembers."""
+    monkeypatch.setattr(pieces, "IDLE", 0.3)
+    shared = SimpleNamespace(value=pieces.Vocabulary([("<unk>", 0.0, pieces.UNKNOWN), ("▁a", -1.0, pieces.NORMAL), ("b", -2.0, pieces.NORMAL)]))
+    with pieces._encoder(shared) as own:
+        assert own.encode("ab a") == [1, 2, 1]
+        gone = weakref.ref(own)
+    with pieces._encoder(shared) as own:
+        assert own is gone()
+        time.sleep(0.6)  # a task of any length keeps it
+        assert pieces._ENCODERS
+    del own
+    deadline = time.monotonic() + 10
+    while gone() is not None and time.monotonic() < deadline:
+        time.sleep(0.05)
+    assert gone() is None
+
+
+def test_texts_of_a_column_in_slices(monkeypatch):
+    monkeypatch.setattr(near_dups, "SLICE", 3)
+    values = [b"a", None, b"", *[b"x" * k for k in range(6)]]
+    for n in range(len(values) + 1):
+        assert list(near_dups._texts(pa.array(values[:n], pa.binary()))) == values[:n]
+
+
 def test_decontamination(spark):
     r = np.random.RandomState(4)
     items = [" ".join(r.choice(WORDS, n)) for n in (20, 35, 60, 6)]

@@ -31,7 +31,9 @@ from pyspark.sql import functions as F
 from trackloom.llm.common import forget, free, row_keys, stored
 
 #: Words kept in a task's word -> hash memory before it is emptied.
-MEMORY = 400_000
+MEMORY = 100_000
+#: Texts taken out of an Arrow batch at a time.
+SLICE = 256
 #: A chunk is a long of four places: the bits of a value, and of its lane, of which the highest stays 0.
 PLACES, VALUE, LANE = 4, 14, 15
 #: Members of a bucket on either side of a tile, at most about.
@@ -103,6 +105,12 @@ class Shingler:
         return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
+def _texts(column: pa.Array) -> Iterator[bytes | None]:
+    """A column's values, of which few are copied out of it at once."""
+    for k in range(0, len(column), SLICE):
+        yield from column.slice(k, SLICE).to_pylist()
+
+
 def minwise(sets: np.ndarray, seeds: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """The minwise values of a set of hashes, ``VALUE`` bits each, four to a long."""
     a, b = seeds
@@ -128,7 +136,7 @@ def signatures(docs: DataFrame, s: Settings, doc_id: str, text: str, others: lis
         shingles, seeds = Shingler(s.words), s.seeds()
         for batch in batches:
             n, node, odd, sig = [], [], [], []
-            for t in batch.column(3).to_pylist():
+            for t in _texts(batch.column(3)):
                 x = shingles(t)
                 n.append(len(x))
                 node.append(xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None)
@@ -198,7 +206,7 @@ def sets_of(docs: DataFrame, nodes: DataFrame, classes: DataFrame, s: Settings,
         shingles = Shingler(s.words)
         for batch in batches:
             node, sets = [], []
-            for want, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for want, t in zip(batch.column(0).to_pylist(), _texts(batch.column(1)), strict=True):
                 x = shingles(t).tobytes()
                 if xxhash.xxh3_128_digest(x) == want:
                     node.append(want)

@@ -17,10 +17,13 @@ place, and what comes again is remembered.
 
 from __future__ import annotations
 
+import gc
 import re
 import string
+import threading
 from array import array
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from operator import itemgetter
 
@@ -40,6 +43,8 @@ UNIGRAM, BPE = 1, 2
 NONE = float("-inf")
 #: Tokens, and pairs of pieces, remembered in a task.
 MEMORY = 150_000
+#: Seconds for which a task process keeps an encoder for its next task.
+IDLE = 5.0
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int, int | bytes]]:
@@ -293,14 +298,33 @@ def load(path: str) -> Vocabulary:
 
 
 _ENCODERS: dict[str, Encoder] = {}
+_TIMERS: list[threading.Timer] = []
 
 
-def _encoder(shared: Broadcast) -> Encoder:
-    """One encoder per task process, that of the vocabulary used last: a broadcast's value is one object in a process."""
+def _drop() -> None:
+    _ENCODERS.clear()
+    gc.collect()  # an encoder and its memory refer to each other
+
+
+@contextmanager
+def _encoder(shared: Broadcast) -> Iterator[Encoder]:
+    """One encoder per task process, that of the vocabulary used last: a broadcast's value is one object in a process.
+
+    Spark's worker processes live on and run the tasks of other stages, so an encoder that no task has used for ``IDLE`` seconds goes,
+    with the tokens that it remembers.
+    """
+    while _TIMERS:
+        _TIMERS.pop().cancel()
     own = _ENCODERS.get("last")
     if own is None or own.v is not shared.value:
         own = _ENCODERS["last"] = Encoder(shared.value)
-    return own
+    try:
+        yield own
+    finally:
+        timer = threading.Timer(IDLE, _drop)
+        timer.daemon = True
+        _TIMERS.append(timer)
+        timer.start()
 
 
 def with_ids(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", out: str = "ids") -> DataFrame:
@@ -309,9 +333,9 @@ def with_ids(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", out: s
 
     @F.pandas_udf("array<int>")
     def encode(frames: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = _encoder(shared)
-        for f in frames:
-            yield pd.Series([np.asarray(own.encode(t), np.int32) for t in f], dtype=object)
+        with _encoder(shared) as own:
+            for f in frames:
+                yield pd.Series([np.asarray(own.encode(t), np.int32) for t in f], dtype=object)
 
     return docs.drop(out).withColumn(out, encode(F.col(f"`{text}`")))
 
@@ -322,9 +346,9 @@ def with_text(docs: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: st
 
     @F.pandas_udf("string")
     def decode(frames: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = _encoder(shared)
-        for f in frames:
-            yield pd.Series(["" if x is None else own.decode(np.asarray(x).tolist()) for x in f], dtype=object)
+        with _encoder(shared) as own:
+            for f in frames:
+                yield pd.Series(["" if x is None else own.decode(np.asarray(x).tolist()) for x in f], dtype=object)
 
     return docs.drop(out).withColumn(out, decode(F.col(f"`{ids}`")))
 
@@ -347,18 +371,18 @@ def round_trips(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", kee
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(flat), np.int32), pa.int32()))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _encoder(shared)
-        for batch in batches:
-            ids, best, ends, best_ends, same = [], [], [0], [0], []
-            for t in batch.column(batch.num_columns - 1).to_pylist():
-                x, y, ok = own.packed_both(t)
-                ids.append(x)
-                best.append(y)
-                ends.append(ends[-1] + len(x) // 4)
-                best_ends.append(best_ends[-1] + len(y) // 4)
-                same.append(ok)
-            counts = pa.array(np.diff(ends), pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists(ids, ends), counts, lists(best, best_ends), pa.array(same, pa.bool_())], [*plain, *new])
+        with _encoder(shared) as own:
+            for batch in batches:
+                ids, best, ends, best_ends, same = [], [], [0], [0], []
+                for t in batch.column(batch.num_columns - 1).to_pylist():
+                    x, y, ok = own.packed_both(t)
+                    ids.append(x)
+                    best.append(y)
+                    ends.append(ends[-1] + len(x) // 4)
+                    best_ends.append(best_ends[-1] + len(y) // 4)
+                    same.append(ok)
+                counts = pa.array(np.diff(ends), pa.int64())
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists(ids, ends), counts, lists(best, best_ends), pa.array(same, pa.bool_())], [*plain, *new])
 
     own = docs.select(*[F.col(f"`{c}`").alias(p) for p, c in zip(plain, names, strict=True)], F.col(f"`{text}`").cast("string").alias("text"))
     return own.mapInArrow(work, schema).select(*[F.col(p).alias(c) for p, c in zip(plain, names, strict=True)], *new)
