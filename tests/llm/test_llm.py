@@ -70,6 +70,32 @@ def test_near_duplicates_of_one_large_group(spark):
     assert got == near_components(list(enumerate(texts)))
 
 
+@pytest.mark.parametrize("few", [near_dups.FEW, 0])
+def test_components_of_a_small_graph_need_no_shuffle(spark, monkeypatch, few):
+    monkeypatch.setattr(near_dups, "FEW", few)
+    name = lambda k: f"{k:04d}".encode()
+    edges = [(name(k), name(k + 1)) for k in range(0, 59)] + [(name(100), name(k)) for k in range(101, 140)] + [(name(201), name(200)), (name(201), name(200))]
+    given = spark.createDataFrame(edges, "a binary, b binary")
+    sc, scratch = spark.sparkContext, []
+    sc.setJobGroup(f"components {few}", "")
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "7"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        rows = near_dups.components(given, scratch).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    want = {name(k): name(0) for k in range(60)} | {name(k): name(100) for k in range(100, 140)} | {name(k): name(200) for k in (200, 201)}
+    assert len(rows) == len(want) and {bytes(r.node): bytes(r.comp) for r in rows} == want
+    stages = [sc.statusTracker().getStageInfo(x) for j in sc.statusTracker().getJobIdsForGroup(f"components {few}") for x in sc.statusTracker().getJobInfo(j).stageIds]
+    shuffled = sum(x.numTasks == 7 for x in stages if x and x.numCompletedTasks)
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    near_dups.forget(spark, scratch)
+    assert shuffled == 0 if few else shuffled > 3
+
+
 SECRETS = ['a password = "hunter2hunter2" b', "token=token:abcdefg", "AKIA" + "A" * 16, "é AKIAAKIA" + "B" * 12 + "!", "0" * 24 + " " + "f" * 23, "api_key: 12345", "APIKEY='abcdef' secret=xx", None, "", "x" * 50000 + "ghp_" + "a" * 36]
 
 

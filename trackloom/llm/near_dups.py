@@ -38,6 +38,8 @@ SLICE = 256
 PLACES, VALUE, LANE = 4, 14, 15
 #: Members of a bucket on either side of a tile, at most about.
 TILE = 512
+#: Edges of a graph whose components are found in one partition, at most; some 3 MB. A larger graph is shuffled in each round.
+FEW = 50_000
 
 
 @dataclass(frozen=True)
@@ -257,16 +259,22 @@ def forest(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").mapInPandas(work, "a binary, b binary")
 
 
+def _few(edges: DataFrame, n: int) -> DataFrame:
+    """The edges in one partition if they are ``FEW`` at most: their rounds then need no shuffle. More stay as they are dealt."""
+    return edges.coalesce(1) if n <= FEW else edges
+
+
 def components(edges: DataFrame, scratch: list[str]) -> DataFrame:
     """(node, comp): the smallest node of each node's component, by large-star and small-star rounds (Kiveris et al., 2014).
 
     A hub's edges are read once for its minimum, which is summed up before the shuffle, and joined to it again by a join that
     Spark may split; no task has to hold a hub's edges.
     """
-    at = stored(forest(edges).select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).where("u <> v").distinct(), scratch)
+    at = stored(forest(edges).select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).where("u <> v"), scratch)
+    at = _few(at, at.count())
     mark = None
     while True:
-        both = at.select("u", "v").union(at.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = at.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("m").alias("v"), F.col("v").alias("u"))
         large = large.where("u <> v").distinct()
@@ -274,6 +282,7 @@ def components(edges: DataFrame, scratch: list[str]) -> DataFrame:
         small = large.join(low, "u").select(F.col("m").alias("v"), F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"))
         at = stored(small.where("u <> v").distinct(), scratch)
         new = at.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+        at = _few(at, new[0])
         if new == mark:
             break
         mark = new
