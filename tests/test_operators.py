@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trackloom.functions import geometry as G
-from trackloom.operators import fusion, sampling, tracking, tracks, work
+from trackloom.operators import fusion, reports, sampling, tracking, tracks, work
 from trackloom.plans.fixtures import fixture
 
 SF = "/root/testdata/sf0.001"
@@ -109,3 +109,12 @@ def test_lines_are_made_of_sampled_frames_only(spark):
     out = sampling.export_sampled(boxes, sampled, videos).orderBy("frame").collect()
     assert [(r.video_id, r.frame, r.boxes) for r in out] == [(1, 5, 1), (1, 7, 0)]
     assert out[0].content.startswith("0 0.2")
+
+
+def test_the_tasks_that_admins_see_are_dealt_over_many_partitions(spark):
+    tasks = spark.range(600).selectExpr("id as task_id", "'u1' as publisher", "'u2' as manager", "id % 5 = 0 as deleted")
+    users = spark.createDataFrame([("a1", "admin", True), ("a2", "admin", True), ("a3", "admin", False), ("u1", "user", True)], "username string, role string, is_active boolean")
+    rows = reports.visible(tasks, users).withColumn("at", F.spark_partition_id()).collect()
+    live = [t for t in range(600) if t % 5]
+    assert sorted((r.username, r.task_id, r.sees, r.may_review) for r in rows) == sorted((n, t, True, True) for n in ("a1", "a2", "u1") for t in live)
+    assert len({r["at"] for r in rows if r.username != "u1"}) > 50
