@@ -1,3 +1,5 @@
+import pytest
+
 from trackloom.operators import fusion, graphs, tracks
 
 
@@ -68,3 +70,27 @@ def test_pairs_of_a_least_overlap_are_those_of_all_pairs(spark):
     for least, apart, found in ((0.05, False, True), (0.3, False, True), (0.05, True, True), (0.3, True, False)):
         every = short(tracks.pair_overlap(fwd, bwd, apart=apart).where(f"mean_iou >= {least}"))
         assert short(tracks.pair_overlap(fwd, bwd, apart=apart, iou=least)) == every and bool(every) == found
+
+
+BOXES = "video_id long, tracklet_idx long, frame_id long, x1 double, y1 double, x2 double, y2 double"
+
+
+def drifting(spark, tracklets=4, n=9, shift=0.0):
+    return spark.createDataFrame([(v, t, f, 60.0 * t + f + shift, 10.0, 60.0 * t + f + shift + 40.0, 50.0) for v in (1, 2) for t in range(tracklets) for f in range(n)], BOXES)
+
+
+@pytest.mark.parametrize("method", ["bidirectional_iou", "bidirectional_iou_forward_primary", "bidirectional_iou_forward_unique", "bidirectional_iou_all_pairs", "bidirectional_iou_nms"])
+def test_a_fusion_reads_its_frames_once(spark, method):
+    fwd, read = counted(spark, drifting(spark))
+    rows = fusion.fuse(fwd, drifting(spark, 3, 7, 3.0), method, 0.3).collect()
+    assert sorted((r.video_id, r.direction, r.tracklet_idx) for r in rows if r.direction == "forward") == [(v, "forward", t) for v in (1, 2) for t in range(4)]
+    assert len({(r.video_id, r.component) for r in rows}) == 8  # three pairs and a lone one in each video
+    assert read.value == 2 * 4 * 9
+
+
+def test_odd_frames_are_counted_as_they_are(spark):
+    """Rows without a frame meet nothing, but count for their tracklet; a frame given twice counts twice."""
+    fwd = spark.createDataFrame([(1, 1, f, 0.0, 0.0, 10.0, 10.0) for f in (0, 1, 2, 2, None)], BOXES)
+    bwd = spark.createDataFrame([(1, 1, f, 0.0, 0.0, 10.0, 10.0) for f in (0, 1, 2, 3, 4, 5, 6, 7, None)], BOXES)
+    found = tracks.pair_overlap(fwd, bwd).first()
+    assert (found.n, found.mean_iou, found.overlap_ratio) == (4, 1.0, 4 / 5)

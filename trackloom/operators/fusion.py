@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trackloom.functions import geometry as G
@@ -33,6 +33,22 @@ def _members(fwd: DataFrame, bwd: DataFrame) -> DataFrame:
     return one(fwd, "forward").unionByName(one(bwd, "backward"))
 
 
+def _way(t: str) -> list[Column]:
+    return [F.when(F.col(f"{t}.back"), "backward").otherwise("forward").alias("direction"), F.col(f"{t}.i").alias("tracklet_idx")]
+
+
+def _read(rated: DataFrame, iou: float, most_gap: float = 1.5) -> tuple[DataFrame, DataFrame]:
+    """(candidate pairs, members) of rated meetings of both sides."""
+    near = rated.where(~F.col("a.back") & F.col("b.back") & (F.col("mean_iou") >= iou) & (F.col("normalized_gap") <= most_gap))
+    return near.select("video_id", F.col("a.i").alias("f_idx"), F.col("b.i").alias("b_idx"), "score"), rated.where("a = b").select("video_id", *_way("a"))
+
+
+def _matched(fwd: DataFrame, bwd: DataFrame, iou: float, scratch: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(candidate pairs, members), both of one pass over the frames."""
+    met = tracks.meetings(tracks.two_sides(fwd, bwd), lambda a, b: ~a["back"] & b["back"], iou=iou)
+    return _read(stored(tracks.rated(met).where((F.col("a") == F.col("b")) | (F.col("normalized_gap") <= 1.5)), scratch), iou)
+
+
 def _groups(pairs: DataFrame, members: DataFrame) -> DataFrame:
     """Each pair is a component named by its forward tracklet; members outside any pair are alone."""
     f = pairs.select("video_id", F.lit("forward").alias("direction"), F.col("f_idx").alias("tracklet_idx"), F.concat(F.lit("f"), "f_idx").alias("component"))
@@ -41,12 +57,16 @@ def _groups(pairs: DataFrame, members: DataFrame) -> DataFrame:
     return members.join(f.unionByName(b), key, "left").withColumn("component", F.coalesce("component", F.concat(F.substring("direction", 1, 1), "tracklet_idx")))
 
 
+def _kept(spark: SparkSession, out: DataFrame, scratch: list[str]) -> DataFrame:
+    out = stored(out)
+    forget(spark, scratch)
+    return out
+
+
 def bidirectional_iou(fwd: DataFrame, bwd: DataFrame, iou: float) -> DataFrame:
     scratch: list[str] = []
-    best = stored(tracks.mutual_best(candidate_pairs(fwd, bwd, iou)).select(*PAIR), scratch)  # each pair names both of its ends
-    out = stored(_groups(best, _members(fwd, bwd)))
-    forget(fwd.sparkSession, scratch)
-    return out
+    pairs, members = _matched(fwd, bwd, iou, scratch)
+    return _kept(fwd.sparkSession, _groups(stored(tracks.mutual_best(pairs).select(*PAIR), scratch), members), scratch)  # each pair names both of its ends
 
 
 def forward_only(fwd: DataFrame, bwd: DataFrame, iou: float) -> DataFrame:
@@ -57,57 +77,64 @@ def backward_only(fwd: DataFrame, bwd: DataFrame, iou: float) -> DataFrame:
     return _groups(candidate_pairs(fwd, bwd, iou).limit(0), _members(fwd, bwd).where("direction = 'backward'"))
 
 
+def _primary(best: DataFrame, members: DataFrame) -> DataFrame:
+    paired = best.select("video_id", F.lit("backward").alias("direction"), F.col("b_idx").alias("tracklet_idx"))
+    forward = members.where("direction = 'forward'")
+    bare = members.join(forward.select("video_id").distinct(), "video_id", "left_anti")
+    return _groups(best, forward.unionByName(paired).unionByName(bare))
+
+
 def forward_primary(fwd: DataFrame, bwd: DataFrame, iou: float) -> DataFrame:
     """Forward tracklets, with the backward one that is a mutual best; videos without forward tracklets keep all backward ones."""
-    best = tracks.mutual_best(candidate_pairs(fwd, bwd, iou))
-    members = _members(fwd, bwd)
-    paired = best.select("video_id", F.lit("backward").alias("direction"), F.col("b_idx").alias("tracklet_idx"))
-    bare = members.join(fwd.select("video_id").distinct(), "video_id", "left_anti")
-    keep = members.where("direction = 'forward'").unionByName(paired).unionByName(bare)
-    return _groups(best, keep)
+    scratch: list[str] = []
+    pairs, members = _matched(fwd, bwd, iou, scratch)
+    return _kept(fwd.sparkSession, _primary(tracks.mutual_best(pairs), members), scratch)
 
 
 def forward_unique(fwd: DataFrame, bwd: DataFrame, iou: float) -> DataFrame:
     """forward_primary and the backward tracklets that are in no candidate pair."""
-    pairs = candidate_pairs(fwd, bwd, iou)
-    lone = _members(fwd, bwd).where("direction = 'backward'").join(pairs.select("video_id", F.col("b_idx").alias("tracklet_idx")), ["video_id", "tracklet_idx"], "left_anti")
-    primary = forward_primary(fwd, bwd, iou)
+    scratch: list[str] = []
+    pairs, members = _matched(fwd, bwd, iou, scratch)
+    lone = members.where("direction = 'backward'").join(pairs.select("video_id", F.col("b_idx").alias("tracklet_idx")), ["video_id", "tracklet_idx"], "left_anti")
+    primary = _primary(tracks.mutual_best(pairs), members)
     lone = lone.select("video_id", "direction", "tracklet_idx", F.concat(F.lit("b"), "tracklet_idx").alias("component"))
-    return primary.unionByName(lone.join(primary.select("video_id", "direction", "tracklet_idx"), ["video_id", "direction", "tracklet_idx"], "left_anti"))
+    return _kept(fwd.sparkSession, primary.unionByName(lone.join(primary.select("video_id", "direction", "tracklet_idx"), ["video_id", "direction", "tracklet_idx"], "left_anti")), scratch)
 
 
 def all_pairs(fwd: DataFrame, bwd: DataFrame, iou: float) -> DataFrame:
+    scratch: list[str] = []
+    pairs, members = _matched(fwd, bwd, iou, scratch)
     key = ["video_id", "direction", "tracklet_idx"]
-    named = connected_components(candidate_pairs(fwd, bwd, iou)).withColumn("component", F.concat(F.lit("c"), F.col("component").cast("string")))
-    return _members(fwd, bwd).join(named, key, "left").withColumn("component", F.coalesce("component", F.concat(F.substring("direction", 1, 1), "tracklet_idx")))
+    named = connected_components(pairs).withColumn("component", F.concat(F.lit("c"), F.col("component").cast("string")))
+    return _kept(fwd.sparkSession, members.join(named, key, "left").withColumn("component", F.coalesce("component", F.concat(F.substring("direction", 1, 1), "tracklet_idx"))), scratch)
 
 
 def nms(fwd: DataFrame, bwd: DataFrame, iou: float) -> DataFrame:
     """bidirectional_iou, of whose components one that overlaps a better one goes; ``position`` is the start frame's order, equals in that of their scores.
 
     A component's score is its longest tracklet's length, its best quality and a quarter for each tracklet. Two overlap if any
-    tracklets of theirs do: mean overlap ``iou``, six tenths of the shorter, a gap of 1.5 diagonals at most. Which pairs do is a
-    join on the frame; what stays is chosen in rounds.
+    tracklets of theirs do: mean overlap ``iou``, six tenths of the shorter, a gap of 1.5 diagonals at most. One pass over the frames
+    finds these pairs, the candidates and what tracklets are like; what stays is chosen in rounds.
     """
     who = ["video_id", "direction", "tracklet_idx"]
-    members = bidirectional_iou(fwd, bwd, iou)
-    every = fwd.select("video_id", F.lit("forward").alias("direction"), "tracklet_idx", "frame_id", *tracks.BOX).unionByName(bwd.select("video_id", F.lit("backward").alias("direction"), "tracklet_idx", "frame_id", *tracks.BOX))
-    quality = tracks.tracklet_quality(every.withColumn("track_id", F.struct("direction", "tracklet_idx")).withColumn("class_id", F.lit(0))).select("video_id", "track_id.*", "n", "quality")
+    scratch: list[str] = []
+    met = tracks.rated(tracks.meetings(tracks.two_sides(fwd, bwd), lambda a, b: a < b, iou=iou, quality=True))
+    met = stored(met.where((F.col("a") == F.col("b")) | (F.col("normalized_gap") <= 1.5)), scratch)
+    pairs, every = _read(met, iou)
+    members = stored(_groups(stored(tracks.mutual_best(pairs).select(*PAIR), scratch), every))
+    quality = met.where("a = b").select("video_id", *_way("a"), "n", (F.col("n") / (1 + F.col("jitter"))).alias("quality"), "start")
     ahead = F.struct((F.col("direction") == "backward").alias("b"), "tracklet_idx")
-    starts = every.groupBy(*who).agg(F.min("frame_id").alias("start"))
-    scored = members.join(quality, who).join(starts, who).groupBy("video_id", "component").agg(
+    scored = members.join(quality, who).groupBy("video_id", "component").agg(
         (F.max("n") + F.max("quality") + 0.25 * F.count("*")).alias("score"), F.min("start").alias("start"), F.min(ahead).alias("ahead")
     )
-    # Pairs of tracklets of different components, each pair once; a tracklet's number is its direction and index.
-    numbered = every.withColumn("tracklet_idx", F.struct("direction", "tracklet_idx"))
-    pairs = tracks.pair_overlap(numbered, numbered, apart=True, iou=iou)
-    close = pairs.where((F.col("mean_iou") >= iou) & (F.col("overlap_ratio") >= 0.6) & (F.col("normalized_gap") <= 1.5))
+    close = met.where("a <> b and overlap_ratio >= 0.6").select("video_id", *[F.struct(*_way(c)).alias(f"{c}_idx") for c in "ab"])
     of = lambda c: members.select("video_id", F.struct("direction", "tracklet_idx").alias(f"{c}_idx"), F.col("component").alias(f"{c}_component"))
-    meets = close.join(of("f"), ["video_id", "f_idx"]).join(of("b"), ["video_id", "b_idx"]).where("f_component <> b_component")
-    beside = meets.select("video_id", F.col("f_component").alias("component"), F.col("b_component").alias("other")).union(meets.select("video_id", "b_component", "f_component")).distinct()
+    meets = close.join(of("a"), ["video_id", "a_idx"]).join(of("b"), ["video_id", "b_idx"]).where("a_component <> b_component")
+    beside = meets.select("video_id", F.col("a_component").alias("component"), F.col("b_component").alias("other")).union(meets.select("video_id", "b_component", "a_component")).distinct()
     rank = F.struct("score", (~F.col("ahead.b")).alias("first"), (-F.col("ahead.tracklet_idx")).alias("i"))
     edges = beside.select("video_id", "component", F.col("video_id").alias("other_video_id"), F.col("other").alias("other_component"))
     kept = graphs.chosen_nodes(scored, edges, ["video_id", "component"], rank)
+    forget(fwd.sparkSession, scratch)
     place = Window.partitionBy("video_id").orderBy("start", rank.desc())
     stays = kept.select("video_id", "component", (F.row_number().over(place) - 1).cast("bigint").alias("position"))
     return members.join(stays, ["video_id", "component"]).select(*who, "component", "position")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -200,34 +202,56 @@ def frames_between(frames: DataFrame, start: int, count: int) -> DataFrame:
     return rows.groupBy("video_id", "frame_id").agg(F.array_sort(F.collect_list(F.struct("track_id", "class_id", *BOX))).alias("boxes"))
 
 
-def pair_overlap(fwd: DataFrame, bwd: DataFrame, least: int = 3, apart: bool = False, iou: float = 0.0) -> DataFrame:
-    """Forward and backward tracklets (video_id, tracklet_idx, frame_id, box) with ``least`` common frames or more: an equi-join on the frame, then one aggregation. ``apart``: only pairs whose first tracklet_idx is the smaller.
+def meetings(rows: DataFrame, meets: Callable[[Column, Column], Column], least: int = 3, iou: float = 0.0, quality: bool = False) -> DataFrame:
+    """(video_id, a, b, n, mean_iou, end_gap, mean_diag) of the tracklets of rows (video_id, t, frame_id, box), t naming a tracklet: pairs for which ``meets`` holds, with ``least`` common frames or more and a mean_iou of ``iou`` or more.
 
-    ``iou``: only pairs of that mean_iou or more. The frames in which two boxes overlap give a mean's sum, so the pairs that can
-    reach it are known from these, and only theirs meet again in all their frames: of a frame's pairs most don't overlap anywhere.
+    Each tracklet is paired with itself, too: a = b, and n are its frames. ``quality`` adds start, a's first frame, and jitter, the mean
+    jump of its centre. The rows are shuffled once, by video, as frames, pairs and tracklets all lie within one: a frame's boxes
+    come together as a list, which its pairs are read from, and a pair's frames are summed up where they are. A video is one
+    task's; its sorts and sums spill, and what is held are a frame's boxes.
     """
-    side = lambda df, c: df.select("video_id", "frame_id", F.col("tracklet_idx").alias(f"{c}_idx"), *[F.col(x).alias(f"{c}_{x}") for x in BOX])
-    lengths = lambda df, c: df.groupBy("video_id", F.col("tracklet_idx").alias(f"{c}_idx")).agg(F.count("*").alias(f"{c}_len"))
-    f, b = side(fwd, "f"), side(bwd, "b")
-    fb, bb = G.Box.of("f_"), G.Box.of("b_")
-    (fx, fy), (bx, by) = G.center(fb), G.center(bb)
-    diag = (F.hypot(fb.x2 - fb.x1, fb.y2 - fb.y1) + F.hypot(bb.x2 - bb.x1, bb.y2 - bb.y1)) / 2
-    met = f.join(b, ["video_id", "frame_id"])
-    met = met.where("f_idx < b_idx") if apart else met
-    if iou > 0:
-        pair = ["video_id", "f_idx", "b_idx"]
-        touched = met.withColumn("iou", G.iou(fb, bb)).where("iou > 0").groupBy(*pair).agg(F.sum("iou").alias("s"))
-        # Sums in another order differ by their last digits, and the exact mean follows.
-        met = touched.where(F.col("s") >= iou * least * (1 - 1e-9)).select(*pair).join(f, ["video_id", "f_idx"]).join(b, ["video_id", "b_idx", "frame_id"])
-    rows = met.withColumns({"iou": G.iou(fb, bb), "gap": F.hypot(fx - bx, fy - by), "diag": diag})
-    out = rows.groupBy("video_id", "f_idx", "b_idx").agg(
+    dealt = rows.select("video_id", "t", "frame_id", *BOX).repartition("video_id")
+    more = ["jitter"] if quality else []
+    if quality:
+        cx, cy = G.center(G.Box.of())
+        w = by_track(["video_id", "t"])
+        jumps = dealt.withColumns({"cx": cx, "cy": cy}).withColumn("jump", F.hypot(F.col("cx") - F.lag("cx").over(w), F.col("cy") - F.lag("cy").over(w)))
+        dealt = jumps.withColumn("jitter", F.coalesce(F.avg("jump").over(Window.partitionBy("video_id", "t")), F.lit(0.0)))
+    frames = dealt.groupBy("video_id", "frame_id").agg(F.collect_list(F.struct("t", *BOX, *more)).alias("boxes"))
+    pairs = frames.select("video_id", "frame_id", "boxes", F.posexplode("boxes").alias("i", "a")).select("video_id", "frame_id", "i", "a", F.posexplode("boxes").alias("j", "b"))
+    known = F.col("video_id").isNotNull() & F.col("frame_id").isNotNull()
+    met = pairs.where((F.col("i") == F.col("j")) | (known & meets(F.col("a.t"), F.col("b.t"))))
+    a, b = G.unpack(F.col("a")), G.unpack(F.col("b"))
+    (ax, ay), (bx, by) = G.center(a), G.center(b)
+    diag = (F.hypot(a.x2 - a.x1, a.y2 - a.y1) + F.hypot(b.x2 - b.x1, b.y2 - b.y1)) / 2
+    own = {"start": F.min("frame_id"), "jitter": F.max("a.jitter")} if quality else {}
+    met = met.withColumns({"iou": G.iou(a, b), "gap": F.hypot(ax - bx, ay - by), "diag": diag})
+    out = met.groupBy("video_id", F.col("a.t").alias("a"), F.col("b.t").alias("b")).agg(
         F.count("*").alias("n"), F.avg("iou").alias("mean_iou"), ((F.min_by("gap", "frame_id") + F.max_by("gap", "frame_id")) / 2).alias("end_gap"), F.avg("diag").alias("mean_diag"),
+        *[v.alias(c) for c, v in own.items()],
     )
-    # Lengths meet the pairs, of which there are fewer than frames.
-    out = out.where(F.col("n") >= least).join(lengths(fwd, "f"), ["video_id", "f_idx"]).join(lengths(bwd, "b"), ["video_id", "b_idx"])
-    out = out.select("video_id", "f_idx", "b_idx", "n", "mean_iou", (F.col("n") / F.least("f_len", "b_len")).alias("overlap_ratio"), "end_gap", "mean_diag")
-    out = out.withColumn("normalized_gap", F.col("end_gap") / F.greatest("mean_diag", F.lit(1.0))).withColumn("score", F.col("mean_iou") * F.col("overlap_ratio"))
-    return out.where(F.col("mean_iou") >= iou) if iou > 0 else out
+    return out.where((F.col("a") == F.col("b")) | ((F.col("n") >= least) & (F.col("mean_iou") >= iou)))
+
+
+def rated(met: DataFrame) -> DataFrame:
+    """``meetings`` with overlap_ratio, the share of the shorter tracklet, normalized_gap and score. All are of one video, so nothing is shuffled."""
+    length = lambda c: F.max(F.when(F.col("a") == F.col("b"), F.col("n"))).over(Window.partitionBy("video_id", c))
+    out = met.withColumn("__a", length("a")).withColumn("__b", length("b"))
+    out = out.withColumns({"overlap_ratio": F.col("n") / F.least("__a", "__b"), "normalized_gap": F.col("end_gap") / F.greatest("mean_diag", F.lit(1.0))}).drop("__a", "__b")
+    return out.withColumn("score", F.col("mean_iou") * F.col("overlap_ratio"))
+
+
+def two_sides(fwd: DataFrame, bwd: DataFrame) -> DataFrame:
+    """The rows of both passes for ``meetings``: t = (back, i), forward tracklets coming first."""
+    side = lambda df, back: df.select("video_id", F.struct(F.lit(back).alias("back"), F.col("tracklet_idx").alias("i")).alias("t"), "frame_id", *BOX)
+    return side(fwd, False).unionByName(side(bwd, True))
+
+
+def pair_overlap(fwd: DataFrame, bwd: DataFrame, least: int = 3, apart: bool = False, iou: float = 0.0) -> DataFrame:
+    """Forward and backward tracklets (video_id, tracklet_idx, frame_id, box) with ``least`` common frames or more, and of a mean_iou of ``iou`` or more. ``apart``: only pairs whose first tracklet_idx is the smaller."""
+    meets = lambda a, b: ~a["back"] & b["back"] & ((a["i"] < b["i"]) if apart else F.lit(True))
+    out = rated(meetings(two_sides(fwd, bwd), meets, least, iou)).where("a <> b")
+    return out.select("video_id", F.col("a.i").alias("f_idx"), F.col("b.i").alias("b_idx"), "n", "mean_iou", "overlap_ratio", "end_gap", "mean_diag", "normalized_gap", "score")
 
 
 def mutual_best(pairs: DataFrame) -> DataFrame:
