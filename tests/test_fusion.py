@@ -94,3 +94,13 @@ def test_odd_frames_are_counted_as_they_are(spark):
     bwd = spark.createDataFrame([(1, 1, f, 0.0, 0.0, 10.0, 10.0) for f in (0, 1, 2, 3, 4, 5, 6, 7, None)], BOXES)
     found = tracks.pair_overlap(fwd, bwd).first()
     assert (found.n, found.mean_iou, found.overlap_ratio) == (4, 1.0, 4 / 5)
+
+
+def test_merging_reads_its_frames_once(spark):
+    videos = spark.createDataFrame([(1, 100, 100)], "video_id long, width int, height int")
+    rows = [(1, way, i, f, i, 10.0 * i + f, 10.0, 10.0 * i + f + 20.0, 30.0) for way, i, n in (("forward", 1, 6), ("backward", 1, 4), ("backward", 3, 2), ("backward", 5, 9)) for f in range(n)]
+    frames, read = counted(spark, spark.createDataFrame(rows, "video_id long, direction string, tracklet_idx long, frame_id long, class_id int, x1 double, y1 double, x2 double, y2 double"))
+    members = spark.createDataFrame([(1, "forward", 1, "a"), (1, "backward", 1, "a"), (1, "backward", 3, "b"), (1, "forward", 9, "c")], "video_id long, direction string, tracklet_idx long, component string")
+    merged = fusion.merge_components(frames, members, videos).collect()
+    assert sorted((r.component, r.frame_id, r.class_id, r.x1) for r in merged) == [("a", f, 1, 10.0 + f) for f in range(6)] + [("b", f, 3, 30.0 + f) for f in range(2)]
+    assert read.value == len(rows)

@@ -165,26 +165,36 @@ def merge_components(frames: DataFrame, members: DataFrame, videos: DataFrame) -
     the first tracklet, forward ones coming before backward ones. In each frame the box of the best tracklet leads; boxes that
     overlap it by half, or whose centre is near its own, are averaged with it, and what clipping would lose keeps the leading
     box. A frame of one tracklet only stays as it is.
+
+    A tracklet is a member of one component. Frames and members are shuffled once, together and by video: what a tracklet, a
+    component and a frame are told about themselves are windows within it, which spill.
     """
     who = ["video_id", "direction", "tracklet_idx"]
     backward = F.col("direction") == "backward"
     seen = F.when(backward, -F.col("frame_id")).otherwise(F.col("frame_id"))
-    quality = tracks.tracklet_quality(frames.withColumn("track_id", F.struct("direction", "tracklet_idx")), seen)
-    quality = quality.select("video_id", "track_id.*", "n", "quality", F.col("class_id").alias("voted"))
-    named = members.select(*who, "component").join(quality, who).withColumn("ahead", F.struct(backward.alias("b"), F.col("tracklet_idx").alias("i")))
-    votes = named.groupBy("video_id", "component", "voted").agg(F.sum("n").alias("c"), F.min("ahead").alias("ahead"))
-    classes = votes.groupBy("video_id", "component").agg(F.min_by("voted", F.struct(-F.col("c"), "ahead")).alias("class_id"))
+    every = frames.select(*who, "frame_id", "class_id", *tracks.BOX).unionByName(members.select(*who, "component"), allowMissingColumns=True)
+    (x, y), track = G.center(G.Box.of()), Window.partitionBy(*who)
+    # A member's own row has no frame and no box, and lies before its tracklet's.
+    rows = every.repartition("video_id").withColumn("jump", F.hypot(x - F.lag(x).over(track.orderBy("frame_id")), y - F.lag(y).over(track.orderBy("frame_id"))))
+    rows = rows.withColumns({"component": F.max("component").over(track), "quality": F.count("frame_id").over(track) / (1 + F.coalesce(F.avg("jump").over(track), F.lit(0.0)))})
+    rows = rows.drop("jump").where("frame_id is not null and component is not null")
+    alike = Window.partitionBy(*who, "class_id")
+    rows = rows.withColumns({"c": F.count("*").over(alike), "f": F.min(seen).over(alike)}).withColumn("voted", F.max_by("class_id", F.struct("c", -F.col("f"))).over(track)).drop("class_id")
+    rows = rows.withColumn("ahead", F.struct(backward.alias("b"), F.col("tracklet_idx").alias("i"))).drop("direction", "tracklet_idx")
+    votes = Window.partitionBy("video_id", "component", "voted")
+    rows = rows.withColumns({"c": F.count("*").over(votes), "f": F.min("ahead").over(votes)})
+    rows = rows.withColumn("class_id", F.min_by("voted", F.struct(-F.col("c"), "f")).over(Window.partitionBy("video_id", "component"))).drop("c", "f", "voted")
 
     spot = ["video_id", "component", "frame_id"]
     best = Window.partitionBy(*spot).orderBy(F.desc("quality"), "ahead").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = frames.drop("class_id").join(named.select(*who, "component", "quality", "ahead"), who).withColumns({f"p_{c}": F.first(c).over(best) for c in tracks.BOX})
+    rows = rows.withColumns({f"p_{c}": F.first(c).over(best) for c in tracks.BOX})
     box, lead = G.Box.of(), G.Box.of("p_")
-    (x, y), (px, py) = G.center(box), G.center(lead)
+    px, py = G.center(lead)
     reach = F.greatest(F.lit(5.0), F.hypot(lead.x2 - lead.x1, lead.y2 - lead.y1) / 2)
     near = (G.iou(box, lead) >= 0.5) | (F.hypot(x - px, y - py) <= reach)
-    mean = rows.groupBy(*spot).agg(F.count("*").alias("n"), *[F.avg(F.when(near, F.col(c))).alias(c) for c in tracks.BOX], *[F.first(f"p_{c}").alias(f"p_{c}") for c in tracks.BOX])
+    mean = rows.groupBy(*spot, "class_id").agg(F.count("*").alias("n"), *[F.avg(F.when(near, F.col(c))).alias(c) for c in tracks.BOX], *[F.first(f"p_{c}").alias(f"p_{c}") for c in tracks.BOX])
     clipped = mean.join(videos.select("video_id", "width", "height"), "video_id").withColumn("clip", F.when(F.col("n") > 1, G.clip_bbox(box, F.col("width"), F.col("height"))))
-    return clipped.join(classes, ["video_id", "component"]).select(*spot, "class_id", *[F.coalesce(F.col("clip")[c], F.col(f"p_{c}")).alias(c) for c in tracks.BOX])
+    return clipped.select(*spot, "class_id", *[F.coalesce(F.col("clip")[c], F.col(f"p_{c}")).alias(c) for c in tracks.BOX])
 
 
 def final_tracks(merged: DataFrame, members: DataFrame, videos: DataFrame, least: int = 10, window: int = 5) -> DataFrame:
