@@ -104,3 +104,13 @@ def test_merging_reads_its_frames_once(spark):
     merged = fusion.merge_components(frames, members, videos).collect()
     assert sorted((r.component, r.frame_id, r.class_id, r.x1) for r in merged) == [("a", f, 1, 10.0 + f) for f in range(6)] + [("b", f, 3, 30.0 + f) for f in range(2)]
     assert read.value == len(rows)
+
+
+def test_final_tracks_read_what_was_merged_once(spark):
+    videos = spark.createDataFrame([(1, 100, 100)], "video_id long, width int, height int")
+    rows = [(1, c, f, 0, 10.0 + 2 * f, 10.0, 30.0 + 2 * f, 30.0) for c, n in (("b5", 5), ("c1", 4), ("b2", 2), ("f9", 4)) for f in range(n)]
+    merged, read = counted(spark, spark.createDataFrame(rows, "video_id long, component string, frame_id long, class_id int, x1 double, y1 double, x2 double, y2 double"))
+    members = spark.createDataFrame([(1, "backward", 5, "b5"), (1, "backward", 2, "c1"), (1, "forward", 4, "c1"), (1, "backward", 1, "b2"), (1, "forward", 9, "f9")], "video_id long, direction string, tracklet_idx long, component string")
+    final = fusion.final_tracks(merged, members, videos, 3, 3).collect()
+    assert sorted((r.track_id, r.frame_id) for r in final) == [(t, f) for t, n in ((1, 4), (2, 4), (3, 5)) for f in range(n)]
+    assert read.value == len(rows)

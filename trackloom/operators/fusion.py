@@ -202,9 +202,11 @@ def final_tracks(merged: DataFrame, members: DataFrame, videos: DataFrame, least
     part = ["video_id", "component"]
     place = F.col("position") if "position" in members.columns else F.lit(0)
     order = members.groupBy(*part).agg(F.min(F.struct(place.alias("p"), (F.col("direction") == "backward").alias("b"), "tracklet_idx")).alias("first"))
-    long = merged.groupBy(*part).agg(F.count("*").alias("n")).where(F.col("n") >= least).join(order, part)
-    ids = long.select(*part, F.row_number().over(Window.partitionBy("video_id").orderBy("first")).cast("bigint").alias("track_id"))
-    return tracks.smooth_tracks(merged.join(ids, part).drop("component"), videos, window)
+    # As in merge_components: one shuffle by video, and a component's own row has no frame.
+    rows, whole = merged.unionByName(order, allowMissingColumns=True).repartition("video_id"), Window.partitionBy(*part)
+    rows = rows.withColumns({"n": F.count("frame_id").over(whole), "first": F.max("first").over(whole)}).where((F.col("n") >= least) & F.col("first").isNotNull() & F.col("frame_id").isNotNull())
+    rows = rows.withColumn("track_id", F.dense_rank().over(Window.partitionBy("video_id").orderBy("first")).cast("bigint"))
+    return tracks.smooth_tracks(rows.select("video_id", "frame_id", "class_id", *tracks.BOX, "track_id"), videos, window)
 
 
 def filter_detections(detections: DataFrame, frames: DataFrame, videos: DataFrame, method: str = "sparse_track", fusion: str = "bidirectional_iou_all_pairs", iou: float = 0.5, least: int = 10, params: dict | None = None) -> DataFrame:
