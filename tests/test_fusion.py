@@ -114,3 +114,16 @@ def test_final_tracks_read_what_was_merged_once(spark):
     final = fusion.final_tracks(merged, members, videos, 3, 3).collect()
     assert sorted((r.track_id, r.frame_id) for r in final) == [(t, f) for t, n in ((1, 4), (2, 4), (3, 5)) for f in range(n)]
     assert read.value == len(rows)
+
+
+def test_a_filter_leaves_detections_where_they_are(spark):
+    rows = [(1, f, 0, 0, 0.9, 10.0 + f, 10.0, 50.0 + f, 60.0) for f in range(12)] + [(1, f, 1, 0, 0.9, 300.0, 10.0, 350.0, 60.0) for f in range(4)]
+    given = spark.createDataFrame(rows, "video_id long, frame_id int, det_idx int, class_id int, score double, x1 double, y1 double, x2 double, y2 double")
+    frames, videos = given.select("video_id", "frame_id").distinct(), spark.createDataFrame([(1, 400, 100)], "video_id long, width int, height int")
+    dealt = given.repartition("video_id", "frame_id")
+    for method in fusion.FUSERS:
+        kept = fusion.filter_detections(dealt, frames, videos, "sort", method)
+        assert kept.columns == given.columns and sorted((r.frame_id, r.det_idx) for r in kept.collect()) == [(f, 0) for f in range(12)]
+        plan = kept._jdf.queryExecution().sparkPlan().toString()
+        assert "BroadcastHashJoin" not in plan
+        assert kept._jdf.queryExecution().executedPlan().initialPlan().toString().count("Exchange hashpartitioning") == 2  # the detections' own, and the lists'

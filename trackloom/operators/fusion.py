@@ -209,19 +209,27 @@ def final_tracks(merged: DataFrame, members: DataFrame, videos: DataFrame, least
     return tracks.smooth_tracks(rows.select("video_id", "frame_id", "class_id", *tracks.BOX, "track_id"), videos, window)
 
 
+#: Methods in which no order of tracklets decides anything, so that a pass's own numbers will do.
+UNORDERED = ("forward_only", "backward_only", "bidirectional_iou_all_pairs")
+
+
 def filter_detections(detections: DataFrame, frames: DataFrame, videos: DataFrame, method: str = "sparse_track", fusion: str = "bidirectional_iou_all_pairs", iou: float = 0.5, least: int = 10, params: dict | None = None) -> DataFrame:
     """The detections that were given to a tracklet of some fused track of ``least`` frames or more; their columns stay as they are."""
     scratch: list[str] = []
-    found = stored(tracking.run_tracker(detections, method, params, frames), scratch)  # the pass is dear, and read by each side of each join
+    passed = (tracking.numbered if fusion in UNORDERED else tracking.run_tracker)(detections, method, params, frames)
+    found = stored(passed.select("video_id", "direction", "tracklet_idx", "frame_id", "det_idx", *tracks.BOX), scratch)  # the pass is dear
     side = lambda way: found.where(F.col("direction") == way).select("video_id", "tracklet_idx", "frame_id", *tracks.BOX)
-    members = stored(fuse(side("forward"), side("backward"), fusion, iou), scratch)
-    who = ["video_id", "direction", "tracklet_idx"]
-    owned = found.join(members, who)
-    long = owned.select("video_id", "component", "frame_id").distinct().groupBy("video_id", "component").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    kept = owned.join(long, ["video_id", "component"]).select("video_id", "frame_id", "det_idx").distinct()
-    kept = stored(kept)
+    members = fuse(side("forward"), side("backward"), fusion, iou)
+    # As in merge_components: one shuffle by video, and a member's own row has no detection.
+    who, whole = ["video_id", "direction", "tracklet_idx"], Window.partitionBy("video_id", "component")
+    rows = found.select(*who, "frame_id", "det_idx").unionByName(members.select(*who, "component"), allowMissingColumns=True).repartition("video_id")
+    rows = rows.withColumn("component", F.max("component").over(Window.partitionBy(*who))).where("det_idx is not null and component is not null")
+    first = F.row_number().over(Window.partitionBy("video_id", "component", "frame_id").orderBy("det_idx")) == 1
+    long = rows.withColumn("first", first).withColumn("n", F.count(F.when(F.col("first"), 1)).over(whole)).where(F.col("n") >= least)
+    # A frame's list meets its detections, which are often dealt by frame already; as a file the lists are small, as rows they are not.
+    kept = stored(long.groupBy("video_id", F.col("frame_id").cast(dict(detections.dtypes)["frame_id"]).alias("frame_id")).agg(F.collect_set("det_idx").alias("__kept")))
     forget(detections.sparkSession, scratch)
-    return detections.join(kept, ["video_id", "frame_id", "det_idx"], "left_semi")
+    return detections.join(kept.hint("merge"), ["video_id", "frame_id"]).where(F.array_contains("__kept", F.col("det_idx"))).select(*detections.columns)
 
 
 def filter_counts(detections: DataFrame, kept: DataFrame, frames: DataFrame) -> DataFrame:
