@@ -169,3 +169,11 @@ def test_spikes_of_short_tracks_need_no_frames_of_pandas(spark):
     assert len(got) == 36 and {k for k, r in got.items() if r.fixed} == {(0, 7), (1, 7), (2, 7)} and got[1, 7].class_id is None
     assert (got[0, 7].x2, got[0, 7].run_start, got[0, 7].anchor_before, got[0, 7].anchor_after) == (10.0, 7, 6, 8)
     assert got[2, 3].y2 is None and got[2, 7].x2 == 10.0
+
+
+def test_numbered_passes_are_the_trackers_and_shuffle_detections_once(spark, scenes):
+    detections = spark.createDataFrame(scenes, DETECTION)
+    short = lambda df: sorted(tuple(r) for r in df.select("video_id", "direction", "frame_id", "det_idx", "number", "class_id", *tracking.BOX).collect())
+    found = tracking.numbered(detections, "sparse_track")
+    assert short(found) == short(tracking.run_tracker(detections, "sparse_track"))
+    assert found._jdf.queryExecution().executedPlan().initialPlan().toString().count("Exchange hashpartitioning") == 1
